@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ferrule.llm.decontamination import op5_decontamination
+from ferrule.llm.mixing import OP8_SQL, op8_mixing
+from ferrule.llm.simhash import op6_simhash
 from ferrule.llm.token_counts import op1_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op5_decontamination)
+    f.__name__: f for f in (op1_token_counts, op5_decontamination, op6_simhash, op8_mixing)
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_mixing": OP8_SQL}
