@@ -1,6 +1,6 @@
 """Operator 4, toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the hashed character n-grams of 3 to 6 code points that a lower-cased text holds at least once. From
+Features are the hashed character n-grams of 4 to 8 code points that a lower-cased text holds at least once. From
 labelled texts come smoothed log-count ratios; the ``FEATURES`` n-grams that tell the classes apart best are kept, each
 scaled by its ratio, and a logistic regression is fitted on them by gradient descent.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ferrule.llm.common import kept, table
 
-ORDERS, BITS, FEATURES, TRAIN_ROWS, LEAST, CHUNK = (3, 4, 5, 6), 22, 20_000, 12_000, 3, 1 << 18
+ORDERS, BITS, FEATURES, TRAIN_ROWS, LEAST, CHUNK = (4, 5, 6, 7, 8), 22, 8_000, 12_000, 3, 1 << 18
 
 
 def buckets(text: str | None, keep: np.ndarray | None = None) -> np.ndarray:
@@ -94,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     return kept_buckets, *_regression(x, y, r, base)
 
 
-def _regression(x: list[np.ndarray], y: np.ndarray, r: np.ndarray, base: float, steps: int = 400, l2: float = 1e-3, rate: float = 0.05) -> tuple[np.ndarray, float]:
+def _regression(x: list[np.ndarray], y: np.ndarray, r: np.ndarray, base: float, steps: int = 400, l2: float = 2e-2, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Logistic regression by full-batch Adam over rows of feature numbers, scaled by ``r`` and the row's length."""
     row, col = np.repeat(np.arange(len(x)), list(map(len, x))), np.concatenate(x) if x else np.zeros(0, np.int32)
     value = r[col]
