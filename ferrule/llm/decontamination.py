@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ferrule.llm.common import table
 
@@ -97,26 +98,30 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``(id, n_words, n_hit, items array<string>)`` of every document; items sorted as strings."""
+    """``(id, n_words, n_hit, items array<string>)`` of every document; items sorted as strings.
+
+    ``id_col`` may be any column, a struct of a whole row too.
+    """
     sc = docs.sparkSession.sparkContext
-    kind = docs.schema[id_col].dataType.simpleString()
+    own = T.StructField("id", docs.schema[id_col].dataType)
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("binary").alias("hit"), F.array().cast("array<string>").alias("items"))
-    shape = f"id {kind}, text string, hit binary, items array<string>"
+    found = T.StructType([own, *T.StructType().add("text", "string").add("hit", "binary").add("items", T.ArrayType(T.StringType()))])
+    result = T.StructType([own, *T.StructType().add("n_words", "long").add("n_hit", "long").add("items", T.ArrayType(T.StringType()))])
 
     def search(shared) -> callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, texts = shared.value
             classes = window_classes(enumerate(texts), window)
             for b in batches:
-                hits, found = [], []
+                hits, per = [], []
                 for raw, before, had in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                     words, got = words_of(raw), set()
                     hit = bytearray(before) if before else bytearray(len(words))
                     for c in classes:
                         c.scan(words, hit, got)
                     hits.append(bytes(hit))
-                    found.append(sorted({ids[k] for k in got} | set(had)))
-                yield pa.record_batch([b.column(0), b.column(1), pa.array(hits, pa.binary()), pa.array(found, pa.list_(pa.string()))], names=["id", "text", "hit", "items"])
+                    per.append(sorted({ids[k] for k in got} | set(had)))
+                yield pa.record_batch([b.column(0), b.column(1), pa.array(hits, pa.binary()), pa.array(per, pa.list_(pa.string()))], names=["id", "text", "hit", "items"])
 
         return run
 
@@ -132,8 +137,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     blocks = [sc.broadcast(x) for x in _blocks(benchmark, item_col, item_text_col, block_bytes)]
     for shared in blocks[:-1]:
-        out = out.mapInArrow(search(shared), shape)
-    return out.mapInArrow(last(blocks[-1]), f"id {kind}, n_words long, n_hit long, items array<string>").withColumnRenamed("id", id_col)
+        out = out.mapInArrow(search(shared), found)
+    return out.mapInArrow(last(blocks[-1]), result).withColumnRenamed("id", id_col)
 
 
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):

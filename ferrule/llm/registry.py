@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from ferrule.llm.decontamination import op5_decontamination
 from ferrule.llm.embedding_dedup import op9_embedding_dedup
 from ferrule.llm.mixing import OP8_SQL, op8_mixing
+from ferrule.llm.pii import op7_pii
+from ferrule.llm.quality import op2_quality
 from ferrule.llm.simhash import op6_simhash
 from ferrule.llm.token_counts import op1_token_counts
 from ferrule.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op4_toxicity, op5_decontamination, op6_simhash, op8_mixing, op9_embedding_dedup)
+    f.__name__: f for f in (op1_token_counts, op2_quality, op4_toxicity, op5_decontamination, op6_simhash, op7_pii, op8_mixing, op9_embedding_dedup)
 }
 
 SQL: dict[str, str] = {"op8_mixing": OP8_SQL}
