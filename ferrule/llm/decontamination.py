@@ -150,3 +150,9 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document against the whole benchmark."""
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that the benchmark does not contaminate; searched in place, without a shuffle."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    return find_contamination(rows, benchmark, id_col="row").where(~contaminated()).select("row.*")

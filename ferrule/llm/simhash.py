@@ -196,3 +196,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, of which each group of near-duplicates keeps the one with the smallest id.
+
+    Of rows that repeat an id one stays; rows with a null id cannot be named by a group and all stay.
+    """
+    found = near_duplicates(docs, id_col, text_col)
+    stay = kept(found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).cast("long").alias("stays")).agg(F.count("*").alias("times")))
+    named = lambda some: docs.join(some.select("stays"), docs[id_col] == F.col("stays"), "left_semi")
+    out = named(stay.where("times = 1")).unionByName(docs.where(F.col(id_col).isNull()))
+    repeated = stay.where("times > 1")
+    return out if repeated.isEmpty() else out.unionByName(named(repeated).dropDuplicates([id_col]))
