@@ -65,3 +65,20 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+
+
+def running_total(df: DataFrame, order: str, value: str, total: str = "total") -> DataFrame:
+    """``df`` with ``total``: the sum of ``value`` over all rows before this one in the order of the distinct column ``order``.
+
+    A distributed prefix sum: rows are range-partitioned, each partition is summed, the sums (one a partition) are added
+    up, and a window inside each partition does the rest.
+    """
+    from pyspark.sql import Window
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = kept(df.repartitionByRange(n, order).withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(F.col("__part").alias("p")).agg(F.sum(value).alias("n")).select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
+    inside = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(F.broadcast(sums), F.col("__part") == F.col("p"))  # as many rows as partitions
+    return out.withColumn(total, F.col("__offset") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("__part", "__offset", "p")
