@@ -58,15 +58,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     texts = kept(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", F.col("y").cast("int").alias("y"), "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {0: [], 1: []}
+        n = np.zeros((2, 1 << BITS), np.int32)
         for b in batches:
             for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held[int(y > 0)].append(buckets(text))
-            for y in held:
-                held[y] = [np.concatenate(held[y])] if held[y] else []
-        n = {y: np.bincount(v[0], minlength=1 << BITS) if v else np.zeros(1 << BITS, np.int64) for y, v in held.items()}
-        b = np.flatnonzero(n[0] + n[1])
-        yield pa.record_batch([pa.array(b), pa.array(n[0][b]), pa.array(n[1][b])], names=["b", "n0", "n1"])
+                n[int(y > 0)][buckets(text)] += 1
+        at = np.flatnonzero(n.any(axis=0))
+        for k in range(0, len(at), 1 << 16):
+            b = at[k : k + (1 << 16)]
+            yield pa.record_batch([pa.array(b), pa.array(n[0][b].astype(np.int64)), pa.array(n[1][b].astype(np.int64))], names=["b", "n0", "n1"])
 
     size = {bool(r.t): r.n for r in texts.groupBy((F.col("y") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
     n0, n1 = size.get(False, 0), size.get(True, 0)
@@ -116,10 +115,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         which, weight, base = shared.value
-        keep, full = np.zeros(1 << BITS, bool), np.zeros(1 << BITS)
-        keep[which], full[which] = True, weight
+        keep = np.zeros(1 << BITS, bool)
+        keep[which] = True
         for b in batches:
-            z = np.array([base + full[buckets(t, keep)].sum() for t in b.column(1).to_pylist()])
+            z = np.array([base + weight[np.searchsorted(which, buckets(t, keep))].sum() for t in b.column(1).to_pylist()])
             yield pa.record_batch([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=["id", "score"])
 
     return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
