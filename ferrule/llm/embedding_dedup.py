@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ferrule.llm.common import components, kept, table
 
-THRESHOLD, LEAF, SPILL, SAMPLE, MISS, SEED, BLOCK = 0.9, 96, 0.25, 20_000, 1e-3, 11, 2048
+THRESHOLD, LEAF, SPILL, SAMPLE, MISS, SEED, BLOCK = 0.9, 96, 0.25, 20_000, 5e-3, 11, 2048
 #: A node is not split if more than this share of it would go both ways.
 CROWDED = 0.5
 #: Sampled classes below which a median says nothing.
@@ -113,15 +113,32 @@ def unit(vectors: pa.ListArray, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _by_tree(codes: pa.ListArray) -> np.ndarray:
+    """Leaf codes as (tree, row, place), padded with -1."""
+    flat, n = codes.flatten().to_numpy(), len(codes)
+    row = np.repeat(np.arange(n), np.diff(codes.offsets.to_numpy()))
+    tree, at = (flat >> 44) & 127, np.arange(len(flat))
+    new = np.ones(len(flat), bool)
+    new[1:] = (row[1:] != row[:-1]) | (tree[1:] != tree[:-1])
+    place = at - np.maximum.accumulate(np.where(new, at, 0))
+    out = np.full((int(tree.max()) + 1, n, int(place.max()) + 1), -1, np.int64)
+    out[tree, row, place] = flat
+    return out
+
+
 def _first_here(codes: np.ndarray, i: np.ndarray, j: np.ndarray, code: int) -> np.ndarray:
-    """Whether ``code`` is the first leaf that the classes ``i`` and ``j`` share; codes are padded with -1."""
-    out = np.ones(len(i), bool)
-    earlier = np.where(codes < code, codes, -1)
-    width = max(1, int((earlier >= 0).sum(axis=1).max(initial=0)))
-    earlier = earlier[:, :width]
-    for at in range(0, len(i), 2048):
-        a, b = earlier[i[at : at + 2048]], earlier[j[at : at + 2048]]
-        out[at : at + 2048] = ~((a[:, :, None] == b[:, None, :]) & (a >= 0)[:, :, None]).any(axis=(1, 2))
+    """Whether ``code`` is the first leaf that the classes ``i`` and ``j`` share. Most share one in the first trees."""
+    out, here = np.ones(len(i), bool), (code >> 44) & 127
+    for at in range(0, len(i), 8192):
+        left = np.arange(at, min(at + 8192, len(i)))
+        for t in range(here + 1):
+            if not len(left):
+                break
+            a, b = codes[t, i[left]], codes[t, j[left]]
+            a = np.where(a < code, a, -1) if t == here else a
+            shared = ((a[:, :, None] == b[:, None, :]) & (a >= 0)[:, :, None]).any(axis=(1, 2))
+            out[left[shared]] = False
+            left = left[~shared]
     return out
 
 
@@ -130,10 +147,7 @@ def _compare(t: pa.Table, dim: int, threshold: float) -> Iterator[pa.RecordBatch
     rep, copies, block = (t.column(c).to_numpy() for c in ("rep", "copies", "block"))
     code, one, two = (t.column(c)[0].as_py() for c in ("code", "one", "two"))
     x = unit(t.column("vector").combine_chunks(), dim)
-    lists = t.column("codes").to_pylist()
-    codes = np.full((len(lists), max(map(len, lists))), -1, np.int64)
-    for k, c in enumerate(lists):
-        codes[k, : len(c)] = c
+    codes = _by_tree(t.column("codes").combine_chunks())
     near = x @ x.T >= threshold
     if one != two:
         near &= block[:, None] != block[None, :]
