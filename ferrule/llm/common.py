@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +35,24 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])).parquet(path)
 
 
+def bitmap(values: DataFrame, col: str, bits: int = 1 << 20) -> Column:
+    """A scalar subquery that holds a bit for every hash of ``values[col]``, to filter by before a join.
+
+    ``bits`` bounds what is sent (128 KB by default) whatever the number of values; where they crowd it, it lets more
+    pass and the join still decides.
+    """
+    hashes = values.select(F.pmod(F.xxhash64(col), F.lit(bits)).alias("h"))
+    set_ = hashes.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b"))
+    dense = values.sparkSession.range(bits // 64).join(set_, F.col("id") == F.col("w"), "left").select("id", F.coalesce("b", F.lit(0)).alias("b"))
+    return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "b"))), lambda x: x["b"]).alias("m")).scalar()
+
+
+def may_hold(held: Column, col: str, bits: int = 1 << 20) -> Column:
+    """Whether ``bitmap`` may hold the value of ``col``: false is certain."""
+    h = F.pmod(F.xxhash64(col), F.lit(bits))
+    return F.getbit(F.get(held, F.shiftright(h, 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a long, b long)``: one row ``(node, root)`` for every node of an edge.
 

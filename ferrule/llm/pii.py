@@ -6,15 +6,15 @@ ended, and repetitions are possessive, which leaves the leftmost greedy matches
 from the lengths of what ``split`` leaves between the matches of ``regexp_extract_all``.
 
 Then the corpus tells which terms give a protected value away. For every protected value c and every term t within
-``REACH`` characters of it, n(c, t) is the number of different texts where they meet, n(c) and n(t) those that hold either anywhere,
-and N all. A term discloses c by PMI(c; t) / IC(c), with PMI = log(n(c,t) N / (n(c) n(t))) and IC = log(N / n(c)): 1 if
-the term never occurs without c, 0 if they are independent. Terms that meet c in ``SUPPORT`` texts or more and reach
-``DISCLOSURE`` are spans of kind ``term`` wherever they occur in the corpus. In the sanitised text those that disclose a
+``REACH`` characters of it, n(c, t) is the number of documents where they meet, n(c) and n(t) those that hold either
+anywhere, and N all. A term discloses c by PMI(c; t) / IC(c), with PMI = log(n(c,t) N / (n(c) n(t))) and IC = log(N / n(c)): 1 if
+the term never occurs without c, 0 if they are independent. Terms that meet c in ``SUPPORT`` different texts or more and
+reach ``DISCLOSURE`` are spans of kind ``term`` wherever they occur in the corpus. In the sanitised text those that disclose a
 value wholly are removed and the others generalised to a placeholder.
 
-All counts are over all documents; equal texts count once and are recognised by their SHA-256, which also carries spans
-back to every row that has the text. The words of all texts meet the candidate terms in a join that the planner makes a
-broadcast only if their measured size allows it, and the counts are pre-aggregated.
+All counts are over all documents. Equal texts are recognised by their SHA-256, which also carries spans back to every
+row that has the text. The words of all texts pass a bitmap of the candidate terms, of fixed size, and are counted by a
+pre-aggregated sum, so neither words nor texts are shuffled; only texts that hold a disclosing term are.
 
 Defined results: a null text counts as empty and has no spans; repeated rows give repeated rows; ids are never read, so
 null or repeated ids do no harm; other columns are not read; an empty table gives none.
@@ -22,10 +22,12 @@ null or repeated ids do no harm; other columns are not read; an empty table give
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import kept, table
+from ferrule.llm.common import bitmap, kept, may_hold, table
 
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Kind -> the pattern of its spans.
@@ -45,7 +47,10 @@ def _digits(v: Column) -> Column:
 
 def _luhn(v: Column) -> Column:
     """Whether 13 to 19 digits pass Luhn's test."""
-    d = _digits(v)
+    return F.transform(F.array(_digits(v)), _luhn_digits)[0]  # bound, so that the digits are taken out once
+
+
+def _luhn_digits(d: Column) -> Column:
     n = F.length(d)
     even = lambda i: (n - i) % 2 == 1  # noqa: E731  doubled: every second digit from the right
     digit = lambda i: F.substring(d, i, 1).cast("int")
@@ -105,24 +110,28 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     around = lambda s: F.array_distinct(F.regexp_extract_all(F.lower(near(s)), F.lit(rf"(?<![\p{{L}}@])(?<!^){WORD}(?![\p{{L}}@])(?!$)"), F.lit(0)))
     found = kept(found.select("id", "digest", "base", F.transform("base", around).alias("around")))
 
-    texts = found.select("digest", "base", "around").dropDuplicates(["digest"])
-    total = texts.count()
-    met = texts.where(F.size("base") > 0).select("digest", F.explode(F.arrays_zip("base", "around")).alias("m")).select("digest", F.concat_ws(":", "m.base.kind", F.lower("m.base.value")).alias("c"), F.col("m.around").alias("around"))
-    n_c = met.groupBy("c").agg(F.countDistinct("digest").alias("n_c"))
-    shared = n_c.where(F.col("n_c") >= support)
-    pairs = met.join(shared, "c").select("digest", "c", "n_c", F.explode("around").alias("t")).distinct().groupBy("c", "t", "n_c").agg(F.count("*").alias("n_ct"))
-    pairs = kept(pairs.where(F.col("n_ct") >= support))
-    candidates = pairs.select("t").distinct()
+    total = float(max(found.count(), 1))
+    met = found.where(F.size("base") > 0).select("digest", F.explode(F.arrays_zip("base", "around")).alias("m"))
+    met = met.select("digest", F.concat_ws(":", "m.base.kind", F.lower("m.base.value")).alias("c"), F.col("m.around").alias("around"))
+    # A row has a value once, however often it repeats; its digest tells how many different texts support a pair.
+    values = found.where(F.size("base") > 0).select(F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))).alias("c"))
+    copies = found.where(F.size("base") > 0).groupBy("digest").agg(F.count("*").alias("copies"))
+    n_c = values.groupBy("c").agg(F.count("*").alias("n_c"))
+    pairs = met.select("digest", "c", F.explode("around").alias("t")).distinct().join(copies, "digest")
+    pairs = pairs.groupBy("c", "t").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_ct")).where(F.col("texts") >= support)
+    pairs = kept(pairs.join(n_c, "c"))
+    candidates = kept(pairs.select("t").distinct())
     words = source.select("digest", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("t"))
-    holds = kept(words.join(candidates, "t").distinct())
-    n_t = holds.groupBy("t").agg(F.count("*").alias("n_t"))
-    told = (F.log(F.col("n_ct")) + F.log(F.lit(float(max(total, 1)))) - F.log("n_c") - F.log("n_t")) / F.greatest(F.log(F.lit(float(max(total, 1)))) - F.log("n_c"), F.lit(1e-9))
+    n_t = words.where(may_hold(bitmap(candidates, "t"), "t")).groupBy("t").agg(F.count("*").alias("n_t"))
+    told = (F.log("n_ct") + F.lit(math.log(total)) - F.log("n_c") - F.log("n_t")) / F.greatest(F.lit(math.log(total)) - F.log("n_c"), F.lit(1e-9))
     revealing = kept(pairs.join(n_t, "t").groupBy("t").agg(F.max(told).alias("told")).where(F.col("told") >= disclosure).select("t", (F.col("told") >= 1 - 1e-9).alias("wholly")))
-    by_text = holds.join(revealing, "t").groupBy("digest").agg(F.sort_array(F.collect_list(F.when(F.col("wholly"), F.col("t")))).alias("whole"), F.sort_array(F.collect_list(F.when(~F.col("wholly"), F.col("t")))).alias("part"))
+    holds = words.where(may_hold(bitmap(revealing, "t"), "t")).join(revealing, "t").distinct()
+    by_text = kept(holds.groupBy("digest").agg(F.sort_array(F.collect_list(F.when(F.col("wholly"), F.col("t")))).alias("whole"), F.sort_array(F.collect_list(F.when(~F.col("wholly"), F.col("t")))).alias("part")))
     alternatives = lambda c: F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(c, "|"), F.lit(r")(?!\p{L})"))
     none = F.array().cast(SPAN)
     spans = lambda c, how: F.when(F.size(c) > 0, F.transform(placed(F.col("text"), alternatives(c), 4), lambda s: s.withField("value", F.lit(how)))).otherwise(none)
-    terms = source.join(by_text, "digest").dropDuplicates(["digest"]).select("digest", F.array_sort(F.concat(spans("whole", "removed"), spans("part", "generalised"))).alias("terms"))
+    holders = source.where(may_hold(bitmap(by_text, "digest"), "digest")).join(by_text, "digest").dropDuplicates(["digest"])
+    terms = holders.select("digest", F.array_sort(F.concat(spans("whole", "removed"), spans("part", "generalised"))).alias("terms"))
     return found.select("id", "digest", "base").withColumnRenamed("id", id_col), kept(terms)
 
 
@@ -156,8 +165,14 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), parts.alias("parts")))
 
     clean = F.aggregate(ordered, start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    rows = docs.select(F.struct("*").alias("row"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("digest")).join(kept(spans), "digest", "left")
-    return rows.select(*[F.when(F.col("spans").isNotNull() & text.isNotNull(), clean).otherwise(text).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    spans = kept(spans)
+    rows = docs.select(F.struct("*").alias("row"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("digest"))
+    named = [F.col("row")[c].alias(c) for c in docs.columns]
+    # Only rows that may have spans are shuffled; the others pass as they are.
+    may = may_hold(bitmap(spans, "digest"), "digest")
+    touched = rows.where(may).join(spans, "digest", "left")
+    cleaned = [F.when(F.col("spans").isNotNull() & text.isNotNull(), clean).otherwise(text).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
+    return touched.select(*cleaned).unionByName(rows.where(~may).select(*named))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
