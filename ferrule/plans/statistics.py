@@ -1 +1,154 @@
-"""Queries: statistics."""
+"""Queries of study statistics over ``lineitem``: a supplier is a group, an order a realisation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ferrule.operators import statistics as S
+from ferrule.plans import query, table
+
+
+def rounded(df: DataFrame, keys: list[str], n: int = 5) -> DataFrame:
+    return df.select(*keys, *[F.round(c, n).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes if c not in keys])
+
+
+@query("""WITH v AS (SELECT l_suppkey, l_extendedprice / 1000 AS x FROM lineitem),
+b AS (SELECT l_suppkey, count(*) AS n, avg(x) AS mean, stddev_samp(x) AS s, stddev_pop(x) AS sp, quantile_cont(x, 0.5) AS median, min(x) AS min, max(x) AS max,
+  quantile_cont(x, 0.05) AS p5, quantile_cont(x, 0.95) AS p95, avg(CASE WHEN x > 80 THEN 1.0 ELSE 0.0 END) AS p_over FROM v GROUP BY l_suppkey),
+t AS (SELECT l_suppkey, avg(power(x - mean, 3)) AS m3 FROM v JOIN b USING (l_suppkey) GROUP BY l_suppkey),
+f AS (SELECT *, CASE WHEN sp <= 1e-7 * abs(mean) THEN 0 ELSE s END AS std FROM b JOIN t USING (l_suppkey))
+SELECT l_suppkey, n, round(mean, 9) AS mean, round(std, 9) AS std, round(CASE WHEN mean <> 0 THEN std / abs(mean) END, 9) AS cov, round(median, 9) AS median, round(min, 9) AS min,
+  round(max, 9) AS max, round(p5, 9) AS p5, round(p95, 9) AS p95, round(CASE WHEN n <= 2 OR std = 0 THEN 0 ELSE m3 / power(std, 3) END, 9) AS skewness,
+  round(p_over, 9) AS p_over, sp <= 1e-7 * abs(mean) AS invariant FROM f""")
+def describe_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Descriptive statistics by group (A10)."""
+    v = table(spark, d, "lineitem").select("l_suppkey", (F.col("l_extendedprice") / 1000).alias("x"))
+    return rounded(S.describe(v, ["l_suppkey"], "x", 80.0), ["l_suppkey"], 9)
+
+
+@query("""WITH f AS (SELECT l_suppkey, avg(ln(l_extendedprice)) AS mu, stddev_samp(ln(l_extendedprice)) AS sigma FROM lineitem GROUP BY 1 HAVING min(l_extendedprice) > 0)
+SELECT l_suppkey, round(mu, 5) AS mu, round(sigma, 5) AS sigma, round(exp(mu), 3) AS median, round(exp(mu + sigma * sigma / 2), 3) AS mean, round(sqrt(exp(sigma * sigma) - 1), 5) AS cov FROM f""")
+def lognormal_fit(spark: SparkSession, d: str) -> DataFrame:
+    """A lognormal fit by group."""
+    f = S.lognormal_fit(table(spark, d, "lineitem"), ["l_suppkey"], "l_extendedprice")
+    return f.select("l_suppkey", F.round("mu", 5).alias("mu"), F.round("sigma", 5).alias("sigma"), F.round("median", 3).alias("median"), F.round("mean", 3).alias("mean"), F.round("cov", 5).alias("cov"))
+
+
+@query()
+def ks_lognormal(spark: SparkSession, d: str) -> DataFrame:
+    """Kolmogorov-Smirnov against the fitted lognormal (A17, A18); neither engine has erf, so tests hold it against math.erf."""
+    rows = table(spark, d, "lineitem").select("l_suppkey", "l_extendedprice")
+    fit = S.lognormal_fit(rows, ["l_suppkey"], "l_extendedprice").select("l_suppkey", "mu", "sigma")
+    z = (F.log("l_extendedprice") - F.col("mu")) / F.col("sigma")
+    return rounded(S.ks(rows.join(fit, "l_suppkey").withColumn("z", z), ["l_suppkey"], "z", S.normal_cdf("z")), ["l_suppkey"], 4)
+
+
+@query("""WITH a AS (SELECT l_returnflag, count(*) AS c, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25) AS iqr FROM lineitem GROUP BY 1),
+k AS (SELECT l_returnflag, CAST(least(greatest(CASE WHEN iqr > 0 AND c >= 8 THEN ceil((hi - lo) / (2 * iqr / power(c, 1.0 / 3))) ELSE ceil(sqrt(c)) END, 6), 24) AS BIGINT) AS k,
+  lo - CASE WHEN hi > lo THEN 0.04 * (hi - lo) ELSE 0.1 END AS lo, hi + CASE WHEN hi > lo THEN 0.04 * (hi - lo) ELSE 0.1 END AS hi FROM a),
+n AS (SELECT l_returnflag, least(CAST(floor((l_extendedprice - lo) / ((hi - lo) / k)) AS BIGINT), k - 1) AS bin, count(*) AS n FROM lineitem JOIN k USING (l_returnflag) GROUP BY ALL),
+b AS (SELECT *, unnest(range(0, k)) AS bin FROM k)
+SELECT l_returnflag, bin, round(lo + bin * ((hi - lo) / k), 3) AS low, round(lo + (bin + 1) * ((hi - lo) / k), 3) AS high, coalesce(n, 0) AS n FROM b LEFT JOIN n USING (l_returnflag, bin)""")
+def histogram_fd(spark: SparkSession, d: str) -> DataFrame:
+    """A histogram with Freedman-Diaconis bins."""
+    return rounded(S.histogram(table(spark, d, "lineitem").select("l_returnflag", "l_extendedprice"), ["l_returnflag"], "l_extendedprice"), ["l_returnflag", "bin"], 3)
+
+
+@query("""WITH x AS (SELECT l_orderkey, sum(l_extendedprice) AS response, sum(l_quantity) AS quantity, sum(l_discount) AS discount, sum(l_tax) AS tax FROM lineitem GROUP BY 1),
+u AS (SELECT l_orderkey, round(response, 4) AS response, unnest(['quantity', 'discount', 'tax']) AS driver, unnest([round(quantity, 4), round(discount, 4), round(tax, 4)]) AS v FROM x),
+r AS (SELECT driver, row_number() OVER (PARTITION BY driver ORDER BY v, l_orderkey) AS a, row_number() OVER (PARTITION BY driver ORDER BY response, l_orderkey) AS b FROM u)
+SELECT driver, count(*) AS n, round(corr(a, b), 6) AS rho, row_number() OVER (ORDER BY abs(corr(a, b)) DESC) AS rank FROM r GROUP BY driver""")
+def spearman_drivers(spark: SparkSession, d: str) -> DataFrame:
+    """Drivers ranked by rank correlation with the response."""
+    x = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum("l_extendedprice"), 4).alias("response"), F.round(F.sum("l_quantity"), 4).alias("quantity"), F.round(F.sum("l_discount"), 4).alias("discount"), F.round(F.sum("l_tax"), 4).alias("tax"))
+    u = x.unpivot(["l_orderkey", "response"], ["quantity", "discount", "tax"], "driver", "v")
+    r = S.spearman(u, ["driver"], "v", "response", ["l_orderkey"])
+    return r.select("driver", "n", F.round("rho", 6).alias("rho"), F.row_number().over(Window.orderBy(F.abs("rho").desc())).cast("long").alias("rank"))
+
+
+@query("""WITH m AS (SELECT l_suppkey, count(*) AS n, max(l_quantity) AS max_quantity, max(l_extendedprice) AS max_price, max(l_discount) AS max_discount FROM lineitem GROUP BY 1),
+a AS (SELECT l_suppkey, l_orderkey AS governing_order, l_linenumber AS governing_line FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey
+  ORDER BY round(l_extendedprice * (1 - l_discount), 4) DESC, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r = 1)
+SELECT * FROM m JOIN a USING (l_suppkey)""")
+def group_envelope_argmax(spark: SparkSession, d: str) -> DataFrame:
+    """The envelope of a group's quantities and which case governs (A3, A4)."""
+    at = F.struct(F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4).alias("s"), (-F.col("l_orderkey")).alias("o"), (-F.col("l_linenumber")).alias("l"))
+    rows = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.max("l_quantity").alias("max_quantity"), F.max("l_extendedprice").alias("max_price"), F.max("l_discount").alias("max_discount"), F.max(at).alias("at"))
+    return rows.select("l_suppkey", "n", "max_quantity", "max_price", "max_discount", (-F.col("at.o")).alias("governing_order"), (-F.col("at.l")).cast("int").alias("governing_line"))
+
+
+@query("""WITH g AS (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_suppkey, l_linenumber) AS r FROM lineitem),
+n AS (SELECT l_suppkey, count(*) AS n FROM g WHERE r = 1 GROUP BY 1)
+SELECT l_suppkey, n, round(n / (SELECT sum(n) FROM n), 6) AS share FROM n""")
+def governing_shift(spark: SparkSession, d: str) -> DataFrame:
+    """Which group governs each realisation, counted."""
+    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max(F.struct("l_extendedprice", (-F.col("l_suppkey")).alias("s"))).alias("m")).select((-F.col("m.s")).alias("l_suppkey"))
+    n = g.groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("all")))).select("l_suppkey", "n", F.round(F.col("n") / F.col("all"), 6).alias("share"))
+
+
+@query("""WITH v AS (SELECT l_linenumber, l_extendedprice / 60000 AS dc, l_quantity / 30 AS base FROM lineitem)
+SELECT l_linenumber, round(avg(dc), 5) AS mean, round(max(dc), 5) AS max, round(min(dc), 5) AS min, round(quantile_cont(dc, 0.95), 5) AS p95,
+  round(avg(CASE WHEN dc > 1 THEN 1.0 ELSE 0.0 END), 5) AS p_over_1, round(avg(CASE WHEN dc > base THEN 1.0 ELSE 0.0 END), 5) AS p_over_base, round(avg(dc - base), 5) AS mean_change FROM v GROUP BY 1""")
+def group_range_table(spark: SparkSession, d: str) -> DataFrame:
+    """Range and exceedance of every group."""
+    v = table(spark, d, "lineitem").select("l_linenumber", (F.col("l_extendedprice") / 60000).alias("dc"), (F.col("l_quantity") / 30).alias("base"))
+    share = lambda c: F.avg(c.cast("double"))
+    g = v.groupBy("l_linenumber").agg(F.avg("dc").alias("mean"), F.max("dc").alias("max"), F.min("dc").alias("min"), F.expr("percentile(dc, 0.95)").alias("p95"), share(F.col("dc") > 1).alias("p_over_1"), share(F.col("dc") > F.col("base")).alias("p_over_base"), F.avg(F.col("dc") - F.col("base")).alias("mean_change"))
+    return rounded(g, ["l_linenumber"])
+
+
+@query("""WITH v AS (SELECT l_suppkey, l_shipdate, l_returnflag AS dir, l_linenumber AS storey, l_discount * 10 AS drift FROM lineitem),
+s AS (SELECT l_suppkey, dir, storey, max(drift) AS drift FROM v GROUP BY ALL),
+g AS (SELECT l_suppkey, dir, max(drift) AS mx, avg(drift) AS mean, string_agg(CAST(CAST(round(drift * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY storey) AS profile, bool_and(drift <= 1.0) AS ok FROM s GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY mx DESC, dir) AS r, bool_and(ok) OVER (PARTITION BY l_suppkey) AS all_ok FROM g)
+SELECT l_suppkey, dir AS worst, round(mx, 5) AS utilisation, round(1 - mx, 5) AS margin, round(mx / mean, 5) AS concentration, profile, all_ok FROM r WHERE r = 1""")
+def drift_profile(spark: SparkSession, d: str) -> DataFrame:
+    """The worst direction of each model, its profile and concentration."""
+    s = table(spark, d, "lineitem").groupBy("l_suppkey", F.col("l_returnflag").alias("dir"), F.col("l_linenumber").alias("storey")).agg(F.max(F.col("l_discount") * 10).alias("drift"))
+    profile = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("storey", F.round(F.col("drift") * 100).cast("long").cast("string").alias("v")))), lambda x: x["v"]), ",")
+    g = s.groupBy("l_suppkey", "dir").agg(F.max("drift").alias("mx"), F.avg("drift").alias("mean"), profile.alias("profile"), F.bool_and(F.col("drift") <= 1.0).alias("ok"))
+    w = Window.partitionBy("l_suppkey")
+    r = g.withColumns({"r": F.row_number().over(w.orderBy(F.desc("mx"), "dir")), "all_ok": F.bool_and("ok").over(w)}).where("r = 1")
+    return r.select("l_suppkey", F.col("dir").alias("worst"), F.round("mx", 5).alias("utilisation"), F.round(1 - F.col("mx"), 5).alias("margin"), F.round(F.col("mx") / F.col("mean"), 5).alias("concentration"), "profile", "all_ok")
+
+
+DEMANDS = """WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CASE l_returnflag WHEN 'A' THEN 'beam' WHEN 'N' THEN 'brace' ELSE 'column' END AS kind,
+  l_quantity AS Mz, l_discount * 100 AS V, CASE WHEN l_linestatus = 'F' THEN l_tax * 100 ELSE 0 END AS My, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity ELSE 0 END AS comp,
+  CASE WHEN l_linenumber % 3 = 0 THEN l_quantity / 2 ELSE 0 END AS tens, p_size * 2.0 AS Mdz, p_size * 1.0 AS Vd, CASE WHEN p_size > 10 THEN p_size * 0.5 END AS Mdy,
+  CASE WHEN p_size > 3 THEN p_size * 3.0 END AS Pd, CASE WHEN p_size > 5 THEN p_size * 4.0 END AS Td FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+
+@query(DEMANDS + """, t AS (SELECT *, comp / Pd + Mz / Mdz + CASE WHEN My > 0 THEN My / Mdy ELSE 0 END AS total FROM x)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, kind, round(CASE kind
+  WHEN 'beam' THEN CASE WHEN My > 0 AND Mdy IS NULL THEN NULL ELSE greatest(Mz / Mdz, V / Vd, CASE WHEN My > 0 THEN My / Mdy END, CASE WHEN comp > 0 THEN total END) END
+  WHEN 'brace' THEN greatest(comp / Pd, coalesce(tens / Td, CASE WHEN comp <= 0 THEN tens / Pd END))
+  ELSE CASE WHEN total IS NULL THEN NULL ELSE greatest(total, tens / Td, V / Vd) END END, 6) AS dc FROM t""")
+def dc_exact_by_kind(spark: SparkSession, d: str) -> DataFrame:
+    """Demand over capacity, exact by kind of member."""
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    q, size, line = F.col("l_quantity"), F.col("p_size"), F.col("l_linenumber")
+    demand = {"Mz": q, "V": F.col("l_discount") * 100, "My": F.when(F.col("l_linestatus") == "F", F.col("l_tax") * 100).otherwise(0.0), "comp": F.when(line % 2 == 0, q).otherwise(0.0), "tens": F.when(line % 3 == 0, q / 2).otherwise(0.0)}
+    strength = {"Mdz": size * 2.0, "Vd": size * 1.0, "Mdy": F.when(size > 10, size * 0.5), "Pd": F.when(size > 3, size * 3.0), "Td": F.when(size > 5, size * 4.0)}
+    kind = F.when(F.col("l_returnflag") == "A", "beam").when(F.col("l_returnflag") == "N", "brace").otherwise("column")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", kind.alias("kind"), F.round(S.capacity_ratio(kind, demand, strength), 6).alias("dc"))
+
+
+@query("""WITH b AS (SELECT l_suppkey, max(l_quantity) AS mz, max(l_discount) AS v, max(l_tax) AS my FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1),
+n AS (SELECT l_suppkey, max(l_quantity) AS mz, max(l_discount) AS v, max(l_tax) AS my FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1),
+r AS (SELECT l_suppkey, max(l_extendedprice) / 90000 AS recorded, max(l_extendedprice) / 90000 + CASE WHEN l_suppkey % 3 = 0 THEN 0.05 ELSE 0.001 END AS again FROM lineitem GROUP BY 1)
+SELECT n.l_suppkey, CASE WHEN b.l_suppkey IS NULL THEN 'none' WHEN abs(again - recorded) <= greatest(0.02, 0.03 * recorded) THEN 'exact' ELSE 'scaled' END AS method,
+  round(recorded * greatest(1.0, CASE WHEN b.mz > 1e-9 THEN n.mz / b.mz END, CASE WHEN b.v > 1e-9 THEN n.v / b.v END, CASE WHEN b.my > 1e-9 THEN n.my / b.my END), 6) AS scaled
+FROM n LEFT JOIN b USING (l_suppkey) JOIN r ON n.l_suppkey = r.l_suppkey""")
+def dc_scaled_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Recorded ratios scaled by demand growth where the exact check does not meet them."""
+    x = table(spark, d, "lineitem")
+    top = lambda flag, tag: x.where(F.col("l_returnflag") == flag).groupBy("l_suppkey").agg(*[F.max(c).alias(f"{tag}_{c}") for c in ("l_quantity", "l_discount", "l_tax")], F.lit(True).alias(tag))
+    recorded = F.max("l_extendedprice") / 90000
+    r = x.groupBy("l_suppkey").agg(recorded.alias("recorded")).withColumn("again", F.col("recorded") + F.when(F.col("l_suppkey") % 3 == 0, 0.05).otherwise(0.001))
+    rows = top("N", "n").join(top("A", "b"), "l_suppkey", "left").join(r, "l_suppkey")
+    cols = ("l_quantity", "l_discount", "l_tax")
+    grow = S.growth([F.col(f"b_{c}") for c in cols], [F.col(f"n_{c}") for c in cols])
+    method = F.when(F.col("b").isNull(), "none").when(F.abs(F.col("again") - F.col("recorded")) <= F.greatest(F.lit(0.02), 0.03 * F.col("recorded")), "exact").otherwise("scaled")
+    return rows.select("l_suppkey", method.alias("method"), F.round(F.col("recorded") * grow, 6).alias("scaled"))
