@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,35 +61,49 @@ def nearest_in_band(df: DataFrame, by: list[str], at: str, key: str, band: float
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "key").orderBy(gap, "other")).cast("long")).where(F.col("rank") <= k).select(*by, "key", "other", "rank")
 
 
+def folded(df: DataFrame, by: list[str], order: list[str], out: list[str], start: Callable[[], object], keeps: Callable[[object, dict], bool]) -> DataFrame:
+    """Rows that a fold keeps, group by group in order; ``keeps(state, row)`` may change the state.
+
+    Rows stream through sorted partitions, so a group takes the memory of its state, not of its rows.
+    """
+    schema = df.select(*out).schema
+    columns = list(dict.fromkeys([*by, *order, *out]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, state = None, None
+        for b in batches:
+            keep = []
+            for row in b.to_pylist():
+                own = tuple(row[c] for c in by)
+                if state is None or own != group:
+                    group, state = own, start()
+                keep.append(keeps(state, row))
+            yield b.filter(pa.array(keep, pa.bool_())).select(out)
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(*columns).repartition(n, *by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+
+
 def greedy_match(pairs: DataFrame, by: list[str], left: str, right: str, order: list[str]) -> DataFrame:
-    """One-to-one assignment within each group: pairs are taken in order if both sides are free. A fold, so a pandas map."""
-    schema = pairs.select(*by, left, right).schema
+    """One-to-one assignment within each group: pairs are taken in order if both sides are free."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_l, used_r, out = set(), set(), []
-        for row in pdf.sort_values(order, kind="stable").itertuples(index=False):
-            a, b = getattr(row, left), getattr(row, right)
-            if a not in used_l and b not in used_r:
-                used_l.add(a)
-                used_r.add(b)
-                out.append(tuple(getattr(row, c) for c in [*by, left, right]))
-        return pd.DataFrame(out, columns=[*by, left, right])
+    def keeps(used: tuple[set, set], row: dict) -> bool:
+        if row[left] in used[0] or row[right] in used[1]:
+            return False
+        used[0].add(row[left])
+        used[1].add(row[right])
+        return True
 
-    return pairs.groupBy(*by).applyInPandas(fold, schema)
+    return folded(pairs, by, order, [*by, left, right], lambda: (set(), set()), keeps)
 
 
 def monotone(df: DataFrame, by: list[str], order: str, value: str, forward: int = 2, back: int = 1) -> DataFrame:
     """Rows whose number moves on from the last kept one by at most ``forward``, or back by at most ``back``."""
-    schema = df.select(*by, order, value).schema
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        keep, last = [], None
-        pdf = pdf.sort_values(order, kind="stable")
-        for v in pdf[value]:
-            ok = last is None or -back <= v - last <= forward
-            keep.append(ok)
-            last = v if ok else last
-        return pdf.loc[keep, [*by, order, value]]
 
-    return df.groupBy(*by).applyInPandas(fold, schema)
+    def keeps(last: list, row: dict) -> bool:
+        ok = not last or -back <= row[value] - last[0] <= forward
+        if ok:
+            last[:] = [row[value]]
+        return ok
 
+    return folded(df, by, [order], [*by, order, value], list, keeps)

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: below this share of the mean a spread counts as none.
 INVARIANT = 1e-7
@@ -35,7 +36,7 @@ def lognormal_fit(df: DataFrame, by: list[str], x: str) -> DataFrame:
     return fit.select(*by, "mu", "sigma", F.exp("mu").alias("median"), F.exp(F.col("mu") + s2 / 2).alias("mean"), F.sqrt(F.exp(s2) - 1).alias("cov"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     return z.map(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)), na_action="ignore")
 

@@ -1 +1,101 @@
-"""Queries: events."""
+"""Queries of run events: a user is a run; conversations are agent transcripts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ferrule.operators import events as E
+from ferrule.plans import query, table
+
+
+@query("""WITH l AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)
+SELECT user_id, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'pending' ELSE 'running' END AS state, value FROM l WHERE r = 1""")
+def event_status_latest(spark: SparkSession, d: str) -> DataFrame:
+    """The latest event of each run decides its state."""
+    got = E.latest(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], ["event_type", "value"])
+    state = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "pending").otherwise("running")
+    return got.select("user_id", state.alias("state"), "value")
+
+
+@query("""WITH l AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events),
+s AS (SELECT CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'pending' ELSE 'running' END AS state, value FROM l WHERE r = 1)
+SELECT count(*) FILTER (state = 'done') AS done, count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (state = 'running') AS running, count(*) FILTER (state = 'pending') AS pending,
+  round(avg(value) FILTER (state = 'done'), 6) AS mean_s, round(count(*) FILTER (state IN ('running', 'pending')) * avg(value) FILTER (state = 'done') / 4, 6) AS eta_s FROM s""")
+def event_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Progress and time left of a study."""
+    s = event_status_latest(spark, d).select(F.col("user_id").alias("id"), "state", F.col("value").alias("seconds"))
+    return E.progress(s, 4).withColumns({"mean_s": F.round("mean_s", 6), "eta_s": F.round("eta_s", 6)})
+
+
+@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WHERE event_id > 4000)
+SELECT user_id, event_id, event_type FROM e WHERE r <= 25""")
+def event_resume_since(spark: SparkSession, d: str) -> DataFrame:
+    """A resumed read: what came after a number, the last of each run within a buffer."""
+    return E.retain(E.since(table(spark, d, "events"), "event_id", 4000), ["user_id"], "event_id", 25).select("user_id", "event_id", "event_type")
+
+
+@query("""WITH n AS (SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn) <> role, true) AS new FROM conversations),
+r AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM n)
+SELECT conv_id, CAST(run AS BIGINT) AS run, role, min(turn) AS first, count(*) AS n, sha256(string_agg(text, '' ORDER BY turn)) AS digest FROM r GROUP BY conv_id, run, role""")
+def event_token_islands(spark: SparkSession, d: str) -> DataFrame:
+    """Consecutive turns of a role become one line."""
+    got = E.coalesce_runs(table(spark, d, "conversations"), ["conv_id"], "turn", "role", "text")
+    return got.select("conv_id", "run", "role", "first", "n", F.sha2("text", 256).alias("digest"))
+
+
+@query("""WITH a AS (SELECT *, 1 + coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS attempt FROM events),
+l AS (SELECT user_id, attempt, count(*) AS n, sum(value) AS seconds, max(struct_pack(ts := ts, id := event_id, t := event_type)).t AS last FROM a GROUP BY ALL)
+SELECT user_id, CAST(attempt AS BIGINT) AS attempt, n, round(seconds, 4) AS seconds, CASE WHEN last IN ('purchase') THEN 'final' WHEN last = 'signup' THEN 'paused' WHEN last = 'error' THEN 'retryable' WHEN last = 'click' THEN 'transient' ELSE 'other' END AS outcome FROM l""")
+def event_attempts_outcome(spark: SparkSession, d: str) -> DataFrame:
+    """Attempts of a run and how each ended."""
+    a = E.attempts(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "error")
+    g = a.groupBy("user_id", "attempt").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("seconds"), F.max(F.struct("ts", "event_id", "event_type")).alias("m"))
+    return g.select("user_id", "attempt", "n", "seconds", E.classify(F.col("m.event_type")).alias("outcome"))
+
+
+@query("""WITH s AS (SELECT o_custkey, o_orderpriority AS project, o_orderkey, o_orderstatus = 'F' AS failed, CASE WHEN o_orderkey % 11 = 0 THEN 'stop' WHEN o_orderkey % 3 = 0 THEN 'skip_project' ELSE 'continue' END AS on_fail FROM orders),
+w AS (SELECT *, coalesce(bool_or(failed AND on_fail = 'stop') OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stop,
+  coalesce(bool_or(failed AND on_fail = 'skip_project') OVER (PARTITION BY o_custkey, project ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS skip FROM s),
+r AS (SELECT o_custkey, CASE WHEN stop THEN 'not_run' WHEN skip THEN 'skipped' WHEN failed THEN 'failed' ELSE 'done' END AS status FROM w)
+SELECT o_custkey, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'not_run') AS not_run FROM r GROUP BY 1""")
+def plan_fail_policy(spark: SparkSession, d: str) -> DataFrame:
+    """A plan's steps under their fail policies, summed by status."""
+    on_fail = F.when(F.col("o_orderkey") % 11 == 0, "stop").when(F.col("o_orderkey") % 3 == 0, "skip_project").otherwise("continue")
+    s = table(spark, d, "orders").withColumn("on_fail", on_fail)
+    r = E.plan_outcome(s, "o_custkey", "o_orderpriority", "o_orderkey", F.col("o_orderstatus") == "F", "on_fail")
+    return r.groupBy("o_custkey").agg(*[F.count_if(F.col("status") == x).alias(x) for x in ("done", "failed", "skipped", "not_run")])
+
+
+@query(r"""WITH f AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, regexp_extract(text, '^([^.]*)', 1) AS brief FROM f WHERE r = 1""")
+def brief_first_turn(spark: SparkSession, d: str) -> DataFrame:
+    """The brief is the first sentence of the first user turn."""
+    first = table(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("m"))
+    return first.select("conv_id", "m.turn", F.regexp_extract("m.text", r"^([^.]*)", 1).alias("brief"))
+
+
+@query("""WITH k AS (SELECT sha256('{"limit":5,"query":' || to_json(text) || ',"type":"auto"}') AS key, item_id FROM benchmark UNION ALL
+  SELECT sha256('{"limit":5,"query":' || to_json(text) || ',"type":"auto"}'), item_id + 1000 FROM benchmark WHERE item_id % 2 = 0)
+SELECT key, min(item_id) AS created, max(item_id) AS last, count(*) - 1 AS hits FROM k GROUP BY key""")
+def cache_key_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Canonical keys; a later put keeps what was first and counts hits."""
+    b = table(spark, d, "benchmark")
+    both = b.unionByName(b.where("item_id % 2 = 0").withColumn("item_id", F.col("item_id") + 1000))
+    key = F.sha2(F.to_json(F.struct(F.lit(5).alias("limit"), F.coalesce("text", F.lit("")).alias("query"), F.lit("auto").alias("type"))), 256)
+    return both.select(key.alias("key"), "item_id").groupBy("key").agg(F.min("item_id").alias("created"), F.max("item_id").alias("last"), (F.count("*") - 1).alias("hits"))
+
+
+@query("""SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def events_daily(spark: SparkSession, d: str) -> DataFrame:
+    """An extension: tumbling windows over event time, the batch form of the streaming rollup."""
+    w = table(spark, d, "events").groupBy("event_type", F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return w.withColumn("day", F.col("day").cast("timestamp_ntz"))
+
+
+@query()
+def stream_events_append(spark: SparkSession, d: str) -> DataFrame:
+    """The event log fed through a file stream, appended once by number, and read again."""
+    from ferrule.streaming.events import replay
+
+    return replay(spark, table(spark, d, "events"))

@@ -33,7 +33,7 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("WITH " + BM25 + """, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 8), doc_id) AS rank FROM scored)
-SELECT qid AS item_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 5""")
+SELECT qid AS item_id, rank, doc_id, round(round(score, 8), 6) AS score FROM r WHERE rank <= 5""")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """Inverted index, BM25, top k."""
     best = R.top(scored(spark, d), ["qid"], [F.col("score"), F.col("doc")], 5)
