@@ -28,4 +28,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from ferrule.plans import events, lookup, ordered, publish, retrieval, scoring, statistics  # noqa: F401
+    from ferrule.plans import corpus, events, lookup, ordered, publish, retrieval, scoring, statistics, study  # noqa: F401
