@@ -162,3 +162,33 @@ def snippet_of(text: str, terms: list[str], width: int = 40) -> str:
 @F.pandas_udf(T.StringType())
 def snippet(text: pd.Series, terms: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else snippet_of(t, list(q)) for t, q in zip(text, terms, strict=True)], dtype="object")
+
+
+def gutter_of(lines: list[str], least: int = 4) -> int | None:
+    """The column of the widest blank strip inside a page of text that nearly all lines leave free; none if there is none."""
+    wide = max(map(len, lines), default=0)
+    rows = [x.ljust(wide) for x in lines if x.strip()]
+    free = [sum(r[c] == " " for r in rows) >= 0.9 * len(rows) for c in range(wide)] if rows else []
+    best, at, start = 0, None, None
+    for c, f in enumerate([*free, False]):
+        if f and start is None:
+            start = c
+        if not f and start is not None:
+            if start > 0.2 * wide and c < 0.8 * wide and c - start >= least and c - start > best:
+                best, at = c - start, (start + c) // 2
+            start = None
+    return at
+
+
+def linear_of(page: str) -> str:
+    """A page of two columns as one: the left column, then the right."""
+    lines = page.split("\n")
+    at = gutter_of(lines)
+    if at is None:
+        return page
+    return "\n".join([x[:at].rstrip() for x in lines] + [x[at:].strip() for x in lines])
+
+
+@F.pandas_udf(T.StringType())
+def linearised(pages: pd.Series) -> pd.Series:
+    return pages.map(linear_of, na_action="ignore")

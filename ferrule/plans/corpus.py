@@ -178,7 +178,7 @@ def miss_notes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""WITH t(town, ord) AS (VALUES ('est', 1), ('hand', 2), ('schein', 3)),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-h AS (SELECT town, doc_id, pos, line, row_number() OVER (PARTITION BY town ORDER BY doc_id, pos) AS rank FROM t JOIN l ON contains(lower(line), town) AND regexp_matches(' ' || lower(line) || ' ', '[^\p{L}]' || town || '[^\p{L}]'))
+h AS (SELECT town, doc_id, pos, line, row_number() OVER (PARTITION BY town ORDER BY doc_id, pos) AS rank FROM t JOIN l ON contains(' ' || regexp_replace(lower(line), '[^\p{L}]', ' ', 'g') || ' ', ' ' || town || ' '))
 SELECT town, rank, doc_id, left(line, 100) AS snippet FROM h WHERE rank <= 20""")
 def town_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Lines that name a town as a whole word."""

@@ -163,7 +163,7 @@ def doc_hint_extraction(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""WITH t(term, ord) AS (VALUES ('trash', 1), ('worthless', 2), ('loser', 3), ('clown', 4), ('scum', 5)),
 h AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY length(term) DESC, ord) AS r FROM documents, t
-      WHERE contains(lower(text), term) AND regexp_matches(' ' || lower(text) || ' ', '[^\p{L}\p{N}]' || term || '[^\p{L}\p{N}]'))
+      WHERE contains(' ' || regexp_replace(lower(text), '[^\p{L}\p{N}]', ' ', 'g') || ' ', ' ' || term || ' '))
 SELECT doc_id, term FROM h WHERE r = 1""")
 def term_trap_longest_first(spark: SparkSession, d: str) -> DataFrame:
     """The longest dictionary term that occurs as a whole word, if any."""

@@ -167,3 +167,19 @@ def test_everything_is_registered():
 
     names = set(e.queries())
     assert set(e.oracle_sql()) <= names and set(plans.QUERIES) <= names
+
+
+def test_sinks_and_columns(spark, tmp_path):
+    from ferrule.sources import sinks
+
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, None)], "id long, body string")
+    sinks.write_index(docs, str(tmp_path / "index"), "id", "body")
+    assert sorted(map(tuple, sinks.read_postings(spark, str(tmp_path / "index"), ["a", "c"]).collect())) == [("a", 1, 2), ("c", 2, 1)]
+    sinks.write_csv(docs, str(tmp_path / "csv"), ["body", "no", "id"])
+    assert sorted(tuple(r) for r in spark.read.csv(str(tmp_path / "csv"), header=True).where("body is not null").collect()) == [("a b a", None, "1"), ("b c", None, "2")]
+    sinks.write_text(spark.createDataFrame([(1, 2, "y"), (1, 1, "x")], "g int, o int, l string"), str(tmp_path / "text"), "g", "o", "l")
+    assert [r.value for r in spark.read.text(str(tmp_path / "text")).collect()] == ["x", "y"]
+    sinks.write_json(docs, str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 3
+    page = "left one      right one\nleft two      right two"
+    assert X.linear_of(page) == "left one\nleft two\nright one\nright two" and X.gutter_of(["abc def"]) is None
