@@ -183,3 +183,24 @@ def test_sinks_and_columns(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).count() == 3
     page = "left one      right one\nleft two      right two"
     assert X.linear_of(page) == "left one\nleft two\nright one\nright two" and X.gutter_of(["abc def"]) is None
+
+
+def test_section_geometry(spark):
+    import numpy as np
+
+    from ferrule.operators import geometry
+
+    channel = [(50.0, 0.0), (0.0, 0.0), (0.0, 120.0), (40.0, 120.0), (40.0, 105.0)]
+    df = spark.createDataFrame([([dict(zip("xy", p, strict=True)) for p in channel], 2.0), ([], 2.0)], "p array<struct<x:double,y:double>>, t double")
+    got = [r[0] for r in df.select(geometry.properties(F.col("p"), F.col("t"))).collect()]
+    fine = []
+    for (x1, y1), (x2, y2) in zip(channel, channel[1:], strict=False):
+        n, length = 4000, math.hypot(x2 - x1, y2 - y1)
+        u = (np.arange(n) + 0.5) / n
+        fine.append(np.stack([x1 + u * (x2 - x1), y1 + u * (y2 - y1), np.full(n, 2.0 * length / n)]))
+    x, y, a = np.concatenate(fine, axis=1)
+    cx, cy = (x * a).sum() / a.sum(), (y * a).sum() / a.sum()
+    ixx, iyy, ixy = ((y - cy) ** 2 * a).sum(), ((x - cx) ** 2 * a).sum(), ((x - cx) * (y - cy) * a).sum()
+    low, high = np.linalg.eigvalsh([[ixx, -ixy], [-ixy, iyy]])
+    assert [got[0].area, got[0].x, got[0].y, got[0].ixx, got[0].iyy, got[0].ixy, got[0].i1, got[0].i2] == pytest.approx([a.sum(), cx, cy, ixx, iyy, ixy, high, low], rel=1e-4)
+    assert got[1] is None
