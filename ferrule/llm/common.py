@@ -41,15 +41,20 @@ def bitmap(values: DataFrame, col: str, bits: int = 1 << 20) -> Column:
     ``bits`` bounds what is sent (128 KB by default) whatever the number of values; where they crowd it, it lets more
     pass and the join still decides.
     """
-    hashes = values.select(F.pmod(F.xxhash64(col), F.lit(bits)).alias("h"))
+    hashes = values.select(F.pmod(F.xxhash64(F.col(col).cast("string")), F.lit(bits)).alias("h"))
     set_ = hashes.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b"))
     dense = values.sparkSession.range(bits // 64).join(set_, F.col("id") == F.col("w"), "left").select("id", F.coalesce("b", F.lit(0)).alias("b"))
     return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "b"))), lambda x: x["b"]).alias("m")).scalar()
 
 
+def bits_for(n: int) -> int:
+    """Bits for a bitmap of ``n`` values: sixteen a value, 8 MB at most."""
+    return min(1 << 26, max(1 << 14, 1 << (16 * max(n, 1) - 1).bit_length()))
+
+
 def may_hold(held: Column, col: str, bits: int = 1 << 20) -> Column:
     """Whether ``bitmap`` may hold the value of ``col``: false is certain."""
-    h = F.pmod(F.xxhash64(col), F.lit(bits))
+    h = F.pmod(F.xxhash64(F.col(col).cast("string")), F.lit(bits))
     return F.getbit(F.get(held, F.shiftright(h, 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 

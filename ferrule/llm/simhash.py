@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import components, kept, table
+from ferrule.llm.common import bitmap, bits_for, components, kept, may_hold, table
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: Fingerprints under one root node before it is factored once more.
@@ -203,9 +203,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Of rows that repeat an id one stays; rows with a null id cannot be named by a group and all stay.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    stay = kept(found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).cast("long").alias("stays")).agg(F.count("*").alias("times")))
-    named = lambda some: docs.join(some.select("stays"), docs[id_col] == F.col("stays"), "left_semi")
-    out = named(stay.where("times = 1")).unionByName(docs.where(F.col(id_col).isNull()))
-    repeated = stay.where("times > 1")
-    return out if repeated.isEmpty() else out.unionByName(named(repeated).dropDuplicates([id_col]))
+    found = near_duplicates(docs, id_col, text_col).where(F.col(id_col).isNotNull())
+    special = found.groupBy(F.col(id_col).alias("__id")).agg(F.bool_and(F.col(id_col) == F.col("component_id")).alias("__stays"), F.count("*").alias("__times"))
+    special = kept(special.where("not __stays or __times > 1"))
+    n = special.count()
+    # Texts that are certain to stay pass as they are; only the others meet the list of what goes.
+    may = may_hold(bitmap(special, "__id", bits_for(n)), id_col, bits_for(n)) & F.col(id_col).isNotNull()
+    rows = docs.where(may).join(special, F.col(id_col) == F.col("__id"), "left")
+    out = docs.where(~may).unionByName(rows.where("__id is null").select(docs.columns))
+    if special.where("__stays").isEmpty():
+        return out
+    return out.unionByName(rows.where("__stays").select(docs.columns).dropDuplicates([id_col]))
