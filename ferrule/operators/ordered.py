@@ -15,6 +15,47 @@ def best_occurrence(df: DataFrame, by: list[str], order: list[Column]) -> DataFr
     return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
+def ranks(df: DataFrame, by: list[str], value: str, ties: list[str], out: str) -> DataFrame:
+    """``out``: the place of each row of its group, from 1, by ``value`` (nulls last) and then ``ties``.
+
+    A group of any size is dealt to ranges between its approximate quantiles; a row's rank is the number of rows in
+    earlier ranges and its place in its own, so no task sorts a whole group. Which quantiles were drawn does not show.
+    """
+    n = min(1000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = df.withColumn("__g", F.struct(*by) if by else F.lit(0))
+    cuts = keyed.groupBy("__g").agg(F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(1000)).alias("__cuts")) if n > 1 else keyed.select("__g", F.array().cast("array<double>").alias("__cuts")).distinct()
+    place = F.when(F.col(value).isNull(), n).otherwise(F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: c < F.col(value))))
+    dealt = keyed.join(cuts.withColumnRenamed("__g", "__h"), F.col("__g").eqNullSafe(F.col("__h"))).drop("__h").withColumn("__b", place)
+    sizes = dealt.groupBy(F.col("__g").alias("__h"), F.col("__b").alias("__c")).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("__h").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__h", "__c", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    inside = F.row_number().over(Window.partitionBy("__g", "__b").orderBy(F.col(value).asc_nulls_last(), *ties))
+    placed = dealt.join(offsets, F.col("__g").eqNullSafe(F.col("__h")) & (F.col("__b") == F.col("__c")))
+    return placed.withColumn(out, F.col("__o") + inside).select(*df.columns, out)
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles with linear interpolation by group, ``{name: share}``; read off the ranks, so the memory a task needs
+    does not grow with a group."""
+    r = ranks(df.where(F.col(value).isNotNull()).select(*by, value), by, value, [], "__r")
+    n = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("__n"))
+    rows = r.join(n.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], "__n"), _same(by)) if by else r.crossJoin(F.broadcast(n))
+    at = {k: (F.col("__n") - 1) * q + 1 for k, q in shares.items()}
+    near = F.lit(False)
+    for a in at.values():
+        near = near | (F.col("__r") == F.floor(a)) | (F.col("__r") == F.floor(a) + 1)
+    pick = lambda a, d: F.max(F.when(F.col("__r") == F.floor(a) + d, F.col(value)))
+    part = lambda a: F.max(a - F.floor(a))
+    return rows.where(near).groupBy(*by).agg(*[(pick(a, 0) + F.coalesce(pick(a, 1) - pick(a, 0), F.lit(0.0)) * part(a)).alias(k) for k, a in at.items()])
+
+
+def _same(by: list[str]) -> Column:
+    out = F.lit(True)
+    for i, c in enumerate(by):
+        out = out & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    return out
+
+
 def neighbours(df: DataFrame, by: list[str], order: list[str], value: str, n: int) -> DataFrame:
     """``before`` and ``after``: arrays of up to ``n`` values of the rows around each row."""
     w = Window.partitionBy(*by).orderBy(*order)

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrule.operators.ordered import ranks
+
 #: Functions that an expression may call.
 FUNCTIONS: dict[str, Callable[..., Column]] = {
     "min": lambda *x: F.least(*x), "max": lambda *x: F.greatest(*x), "abs": F.abs, "exp": F.exp,
@@ -95,8 +97,8 @@ def with_extremes(df: DataFrame, metrics: list[str], eligible: Column) -> DataFr
 
 def ranked(df: DataFrame, score: str, position: str) -> DataFrame:
     """``rank`` from 1 for rows with a score, ties by position."""
-    r = F.row_number().over(Window.orderBy(F.col(score).desc_nulls_last(), position))
-    return df.withColumn("rank", F.when(F.col(score).isNotNull(), r).cast("long"))
+    r = ranks(df.withColumn("__less", -F.col(score)), [], "__less", [position], "rank").drop("__less")
+    return r.withColumn("rank", F.when(F.col(score).isNotNull(), F.col("rank")).cast("long"))
 
 
 def round_robin(df: DataFrame, by: str, order: list[Column], n: int) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ferrule.operators.ordered import quantiles, ranks
+
 #: Fixed value: below this share of the mean a spread counts as none.
 INVARIANT = 1e-7
 
@@ -18,15 +20,15 @@ def describe(df: DataFrame, by: list[str], x: str, limit: float) -> DataFrame:
     over ``limit`` and whether the values do not vary, by group; nulls and NaN are left out."""
     v = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).select(*by, F.col(x).cast("double").alias("x"))
     basic = v.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("s"), F.stddev_pop("x").alias("sp"), F.median("x").alias("median"),
-        F.min("x").alias("min"), F.max("x").alias("max"), F.expr("percentile(x, 0.05)").alias("p5"), F.expr("percentile(x, 0.95)").alias("p95"),
+        F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("s"), F.stddev_pop("x").alias("sp"), F.min("x").alias("min"), F.max("x").alias("max"),
         F.avg((F.col("x") > limit).cast("double")).alias("p_over"),
     )
     third = v.join(basic.select(*by, "mean"), by).groupBy(*by).agg(F.avg(F.pow(F.col("x") - F.col("mean"), 3)).alias("m3"))
     still = F.coalesce(F.col("sp") <= INVARIANT * F.abs("mean"), F.lit(True))
     std = F.when(still, F.lit(0.0)).otherwise(F.col("s"))
     skew = F.when((F.col("n") <= 2) | (std == 0), F.lit(0.0)).otherwise(F.col("m3") / F.pow(std, 3))
-    return basic.join(third, by).select(*by, "n", "mean", std.alias("std"), F.when(F.col("mean") != 0, std / F.abs("mean")).alias("cov"), "median", "min", "max", "p5", "p95", skew.alias("skewness"), "p_over", still.alias("invariant"))
+    marks = quantiles(v, by, "x", {"median": 0.5, "p5": 0.05, "p95": 0.95})
+    return basic.join(third, by).join(marks, by).select(*by, "n", "mean", std.alias("std"), F.when(F.col("mean") != 0, std / F.abs("mean")).alias("cov"), "median", "min", "max", "p5", "p95", skew.alias("skewness"), "p_over", still.alias("invariant"))
 
 
 def lognormal_fit(df: DataFrame, by: list[str], x: str) -> DataFrame:
@@ -43,9 +45,7 @@ def normal_cdf(z: pd.Series) -> pd.Series:
 
 def ks(df: DataFrame, by: list[str], x: str, cdf: Column) -> DataFrame:
     """Kolmogorov-Smirnov distance of ``x`` from ``cdf`` and its asymptotic p by group; null under three values."""
-    n = F.count("*").over(Window.partitionBy(*by))
-    i = F.row_number().over(Window.partitionBy(*by).orderBy(x))
-    rows = df.withColumns({"__n": n, "__i": i, "__f": cdf})
+    rows = ranks(df, by, x, [], "__i").withColumn("__f", cdf).join(df.groupBy(*by).agg(F.count("*").alias("__n")), by)
     d = F.max(F.greatest(F.col("__i") / F.col("__n") - F.col("__f"), F.col("__f") - (F.col("__i") - 1) / F.col("__n")))
     got = rows.groupBy(*by).agg(F.count("*").alias("n"), d.alias("d"))
     lam = (F.sqrt("n") + 0.12 + 0.11 / F.sqrt("n")) * F.col("d")
@@ -58,7 +58,7 @@ def ks(df: DataFrame, by: list[str], x: str, cdf: Column) -> DataFrame:
 def histogram(df: DataFrame, by: list[str], x: str) -> DataFrame:
     """``(*by, bin, low, high, n)``, empty bins included: Freedman-Diaconis width where the quartiles differ and there
     are eight values, else the root of n; 6 to 24 bins over the range widened by 4 %."""
-    a = df.groupBy(*by).agg(F.count("*").alias("c"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.expr(f"percentile({x}, 0.75) - percentile({x}, 0.25)").alias("iqr"))
+    a = df.groupBy(*by).agg(F.count("*").alias("c"), F.min(x).alias("lo"), F.max(x).alias("hi")).join(quantiles(df, by, x, {"q1": 0.25, "q3": 0.75}), by).withColumn("iqr", F.col("q3") - F.col("q1"))
     fd = F.ceil((F.col("hi") - F.col("lo")) / (2 * F.col("iqr") / F.pow(F.col("c").cast("double"), 1 / 3)))
     k = F.when((F.col("iqr") > 0) & (F.col("c") >= 8), fd).otherwise(F.ceil(F.sqrt("c")))
     pad = F.when(F.col("hi") > F.col("lo"), 0.04 * (F.col("hi") - F.col("lo"))).otherwise(0.1)
@@ -72,8 +72,7 @@ def histogram(df: DataFrame, by: list[str], x: str) -> DataFrame:
 
 def spearman(df: DataFrame, by: list[str], a: str, b: str, ties: list[str]) -> DataFrame:
     """Rank correlation over ordinal ranks, ties settled by ``ties``; null under four rows or where a side is constant."""
-    w = Window.partitionBy(*by)
-    rows = df.withColumns({"__a": F.row_number().over(w.orderBy(a, *ties)), "__b": F.row_number().over(w.orderBy(b, *ties))})
+    rows = ranks(ranks(df, by, a, ties, "__a"), by, b, ties, "__b")
     got = rows.groupBy(*by).agg(F.count("*").alias("n"), F.corr("__a", "__b").alias("r"), (F.min(a) < F.max(a)).alias("va"), (F.min(b) < F.max(b)).alias("vb"))
     return got.select(*by, "n", F.when((F.col("n") >= 4) & F.col("va") & F.col("vb"), F.col("r")).alias("rho"))
 

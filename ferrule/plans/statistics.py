@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferrule.operators import statistics as S
+from ferrule.operators.ordered import quantiles
 from ferrule.plans import query, table
 
 
@@ -95,8 +96,8 @@ def group_range_table(spark: SparkSession, d: str) -> DataFrame:
     """Range and exceedance of every group."""
     v = table(spark, d, "lineitem").select("l_linenumber", (F.col("l_extendedprice") / 60000).alias("dc"), (F.col("l_quantity") / 30).alias("base"))
     share = lambda c: F.avg(c.cast("double"))
-    g = v.groupBy("l_linenumber").agg(F.avg("dc").alias("mean"), F.max("dc").alias("max"), F.min("dc").alias("min"), F.expr("percentile(dc, 0.95)").alias("p95"), share(F.col("dc") > 1).alias("p_over_1"), share(F.col("dc") > F.col("base")).alias("p_over_base"), F.avg(F.col("dc") - F.col("base")).alias("mean_change"))
-    return rounded(g, ["l_linenumber"])
+    g = v.groupBy("l_linenumber").agg(F.avg("dc").alias("mean"), F.max("dc").alias("max"), F.min("dc").alias("min"), share(F.col("dc") > 1).alias("p_over_1"), share(F.col("dc") > F.col("base")).alias("p_over_base"), F.avg(F.col("dc") - F.col("base")).alias("mean_change"))
+    return rounded(g.join(quantiles(v, ["l_linenumber"], "dc", {"p95": 0.95}), "l_linenumber"), ["l_linenumber"])
 
 
 @query("""WITH v AS (SELECT l_suppkey, l_shipdate, l_returnflag AS dir, l_linenumber AS storey, l_discount * 10 AS drift FROM lineitem),
