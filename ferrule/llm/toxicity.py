@@ -75,7 +75,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     ratio = F.log((F.col("n1") + 1) / (n1 + 2)) - F.log((F.col("n0") + 1) / (n0 + 2))
     gain = F.abs(ratio) * F.abs(F.col("n1") / n1 - F.col("n0") / n0)
     counts = texts.select("y", "text").mapInArrow(count, "b long, n0 long, n1 long").groupBy("b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    best = counts.where(F.col("n0") + F.col("n1") >= LEAST).select("b", ratio.alias("r"), gain.alias("g")).orderBy(F.desc("g"), "b").limit(FEATURES).toArrow()
+    # There are 2 ** BITS buckets at most, so a few tasks hold them all, and each hands on its best.
+    best = counts.coalesce(12).where(F.col("n0") + F.col("n1") >= LEAST).select("b", ratio.alias("r"), gain.alias("g")).orderBy(F.desc("g"), "b").limit(FEATURES).toArrow()
     order = np.argsort(best.column("b").to_numpy())
     kept_buckets, r = best.column("b").to_numpy()[order], best.column("r").to_numpy()[order]
     shared = spark.sparkContext.broadcast(kept_buckets)
