@@ -62,6 +62,13 @@ def read_turn(written: str) -> tuple[str, str]:
     return unescape(role), unescape(text)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches cut to few rows, for what makes Python lists of tokens out of them."""
+    for b in batches:
+        for k in range(0, len(b), rows):
+            yield b.slice(k, rows)
+
+
 def _by_conversation(df: DataFrame, *order: str) -> DataFrame:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, "conv").sortWithinPartitions("conv", *order)
@@ -138,7 +145,7 @@ def pack(conversations: DataFrame, tokenizer_path: str, conv_col: str = "conv_id
 
         tok = Tokenizer.from_str(definition.value)
         tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        for b in batches:
+        for b in _slices(batches):
             roles = b.column("role").to_pylist()
             three = [parts(r, t) for r, t in zip(roles, b.column("text").to_pylist(), strict=True)]
             ids = [[e.ids for e in tok.encode_batch([x[i] for x in three], add_special_tokens=False)] for i in range(3)]
@@ -189,7 +196,7 @@ def read_back(segments: DataFrame, members: DataFrame, tokenizer_path: str) -> D
         def batch() -> pa.RecordBatch:
             return pa.record_batch([pa.array([r[i] for r in done], kinds[i]) for i in range(len(names))], names=names)
 
-        for b in batches:
+        for b in _slices(batches):
             for c, ids, start, end in zip(*(b.column(x).to_pylist() for x in ("conv", "ids", "loss_start", "loss_end")), strict=True):
                 if c != conv:
                     if now:
