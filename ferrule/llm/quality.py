@@ -2,11 +2,12 @@
 
 Two generative models over hashed unigrams and bigrams, one of the target text (documents labelled good) and one of the
 raw text (every document), give each document a log importance weight: the sum of log ratios over its n-grams. A pair
-of equal words is one feature, whatever the word. N-grams of a text are not independent, so the sum is tempered by the
-root of their number before it is drawn by; else the chance share of a language among the labels decides over long
-texts. Gumbel noise, fixed by id and seed, is added and the ``k`` largest keys are the sample. Unless given, ``k`` is the
-number of documents whose tempered weight does not speak against the target: it is at least ``CUT``. What falls out of
-the sample is rejected.
+of equal words is one feature, whatever the word. N-grams of a text are not independent, so the
+sum is tempered: it counts as the mean times the root of the number of n-grams, of which ``EVIDENCE`` at most count;
+else the chance share of a language among few labels decides over long texts. It is divided by ``TEMPERATURE``, Gumbel
+noise, fixed by id and seed, is added, and the ``k`` largest keys are the sample; at this temperature noise decides
+between documents near the cut and leaves the others alone. Unless given, ``k`` is the number of documents whose
+tempered weight does not speak against the target: it is at least ``CUT``. What falls out of the sample is rejected.
 
 Raw counts cover all documents: a task sums its documents into one vector of ``BUCKETS`` counts, and the vectors are
 added by bucket. The target model uses at most ``TARGET_ROWS`` labelled documents, the first by a hash of the id, a
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 
 from ferrule.llm.common import kept, table
 
-BUCKETS, TARGET_ROWS, CUT, SEED = 1 << 14, 20_000, math.log(0.05), 5
+BUCKETS, TARGET_ROWS, CUT, TEMPERATURE, EVIDENCE, SEED = 1 << 14, 20_000, math.log(0.05), 0.25, 256, 5
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff\x00-\x20\x7f]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -82,7 +83,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col:
         for b in batches:
             found = [ngrams(x) for x in b.column(1).cast(pa.binary()).to_pylist()]
             w = [float(r[x].sum()) for x in found]
-            tempered = [v / math.sqrt(max(1, len(x))) for v, x in zip(w, found, strict=True)]
+            tempered = [v / max(1, len(x)) * math.sqrt(min(len(x), EVIDENCE)) for v, x in zip(w, found, strict=True)]
             yield pa.record_batch([b.column(0), pa.array(w, pa.float64()), pa.array(tempered, pa.float64())], names=["id", "log_weight", "tempered"])
 
     shape = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("log_weight", T.DoubleType()), T.StructField("tempered", T.DoubleType())])
@@ -113,7 +114,7 @@ def kth_key(keys: DataFrame, k: int) -> float | None:
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", k: int | None = None, seed: int = SEED) -> tuple[np.ndarray, float | None, DataFrame]:
     """The log ratios, the least key of the sample (None: all rows), and ``(id, log_weight, tempered, sample_key)`` of every row."""
     ratios = log_ratios(docs, labels, id_col, text_col, label_col)
-    weighed = kept(weigh(docs, ratios, id_col, text_col).withColumn("sample_key", F.col("tempered") + gumbel(id_col, seed)))
+    weighed = kept(weigh(docs, ratios, id_col, text_col).withColumn("sample_key", F.col("tempered") / TEMPERATURE + gumbel(id_col, seed)))
     if k is None:
         k = weighed.where(F.col("tempered") >= CUT).count()
     return ratios, kth_key(weighed.select(F.col("sample_key").alias("key")), k), weighed
@@ -127,7 +128,7 @@ def keep_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """The rows of ``docs``, all columns, that the sample keeps; weighed once more in place, so no text is shuffled."""
     ratios, least, _ = resample(docs, labels, id_col, text_col, label_col)
     again = weigh(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")), ratios, "row")
-    return again.withColumn("sample_key", F.col("tempered") + gumbel(F.col("row")[id_col])).where(selected(least)).select("row.*")
+    return again.withColumn("sample_key", F.col("tempered") / TEMPERATURE + gumbel(F.col("row")[id_col])).where(selected(least)).select("row.*")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
