@@ -109,7 +109,7 @@ def test_quality_sample_is_the_k_largest_keys(spark, docs):
     assert weighed.where(quality.selected(least)).count() == 37
     for r in rows[:20]:
         u = (int(xxhash64_signed(str(r.doc_id)) % 2**64 >> 11) + 0.5) / 2**53
-        assert r.sample_key == pytest.approx(r.tempered - np.log(-np.log(u)))
+        assert r.sample_key == pytest.approx(r.tempered / quality.TEMPERATURE - np.log(-np.log(u)))
 
 
 def xxhash64_signed(text, seed=42):
