@@ -235,3 +235,19 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
     found = near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+#: All pairs, for small tables: the forest has to find what this finds.
+OP9_SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, len(embedding) AS n FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, e, n, sqrt(list_inner_product(e, e)) AS norm FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.n = b.n AND a.vec_id <> b.vec_id
+      WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= {THRESHOLD}),
+c(id, reached) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT c.id, l.b FROM c JOIN l ON c.reached = l.a),
+r AS (SELECT id, min(reached) AS root FROM c GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, r.root AS component_id, e.vec_id = r.root AS kept
+FROM embeddings e JOIN r ON r.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""

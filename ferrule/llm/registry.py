@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ferrule.llm.chat import OP3_SQL, op3_chat_format
-from ferrule.llm.decontamination import op5_decontamination
-from ferrule.llm.embedding_dedup import op9_embedding_dedup
+from ferrule.llm.decontamination import OP5_SQL, op5_decontamination
+from ferrule.llm.embedding_dedup import OP9_SQL, op9_embedding_dedup
 from ferrule.llm.licenses import op10_licenses
 from ferrule.llm.mixing import OP8_SQL, op8_mixing
 from ferrule.llm.pii import op7_pii
@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_counts, op2_quality, op3_chat_format, op4_toxicity, op5_decontamination, op6_simhash, op7_pii, op8_mixing, op9_embedding_dedup, op10_licenses)
 }
 
-SQL: dict[str, str] = {"op3_chat_format": OP3_SQL, "op8_mixing": OP8_SQL}
+SQL: dict[str, str] = {"op3_chat_format": OP3_SQL, "op5_decontamination": OP5_SQL, "op8_mixing": OP8_SQL, "op9_embedding_dedup": OP9_SQL}
