@@ -1 +1 @@
-"""ferrule.sources"""
+"""Sources with declared schemas, and sinks."""

@@ -1 +1 @@
-"""ferrule.streaming"""
+"""Structured Streaming over run events."""
