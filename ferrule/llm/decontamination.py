@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrule.llm.common import table
+from ferrule.llm.common import table, tidy
 
 WINDOW = 13
 BLOCK_BYTES = 32 << 20
@@ -133,7 +133,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     def last(shared) -> callable:
         """The last block's search and the tally in one map, so that the text is not handed on."""
         inner = search(shared)
-        return lambda batches: tally(pa.record_batch([b.column(0), b.column(2), b.column(3)], names=["id", "hit", "items"]) for b in inner(batches))
+        return tidy(lambda batches: tally(pa.record_batch([b.column(0), b.column(2), b.column(3)], names=["id", "hit", "items"]) for b in inner(batches)))
 
     blocks = [sc.broadcast(x) for x in _blocks(benchmark, item_col, item_text_col, block_bytes)]
     for shared in blocks[:-1]:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrule.llm.common import kept, table
+from ferrule.llm.common import kept, table, tidy
 
 BUCKETS, TARGET_ROWS, CUT, TEMPERATURE, EVIDENCE, SEED = 1 << 14, 20_000, math.log(0.05), 0.25, 256, 5
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff\x00-\x20\x7f]+")
@@ -53,6 +53,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     good = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("g")).agg(F.min(label_col).alias("q")).where("q > 0").orderBy(F.xxhash64("g"), "g").limit(target_rows).select("g")
     marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(good), F.col("id") == F.col("g"), "left").select(F.col("g").isNotNull().alias("good"), "text")
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, BUCKETS), np.int64)
         for b in batches:
@@ -78,6 +79,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col:
     """``(id, log_weight double, tempered double)`` of every whole text; ``id_col`` may be any column, a struct of a whole row too."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = shared.value
         for b in batches:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import bitmap, bits_for, components, kept, may_hold, table
+from ferrule.llm.common import bitmap, bits_for, components, kept, may_hold, table, tidy
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: Fingerprints under one root node before it is factored once more.
@@ -65,6 +65,7 @@ def fingerprint(raw: bytes | None) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fp long)``: the fingerprint's 64 bits as a signed long."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(x) for x in b.column(1).cast(pa.binary()).to_pylist()], np.uint64)
