@@ -5,15 +5,17 @@ written so that no text, however long or odd, makes them backtrack: a match begi
 ended, and repetitions are possessive, which leaves the leftmost greedy matches as they are. Positions are code points,
 from the lengths of what ``split`` leaves between the matches of ``regexp_extract_all``.
 
-Then the corpus tells which terms give a protected value away. For every protected value c and every term t within
-``REACH`` characters of it, n(c, t) is the number of documents where they meet, n(c) and n(t) those that hold either
-anywhere, and N all. A term discloses c by PMI(c; t) / IC(c), with PMI = log(n(c,t) N / (n(c) n(t))) and IC = log(N / n(c)): 1 if
-the term never occurs without c, 0 if they are independent. Terms that meet c in ``SUPPORT`` different texts or more and
+Then the corpus tells which terms give a protected value away. For every protected value c and every term t that is a
+whole word of a document with it, however far away, n(c, t) is the number of documents that hold both, n(c) and n(t) those
+that hold either, and N all. Words that lie in or touch an address are parts of it and no terms beside it. A term discloses
+c by PMI(c; t) / IC(c), with PMI = log(n(c,t) N / (n(c) n(t))) and IC = log(N / n(c)): 1 if the term never occurs without c,
+0 if they are independent. Terms that meet c in ``SUPPORT`` different texts or more and
 reach ``DISCLOSURE`` are spans of kind ``term`` wherever they occur in the corpus. In the sanitised text those that disclose a
 value wholly are removed and the others generalised to a placeholder.
 
-All counts are over all documents. Equal texts are recognised by their SHA-256, which also carries spans back to every
-row that has the text. The words of all texts pass a bitmap of the candidate terms, of fixed size, and are counted by a
+All counts are over all documents, and pre-aggregated. A value that fewer than ``SUPPORT`` texts hold has no pairs to count, so
+only the words of texts with other values are paired. Equal texts are recognised by their SHA-256, which also carries spans
+back to every row that has the text. The words of all texts pass a bitmap of the candidate terms, of fixed size, and are counted by a
 pre-aggregated sum, so neither words nor texts are shuffled; only texts that hold a disclosing term are.
 
 Defined results: a null text counts as empty and has no spans; repeated rows give repeated rows; ids are never read, so
@@ -37,7 +39,9 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-WORD, REACH, SUPPORT, DISCLOSURE, FOLD = r"\p{L}{4,}+", 80, 2, 0.8, 256
+WORD, SUPPORT, DISCLOSURE, FOLD = r"\p{L}{4,}+", 2, 0.8, 256
+#: An address by its first and last character, and what is left of it where words are sought: a mark that no word may touch.
+ENDS, MARK = PATTERNS["email"].replace("))[A", "))(?=(.))[A", 1) + "(?<=(.))", "\uffff"
 SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
@@ -103,23 +107,21 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``base`` and ``terms`` are arrays of spans (kind, start, end, value); for terms, ``value`` is ``removed`` or ``generalised``.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    near = lambda s: F.concat(F.substring("text", F.greatest(F.lit(1), s["start"] + 1 - REACH), F.least(s["start"], F.lit(REACH))), F.lit("\n"), F.substring("text", s["end"] + 1, F.lit(REACH)))
     source = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("digest", F.sha2("text", 256))
-    found = source.withColumn("base", base_spans(F.col("text")))
-    # Words cut off at the edge of the reach are left out: a letter must not touch it.
-    around = lambda s: F.array_distinct(F.regexp_extract_all(F.lower(near(s)), F.lit(rf"(?<![\p{{L}}@])(?<!^){WORD}(?![\p{{L}}@])(?!$)"), F.lit(0)))
-    found = kept(found.select("id", "digest", "base", F.transform("base", around).alias("around")))
+    found = kept(source.select("id", "digest", base_spans(F.col("text")).alias("base")))
 
     total = float(max(found.count(), 1))
-    met = found.where(F.size("base") > 0).select("digest", F.explode(F.arrays_zip("base", "around")).alias("m"))
-    met = met.select("digest", F.concat_ws(":", "m.base.kind", F.lower("m.base.value")).alias("c"), F.col("m.around").alias("around"))
-    # A row has a value once, however often it repeats; its digest tells how many different texts support a pair.
-    values = found.where(F.size("base") > 0).select(F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))).alias("c"))
-    copies = found.where(F.size("base") > 0).groupBy("digest").agg(F.count("*").alias("copies"))
-    n_c = values.groupBy("c").agg(F.count("*").alias("n_c"))
-    pairs = met.select("digest", "c", F.explode("around").alias("t")).distinct().join(copies, "digest")
-    pairs = pairs.groupBy("c", "t").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_ct")).where(F.col("texts") >= support)
-    pairs = kept(pairs.join(n_c, "c"))
+    # A row has a value once, however often it repeats; equal texts count together, so a pair's texts are different ones.
+    values = found.where(F.size("base") > 0).select("digest", F.explode(F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))).alias("c"))
+    values = kept(values.groupBy("digest", "c").agg(F.count("*").alias("copies")))
+    n_c = values.groupBy("c").agg(F.sum("copies").alias("n_c"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts")
+    shared = kept(values.join(n_c, "c"))
+    # Only addresses hold letters, so that the words beside the values are those beside addresses.
+    apart = F.lower(F.regexp_replace(F.translate("text", MARK, "\n"), F.lit(ENDS), F.lit(f"$1{MARK}$2")))
+    beside = F.array_distinct(F.regexp_extract_all(apart, F.lit(rf"(?<![\p{{L}}{MARK}]){WORD}(?!{MARK})"), F.lit(0)))
+    beside = source.where(may_hold(bitmap(shared, "digest"), "digest")).select("digest", beside.alias("beside")).dropDuplicates(["digest"])
+    pairs = shared.join(beside, "digest").select("c", "n_c", "copies", F.explode("beside").alias("t"))
+    pairs = kept(pairs.groupBy("c", "n_c", "t").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_ct")).where(F.col("texts") >= support))
     candidates = kept(pairs.select("t").distinct())
     words = source.select("digest", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("t"))
     n_t = words.where(may_hold(bitmap(candidates, "t"), "t")).groupBy("t").agg(F.count("*").alias("n_t"))

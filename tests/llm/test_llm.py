@@ -353,6 +353,17 @@ def test_disclosing_terms(spark):
     assert all(clean[i] == text[i] for i in range(4, 60))
 
 
+def test_terms_count_wherever_they_stand(spark):
+    """At the edges of a text and far from the value, in every document that holds both."""
+    far = " lorem ipsum dolor" * 60
+    near = [f"Quillfeather a@b.org {i}" for i in range(3)] + [f"mail c@d.org {i} Marchbanks" for i in range(3)]
+    rows = near + [f"e@f.org{far} {i}{far} Oldacre lorem" for i in range(3)] + [f"g@h.org Tidewater {i}" if i < 2 else f"g@h.org{far} {i} Tidewater" for i in range(6)]
+    rows += [f"ééééjo@k.org {i} jo@k.orgéééé café.jo@k.org" for i in range(3)] + [f"lorem ipsum dolor mail {i}" for i in range(200)]
+    clean = [r.text for r in pii.sanitise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()]
+    assert not [t for t in clean if re.search("quillfeather|marchbanks|oldacre|tidewater|café", t, re.I)]
+    assert sum("éééé" in t for t in clean) == 3 and all("lorem" in t for t in clean if "ipsum dolor" in t)
+
+
 def test_personal_data_on_odd_input(spark, odd, none):
     clean = pii.sanitise(odd)
     assert clean.columns == odd.columns
