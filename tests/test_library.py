@@ -154,6 +154,13 @@ def test_stream_equals_batch(spark):
     assert sorted(map(str, replay(spark, batch).collect())) == sorted(map(str, batch.collect()))
 
 
+def test_stream_keeps_events_of_any_age(spark):
+    from ferrule.streaming.events import replay
+
+    batch = spark.range(1, 201).select(F.col("id").alias("event_id"), F.expr("timestamp_ntz '2024-01-01' + make_dt_interval(cast(id * 37 % 400 as int))").alias("ts"), F.lit("log").alias("event_type"), F.lit(1.0).alias("value")).repartition(20)
+    assert sorted(map(str, replay(spark, batch).collect())) == sorted(map(str, batch.collect()))
+
+
 def test_sampling_and_outcomes(spark):
     a = sorted(map(tuple, sampling.realisations(spark, 30, ["s1", "s2"], 2, seed=4).collect()))
     assert a == sorted(map(tuple, sampling.realisations(spark, 30, ["s1", "s2"], 2, seed=4, block=7).collect()))
