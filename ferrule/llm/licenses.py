@@ -3,9 +3,11 @@ r"""Operator 10, license scans: winnowed fingerprints of templates pick candidat
 Templates and texts are cut into lower-cased words. Hashes of every ``K`` words are winnowed: of each ``W`` in a row the
 least is kept, so any shared run of ``K + W - 1`` words shares a kept hash. The templates' kept hashes form an inverted
 index from hash to (template, place), broadcast in blocks of templates of bounded size. A text's
-kept hashes that are in the index are seeds; seeds of one template on nearby diagonals form a candidate, and an alignment
-within ``BAND`` words of the diagonal finds how many template words the text matches, and where. Matches that cover
-``COVER`` of a template or more are reported; of overlapping ones the one that matches most words stays.
+kept hashes that are in the index are seeds. Every diagonal with a seed is aligned: within ``BAND`` words of it, how many
+template words the text matches, and where, as tight as can be; then again in what is left of the text on both sides, until no
+match covers enough. Only diagonals beside which the text has too few of the template's words to cover it are passed over.
+Matches that cover ``COVER`` of a template or more are reported; of overlapping ones the one that matches most words stays, or
+covers more of its template if they match as many. Templates named ``-head`` are the first part of a notice, for texts that stop there.
 
 Texts are scanned whole, in one Arrow map without a shuffle; only texts with seeds are aligned, and an alignment's cost
 is bounded by the template's length times the band.
@@ -19,6 +21,7 @@ table, or one without matches, gives no rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 from zlib import crc32
@@ -36,6 +39,25 @@ K, W, BAND, COVER, BLOCK = 3, 2, 6, 0.8, 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: A word as ``words_of`` cuts it, in code points.
 POINTS = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
+WARRANTY = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+    LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT
+    HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED
+    TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+    LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+    SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def gnu(short: str, name: str, version: str, what: str = "program") -> dict[str, str]:
+    """The notice of a GNU license up to its warranty, and whole with each of its two endings."""
+    head = f"""This {what} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software
+        Foundation, either version {version} of the License, or (at your option) any later version. This {what} is distributed in the hope that it
+        will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the
+        {name} for more details."""
+    whole = f"{head} You should have received a copy of the {name} along with this {what}"
+    post = "if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+    return {f"{short}-head": head, f"{short}-notice": f"{whole}. If not, see https://www.gnu.org/licenses/.", f"{short}-post": f"{whole}; {post}"}
+
+
 #: Public license notices and texts.
 TEMPLATES = {
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
@@ -43,7 +65,7 @@ TEMPLATES = {
         with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or
         agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY
         KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
-    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+    "BSD-head": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
         conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
         disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
         in the documentation and/or other materials provided with the distribution.""",
@@ -51,19 +73,32 @@ TEMPLATES = {
     "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0-line": "Licensed under CC BY-SA 4.0.",
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
-        published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
-        distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS
-        FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
-    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that
+    "ISC-head": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that
         the above copyright notice and this permission notice appear in all copies.""",
-    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the
+    "MIT-head": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the
         "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
         distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
         following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
         Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
         MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
     "MIT-line": "Released under the MIT License.",
+    **gnu("AGPL-3.0", "GNU Affero General Public License", "3"),
+    **gnu("GPL-2.0", "GNU General Public License", "2"),
+    **gnu("GPL-3.0", "GNU General Public License", "3"),
+    **gnu("LGPL-2.1", "GNU Lesser General Public License", "2.1", "library"),
+    **gnu("LGPL-3.0", "GNU Lesser General Public License", "3"),
+}
+TEMPLATES |= {
+    "BSD-2-Clause": f"{TEMPLATES['BSD-head']} {WARRANTY}",
+    "BSD-3-Clause": f"""{TEMPLATES['BSD-head']} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+        promote products derived from this software without specific prior written permission. {WARRANTY}""",
+    "ISC": f"""{TEMPLATES['ISC-head']} THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING
+        ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+        CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+        OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "MIT": f"""{TEMPLATES['MIT-head']} IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN
+        AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+        SOFTWARE.""",
 }
 
 
@@ -106,43 +141,55 @@ class Index:
         if not len(self.hashes) or not len(h):
             return []
         k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        seeds = [(t, p - q, p) for p, x in zip(at[self.hashes[k] == h].tolist(), h[self.hashes[k] == h].tolist(), strict=True) for t, q in self.places[x]]
-        found = []
-        # By template and place: a seed opens a new candidate if it leaves the band or the template's reach of the last.
-        group: tuple | None = None
-        for t, diagonal, p in sorted(seeds, key=lambda s: (s[0], s[1] // (2 * BAND), s[2])):
-            lane = (t, diagonal // (2 * BAND))
-            if group and group[0] == lane and p <= group[2] + len(self.words[t]):
-                continue
-            group = (lane, diagonal, p)
-            found.append(self._align(t, diagonal, words))
-        found = sorted({x for x in found if x and x[1] >= COVER}, key=lambda x: (-round(x[1] * len(self.words[self.names.index(x[0])])), x[0], x[2]))
+        diagonals: dict[int, set[int]] = defaultdict(set)
+        for p, x in zip(at[self.hashes[k] == h].tolist(), h[self.hashes[k] == h].tolist(), strict=True):
+            for t, q in self.places[x]:
+                diagonals[t].add(p - q)
+        found = set()
+        for t, own in diagonals.items():
+            size, known = len(self.words[t]), set(self.words[t])
+            # No part of a text matches more words than it has of the template's.
+            held = np.concatenate([[0], np.cumsum(np.fromiter((w in known for w in words), np.int64, len(words)))]).tolist()
+            for d in own:
+                parts = [(max(0, d - BAND), min(len(words), d + size + BAND))]
+                while parts:
+                    low, high = parts.pop()
+                    if high <= low or (held[high] - held[low]) / size < COVER:
+                        continue
+                    n, first, last = self._align(t, d, words, low, high)
+                    if n / size >= COVER:
+                        found.add((-n, size, self.names[t], last - first, first))
+                        parts += [(low, first), (last + 1, high)]
+        starts: list[tuple[int, int]] = []
         out: list[tuple[str, float, int, int]] = []
-        for x in found:
-            if all(x[3] <= y[2] or x[2] >= y[3] for y in out):
-                out.append(x)
+        for n, size, name, long, first in sorted(found):
+            k = bisect_left(starts, (first, 0))
+            if (k == 0 or starts[k - 1][1] < first) and (k == len(starts) or starts[k][0] > first + long):
+                insort(starts, (first, first + long))
+                out.append((name, -n / size, first, first + long + 1))
         return sorted(out, key=lambda x: x[2])
 
-    def _align(self, t: int, diagonal: int, words: list[bytes]) -> tuple[str, float, int, int] | None:
-        """Longest common subsequence of a template and a text within the band around ``diagonal``, and its span."""
+    def _align(self, t: int, diagonal: int, words: list[bytes], low: int, high: int) -> tuple[int, int, int]:
+        """Longest common subsequence of a template and ``words[low:high]`` within the band around ``diagonal``: its words, its
+        first and its last; the tightest, then the earliest, if several are as long."""
         template, wide = self.words[t], 2 * BAND + 1
-        low = diagonal - BAND
-        # Per cell of a row: words matched, and where the match begins and ends; a cell is the text before word low + i + c.
-        row = [(0, -1, -1)] * wide
+        # Per cell of a row: words matched, where the match begins and, negated, ends; a cell is the text before word diagonal - BAND + i + c.
+        row = [(0, -1, 1)] * wide
         for i, word in enumerate(template):
             new: list[tuple[int, int, int]] = []
             for c in range(wide):
-                p = low + i + c
-                n, first, last = row[c]
-                best = (n + 1, p if first < 0 else first, p) if 0 <= p < len(words) and words[p] == word else (n, first, last)
-                if c + 1 < wide and row[c + 1][0] > best[0]:
+                p = diagonal - BAND + i + c
+                n, first, _ = best = row[c]
+                if low <= p < high and words[p] == word:
+                    best = (n + 1, first if n else p, -p)
+                if c + 1 < wide and row[c + 1] > best:
                     best = row[c + 1]
-                if new and new[-1][0] > best[0]:
+                if new and new[-1] > best:
                     best = new[-1]
                 new.append(best)
             row = new
-        n, first, last = max(row)
-        return (self.names[t], n / len(template), first, last + 1) if n else None
+        n, first, last = max(row, key=lambda x: (x[0], x[1] + x[2], -x[1]))
+        return n, first, -last
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -446,6 +446,21 @@ def test_licenses(spark, docs, odd, none):
     assert licenses.scan_licenses(odd).count() == licenses.scan_licenses(none).count() == 0
 
 
+def test_licenses_all_and_whole():
+    index = licenses.Index(licenses.TEMPLATES)
+    find = lambda t: [(n, s, e) for n, _, s, e in index.find(licenses.words_of(t.encode()))]
+    line, mit = licenses.TEMPLATES["MIT-line"], licenses.TEMPLATES["MIT"]
+    assert find(" ".join([line] * 9)) == [("MIT-line", 5 * i, 5 * i + 5) for i in range(9)]
+    n = len(licenses.words_of(mit.encode()))
+    for gap in range(5, 16):  # a quote of the first words shortly before the whole
+        quote = " ".join(mit.split()[:5]) + " x" * (gap - 5)
+        assert find(f"{quote} {mit}") == [("MIT", gap, gap + n)]
+    for name, text in licenses.TEMPLATES.items():
+        size = len(licenses.words_of(text.encode()))
+        assert find(f"a b c {text} d e f {text}") == [(name, 3, 3 + size), (name, 6 + size, 6 + 2 * size)], name
+    assert {"BSD-3-Clause", "LGPL-2.1-notice", "AGPL-3.0-notice", "GPL-2.0-notice"} <= set(licenses.TEMPLATES)
+
+
 # the pipeline
 
 
