@@ -18,6 +18,42 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
+#: Joins and splits of formula symbols before full-text indexing, in order.
+FTS_RULES = [
+    (re.compile(p), put)
+    for p, put in (
+        (r"\b([kK])\s+([1-4])\b", r"\1\2"),
+        (r"\bK\s+([dacDAC])\b", r"K\1"),
+        (r"\bV\s+([zbBZ])\b", r"V\1"),
+        (r"\bp\s+([dz])\b", r"p\1"),
+        (r"\bC\s+(pe|pi|f|p|t)\b", r"C\1"),
+        (r"γ\s*m\s*([01])\b", r"γm\1"),
+        (r"γ\s+f\b", "γf"),
+        (r"\bA\s+h\b", "Ah"),
+        (r"\bT\s+a\b", "Ta"),
+        (r"\bS\s*a\s*/\s*g\b", "Sa/g"),
+        (r"\b(E|Fe)\s+(165|250|275|300|330|350|410|450|550|600|650)\b", r"\1\2"),
+        (r"\bf\s+([ycu])\b", r"f\1"),
+        (r"\bM\s+([dp])\b", r"M\1"),
+        (r"(\d(?:\.\d+)?)([a-z]{1,2})(\d+\.\d+)", r"\1 \2 \3"),
+        (r"(?<![A-Za-z0-9])([a-z])(\d+\.\d+)\b", r"\1 \2"),
+    )
+]
+
+
+def fts_normal_of(text: str | None) -> str:
+    s = unicodedata.normalize("NFKC", text or "")
+    for pattern, put in FTS_RULES:
+        s = pattern.sub(put, s)
+    return s
+
+
+@F.pandas_udf(T.StringType())
+def fts_normal(s: pd.Series) -> pd.Series:
+    """Text as it is indexed: NFKC and ``FTS_RULES``; a null is empty. In Python, whose word limits are not Java's."""
+    return s.map(fts_normal_of)
+
+
 @F.pandas_udf(T.StringType())
 def casefold(s: pd.Series) -> pd.Series:
     return s.map(str.casefold, na_action="ignore")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ferrule.functions import text as X
 from ferrule.operators.retrieval import prefer
 from ferrule.plans import query, table
 
@@ -15,13 +16,19 @@ def first_line(c: str = "text"):
 
 @query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(left(text, 500)), '([a-z])-\n([a-z])', '\1\2', 'g'), '([0-9]) +([.,]) *([0-9])', '\1\2\3', 'g'), '[ \t\r\n]+', ' ', 'g') AS norm FROM documents""")
 def fts_text_normalise(spark: SparkSession, d: str) -> DataFrame:
-    """Ordered join and split rules before indexing."""
+    """The first 500 characters in lower case, with words and numbers joined; a preview, for X9 see ``fts_normalise``."""
     c = F.lower(F.substring("text", 1, 500))
     for pattern, put in ((r"([a-z])-\n([a-z])", "$1$2"), (r"([0-9]) +([.,]) *([0-9])", "$1$2$3"), (r"[ \t\r\n]+", " ")):
         c = F.regexp_replace(c, pattern, put)
     return table(spark, d, "documents").select("doc_id", c.alias("norm"))
 
 
+@query()
+def fts_normalise(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts with NFKC and the ordered join and split rules before indexing."""
+    return table(spark, d, "documents").select("doc_id", X.fts_normal("text").alias("norm"))
+
+
 @query(r"""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[A-Z][a-z]+[0-9]+') || regexp_extract_all(text, '[0-9]{3,}')) AS x FROM documents)
 SELECT doc_id, array_to_string(list_sort(x), ' ') AS extra FROM t WHERE len(x) > 0""")
 def fts_extra_tokens(spark: SparkSession, d: str) -> DataFrame:

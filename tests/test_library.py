@@ -99,6 +99,15 @@ def test_text_functions(spark):
     assert r[0][0] == 0.75 and r[1][0] is None
 
 
+def test_fts_normalise(spark):
+    cases = {"k 4": "k4", "K d": "Kd", "V z": "Vz", "p d": "pd", "C pe": "Cpe", "γ m 0": "γm0", "γ f": "γf", "A h": "Ah", "T a": "Ta", "S a / g": "Sa/g", "Fe 250": "Fe250", "f y": "fy", "M p": "Mp", "0.12h0.34": "0.12 h 0.34", "h0.34": "h 0.34", "ﬁ①": "fi1", "K 5": "K 5"}
+    cases |= {"wort " * 200 + a: "wort " * 200 + b for a, b in cases.items()}
+    got = spark.createDataFrame([*cases.items(), (None, "")], "a string, b string").select(X.fts_normal("a"), "b").collect()
+    assert [r[0] for r in got] == [r[1] for r in got]
+    whole = {r.doc_id: X.fts_normal_of(r.text) for r in plans.table(spark, SF, "documents").collect()}
+    assert {r.doc_id: r.norm for r in plans.QUERIES["fts_normalise"](spark, SF).collect()} == whole
+
+
 def test_phrases_and_chunks(spark):
     df = spark.createDataFrame([(["a", "b", "a", "b"],), (["a"],), ([],)], "w array<string>")
     got = df.select(retrieval.occurrences(F.col("w"), ["a", "b"]), retrieval.chunks(F.col("w"), 3, 2)).collect()
