@@ -209,11 +209,18 @@ def manifest_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[^\n]+')) AS BIGINT) AS n_lines, regexp_replace(regexp_replace(left(text, 300), '\n{2,}', chr(10), 'g'), '(?m)^(\S+)$', '## \1', 'g') AS body FROM documents""")
 def body_markdown(spark: SparkSession, d: str) -> DataFrame:
-    """Body text with one-word lines promoted to headings."""
+    """The first 300 characters of a body with one-word lines promoted to headings; a preview, for K3 see ``body_markdown_whole``."""
     body = F.regexp_replace(F.regexp_replace(F.substring("text", 1, 300), r"\n{2,}", "\n"), r"(?m)^(\S+)$", "## $1")
     return table(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit(r"[^\n]+")).cast("long").alias("n_lines"), body.alias("body"))
 
 
+@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[^\n]+')) AS BIGINT) AS n_lines, regexp_replace(regexp_replace(text, '\n{2,}', chr(10), 'g'), '(?m)^(\S+)$', '## \1', 'g') AS body FROM documents""")
+def body_markdown_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Whole body text with one-word lines promoted to headings."""
+    body = F.regexp_replace(F.regexp_replace("text", r"\n{2,}", "\n"), r"(?md)^(\S+)$", "## $1")
+    return table(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit(r"[^\n]+")).cast("long").alias("n_lines"), body.alias("body"))
+
+
 @query(r"""SELECT doc_id, concat_ws(chr(10) || chr(10), left(nullif(trim(lang), ''), 10), nullif(regexp_extract(text, '([0-9]{4,})', 1), ''), 'src ' || source) AS eq_text FROM documents""")
 def equation_text(spark: SparkSession, d: str) -> DataFrame:
     """A record's text out of the parts it has."""

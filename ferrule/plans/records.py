@@ -196,12 +196,20 @@ def json_out_of_prose(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE n_chars < 3000),
 t AS (SELECT doc_id, '- ' || string_agg(left(line, 30), chr(10) || '- ' ORDER BY pos) AS toc, count(*) AS n FROM l WHERE length(line) BETWEEN 1 AND 80 GROUP BY 1) SELECT doc_id, toc, n FROM t""")
 def markdown_toc(spark: SparkSession, d: str) -> DataFrame:
-    """A list in markdown out of short lines."""
+    """A list in markdown out of the starts of short lines of short texts; a preview, for K12 see ``markdown_toc_whole``."""
     l = table(spark, d, "documents").where("n_chars < 3000").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).where(F.length("line").between(1, 80))  # noqa: E741
     items = F.transform(F.array_sort(F.collect_list(F.struct("p", "line"))), lambda x: F.concat(F.lit("- "), F.substring(x["line"], 1, 30)))
     return l.groupBy("doc_id").agg(F.array_join(items, "\n").alias("toc"), F.count("*").alias("n"))
 
 
+@query(r"""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS l FROM documents)
+SELECT doc_id, '- ' || array_to_string(l, chr(10) || '- ') AS toc, CAST(len(l) AS BIGINT) AS n FROM l WHERE len(l) > 0""")
+def markdown_toc_whole(spark: SparkSession, d: str) -> DataFrame:
+    """A list in markdown out of all lines of all texts."""
+    l = table(spark, d, "documents").select("doc_id", F.filter(F.split("text", "\n"), lambda x: x != "").alias("l")).where(F.size("l") > 0)  # noqa: E741
+    return l.select("doc_id", F.concat(F.lit("- "), F.array_join("l", "\n- ")).alias("toc"), F.size("l").cast("long").alias("n"))
+
+
 @query("""WITH t AS (SELECT source, lang, count(*) AS n, sum(n_chars) AS chars, string_agg(CASE WHEN n_chars > 12000 THEN CAST(doc_id AS VARCHAR) END, '; ' ORDER BY doc_id) AS problems FROM documents GROUP BY ALL)
 SELECT source || ' · ' || lang || ' · ' || n || ' documents' || CASE WHEN problems IS NOT NULL THEN ' · see ' || problems ELSE '' END AS entry, chars FROM t""")
 def index_entries(spark: SparkSession, d: str) -> DataFrame:

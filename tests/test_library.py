@@ -108,6 +108,15 @@ def test_fts_normalise(spark):
     assert {r.doc_id: r.norm for r in plans.QUERIES["fts_normalise"](spark, SF).collect()} == whole
 
 
+def test_bodies_and_lists_are_whole(spark, tmp_path):
+    text = {1: "SCOPE\n\n" + "one two " * 500 + "\nEND", 2: "a\n" * 2000 + "long line " * 20, 3: None}
+    spark.createDataFrame([(i, t, None) for i, t in text.items()], "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    body = {r.doc_id: r.body for r in plans.QUERIES["body_markdown_whole"](spark, str(tmp_path)).collect()}
+    assert body == {1: "## SCOPE\n" + "one two " * 500 + "\n## END", 2: "## a\n" * 2000 + "long line " * 20, 3: None}
+    toc = {r.doc_id: (r.toc, r.n) for r in plans.QUERIES["markdown_toc_whole"](spark, str(tmp_path)).collect()}
+    assert toc == {i: ("\n".join("- " + x for x in text[i].split("\n") if x), n) for i, n in ((1, 3), (2, 2001))}
+
+
 def test_phrases_and_chunks(spark):
     df = spark.createDataFrame([(["a", "b", "a", "b"],), (["a"],), ([],)], "w array<string>")
     got = df.select(retrieval.occurrences(F.col("w"), ["a", "b"]), retrieval.chunks(F.col("w"), 3, 2)).collect()
