@@ -171,11 +171,25 @@ def ids_in_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""SELECT doc_id, concat_ws(chr(10), CASE WHEN position('. The ' IN text) > 0 THEN substr(text, position('. The ' IN text), 120) END, CASE WHEN position('license' IN text) > 0 THEN substr(text, position('license' IN text), 60) END)[1:150] AS excerpt FROM documents""")
 def report_excerpt(spark: SparkSession, d: str) -> DataFrame:
-    """Text from each heading that is found, cut to a limit."""
+    """The starts of two headings' texts (C14); a preview, for C28 see ``report_sections``."""
     part = lambda p, n: F.when(F.instr("text", p) > 0, F.expr(f"substring(text, instr(text, '{p}'), {n})"))
     return table(spark, d, "documents").select("doc_id", F.substring(F.concat_ws("\n", part(". The ", 120), part("license", 60)), 1, 150).alias("excerpt"))
 
 
+HEADINGS = ("Design basis", "Structural system", "Lateral system", "Governing lateral load", "Plan and vertical irregularit", "Storey drift", "Wind", "NOT PERMITTED", "Table 9 Note 1", "Earthquake detailing", "Connections", "design_status")
+
+
+@query(f"""WITH h AS (SELECT unnest({list(HEADINGS)}) AS h, unnest(range({len(HEADINGS)})) AS i), d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+k AS (SELECT doc_id, string_agg(substr(text, position(h IN text), 2200), chr(10) || '---' || chr(10) ORDER BY i) AS found FROM d JOIN h ON position(h IN text) > 0 GROUP BY doc_id)
+SELECT doc_id, left(coalesce(found, text), 14000) AS excerpt FROM d LEFT JOIN k USING (doc_id)""")
+def report_sections(spark: SparkSession, d: str) -> DataFrame:
+    """2,200 characters from each of a report's headings that is found, or else its start; 14,000 in all."""
+    parts = [F.when(F.col("text").contains(h), F.substring("text", F.instr("text", h), F.lit(2200))) for h in HEADINGS]
+    found = F.nullif(F.concat_ws("\n---\n", *parts), F.lit(""))
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select("doc_id", F.substring(F.coalesce(found, "text"), 1, 14000).alias("excerpt"))
+
+
 @query(r"""SELECT p_partkey, replace(upper(p_name), ' ', '') || 'x' || p_size AS label, CASE WHEN p_size < 10 THEN ['zero', 'one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine'][p_size + 1] ELSE CAST(p_size AS VARCHAR) END AS words,
   regexp_extract(p_brand, '#(\d+)', 1) || CASE WHEN p_size % 2 = 0 THEN 'a' ELSE 'b' END AS family_id FROM part""")
 def labels_and_words(spark: SparkSession, d: str) -> DataFrame:

@@ -188,7 +188,7 @@ m AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^The ') THEN 1 ELSE 0 END) O
 SELECT doc_id, CAST(sec AS BIGINT) AS section, min(pos) AS first_line, count(*) AS n_lines,
   left(string_agg(line, chr(10) ORDER BY pos), 400) AS body FROM m WHERE sec > 0 GROUP BY doc_id, sec""")
 def section_slice(spark: SparkSession, d: str) -> DataFrame:
-    """A section runs from its heading line to the line before the next, cut to a limit."""
+    """The first 400 characters of a section; a preview, for X18 see ``section_body``."""
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
     sec = F.sum(F.col("line").startswith("The ").cast("int")).over(Window.partitionBy("doc_id").orderBy("p"))
     rows = lines.withColumn("section", sec).where("section > 0").groupBy("doc_id", "section")
@@ -196,6 +196,20 @@ def section_slice(spark: SparkSession, d: str) -> DataFrame:
     return rows.agg((F.min("p") + 1).cast("long").alias("first_line"), F.count("*").alias("n_lines"), F.substring(body, 1, 400).alias("body"))
 
 
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+m AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^The ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS sec FROM l)
+SELECT doc_id, CAST(sec AS BIGINT) AS section, min(pos) AS first_line, count(*) AS n_lines,
+  left(regexp_replace(regexp_replace(string_agg(line, chr(10) ORDER BY pos), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \t\n\f\r]+|[ \t\n\f\r]+$', '', 'g'), 12000) AS body FROM m WHERE sec > 0 GROUP BY doc_id, sec""")
+def section_body(spark: SparkSession, d: str) -> DataFrame:
+    """A section from its heading line to the line before the next, 12,000 characters at most (X18). A document is one page, so the limit of four is met."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
+    sec = F.sum(F.col("line").startswith("The ").cast("int")).over(Window.partitionBy("doc_id").orderBy("p"))
+    rows = lines.withColumn("section", sec).where("section > 0").groupBy("doc_id", "section")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "line"))), lambda x: x["line"]), "\n")
+    body = F.regexp_replace(F.regexp_replace(body, r"\n{3,}", "\n\n"), r"\A[ \t\n\f\r]+|(?<![ \t\n\f\r])[ \t\n\f\r]+\z", "")
+    return rows.agg((F.min("p") + 1).cast("long").alias("first_line"), F.count("*").alias("n_lines"), F.substring(body, 1, 12000).alias("body"))
+
+
 @query(r"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
 c AS (SELECT doc_id, l, unnest(range(0, greatest(0, CAST(ceil((len(l) - 6) / 5.0) AS BIGINT)) + 1)) AS i FROM d WHERE len(l) > 0)
 SELECT doc_id, i AS chunk, CAST(len(l[i * 5 + 1 : i * 5 + 6]) AS BIGINT) AS n_lines, sha256(array_to_string(l[i * 5 + 1 : i * 5 + 6], chr(10))) AS digest FROM c""")

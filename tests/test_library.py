@@ -117,6 +117,15 @@ def test_bodies_and_lists_are_whole(spark, tmp_path):
     assert toc == {i: ("\n".join("- " + x for x in text[i].split("\n") if x), n) for i, n in ((1, 3), (2, 2001))}
 
 
+def test_sections_and_excerpts_have_the_references_limits(spark, tmp_path):
+    text = {1: "no\nThe one\n\n\n\n" + "a b " * 2000 + "\n \nThe two " + "c" * 13000, 2: "x" * 100 + "Wind" + "w" * 3000 + "Design basis" + "d" * 3000, 3: "y" * 15000, 4: None}
+    spark.createDataFrame(list(text.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    body = {(r.doc_id, r.section): r.body for r in plans.QUERIES["section_body"](spark, str(tmp_path)).collect()}
+    assert body == {(1, 1): "The one\n\n" + "a b " * 1999 + "a b", (1, 2): ("The two " + "c" * 13000)[:12000]}
+    got = {r.doc_id: r.excerpt for r in plans.QUERIES["report_sections"](spark, str(tmp_path)).collect()}
+    assert got == {1: text[1][:14000], 2: ("Design basis" + "d" * 3000)[:2200] + "\n---\n" + ("Wind" + "w" * 3000)[:2200], 3: "y" * 14000, 4: ""}
+
+
 def test_phrases_and_chunks(spark):
     df = spark.createDataFrame([(["a", "b", "a", "b"],), (["a"],), ([],)], "w array<string>")
     got = df.select(retrieval.occurrences(F.col("w"), ["a", "b"]), retrieval.chunks(F.col("w"), 3, 2)).collect()
