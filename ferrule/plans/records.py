@@ -131,7 +131,7 @@ def heading_census(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT source, string_agg(doc_id, ',' ORDER BY doc_id) FILTER (n_chars < 60) AS headers, string_agg(doc_id, ',' ORDER BY doc_id) FILTER (n_chars > 15000) AS footers, min(doc_id) FILTER (lang = 'de') AS label FROM documents GROUP BY 1""")
 def furniture_lists(spark: SparkSession, d: str) -> DataFrame:
-    """Headers and footers of a page, and the first label."""
+    """Ids of very short and very long documents by source, and the first label; it reads no text, so it is neither W19 nor C12."""
     ids = lambda c: F.when(F.count_if(c) > 0, F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.col("doc_id")))), lambda x: x.cast("string")), ","))
     return table(spark, d, "documents").groupBy("source").agg(ids(F.col("n_chars") < 60).alias("headers"), ids(F.col("n_chars") > 15000).alias("footers"), F.min(F.when(F.col("lang") == "de", F.col("doc_id"))).alias("label"))
 
