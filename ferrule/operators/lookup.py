@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrule.functions.text import casefold, nfkc, ratio
 from ferrule.operators.retrieval import prefer
 
 
@@ -42,3 +43,24 @@ def nearest(misses: DataFrame, qid: str, asked: str, known: DataFrame, name: str
     gap = F.levenshtein(F.lower(asked), F.lower(name))
     w = Window.partitionBy(qid).orderBy(gap, name)
     return pairs.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select(qid, asked, name, "rank", gap.cast("long").alias("distance"))
+
+
+def suggest(misses: DataFrame, qid: str, asked: str, known: DataFrame, name: str, k: int = 8, cutoff: float = 0.5) -> DataFrame:
+    """Up to ``k`` of all known names by similarity for each miss, of ``cutoff`` or more, and again in lower case where none is.
+
+    Every name is compared, but for those whose length alone keeps them below the cutoff; each form asked for, once. Of
+    equally similar names the greater comes first, as with ``difflib.get_close_matches``.
+    """
+    w = Window.partitionBy("__a").orderBy(F.desc("similarity"), F.desc(name))
+    a, b = F.length("__a"), F.length(name)
+
+    def best(forms: DataFrame, names: DataFrame) -> DataFrame:
+        near = forms.crossJoin(names).where(2 * F.least(a, b) >= cutoff * (a + b)).withColumn("similarity", ratio(name, "__a")).where(F.col("similarity") >= cutoff)
+        return near.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+    names = known.select(name).where(F.col(name).isNotNull()).distinct()
+    asked_for = misses.select(qid, F.col(asked), F.col(asked).alias("__a")).where(F.col(asked).isNotNull())
+    first = asked_for.join(best(asked_for.select("__a").distinct(), names), "__a")
+    left = asked_for.join(first.select("__a").distinct(), "__a", "left_anti").withColumn("__a", casefold(nfkc("__a")))
+    again = left.join(best(left.select("__a").distinct(), names.select(F.lower(name).alias(name))), "__a")
+    return first.unionByName(again).select(qid, asked, name, "rank", "similarity")

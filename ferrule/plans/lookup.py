@@ -77,7 +77,8 @@ p AS (SELECT item_id, asked, name, levenshtein(asked, name) AS distance FROM m J
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY distance, name) AS rank FROM p)
 SELECT item_id, asked, name, rank, distance FROM r WHERE rank <= 6""")
 def lookup_misses(spark: SparkSession, d: str) -> DataFrame:
-    """What is not known, and the nearest known names (F5, L7); plain ASCII names, whose edit distance both engines count alike."""
+    """What is not known, and the nearest known names of the same two first letters (F5); plain ASCII names, whose edit distance both
+    engines count alike. For L7 see ``lookup_suggestions``."""
     first = F.lower(F.regexp_extract("text", r"^(\S+)", 1))
     known = table(spark, d, "documents").select(first.alias("name")).where(F.col("name").rlike("^[!-~]+$")).distinct()
     asked = table(spark, d, "benchmark").select("item_id", first.alias("asked"))
@@ -85,6 +86,16 @@ def lookup_misses(spark: SparkSession, d: str) -> DataFrame:
     return L.nearest(misses, "item_id", "asked", known, "name", 6, F.substring("asked", 1, 2), F.substring("name", 1, 2))
 
 
+@query()
+def lookup_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    """What is not known, and the eight most similar of all known names."""
+    first = F.regexp_extract("text", r"^(\S+)", 1)
+    known = table(spark, d, "documents").select(first.alias("name")).where("name <> ''").distinct()
+    asked = table(spark, d, "benchmark").select("item_id", first.alias("asked")).where("asked <> ''")
+    misses = asked.join(known.select(F.lower("name").alias("k")), F.lower("asked") == F.col("k"), "left_anti")
+    return L.suggest(misses, "item_id", "asked", known, "name")
+
+
 @query("""WITH h AS (SELECT p_type, p_partkey, p_size, p_brand = 'Brand#1' AS preferred, p_brand = 'Brand#2' AS superseded FROM part)
 SELECT p_type, p_partkey, superseded AS flagged, row_number() OVER (PARTITION BY p_type ORDER BY preferred DESC, p_size DESC, p_partkey) AS rank FROM h""")
 def conflict_rerank(spark: SparkSession, d: str) -> DataFrame:

@@ -126,6 +126,27 @@ def test_sections_and_excerpts_have_the_references_limits(spark, tmp_path):
     assert got == {1: text[1][:14000], 2: ("Design basis" + "d" * 3000)[:2200] + "\n---\n" + ("Wind" + "w" * 3000)[:2200], 3: "y" * 14000, 4: ""}
 
 
+def test_suggestions_against_difflib(spark, tmp_path):
+    import difflib
+    import re
+    import unicodedata
+
+    names = [f"Name{i:03d}" for i in range(40)] + ["Überzug", "Éclair", "ABCDEF", "kettle", "Straße"]
+    asked = ["Oberzug", "eclair", "abcdeg", "nettle", "Name0399", "zzzz", "strasse"]
+    spark.createDataFrame([(f"{n} text",) for n in names * 2], "text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, f"{a} text") for i, a in enumerate(asked + asked[:2] + ["KETTLE"])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for d in (str(tmp_path), SF):
+        first = lambda t: re.match(r"[^ \t\n\x0b\f\r]*", t or "")[0]
+        known = {first(r.text) for r in plans.table(spark, d, "documents").collect()} - {""}
+        lower, want = {n.lower() for n in known}, []
+        for r in plans.table(spark, d, "benchmark").collect():
+            a = first(r.text)
+            if a and a.lower() not in lower:
+                near = difflib.get_close_matches(a, known, 8, 0.5) or difflib.get_close_matches(unicodedata.normalize("NFKC", a).casefold(), [n.lower() for n in known], 8, 0.5)
+                want += [(r.item_id, a, n, i + 1) for i, n in enumerate(near)]
+        assert want and sorted(tuple(r)[:4] for r in plans.QUERIES["lookup_suggestions"](spark, d).collect()) == sorted(want)
+
+
 def test_phrases_and_chunks(spark):
     df = spark.createDataFrame([(["a", "b", "a", "b"],), (["a"],), ([],)], "w array<string>")
     got = df.select(retrieval.occurrences(F.col("w"), ["a", "b"]), retrieval.chunks(F.col("w"), 3, 2)).collect()
