@@ -217,12 +217,16 @@ def gutter_of(lines: list[str], least: int = 4) -> int | None:
 
 
 def linear_of(page: str) -> str:
-    """A page of two columns as one: the left column, then the right."""
+    """A page of two columns as one: the left column, then the right. A line that has text at the gutter crosses it, as titles and
+    wide rows do, and stays whole where it is, with the left column; a common indent of the left column goes."""
     lines = page.split("\n")
     at = gutter_of(lines)
     if at is None:
         return page
-    return "\n".join([x[:at].rstrip() for x in lines] + [x[at:].strip() for x in lines])
+    crosses = [len(x) <= at or x[max(0, at - 1) : at + 2].strip() != "" for x in lines]
+    left = [(x if c else x[:at]).rstrip() for x, c in zip(lines, crosses, strict=True)]
+    indent = min((len(x) - len(x.lstrip()) for x in left if x), default=0)
+    return "\n".join([x[indent:] for x in left] + [x[at:].strip() for x, c in zip(lines, crosses, strict=True) if not c])
 
 
 @F.pandas_udf(T.StringType())

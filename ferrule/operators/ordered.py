@@ -15,12 +15,35 @@ def best_occurrence(df: DataFrame, by: list[str], order: list[Column]) -> DataFr
     return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
+#: Rows of a group that one task may sort, or whose quantiles it may hold; larger groups are dealt to ranges.
+GROUP_ROWS = 1 << 20
+
+
+def _split(df: DataFrame, by: list[str]) -> tuple[DataFrame | None, DataFrame | None]:
+    """The rows of groups of ``GROUP_ROWS`` or fewer, and those of larger ones; None for a side that has none."""
+    large = df.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") > GROUP_ROWS).select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.lit(True).alias("__large"))
+    if large.isEmpty():
+        return df, None
+    if not by:
+        return None, df
+    return df.join(large, _same(by), "left_anti"), df.join(large, _same(by), "left_semi")
+
+
 def ranks(df: DataFrame, by: list[str], value: str, ties: list[str], out: str) -> DataFrame:
     """``out``: the place of each row of its group, from 1, by ``value`` (nulls last) and then ``ties``.
 
-    A group of any size is dealt to ranges between its approximate quantiles; a row's rank is the number of rows in
-    earlier ranges and its place in its own, so no task sorts a whole group. Which quantiles were drawn does not show.
+    Small groups are numbered by a window. A group over ``GROUP_ROWS`` is dealt to ranges between its approximate quantiles; a
+    row's rank is the number of rows in earlier ranges and its place in its own, so no task sorts a whole group. Which way was
+    taken, and which quantiles were drawn, does not show.
     """
+    small, large = _split(df, by)
+    got = [] if small is None else [small.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last(), *ties)).cast("long"))]
+    if large is not None:
+        got.append(_ranks_by_range(large, by, value, ties, out))
+    return got[0] if len(got) == 1 else got[0].unionByName(got[1])
+
+
+def _ranks_by_range(df: DataFrame, by: list[str], value: str, ties: list[str], out: str) -> DataFrame:
     n = min(1000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = df.withColumn("__g", F.struct(*by) if by else F.lit(0))
     cuts = keyed.groupBy("__g").agg(F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(1000)).alias("__cuts")) if n > 1 else keyed.select("__g", F.array().cast("array<double>").alias("__cuts")).distinct()
@@ -31,20 +54,31 @@ def ranks(df: DataFrame, by: list[str], value: str, ties: list[str], out: str) -
     offsets = sizes.select("__h", "__c", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
     inside = F.row_number().over(Window.partitionBy("__g", "__b").orderBy(F.col(value).asc_nulls_last(), *ties))
     placed = dealt.join(offsets, F.col("__g").eqNullSafe(F.col("__h")) & (F.col("__b") == F.col("__c")))
-    return placed.withColumn(out, F.col("__o") + inside).select(*df.columns, out)
+    return placed.withColumn(out, (F.col("__o") + inside).cast("long")).select(*df.columns, out)
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Exact quantiles with linear interpolation by group, ``{name: share}``; read off the ranks, so the memory a task needs
-    does not grow with a group."""
-    r = ranks(df.where(F.col(value).isNotNull()).select(*by, value), by, value, [], "__r")
-    n = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("__n"))
+    """Exact quantiles with linear interpolation by group, ``{name: share}``.
+
+    Those of small groups come from one aggregation that is combined before the shuffle; those of groups over ``GROUP_ROWS`` are
+    read off the ranks, so the memory a task needs does not grow with a group.
+    """
+    small, large = _split(df.where(F.col(value).isNotNull()).select(*by, value), by)
+    got = [] if small is None else [small.groupBy(*by).agg(F.percentile(F.col(value).cast("double"), F.array(*map(F.lit, shares.values()))).alias("__q")).select(*by, *[F.col("__q")[i].alias(k) for i, k in enumerate(shares)])]
+    if large is not None:
+        got.append(_quantiles_by_rank(large, by, value, shares))
+    return got[0] if len(got) == 1 else got[0].unionByName(got[1])
+
+
+def _quantiles_by_rank(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    r = _ranks_by_range(df, by, value, [], "__r")
+    n = df.groupBy(*by).agg(F.count("*").alias("__n"))
     rows = r.join(n.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], "__n"), _same(by)) if by else r.crossJoin(F.broadcast(n))
     at = {k: (F.col("__n") - 1) * q + 1 for k, q in shares.items()}
     near = F.lit(False)
     for a in at.values():
         near = near | (F.col("__r") == F.floor(a)) | (F.col("__r") == F.floor(a) + 1)
-    pick = lambda a, d: F.max(F.when(F.col("__r") == F.floor(a) + d, F.col(value)))
+    pick = lambda a, d: F.max(F.when(F.col("__r") == F.floor(a) + d, F.col(value).cast("double")))
     part = lambda a: F.max(a - F.floor(a))
     return rows.where(near).groupBy(*by).agg(*[(pick(a, 0) + F.coalesce(pick(a, 1) - pick(a, 0), F.lit(0.0)) * part(a)).alias(k) for k, a in at.items()])
 
@@ -92,14 +126,25 @@ def drop_repeats(values: Column) -> Column:
 
 
 def nearest_in_band(df: DataFrame, by: list[str], at: str, key: str, band: float, k: int) -> DataFrame:
-    """For each row the ``k`` nearest other rows of its group within ``band``: a join on cells of that width, so only
-    rows of adjacent cells meet."""
-    cell = F.floor(F.col(at) / F.lit(band))
-    left = df.select(*by, F.col(key).alias("key"), F.col(at).alias("at"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("__cell"))
-    right = df.select(*by, F.col(key).alias("other"), F.col(at).alias("other_at"), cell.alias("__cell"))
-    pairs = left.join(right, [*by, "__cell"]).where((F.col("key") != F.col("other")) & (F.abs(F.col("at") - F.col("other_at")) < band))
-    gap = F.abs(F.col("at") - F.col("other_at"))
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "key").orderBy(gap, "other")).cast("long")).where(F.col("rank") <= k).select(*by, "key", "other", "rank")
+    """For each row the ``k`` nearest other rows of its group within ``band``, equally near ones by ``key``, which is unique in a group.
+
+    Rows meet only along the sorted order of three adjacent cells of the band's width: each distinct place keeps its ``k + 1``
+    smallest keys, and of the places around a row at most ``k`` on each side can hold one of its nearest. So no pairs of a dense
+    group are made, and no task sorts a whole one.
+    """
+    cell = F.floor(F.col("at") / F.lit(band))
+    rows = df.select(*by, F.col(key).alias("key"), F.col(at).alias("at"))
+    w = Window.partitionBy(*by, "at").orderBy("key")
+    first = rows.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k + 1)
+    places = first.groupBy(*by, "at").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    line = Window.partitionBy(*by, "__cell").orderBy("at").rowsBetween(-k, k)
+    dealt = places.withColumn("__cell", F.explode(F.array(cell - 1, cell, cell + 1)))
+    around = dealt.withColumn("others", F.collect_list(F.struct("at", "keys")).over(line)).where(F.col("__cell") == cell)
+    near = F.flatten(F.transform(F.filter("others", lambda o: F.abs(o["at"] - F.col("at")) < band), lambda o: F.transform(o["keys"], lambda x: F.struct(F.abs(o["at"] - F.col("at")).alias("gap"), x.alias("other")))))
+    best = F.slice(F.array_sort(near), 1, k + 1)  # one of them may be the row itself
+    met = rows.join(around.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.col("at").alias("__at"), best.alias("best")), _same(by) & F.col("at").eqNullSafe(F.col("__at")))
+    own = F.slice(F.filter("best", lambda o: o["other"] != F.col("key")), 1, k)
+    return met.select(*by, "key", F.posexplode(own).alias("__p", "o")).select(*by, "key", F.col("o.other").alias("other"), (F.col("__p") + 1).cast("long").alias("rank"))
 
 
 def folded(df: DataFrame, by: list[str], order: list[str], out: list[str], start: Callable[[], object], keeps: Callable[[object, dict], bool]) -> DataFrame:

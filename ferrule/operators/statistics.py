@@ -1,4 +1,4 @@
-"""Study statistics: description, fits, goodness of fit, histograms, rank correlation, envelopes and capacity checks."""
+"""Study statistics: description, fits, goodness of fit, histograms and rank correlation."""
 
 from __future__ import annotations
 
@@ -15,20 +15,32 @@ from ferrule.operators.ordered import quantiles, ranks
 INVARIANT = 1e-7
 
 
-def describe(df: DataFrame, by: list[str], x: str, limit: float) -> DataFrame:
-    """n, mean, sample std, cov, median, min, max, p5, p95, skewness (third moment over the cubed sample std), the share
-    over ``limit`` and whether the values do not vary, by group; nulls and NaN are left out."""
-    v = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).select(*by, F.col(x).cast("double").alias("x"))
+def describe(df: DataFrame, by: list[str], x: str, limit: float, base: str | None = None) -> DataFrame:
+    """n, mean, sample std, cov (std over mean), median, min, max, p5, p95, skewness (third moment over the cubed sample std), the
+    95 % interval of the mean (null for one value), the share over ``limit`` and whether the values do not vary, by group; where all
+    are above zero and vary, also the share over ``limit`` and p95 of the fitted lognormal. Nulls and NaN are left out.
+
+    ``base``, a column that is the same in a group, adds itself, mean and p95 over it, and the share of values over it.
+    """
+    v = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).select(*by, F.col(x).cast("double").alias("x"), *([F.col(base).cast("double").alias("base")] if base else []))
+    extra = [F.max("base").alias("base"), F.avg((F.col("x") > F.col("base")).cast("double")).alias("p_over_base")] if base else []
     basic = v.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("s"), F.stddev_pop("x").alias("sp"), F.min("x").alias("min"), F.max("x").alias("max"),
-        F.avg((F.col("x") > limit).cast("double")).alias("p_over"),
+        F.avg((F.col("x") > limit).cast("double")).alias("p_over"), F.avg(F.when(F.col("x") > 0, F.log("x"))).alias("mu"), F.stddev_samp(F.when(F.col("x") > 0, F.log("x"))).alias("sigma"), *extra,
     )
     third = v.join(basic.select(*by, "mean"), by).groupBy(*by).agg(F.avg(F.pow(F.col("x") - F.col("mean"), 3)).alias("m3"))
-    still = F.coalesce(F.col("sp") <= INVARIANT * F.abs("mean"), F.lit(True))
+    still = F.coalesce(F.col("sp") <= INVARIANT * F.greatest(F.abs("mean"), F.lit(1e-12)), F.lit(True))
     std = F.when(still, F.lit(0.0)).otherwise(F.col("s"))
     skew = F.when((F.col("n") <= 2) | (std == 0), F.lit(0.0)).otherwise(F.col("m3") / F.pow(std, 3))
+    half = F.when(F.col("n") > 1, 1.96 * std / F.sqrt("n"))
+    fits = (F.col("min") > 0) & (std > 0)
+    beyond = 1 - normal_cdf(F.try_divide(F.lit(math.log(limit)) - F.col("mu"), F.col("sigma"))) if limit > 0 else F.lit(1.0)
     marks = quantiles(v, by, "x", {"median": 0.5, "p5": 0.05, "p95": 0.95})
-    return basic.join(third, by).join(marks, by).select(*by, "n", "mean", std.alias("std"), F.when(F.col("mean") != 0, std / F.abs("mean")).alias("cov"), "median", "min", "max", "p5", "p95", skew.alias("skewness"), "p_over", still.alias("invariant"))
+    against = [F.col("base"), F.when(F.col("base") != 0, F.col("mean") / F.col("base")).alias("ratio_mean"), F.col("p_over_base"), F.when(F.col("base") != 0, F.col("p95") / F.col("base")).alias("p95_over_base")] if base else []
+    return basic.join(third, by).join(marks, by).select(
+        *by, "n", "mean", std.alias("std"), F.when(F.col("mean") != 0, std / F.col("mean")).alias("cov"), "median", "min", "max", "p5", "p95", skew.alias("skewness"), (F.col("mean") - half).alias("ci_low"), (F.col("mean") + half).alias("ci_high"),
+        "p_over", F.when(fits, beyond).alias("p_over_lognormal"), F.when(fits, F.exp(F.col("mu") + 1.645 * F.col("sigma"))).alias("p95_lognormal"), still.alias("invariant"), *against,
+    )
 
 
 def lognormal_fit(df: DataFrame, by: list[str], x: str) -> DataFrame:
@@ -55,13 +67,17 @@ def ks(df: DataFrame, by: list[str], x: str, cdf: Column) -> DataFrame:
     return out.select(*by, "n", F.when(F.col("n") >= 3, F.col("d")).alias("d"), F.when(F.col("n") >= 3, F.col("p")).alias("p"))
 
 
-def histogram(df: DataFrame, by: list[str], x: str) -> DataFrame:
+def histogram(df: DataFrame, by: list[str], x: str, marks: list[Column] | None = None) -> DataFrame:
     """``(*by, bin, low, high, n)``, empty bins included: Freedman-Diaconis width where the quartiles differ and there
-    are eight values, else the root of n; 6 to 24 bins over the range widened by 4 %."""
-    a = df.groupBy(*by).agg(F.count("*").alias("c"), F.min(x).alias("lo"), F.max(x).alias("hi")).join(quantiles(df, by, x, {"q1": 0.25, "q3": 0.75}), by).withColumn("iqr", F.col("q3") - F.col("q1"))
-    fd = F.ceil((F.col("hi") - F.col("lo")) / (2 * F.col("iqr") / F.pow(F.col("c").cast("double"), 1 / 3)))
+    are eight values, else the root of n; 6 to 24 bins. The range is widened to ``marks``, which are the same in a group, and then
+    by 4 %, of 0.1 where it is nothing."""
+    seen = F.count("*").alias("c"), F.min(x).alias("least"), F.max(x).alias("most"), *[F.max(m.cast("double")).alias(f"__m{i}") for i, m in enumerate(marks or [])]
+    a = df.groupBy(*by).agg(*seen).join(quantiles(df, by, x, {"q1": 0.25, "q3": 0.75}), by).withColumn("iqr", F.col("q3") - F.col("q1"))
+    fd = F.ceil((F.col("most") - F.col("least")) / (2 * F.col("iqr") / F.pow(F.col("c").cast("double"), 1 / 3)))
     k = F.when((F.col("iqr") > 0) & (F.col("c") >= 8), fd).otherwise(F.ceil(F.sqrt("c")))
-    pad = F.when(F.col("hi") > F.col("lo"), 0.04 * (F.col("hi") - F.col("lo"))).otherwise(0.1)
+    own = [F.col(f"__m{i}") for i in range(len(marks or []))]
+    a = a.withColumns({"lo": F.least("least", "least", *own), "hi": F.greatest("most", "most", *own)})
+    pad = 0.04 * F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(0.1)
     a = a.select(*by, F.least(F.greatest(k, F.lit(6)), F.lit(24)).cast("long").alias("k"), (F.col("lo") - pad).alias("lo"), (F.col("hi") + pad).alias("hi"))
     width = (F.col("hi") - F.col("lo")) / F.col("k")
     at = F.least(F.floor((F.col(x) - F.col("lo")) / width), F.col("k") - 1)
@@ -75,21 +91,3 @@ def spearman(df: DataFrame, by: list[str], a: str, b: str, ties: list[str]) -> D
     rows = ranks(ranks(df, by, a, ties, "__a"), by, b, ties, "__b")
     got = rows.groupBy(*by).agg(F.count("*").alias("n"), F.corr("__a", "__b").alias("r"), (F.min(a) < F.max(a)).alias("va"), (F.min(b) < F.max(b)).alias("vb"))
     return got.select(*by, "n", F.when((F.col("n") >= 4) & F.col("va") & F.col("vb"), F.col("r")).alias("rho"))
-
-
-def capacity_ratio(kind: Column, d: dict[str, Column], c: dict[str, Column]) -> Column:
-    """Demand over capacity by kind of member: for a beam the largest of bending, shear, weak bending and, with axial
-    force, the interaction sum; for a brace compression or tension; for a column the interaction sum, tension and shear.
-    Null where a strength that is needed is missing."""
-    ratio = lambda x, y: F.try_divide(d[x], c[y])
-    weak = F.when(d["My"] > 0, ratio("My", "Mdy")).otherwise(F.lit(0.0))
-    total = ratio("comp", "Pd") + ratio("Mz", "Mdz") + weak
-    beam = F.when((d["My"] > 0) & c["Mdy"].isNull(), None).otherwise(F.greatest(ratio("Mz", "Mdz"), ratio("V", "Vd"), F.when(d["My"] > 0, ratio("My", "Mdy")), F.when(d["comp"] > 0, total)))
-    brace = F.greatest(ratio("comp", "Pd"), F.coalesce(ratio("tens", "Td"), F.when(d["comp"] <= 0, ratio("tens", "Pd"))))
-    column = F.when(total.isNull(), None).otherwise(F.greatest(total, ratio("tens", "Td"), ratio("V", "Vd")))
-    return F.when(kind == "beam", beam).when(kind == "brace", brace).when(kind == "column", column)
-
-
-def growth(base: list[Column], new: list[Column]) -> Column:
-    """The largest growth of a demand, 1 at least; demands that were nothing do not count."""
-    return F.greatest(F.lit(1.0), *[F.when(b > 1e-9, n / b) for b, n in zip(base, new, strict=True)])

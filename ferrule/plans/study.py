@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ferrule.operators.capacity import connection_ratio
 from ferrule.plans import query, table
 
 
@@ -59,16 +60,25 @@ def worst_member(spark: SparkSession, d: str) -> DataFrame:
     return g.select("l_suppkey", (-F.col("m.o")).alias("worst"), F.round(F.col("m.l_extendedprice") / 60000, 9).alias("dc"), "n_over", head.alias("headline"))
 
 
-@query("""WITH x AS (SELECT l_partkey, max(l_quantity) AS v, max(l_discount) AS m FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), y AS (SELECT l_partkey, max(l_quantity) AS v, max(l_discount) AS m FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
-SELECT p_partkey, round(greatest(1.0, CASE WHEN x.v > 1e-9 THEN y.v / x.v END, CASE WHEN p_type <> 'PROMO' AND x.m > 1e-9 THEN y.m / x.m END) * p_size / 50, 6) AS dc,
-  CASE WHEN p_type = 'PROMO' THEN 1.5 WHEN p_type LIKE 'S%' THEN 1.25 ELSE 1.1 END::DOUBLE AS gamma FROM part JOIN y ON y.l_partkey = p_partkey LEFT JOIN x ON x.l_partkey = p_partkey""")
+@query("""WITH h AS (SELECT l_partkey, l_returnflag AS f, max(l_quantity) AS p, max(l_discount) AS v, max(l_tax) AS g, max(l_extendedprice) AS m FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL),
+c AS (SELECT p_partkey, p_size, p_retailprice / 2000 AS rec, p_size % 2 = 1 AS base, CASE p_size % 4 WHEN 3 THEN 1.5 WHEN 2 THEN 1.25 ELSE 1.1 END AS gamma FROM part),
+w AS (SELECT c.*, a.l_partkey IS NULL AS none, CASE WHEN a.p > 1e-9 THEN coalesce(r.p, 0) / a.p END AS up, CASE WHEN base THEN CASE WHEN a.v > 1e-9 THEN coalesce(r.v, 0) / a.v END ELSE CASE WHEN a.g > 1e-9 THEN coalesce(r.g, 0) / a.g END END AS uv,
+  CASE WHEN a.m > 1e-9 THEN coalesce(r.m, 0) / a.m END AS um FROM c LEFT JOIN h a ON a.l_partkey = p_partkey AND a.f = 'A' LEFT JOIN h r ON r.l_partkey = p_partkey AND r.f = 'R')
+SELECT p_partkey, gamma::DOUBLE AS gamma, round(rec / gamma, 6) AS dc_base, round(rec / gamma * CASE p_size % 3 WHEN 0 THEN greatest(1.0, uv) WHEN 1 THEN greatest(1.0, up, uv) ELSE greatest(1.0, um) END, 6) AS dc,
+  concat_ws(',', CASE WHEN p_size % 3 = 1 AND up IS NOT NULL THEN 'P_N=col_P' END, CASE WHEN p_size % 3 < 2 AND uv IS NOT NULL THEN CASE WHEN base THEN 'V_N=V_base' ELSE 'V_N=gravity_beam_V' END END,
+    CASE WHEN p_size % 3 = 2 AND um IS NOT NULL THEN CASE WHEN base THEN 'M_Nmm=col_M' ELSE 'M_Nmm=beam_M' END END, CASE WHEN p_size % 3 = 2 THEN 'M_1_2Mp_Nmm=fixed' END) AS mapped FROM w""")
 def connection_scaling(spark: SparkSession, d: str) -> DataFrame:
-    """Connections scaled by their handles' growth; capacity-designed demands do not grow."""
-    top = lambda flag, tag: table(spark, d, "lineitem").where(F.col("l_returnflag") == flag).groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("l_quantity").alias(f"{tag}v"), F.max("l_discount").alias(f"{tag}m"))
-    r = table(spark, d, "part").join(top("R", "y"), "p_partkey").join(top("A", "x"), "p_partkey", "left")
-    grow = F.greatest(F.lit(1.0), F.when(F.col("xv") > 1e-9, F.col("yv") / F.col("xv")), F.when((F.col("p_type") != "PROMO") & (F.col("xm") > 1e-9), F.col("ym") / F.col("xm")))
-    gamma = F.when(F.col("p_type") == "PROMO", 1.5).when(F.col("p_type").startswith("S"), 1.25).otherwise(1.1)
-    return r.select("p_partkey", F.round(grow * F.col("p_size") / 50, 6).alias("dc"), gamma.alias("gamma"))
+    """Connections scaled by the growth of the handles that their demands follow; capacity-designed demands do not grow."""
+    top = lambda flag, tag: table(spark, d, "lineitem").where(F.col("l_returnflag") == flag).groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("l_quantity").alias("p"), F.max("l_discount").alias("v"), F.max("l_tax").alias("g"), F.max("l_extendedprice").alias("m")).select("p_partkey", F.create_map(*[x for n, c in (("col_P", "p"), ("V_base", "v"), ("gravity_beam_V", "g"), ("col_M", "m"), ("beam_M", "m")) for x in (F.lit(n), F.col(c))]).alias(tag))
+    r = table(spark, d, "part").join(top("A", "was"), "p_partkey", "left").join(top("R", "now"), "p_partkey", "left")
+    size = F.col("p_size")
+    what = F.when(size % 2 == 1, "column base plate").otherwise("gravity beam")
+    state = F.when(size % 4 == 3, "site weld 10.5").when(size % 4 == 2, "bolts_10_3 10.3.2").otherwise("panel-zone shear (yield)")
+    demands = F.when(size % 3 == 0, F.array(F.lit("V_N"))).when(size % 3 == 1, F.array(F.lit("P_N"), F.lit("V_N"))).otherwise(F.array(F.lit("M_Nmm"), F.lit("M_1_2Mp_Nmm")))
+    c = connection_ratio(F.lit("c"), what, state, F.lit(None).cast("string"), F.col("p_retailprice") / 2000, demands, F.col("was"), F.col("now"))
+    got = r.select("p_partkey", c.alias("c"))
+    mapped = F.array_join(F.transform("c.mapped", lambda m: F.concat_ws("=", m["key"], m["handle"])), ",")
+    return got.select("p_partkey", F.col("c.factor").alias("gamma"), F.round("c.dc_base", 6).alias("dc_base"), F.round("c.dc", 6).alias("dc"), mapped.alias("mapped"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 6 = 0 THEN NULL ELSE round(p_size * 1.25 + coalesce(n, 0) * 0.5, 4) END AS cost, coalesce(n, 0) AS n_conn FROM part
