@@ -3,19 +3,22 @@ r"""Operator 10, license scans: winnowed fingerprints of templates pick candidat
 Templates and texts are cut into lower-cased words. Hashes of every ``K`` words are winnowed: of each ``W`` in a row the
 least is kept, so any shared run of ``K + W - 1`` words shares a kept hash. The templates' kept hashes form an inverted
 index from hash to (template, place), broadcast in blocks of templates of bounded size. A text's
-kept hashes that are in the index are seeds. Every diagonal with a seed is aligned: within ``BAND`` words of it, how many
-template words the text matches, and where, as tight as can be; then again in what is left of the text on both sides, until no
-match covers enough. Only diagonals beside which the text has too few of the template's words to cover it are passed over.
-Matches that cover ``COVER`` of a template or more are reported; of overlapping ones the one that matches most words stays, or
-covers more of its template if they match as many. Templates named ``-head`` are the first part of a notice, for texts that stop there.
+kept hashes that are in the index are seeds. Seeds of a template that go forward in both, ``GAP`` words of the text apart at most,
+form chains: each seed follows the one that makes its chain cover most of the template, with the least shift between diagonals.
+Every chain is aligned in a band that follows it: within ``BAND`` words of its diagonals, and of all that lie between two of
+them where words were put in or left out. Only chains beside which the text has too few of the template's words to cover it are
+passed over. Matches that cover ``COVER`` of a template or more are reported; of overlapping ones the one that matches most
+words stays, each word between them that it does not match counting half against it, or the one that covers more of its
+template if they are equal. What the reported matches leave of a text is searched again
+until nothing more is found. Templates named ``-head`` are the first part of a notice, for texts that stop there.
 
-Texts are scanned whole, in one Arrow map without a shuffle; only texts with seeds are aligned, and an alignment's cost
-is bounded by the template's length times the band.
+Texts are scanned whole, in one Arrow map without a shuffle; only texts with seeds are aligned, and an alignment's cost is
+bounded by the template's length times the band, however long the text.
 
 Defined results: a null or empty text matches nothing; a template of fewer than ``K`` words has no
 hashes and is never matched; every occurrence in a text is a row of its own; rows are independent, so repeated rows repeat;
 equal matches of two templates at one place give the one whose name comes first; other columns are not read; an empty
-table, or one without matches, gives no rows.
+table, or one without matches, gives no rows; a very long text is cut into words once and takes memory in proportion to it.
 """
 
 from __future__ import annotations
@@ -35,7 +38,9 @@ from pyspark.sql import types as T
 from ferrule.llm.common import table
 from ferrule.llm.decontamination import words_of
 
-K, W, BAND, COVER, BLOCK = 3, 2, 6, 0.8, 1 << 20
+K, W, BAND, GAP, COVER, BLOCK = 3, 2, 6, 64, 0.8, 1 << 20
+#: What a chain loses for each word between two diagonals, in words covered.
+SHIFT = 0.01
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: A word as ``words_of`` cuts it, in code points.
 POINTS = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
@@ -72,6 +77,14 @@ TEMPLATES = {
     "CC-BY-4.0-line": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0-line": "Licensed under CC BY-SA 4.0.",
+    "BSL-1.0": """Boost Software License - Version 1.0 - August 17th, 2003. Permission is hereby granted, free of charge, to any person or organization
+        obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute,
+        execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished
+        to do so, all subject to the following:""",
+    "CC0-1.0-notice": """To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to
+        the public domain worldwide. This software is distributed without any warranty.""",
+    "EPL-2.0-notice": """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available
+        at https://www.eclipse.org/legal/epl-2.0/""",
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "ISC-head": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that
         the above copyright notice and this permission notice appear in all copies.""",
@@ -82,6 +95,16 @@ TEMPLATES = {
         Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
         MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
     "MIT-line": "Released under the MIT License.",
+    "MPL-2.0-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this
+        file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or
+        distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising
+        from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter
+        it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim
+        that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but
+        is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This
+        notice may not be removed or altered from any source distribution.""",
     **gnu("AGPL-3.0", "GNU Affero General Public License", "3"),
     **gnu("GPL-2.0", "GNU General Public License", "2"),
     **gnu("GPL-3.0", "GNU General Public License", "3"),
@@ -128,6 +151,7 @@ class Index:
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
         self.words = [words_of(templates[n].encode()) for n in self.names]
+        self.known = [frozenset(w) for w in self.words]
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, words in enumerate(self.words):
             at, h = winnow(words)
@@ -136,60 +160,116 @@ class Index:
         self.hashes = np.array(sorted(self.places), np.uint64)
 
     def find(self, words: list[bytes]) -> list[tuple[str, float, int, int]]:
-        """(template, share of its words matched, first word, word after the last) of every match."""
+        """(template, share of its words matched, first word, word after the last) of every match, by place."""
         at, h = winnow(words)
         if not len(self.hashes) or not len(h):
             return []
         k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        diagonals: dict[int, set[int]] = defaultdict(set)
-        for p, x in zip(at[self.hashes[k] == h].tolist(), h[self.hashes[k] == h].tolist(), strict=True):
+        own = self.hashes[k] == h
+        seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for p, x in zip(at[own].tolist(), h[own].tolist(), strict=True):
             for t, q in self.places[x]:
-                diagonals[t].add(p - q)
+                seeds[t].append((p, q))
+        # Place by place, how many words of a template the text has before it: no part matches more than it has.
+        held = {t: np.concatenate([[0], np.cumsum(np.fromiter((w in self.known[t] for w in words), np.int64, len(words)))]) for t in seeds}
+        out, parts = [], [(0, len(words))]
+        while parts:
+            low, high = parts.pop()
+            found = self._matches(words, seeds, held, low, high)
+            out += found
+            if found:
+                parts += zip([low, *[e for *_, e in found]], [*[s for _, _, s, _ in found], high], strict=True)
+        return sorted(out, key=lambda x: x[2])
+
+    def _matches(self, words: list[bytes], seeds: dict, held: dict, low: int, high: int) -> list[tuple[str, float, int, int]]:
+        """Matches inside ``words[low:high]`` that do not overlap, by place."""
         found = set()
-        for t, own in diagonals.items():
-            size, known = len(self.words[t]), set(self.words[t])
-            # No part of a text matches more words than it has of the template's.
-            held = np.concatenate([[0], np.cumsum(np.fromiter((w in known for w in words), np.int64, len(words)))]).tolist()
-            for d in own:
-                parts = [(max(0, d - BAND), min(len(words), d + size + BAND))]
-                while parts:
-                    low, high = parts.pop()
-                    if high <= low or (held[high] - held[low]) / size < COVER:
-                        continue
-                    n, first, last = self._align(t, d, words, low, high)
-                    if n / size >= COVER:
-                        found.add((-n, size, self.names[t], last - first, first))
-                        parts += [(low, first), (last + 1, high)]
+        for t, all_ in seeds.items():
+            size = len(self.words[t])
+            least = COVER * size
+            own = all_[bisect_left(all_, (low, 0)) : bisect_left(all_, (high - K + 1, 0))]
+            if not own or held[t][high] - held[t][low] < least:
+                continue
+            for chain in chains(own):
+                (p, q), (r, v) = chain[0], chain[-1]
+                start, end = max(low, p - q - BAND), min(high, r + size - v + BAND)
+                if held[t][end] - held[t][start] < least:
+                    continue
+                if p - q == r - v and p - q >= low and p - q + size <= high and words[p - q : p - q + size] == self.words[t]:
+                    n, first, last = size, p - q, p - q + size - 1  # word for word
+                else:
+                    n, first, last = self._align(t, chain, words, start, end)
+                if n >= least:
+                    found.add(((last - first + 1 - n) / 2 - n, size, self.names[t], last - first, first, n))
         starts: list[tuple[int, int]] = []
         out: list[tuple[str, float, int, int]] = []
-        for n, size, name, long, first in sorted(found):
+        for _, size, name, long, first, n in sorted(found):
             k = bisect_left(starts, (first, 0))
             if (k == 0 or starts[k - 1][1] < first) and (k == len(starts) or starts[k][0] > first + long):
                 insort(starts, (first, first + long))
-                out.append((name, -n / size, first, first + long + 1))
+                out.append((name, n / size, first, first + long + 1))
         return sorted(out, key=lambda x: x[2])
 
-    def _align(self, t: int, diagonal: int, words: list[bytes], low: int, high: int) -> tuple[int, int, int]:
-        """Longest common subsequence of a template and ``words[low:high]`` within the band around ``diagonal``: its words, its
+    def _align(self, t: int, chain: list[tuple[int, int]], words: list[bytes], low: int, high: int) -> tuple[int, int, int]:
+        """Longest common subsequence of a template and ``words[low:high]`` within the band that follows ``chain``: its words, its
         first and its last; the tightest, then the earliest, if several are as long."""
-        template, wide = self.words[t], 2 * BAND + 1
-        # Per cell of a row: words matched, where the match begins and, negated, ends; a cell is the text before word diagonal - BAND + i + c.
-        row = [(0, -1, 1)] * wide
+        template = self.words[t]
+        # Per cell of a row: words matched, where the match begins and, negated, ends; a cell is the text before one of its words.
+        nothing = (0, -1, 1)
+        row, base = [nothing], low
+        k, n = 0, len(chain)
         for i, word in enumerate(template):
+            while k < n and chain[k][1] <= i:
+                k += 1
+            before = chain[k - 1][0] - chain[k - 1][1] if k else chain[0][0] - chain[0][1]
+            after = chain[k][0] - chain[k][1] if k < n else before
+            start, end = max(low, min(before, after) + i - BAND), min(high, max(before, after) + i + 1 + BAND)
+            if end < start:
+                start = end = min(max(low, start), high)
             new: list[tuple[int, int, int]] = []
-            for c in range(wide):
-                p = diagonal - BAND + i + c
-                n, first, _ = best = row[c]
-                if low <= p < high and words[p] == word:
-                    best = (n + 1, first if n else p, -p)
-                if c + 1 < wide and row[c + 1] > best:
-                    best = row[c + 1]
-                if new and new[-1] > best:
+            top = len(row) - 1
+            for c in range(start, end + 1):  # the text before word c
+                d = c - base
+                best = row[min(d, top)] if d >= 0 else nothing
+                if c > start and new[-1] > best:
                     best = new[-1]
+                if c > low and d > 0 and words[c - 1] == word:
+                    m, first, _ = row[min(d - 1, top)]
+                    best = max(best, (m + 1, first if m else c - 1, 1 - c))
                 new.append(best)
-            row = new
-        n, first, last = max(row, key=lambda x: (x[0], x[1] + x[2], -x[1]))
-        return n, first, -last
+            row, base = new, start
+        m, first, last = max(row, key=lambda x: (x[0], x[1] + x[2], -x[1]))
+        return m, first, -last
+
+
+def chains(seeds: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Chains of ``seeds``, sorted pairs of a place in the text and in a template: each seed is in one.
+
+    A seed follows the seed within ``GAP`` words, earlier in both, whose chain covers most with it; the chain that covers most is taken
+    first, and one that runs into seeds already taken starts after them.
+    """
+    n = len(seeds)
+    score, back = [float(K)] * n, [-1] * n
+    first = 0
+    for j, (p, q) in enumerate(seeds):
+        while seeds[first][0] < p - GAP:
+            first += 1
+        for i in range(j - 1, first - 1, -1):
+            r, v = seeds[i]
+            if r < p and v < q:
+                s = score[i] + min(K, q - v, p - r) - SHIFT * abs((p - r) - (q - v))
+                if s > score[j]:
+                    score[j], back[j] = s, i
+    taken, out = [False] * n, []
+    for j in sorted(range(n), key=lambda j: (-score[j], j)):
+        chain = []
+        while j >= 0 and not taken[j]:
+            taken[j] = True
+            chain.append(seeds[j])
+            j = back[j]
+        if chain:
+            out.append(chain[::-1])
+    return out
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -461,6 +461,53 @@ def test_licenses_all_and_whole():
     assert {"BSD-3-Clause", "LGPL-2.1-notice", "AGPL-3.0-notice", "GPL-2.0-notice"} <= set(licenses.TEMPLATES)
 
 
+def subsequence(a, b):
+    """Length of the longest common subsequence of two lists, by the whole table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+        row = new
+    return row[-1]
+
+
+def test_licenses_against_all_subsequences():
+    """1 to 40 words put in, left out or changed at one place: every template that a text still covers is found, as covered."""
+    index, rng, named = licenses.Index(licenses.TEMPLATES), random.Random(10), 0
+    size = {n: len(w) for n, w in zip(index.names, index.words, strict=True)}
+    long = [(n, w) for n, w in zip(index.names, index.words, strict=True) if len(w) >= 20]
+    assert len(index.names) >= 20
+    for k in [1, 2, 3, 5, 6, 7, 9, 12, 20, 30, 40]:
+        for how in ("in", "out", "changed"):
+            for name, w in rng.sample(long, 6):
+                at = rng.randrange(4, len(w) - 4)
+                k_ = min(k, len(w) - 4 - at) if how != "in" else k
+                new = [b"zz%d" % i for i in range(k_)] if how != "out" else []
+                edited = w[:at] + new + (w[at:] if how == "in" else w[at + k_ :])
+                text = [b"xx"] * 30 + edited + [b"yy"] * 30
+                found = index.find(text)
+                covers = subsequence(w, edited) / len(w)
+                if covers < licenses.COVER:
+                    continue
+                # Of overlapping matches the best stays, words between counting half against it; another may stand beside it.
+                value = [c * size[n] - (e - s - c * size[n]) / 2 for n, c, s, e in found]
+                assert found and max(value) >= covers * len(w) - len(new) / 2 - 1e-6, (name, how, k, found)
+                own = [(c, s, e) for n, c, s, e in found if n == name]
+                assert not own or (own[0][0] == pytest.approx(covers) and 30 <= own[0][1] < own[0][2] <= 30 + len(edited))
+                named += bool(own)
+    assert named > 100
+    mit = index.words[index.names.index("MIT")]
+    for k in (5, 7, 9, 12, 20, 40):
+        m = len(mit) // 2
+        assert index.find(mit[:m] + [b"zz"] * k + mit[m:]) == [("MIT", 1.0, 0, len(mit) + k)]
+    # Edited at several places, twice in a text, with a line between.
+    twice = mit[:20] + [b"zz"] * 9 + mit[20:60] + mit[64:110] + [b"zz"] * 11 + mit[110:]
+    line = index.words[index.names.index("MIT-line")]
+    assert [n for n, *_ in index.find(twice + [b"zz"] * 3 + line + twice)] == ["MIT", "MIT-line", "MIT"]
+    assert index.find(line + line[1:] + line[:4]) == [("MIT-line", 1.0, 0, 5), ("MIT-line", 0.8, 5, 9), ("MIT-line", 0.8, 9, 13)]
+
+
 # the pipeline
 
 
