@@ -2,31 +2,38 @@ r"""Operator 5, benchmark decontamination by Wu-Manber multi-pattern search over
 
 Every benchmark item gives windows of 13 consecutive words (an item of fewer, but not none, is one window). Windows of
 one length form a class, and each class has the three parts of Wu and Manber's search, with a word as the symbol:
-a shift table over blocks of two words that says how far a position may be skipped, buckets of windows by their last
-block, and a direct comparison of the whole window. A text is cut into words once; most positions are never looked at.
+a shift table over hashed blocks of two words that says how far a position may be skipped, buckets of windows by the hash of
+their last block, ordered inside by a hash of the whole window, and a direct comparison of the whole window. A text is cut into
+words once; where a shift leads past a position, no window is looked for there.
 
-The windows are broadcast in blocks of items, each of at most ``block_bytes`` of text, so what is sent is bounded
-however large the benchmark grows; every block is one more map over the same rows, without a shuffle.
+The tables are arrays: a window is an offset into one byte string, and a table takes about 7 bytes for each byte of
+benchmark. The windows are broadcast in blocks of items, each of at most ``block_bytes`` of text (an item is never split), and a
+Python worker builds a block's tables once for all its tasks. Every block is one more map over the same rows, without a
+shuffle; after ``ABREAST`` blocks the rows are written and read again, so that no more tables than those are held at once.
 
 Defined results: a null or empty text has no words, no hits and no items; an item without words, or without an id,
 matches nothing; repeated item ids count once; windows shared by items count for each; rows are independent, so
-repeated rows give repeated rows; other columns are not read; empty tables give no hits or no rows.
+repeated rows give repeated rows; other columns are not read; empty tables give no hits or no rows; a very long text is
+searched whole, in memory in proportion to it.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import uuid
 from collections.abc import Iterable, Iterator
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrule.llm.common import table, tidy
+from ferrule.llm.common import kept, table, tidy
 
 WINDOW = 13
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES, ABREAST = 8 << 20, 4
+MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Words are runs of digits, letters (lower-cased ASCII) and bytes beyond ASCII; all else becomes a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -35,56 +42,115 @@ def words_of(raw: bytes | None) -> list[bytes]:
     return raw.translate(FOLD).split() if raw else []
 
 
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(crc32, words), np.uint64, len(words)) * MIX
+
+
+class Items:
+    """The words of all items as one byte string, with their hashes, and which item a word is of."""
+
+    def __init__(self, items: Iterable[tuple[int, bytes | None]]):
+        texts, hashed, lengths, self.sizes, self.numbers = [], [], [], [], []
+        for k, raw in items:
+            words = words_of(raw)
+            if words:
+                texts.append(b" ".join(words))
+                hashed.append(hashes(words))
+                lengths.append(np.fromiter(map(len, words), np.int64, len(words)))
+                self.sizes.append(len(words))
+                self.numbers.append(k)
+        self.text = b" ".join(texts)
+        self.hash = np.concatenate(hashed) if hashed else np.zeros(0, np.uint64)
+        ends = np.cumsum(np.concatenate(lengths) + 1) if lengths else np.zeros(0, np.int64)
+        self.at = np.concatenate([[0], ends])
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
+
+    def window(self, start: int, m: int) -> bytes:
+        return self.text[self.at[start] : self.at[start + m] - 1]
+
+    def item(self, start: int) -> int:
+        return self.numbers[int(np.searchsorted(self.first, start, "right")) - 1]
+
+
 class WindowClass:
-    """Wu-Manber tables for windows of ``m`` words."""
-
-    def __init__(self, m: int):
-        self.m, self.block = m, min(2, m)
-        self.windows: dict[tuple[bytes, ...], list[int]] = defaultdict(list)
-
-    def close(self) -> None:
-        """Builds the tables: the shift of a block is its least distance to a window's end, and the buckets go by the last block."""
-        m, b = self.m, self.block
-        self.far = m - b + 1
-        self.shift: dict = {}
-        self.buckets: dict = defaultdict(dict)
-        for w, items in self.windows.items():
-            for q in range(b, m + 1):
-                key = w[q - 2 : q] if b == 2 else w[q - 1]
-                self.shift[key] = min(self.shift.get(key, self.far), m - q)
-            self.buckets[w[-2:] if b == 2 else w[-1]][w] = items
-
-    def scan(self, words: list[bytes], hit: bytearray, items: set[int]) -> None:
-        """Marks in ``hit`` the words inside occurrences and adds to ``items`` the items whose windows occur."""
-        m, n, far, get = self.m, len(words), self.far, self.shift.get
-        i, pair = m - 1, self.block == 2
-        mark = b"\x01" * m
+    """Wu-Manber tables for the windows of ``m`` words that start at ``starts``."""
+
+    def __init__(self, items: Items, m: int, starts: np.ndarray):
+        self.items, self.m, self.block = items, m, min(2, m)
+        self.bits = max(8, int(4 * len(starts)).bit_length())
+        far = m - self.block + 1
+        blocks = self._blocks(items.hash)
+        self.shift = np.full(1 << self.bits, far, np.uint8)
+        for d in range(far - 1, -1, -1):  # the least distance to a window's end is written last
+            self.shift[blocks[starts + (m - self.block - d)]] = d
+        key = self._keys(items.hash, blocks, starts + m - 1)
+        order = np.argsort(key, kind="stable")
+        self.key, self.start = key[order], starts[order].astype(np.int32 if len(items.hash) < 1 << 31 else np.int64)
+
+    def _blocks(self, h: np.ndarray) -> np.ndarray:
+        """The place in the shift table of each block, by its first word."""
+        whole = h if self.block == 1 else h[:-1] * STEP + h[1:]
+        return ((whole * MIX) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _keys(self, h: np.ndarray, blocks: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """For windows that end at ``ends``: the bucket of the last block, then a hash of the window."""
+        w = np.zeros(len(ends), np.uint64)
+        for k in range(self.m):
+            w = (w ^ (w >> np.uint64(29))) * STEP + h[ends - (self.m - 1 - k)]
+        bucket = blocks[ends - (self.block - 1)].astype(np.uint64)
+        return (bucket << np.uint64(64 - self.bits)) | (w * MIX >> np.uint64(self.bits))
+
+    def scan(self, words: list[bytes], h: np.ndarray, hit: bytearray, found: set[int]) -> None:
+        """Marks in ``hit`` the words inside occurrences and adds to ``found`` the items whose windows occur."""
+        m, n = self.m, len(words)
+        if n < m:
+            return
+        blocks = self._blocks(h)
+        shift = bytes(self.block - 1) + self.shift[blocks].tobytes()
+        ends, i = [], m - 1
         while i < n:
-            key = (words[i - 1], words[i]) if pair else words[i]
-            s = get(key, far)
+            s = shift[i]
             if s:
                 i += s
-                continue
-            found = self.buckets[key].get(tuple(words[i - m + 1 : i + 1]))
-            if found is not None:
-                hit[i - m + 1 : i + 1] = mark
-                items.update(found)
-            i += 1
+            else:
+                ends.append(i)
+                i += 1
+        if not ends:
+            return
+        key = self._keys(h, blocks, np.array(ends))
+        low, high = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
+        mark = b"\x01" * m
+        for k in np.flatnonzero(low < high).tolist():
+            end = ends[k]
+            own = b" ".join(words[end - m + 1 : end + 1])
+            same = [s for s in self.start[low[k] : high[k]].tolist() if self.items.window(s, m) == own]
+            if same:
+                hit[end - m + 1 : end + 1] = mark
+                found.update(map(self.items.item, same))
 
 
 def window_classes(items: Iterable[tuple[int, bytes | None]], window: int = WINDOW) -> list[WindowClass]:
     """The search tables of ``items``, pairs of a number and a text; one class for each window length."""
-    classes: dict[int, WindowClass] = {}
-    for k, raw in items:
-        words = words_of(raw)
-        m = min(window, len(words))
-        if m:
-            own = classes.setdefault(m, WindowClass(m))
-            for w in {tuple(words[i : i + m]) for i in range(len(words) - m + 1)}:
-                own.windows[w].append(k)
-    for c in classes.values():
-        c.close()
-    return list(classes.values())
+    own = Items(items)
+    size, first = np.array(own.sizes, np.int64), own.first[:-1]
+    out = []
+    for m in np.unique(np.minimum(size, window)).tolist():
+        which = np.flatnonzero(np.minimum(size, window) == m)
+        starts = np.concatenate([np.arange(first[k], first[k] + size[k] - m + 1) for k in which.tolist()])
+        out.append(WindowClass(own, m, starts))
+    return out
+
+
+_built: dict[str, tuple[list[str], list[WindowClass]]] = {}
+
+
+def _worker_tables(key: str, shared, window: int) -> tuple[list[str], list[WindowClass]]:
+    """A block's ids and tables: built once in a worker's life, which keeps those of one block."""
+    if key not in _built:
+        _built.clear()
+        ids, texts = shared.value
+        _built[key] = ids, window_classes(enumerate(texts), window)
+    return _built[key]
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[list[str], list[bytes]]]:
@@ -109,16 +175,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     result = T.StructType([own, *T.StructType().add("n_words", "long").add("n_hit", "long").add("items", T.ArrayType(T.StringType()))])
 
     def search(shared) -> callable:
+        key = uuid.uuid4().hex
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, texts = shared.value
-            classes = window_classes(enumerate(texts), window)
+            ids, classes = _worker_tables(key, shared, window)
             for b in batches:
                 hits, per = [], []
                 for raw, before, had in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                     words, got = words_of(raw), set()
                     hit = bytearray(before) if before else bytearray(len(words))
+                    h = hashes(words) if classes else None
                     for c in classes:
-                        c.scan(words, hit, got)
+                        c.scan(words, h, hit, got)
                     hits.append(bytes(hit))
                     per.append(sorted({ids[k] for k in got} | set(had)))
                 yield pa.record_batch([b.column(0), b.column(1), pa.array(hits, pa.binary()), pa.array(per, pa.list_(pa.string()))], names=["id", "text", "hit", "items"])
@@ -136,8 +204,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         return tidy(lambda batches: tally(pa.record_batch([b.column(0), b.column(2), b.column(3)], names=["id", "hit", "items"]) for b in inner(batches)))
 
     blocks = [sc.broadcast(x) for x in _blocks(benchmark, item_col, item_text_col, block_bytes)]
-    for shared in blocks[:-1]:
+    for k, shared in enumerate(blocks[:-1], 1):
         out = out.mapInArrow(search(shared), found)
+        out = out if k % ABREAST else kept(out)
     return out.mapInArrow(last(blocks[-1]), result).withColumnRenamed("id", id_col)
 
 

@@ -243,7 +243,7 @@ def brute_hits(text, bench):
     return len(ws), len(hit), sorted(items)
 
 
-def test_decontamination_against_brute_force(spark, odd, none):
+def test_decontamination_against_brute_force(spark, odd, none, monkeypatch):
     rng = random.Random(4)
     bench = [(i, " ".join(rng.choice("ab") for _ in range(rng.choice([1, 3, 5, 12, 13, 14, 20])))) for i in range(40)] + [(50, None), (51, ""), (None, "a a a"), (52, "É, über! x9"), (3, "b b a")]
     texts = ["".join(rng.choice(["a ", "B,", "b\n", "a-", "c "]) for _ in range(rng.randint(0, 60))) for _ in range(200)] + ["é über x9", "É ÜBER X9", None, ""]
@@ -253,6 +253,8 @@ def test_decontamination_against_brute_force(spark, odd, none):
     for block in (decontamination.BLOCK_BYTES, 200):
         got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontamination.find_contamination(df, bdf, block_bytes=block).collect()}
         assert got == want
+    monkeypatch.setattr(decontamination, "ABREAST", 2)  # rows are written between blocks
+    assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontamination.find_contamination(df, bdf, block_bytes=100).collect()} == want
     clean = decontamination.drop_contaminated(df, bdf)
     assert {r.doc_id for r in clean.collect()} == {i for i, (n, h, _) in want.items() if not (h > 0 and 20 * h >= n)}
     assert decontamination.drop_contaminated(odd, bdf).columns == odd.columns
@@ -260,6 +262,24 @@ def test_decontamination_against_brute_force(spark, odd, none):
     assert decontamination.find_contamination(none, bdf).count() == 0
 
 
+def test_decontamination_tables_are_compact():
+    """Seven bytes of table for a byte of benchmark, and no window is lost among many."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(20_000)]
+    items = [" ".join(rng.choices(vocabulary, k=rng.choice([4, 13, 60, 200]))).encode() for _ in range(4000)]
+    classes = decontamination.window_classes(enumerate(items))
+    own = classes[0].items
+    size = len(own.text) + own.hash.nbytes + own.at.nbytes + sum(c.shift.nbytes + c.key.nbytes + c.start.nbytes for c in classes)
+    assert size < 8 * sum(map(len, items))
+    for k in rng.sample(range(4000), 200):
+        w = items[k].split()
+        text = [b"zz"] * rng.randint(0, 20) + w + [b"zz"] * 3
+        hit, found = bytearray(len(text)), set()
+        for c in classes:
+            c.scan(text, decontamination.hashes(text), hit, found)
+        assert hit.count(1) == len(w) and k in found
+
+
 # 6
 
 
