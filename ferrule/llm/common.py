@@ -51,10 +51,25 @@ def kept(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ferrule-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])).parquet(path)
 
 
+def bucketed(df: DataFrame, col: str) -> DataFrame:
+    """``kept``, in buckets of ``col``: what is later joined or ordered by ``col`` meets these rows without shuffling them again.
+
+    The catalogue knows the table only while it is read for the first time.
+    """
+    spark = df.sparkSession
+    name = f"ferrule_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(n, col).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # noqa: B018  resolved here, with its buckets
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def bitmap(values: DataFrame, col: str, bits: int = 1 << 20) -> Column:
     """A scalar subquery that holds a bit for every hash of ``values[col]``, to filter by before a join.
 

@@ -1,35 +1,41 @@
 """Operator 9, near-duplicate embeddings with a forest of random-projection trees.
 
-Equal vectors are collapsed first; a class carries its smallest id and its size. A tree splits at the median of a
-random projection, one direction a level, and a vector within the spill margin of a split goes to both sides. The margin
+Equal vectors are collapsed first, by a 128-bit hash; a class carries its smallest id and its size. A tree splits at the median
+of a random projection, one direction a level, and a vector within the spill margin of a split goes to both sides. The margin
 is absolute, in proportion to how far apart two vectors at the threshold project, so the chance that a split parts a
 linked pair is the same at every level; the number of trees follows from that chance and the depth. Where most of a node
-lies in the margin, splitting would only copy it, and the node stays a leaf however large it is.
+lies in the margin, splitting would only copy it, and the node stays a leaf however large it is. Leaves are large, as a
+comparison costs less than the copies that more levels make.
 
 Medians are fitted on a bounded sample of classes; levels below what the sample resolves split at zero. Every class is
 indexed in every tree. Leaves are compared by exact cosines in double precision, in blocks of at most ``BLOCK`` classes
-a side, so no leaf is too large for a task. A pair counts in the first leaf that holds both, which the leaf codes that
-every class carries tell, so no pair is emitted: a leaf gives each class a number of links and a root of its local
-union-find. Sums and connected components finish the job.
+a side, so no leaf is too large for a task. A pair counts in the first leaf that holds both, which the codes of the leaves
+before it tell, so no pair is emitted: a leaf gives each class a number of links and a root of its local
+union-find. Sums and connected components finish the job. A vector is shuffled once for each leaf it is in, in the type it
+came in, and once more where the leaf is in blocks; all else moves ids.
 
 Defined results: a vector that is null, empty or zero, or holds a null or non-finite component, has no links and is its
-own component; vectors of different lengths never link; equal vectors link with each other; repeated rows count as other
-vectors; a null id takes the component of its vector's class; other columns are not read; an empty table gives none.
+own component; vectors of different lengths never link (each length has a forest of its own); equal vectors link with each
+other; repeated rows count as other vectors; a null id takes the component of its vector's class, and a class
+without any id is compared with no other; other columns are not
+read; an empty table gives none; a very long vector takes memory in proportion to it, ``BLOCK`` times.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ferrule.llm.common import components, kept, table
+from ferrule.llm.common import bitmap, bits_for, components, kept, may_hold, table, tidy
 
-THRESHOLD, LEAF, SPILL, SAMPLE, MISS, SEED, BLOCK = 0.9, 96, 0.25, 20_000, 5e-3, 11, 2048
+THRESHOLD, LEAF, SPILL, SAMPLE, MISS, SEED, BLOCK, MOST_TREES = 0.9, 1024, 0.25, 20_000, 2e-2, 11, 1536, 127
 #: A node is not split if more than this share of it would go both ways.
 CROWDED = 0.5
 #: Sampled classes below which a median says nothing.
@@ -45,7 +51,10 @@ class Forest:
         depth = max(1, math.ceil(math.log2(max(2, total / LEAF))))
         parted = 0.4 * math.sqrt(dim) * 2 * self.gap * self._beyond(2 * SPILL)
         together = (1 - min(0.9, parted)) ** depth
-        self.trees = min(64, max(4, math.ceil(math.log(MISS) / math.log(1 - together)))) if together < 1 else 1
+        self.trees = max(4, math.ceil(math.log(MISS) / math.log(1 - together))) if together < 1 else 1
+        if self.trees > MOST_TREES:
+            warnings.warn(f"{self.trees} trees are needed to miss {MISS} of links at most; {MOST_TREES} are grown", stacklevel=2)
+            self.trees = MOST_TREES
         rng = np.random.default_rng([seed, dim])
         self.depth = depth + 24
         self.directions = rng.standard_normal((self.trees, self.depth, dim)).astype(np.float64)
@@ -113,41 +122,34 @@ def unit(vectors: pa.ListArray, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _by_tree(codes: pa.ListArray) -> np.ndarray:
-    """Leaf codes as (tree, row, place), padded with -1."""
-    flat, n = codes.flatten().to_numpy(), len(codes)
-    row = np.repeat(np.arange(n), np.diff(codes.offsets.to_numpy()))
-    tree, at = (flat >> 44) & 127, np.arange(len(flat))
-    new = np.ones(len(flat), bool)
-    new[1:] = (row[1:] != row[:-1]) | (tree[1:] != tree[:-1])
-    place = at - np.maximum.accumulate(np.where(new, at, 0))
-    out = np.full((int(tree.max()) + 1, n, int(place.max()) + 1), -1, np.int64)
-    out[tree, row, place] = flat
+def _padded(codes: pa.ListArray) -> np.ndarray:
+    """Leaf codes as (row, place), padded with -1."""
+    flat, sizes = codes.flatten().to_numpy(), np.diff(codes.offsets.to_numpy())
+    out = np.full((len(codes), int(sizes.max(initial=0))), -1, np.int64)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = flat
     return out
 
 
-def _first_here(codes: np.ndarray, i: np.ndarray, j: np.ndarray, code: int) -> np.ndarray:
-    """Whether ``code`` is the first leaf that the classes ``i`` and ``j`` share. Most share one in the first trees."""
-    out, here = np.ones(len(i), bool), (code >> 44) & 127
+def _first_here(codes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the classes ``i`` and ``j`` share no leaf among ``codes``, those before this one. Most share one of the first."""
+    out = np.ones(len(i), bool)
     for at in range(0, len(i), 8192):
         left = np.arange(at, min(at + 8192, len(i)))
-        for t in range(here + 1):
-            if not len(left):
-                break
-            a, b = codes[t, i[left]], codes[t, j[left]]
-            a = np.where(a < code, a, -1) if t == here else a
-            shared = ((a[:, :, None] == b[:, None, :]) & (a >= 0)[:, :, None]).any(axis=(1, 2))
+        for k in range(codes.shape[1]):
+            own = codes[i[left], k]
+            shared = ((own[:, None] == codes[j[left]]) & (own >= 0)[:, None]).any(axis=1)
             out[left[shared]] = False
             left = left[~shared]
+            if not len(left):
+                break
     return out
 
 
 def _compare(t: pa.Table, dim: int, threshold: float) -> Iterator[pa.RecordBatch]:
     """One leaf, or one pair of a large leaf's blocks: number of links first found here, and local root, by class."""
     rep, copies, block = (t.column(c).to_numpy() for c in ("rep", "copies", "block"))
-    code, one, two = (t.column(c)[0].as_py() for c in ("code", "one", "two"))
+    one, two = (t.column(c)[0].as_py() for c in ("one", "two"))
     x = unit(t.column("vector").combine_chunks(), dim)
-    codes = _by_tree(t.column("codes").combine_chunks())
     near = x @ x.T >= threshold
     if one != two:
         near &= block[:, None] != block[None, :]
@@ -156,7 +158,7 @@ def _compare(t: pa.Table, dim: int, threshold: float) -> Iterator[pa.RecordBatch
     if not len(linked):
         return
     i, j = np.nonzero(np.triu(near))
-    first = _first_here(codes, i, j, code)
+    first = _first_here(_padded(t.column("before").combine_chunks()), i, j)
     i, j = i[first], j[first]
     links = np.bincount(i, copies[j], len(rep)) + np.bincount(j, copies[i], len(rep))
     root = rep.copy()
@@ -176,10 +178,15 @@ def _compare(t: pa.Table, dim: int, threshold: float) -> Iterator[pa.RecordBatch
 def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """``(id, n_links long, component_id long)`` of every row of ``vectors``."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda v: v.cast("double")).alias("vector"))
+    float_ = isinstance(vectors.schema[vector_col].dataType.elementType, (T.FloatType, T.ByteType, T.ShortType))
+    kind = "float" if float_ else "double"  # no more bytes than came in; cosines are taken in doubles
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda v: v.cast(kind)).alias("vector"))
     sound = F.coalesce(F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists("vector", lambda v: v != 0), F.lit(False))
-    rows = kept(rows.withColumn("vector", F.when(sound, F.transform("vector", lambda v: v + F.lit(0.0)))))
-    classes = kept(rows.where("vector is not null").groupBy("vector").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("dim", F.size("vector")))
+    rows = rows.withColumn("vector", F.when(sound, F.transform("vector", lambda v: v + F.lit(0.0).cast(kind))))
+    key = F.when(F.col("vector").isNotNull(), F.struct(F.xxhash64("vector"), F.xxhash64(F.lit(SEED), "vector")))
+    rows = kept(rows.select("id", key.alias("key"), "vector"))
+    classes = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    classes = kept(classes.withColumn("dim", F.size("vector")))
     usable = classes.where("rep is not null")
     totals = {r.dim: r.n for r in usable.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     links = edges = None
@@ -191,7 +198,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
 
         def index(batches: Iterator[pa.RecordBatch], dim: int = dim, shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if len(b):
+                if len(b):  # every class of a length is sound
                     codes = shared.value.codes(unit(b.column(2), dim))
                     yield pa.record_batch([*b.columns, pa.array(codes, pa.list_(pa.int64()))], names=["rep", "copies", "vector", "codes"])
 
@@ -213,22 +220,29 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
             if held:
                 yield from _compare(pa.Table.from_batches(held), dim, threshold)
 
-        indexed = kept(own.select("rep", "copies", "vector").mapInArrow(index, "rep long, copies long, vector array<double>, codes array<long>"))
-        sizes = indexed.select(F.explode("codes").alias("code")).groupBy("code").count().where("count > 1").select("code", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-        dealt = indexed.select("*", F.explode("codes").alias("code")).join(sizes, "code").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-        dealt = dealt.select("rep", "copies", "vector", "codes", "code", "block", other).withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")}).drop("other")
-        dealt = dealt.repartition(n, "code", "one", "two").sortWithinPartitions("code", "one", "two")
-        found = kept(dealt.mapInArrow(compare, "rep long, links long, root long"))
+        indexed = kept(own.select("rep", "copies", "vector").mapInArrow(tidy(index), f"rep long, copies long, vector array<{kind}>, codes array<long>"))
+        sizes = kept(indexed.select(F.explode("codes").alias("code")).groupBy("code").count().where(F.col("count") > BLOCK).select("code", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
+        bits = bits_for(sizes.count())
+        large = may_hold(bitmap(sizes, "code", bits), "code", bits)
+        copies = indexed.select("rep", "copies", "vector", "codes", F.posexplode("codes").alias("place", "code")).withColumn("before", F.slice("codes", 1, F.col("place"))).drop("codes", "place")
+        # Only the classes of large leaves are shuffled to learn in how many blocks they are dealt.
+        whole = copies.where(~large).select("*", *[F.lit(0).alias(c) for c in ("block", "one", "two")])
+        split = copies.where(large).join(sizes, "code", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        split = split.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
+        dealt = whole.unionByName(split.select(whole.columns)).repartition(n, "code", "one", "two").sortWithinPartitions("code", "one", "two")
+        found = kept(dealt.mapInArrow(tidy(compare), "rep long, links long, root long"))
         links = found if links is None else links.unionByName(found)
     if links is None:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     edges = links.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
     roots = components(edges)
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    by_class = classes.join(counts, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left").select("vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    out = rows.join(by_class, "vector", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    by_class = classes.select("key", "rep", "copies").join(counts, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
+    by_class = by_class.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    alone = [F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")]
+    out = rows.where("key is not null").select("id", "key").join(by_class, "key")
+    out = out.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.unionByName(rows.where("key is null").select(*alone))
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -451,6 +451,18 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert embedding_dedup.near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_on_odd_input(spark):
+    """Null ids, repeated rows, columns with the names used inside, doubles, and rows that never link."""
+    rows = [(None, [1.0, 0.0]), (None, [1.0, 0.0]), (4, [2.0, 0.0]), (4, [2.0, 0.0]), (2, [0.0, 5.0]), (None, [0.0, -3.0]), (7, None), (None, None), (9, [1.0]), (3, [1e300, 1e290]), (8, [1e-300, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for c in ("id", "key", "rep", "copies", "code", "codes", "block", "vector", "node", "root", "links"):
+        df = df.withColumn(c, F.lit("x"))
+    got = sorted(map(str, (tuple(r) for r in embedding_dedup.near_duplicate_vectors(df).collect())))
+    # The class without an id is not compared with others, but its rows link with each other.
+    want = [(None, 1, None), (None, 1, None), (4, 3, 3), (4, 3, 3), (3, 3, 3), (8, 3, 3), (2, 0, 2), (None, 0, None), (7, 0, 7), (None, 0, None), (9, 0, 9)]
+    assert got == sorted(map(str, want))
+
+
 # 10
 
 
