@@ -24,12 +24,10 @@ null or repeated ids do no harm; other columns are not read; an empty table give
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import bitmap, kept, may_hold, table
+from ferrule.llm.common import bitmap, bits_for, kept, may_hold, table
 
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Kind -> the pattern of its spans.
@@ -39,7 +37,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-WORD, SUPPORT, DISCLOSURE, FOLD = r"\p{L}{4,}+", 2, 0.8, 256
+WORD, SUPPORT, DISCLOSURE, HIDDEN, FOLD = r"\p{L}{2,}+", 2, 0.8, 1.0, 256
 #: An address by its first and last character, and what is left of it where words are sought: a mark that no word may touch.
 ENDS, MARK = PATTERNS["email"].replace("))[A", "))(?=(.))[A", 1) + "(?<=(.))", "\uffff"
 SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
@@ -101,7 +99,13 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[F.when(may[k], placed(text, p, i, VALID[k])).otherwise(none) for i, (k, p) in enumerate(PATTERNS.items())])
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
+def _may(values: DataFrame, col: str) -> Column:
+    """Whether ``values`` may hold the value of ``col``, by a bitmap in proportion to their number."""
+    bits = bits_for(values.count())
+    return may_hold(bitmap(values, col, bits), col, bits)
+
+
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, hidden: float = HIDDEN, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
     """``(id, digest, base)`` of every row, and ``(digest, terms)`` of the texts with disclosing terms.
 
     ``base`` and ``terms`` are arrays of spans (kind, start, end, value); for terms, ``value`` is ``removed`` or ``generalised``.
@@ -119,20 +123,21 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Only addresses hold letters, so that the words beside the values are those beside addresses.
     apart = F.lower(F.regexp_replace(F.translate("text", MARK, "\n"), F.lit(ENDS), F.lit(f"$1{MARK}$2")))
     beside = F.array_distinct(F.regexp_extract_all(apart, F.lit(rf"(?<![\p{{L}}{MARK}]){WORD}(?!{MARK})"), F.lit(0)))
-    beside = source.where(may_hold(bitmap(shared, "digest"), "digest")).select("digest", beside.alias("beside")).dropDuplicates(["digest"])
+    beside = source.where(_may(shared, "digest")).select("digest", beside.alias("beside")).dropDuplicates(["digest"])
     pairs = shared.join(beside, "digest").select("c", "n_c", "copies", F.explode("beside").alias("t"))
     pairs = kept(pairs.groupBy("c", "n_c", "t").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_ct")).where(F.col("texts") >= support))
     candidates = kept(pairs.select("t").distinct())
     words = source.select("digest", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("t"))
-    n_t = words.where(may_hold(bitmap(candidates, "t"), "t")).groupBy("t").agg(F.count("*").alias("n_t"))
-    told = (F.log("n_ct") + F.lit(math.log(total)) - F.log("n_c") - F.log("n_t")) / F.greatest(F.lit(math.log(total)) - F.log("n_c"), F.lit(1e-9))
-    revealing = kept(pairs.join(n_t, "t").groupBy("t").agg(F.max(told).alias("told")).where(F.col("told") >= disclosure).select("t", (F.col("told") >= 1 - 1e-9).alias("wholly")))
-    holds = words.where(may_hold(bitmap(revealing, "t"), "t")).join(revealing, "t").distinct()
+    n_t = words.where(_may(candidates, "t")).groupBy("t").agg(F.count("*").alias("n_t"))
+    ic, pmi = F.log2(F.lit(total) / F.col("n_c")), F.log2(F.col("n_ct") * F.lit(total) / (F.col("n_c") * F.col("n_t")))
+    tells = (pmi > 0) & (pmi >= disclosure * ic) & (ic - pmi <= hidden)
+    revealing = kept(pairs.join(n_t, "t").where(tells).groupBy("t").agg(F.bool_or(F.col("n_ct") == F.col("n_t")).alias("wholly")))
+    holds = words.where(_may(revealing, "t")).join(revealing, "t").distinct()
     by_text = kept(holds.groupBy("digest").agg(F.sort_array(F.collect_list(F.when(F.col("wholly"), F.col("t")))).alias("whole"), F.sort_array(F.collect_list(F.when(~F.col("wholly"), F.col("t")))).alias("part")))
     alternatives = lambda c: F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(c, "|"), F.lit(r")(?!\p{L})"))
     none = F.array().cast(SPAN)
     spans = lambda c, how: F.when(F.size(c) > 0, F.transform(placed(F.col("text"), alternatives(c), 4), lambda s: s.withField("value", F.lit(how)))).otherwise(none)
-    holders = source.where(may_hold(bitmap(by_text, "digest"), "digest")).join(by_text, "digest").dropDuplicates(["digest"])
+    holders = source.where(_may(by_text, "digest")).join(by_text, "digest").dropDuplicates(["digest"])
     terms = holders.select("digest", F.array_sort(F.concat(spans("whole", "removed"), spans("part", "generalised"))).alias("terms"))
     return found.select("id", "digest", "base").withColumnRenamed("id", id_col), kept(terms)
 
@@ -171,7 +176,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(F.struct("*").alias("row"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("digest"))
     named = [F.col("row")[c].alias(c) for c in docs.columns]
     # Only rows that may have spans are shuffled; the others pass as they are.
-    may = may_hold(bitmap(spans, "digest"), "digest")
+    may = _may(spans, "digest")
     touched = rows.where(may).join(spans, "digest", "left")
     cleaned = [F.when(F.col("spans").isNotNull() & text.isNotNull(), clean).otherwise(text).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
     return touched.select(*cleaned).unionByName(rows.where(~may).select(*named))

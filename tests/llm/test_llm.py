@@ -373,6 +373,61 @@ def test_disclosing_terms(spark):
     assert all(clean[i] == text[i] for i in range(4, 60))
 
 
+def brute_terms(texts, n_docs):
+    """Disclosing terms -> whether wholly, by the definition, over a list of texts with repeats."""
+    import math
+
+    import regex
+
+    words_ = lambda t: {m[0].lower() for m in regex.finditer(r"\p{L}{2,}", t)}
+
+    def beside(t):
+        mails = [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        return {m[0].lower() for m in regex.finditer(r"\p{L}{2,}", t) if not any(m.start() <= e and m.end() >= s for s, e in mails)}
+
+    values = lambda t: {f"{k}:{t[s:e].lower()}" for k, s, e in brute_spans(t)}
+    out = {}
+    for c in set().union(*map(values, texts)):
+        with_c = [t for t in texts if c in values(t)]
+        for t in set().union(*map(beside, with_c)):
+            both = [x for x in with_c if t in beside(x)]
+            n_c, n_ct, n_t = len(with_c), len(both), sum(t in words_(x) for x in texts)
+            ic, pmi = math.log2(n_docs / n_c), math.log2(n_ct * n_docs / (n_c * n_t))
+            if len(set(with_c)) >= 2 and len(set(both)) >= 2 and pmi > 0 and pmi >= pii.DISCLOSURE * ic and ic - pmi <= pii.HIDDEN:
+                out[t] = out.get(t, False) or n_ct == n_t
+    return out
+
+
+def test_disclosing_terms_against_brute_force(spark, tmp_path):
+    import regex
+
+    rng = random.Random(21)
+    common, names = ["the", "of", "mail", "Über", "to", "é", "word"], ["Ana", "Li", "Quinn", "Zoë", "Marsh", "Okafor", "Bo"]
+    values = ["a@b.org", "c.d@e.com", "10.0.0.1", "+1 (555) 123-4567", "4111 1111 1111 1111", "ana@li.org"]
+    rows = []
+    for i in range(160):
+        w = rng.choices(common, k=rng.randint(0, 12))
+        if i % 3 == 0:
+            k = rng.randrange(len(values))
+            w += [values[k], names[k], "Only" + "abcdef"[k]] + rng.choices(names, k=rng.randint(0, 1))
+        if i % 17 == 0:
+            w += rng.choices(names, k=1)
+        rng.shuffle(w)
+        rows.append(" ".join(w))
+    rows += rows[:9] + [None, ""]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    terms = brute_terms([t or "" for t in rows], len(rows))
+    assert {True, False} == set(terms.values())
+    for r in pii.op7_pii(spark, str(tmp_path)).collect():
+        t = rows[r.doc_id] or ""
+        base = brute_spans(t)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == n for k, _, _ in base) for n in pii.PATTERNS]
+        written = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
+        assert r.base_sha256 == hashlib.sha256(written.encode()).hexdigest()
+        own = [("term", *m.span()) for m in regex.finditer(r"\p{L}+", t) if m[0].lower() in terms]
+        assert r.spans == ",".join(f"{k}:{s}:{e}" for k, s, e in [*base, *own])
+
+
 def test_terms_count_wherever_they_stand(spark):
     """At the edges of a text and far from the value, in every document that holds both."""
     far = " lorem ipsum dolor" * 60
