@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def stage(spark: SparkSession) -> str:
-    """A new folder under the one that driver and executors share."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints"
-    return f"{at.rstrip('/')}/ferrule-stream-{uuid.uuid4().hex}"
+from ferrule.shared import new_path
 
 
 def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int = 8) -> DataFrame:
@@ -36,7 +30,7 @@ def rollup(stream: DataFrame, width: str = "1 day", late: str = "2 days") -> Dat
 
 def replay(spark: SparkSession, events: DataFrame) -> DataFrame:
     """Writes ``events`` to a folder, part of them twice, streams them through ``append_once``, and reads the result."""
-    at = stage(spark)
+    at = new_path(spark, "stream-")
     events.write.parquet(f"{at}/in")
     events.where(F.col("event_id") % 10 == 0).write.mode("append").parquet(f"{at}/in")
     query = append_once(read_events(spark, f"{at}/in", events.schema), f"{at}/out", f"{at}/checkpoint")

@@ -217,6 +217,18 @@ def test_sampling_and_outcomes(spark):
     assert [r[0] for r in got] == ["final", "retryable", "other"]
 
 
+def test_shared_folder(spark, tmp_path):
+    from ferrule import shared
+
+    path = shared.new_path(spark)
+    spark.range(3).write.parquet(path)
+    assert path.startswith(shared.shared_dir(spark)) and os.path.exists(path.removeprefix("file:"))
+    assert shared.release(spark) >= 1 and not os.path.exists(path.removeprefix("file:")) and shared.release(spark) == 0
+    edges = spark.createDataFrame([(i, i + 1) for i in range(4)], "src long, dst long")
+    with pytest.raises(RuntimeError, match="goes on"):
+        publish.closure(edges, spark.createDataFrame([(0,)], "node long"), most=2)
+
+
 def test_everything_is_registered():
     import __spark_entry__ as e
 
@@ -229,7 +241,7 @@ def test_sinks_and_columns(spark, tmp_path):
 
     docs = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, None)], "id long, body string")
     sinks.write_index(docs, str(tmp_path / "index"), "id", "body")
-    assert sorted(map(tuple, sinks.read_postings(spark, str(tmp_path / "index"), ["a", "c"]).collect())) == [("a", 1, 2), ("c", 2, 1)]
+    assert sorted(map(tuple, sinks.read_postings(spark, str(tmp_path / "index"), ["a", "c"]).collect())) == [("a", 1, 2, [0, 2]), ("c", 2, 1, [1])]
     sinks.write_csv(docs, str(tmp_path / "csv"), ["body", "no", "id"])
     assert sorted(tuple(r) for r in spark.read.csv(str(tmp_path / "csv"), header=True).where("body is not null").collect()) == [("a b a", None, "1"), ("b c", None, "2")]
     sinks.write_text(spark.createDataFrame([(1, 2, "y"), (1, 1, "x")], "g int, o int, l string"), str(tmp_path / "text"), "g", "o", "l")
