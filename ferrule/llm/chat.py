@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import bitmap, bits_for, bucketed, kept, may_hold, running_total, table, tidy
+from ferrule.llm.common import bitmap, bits_for, bucketed, kept, may_hold, running_total, table, tidy, whole_numbers
 
 #: What marks a turn, and what no text may hold unescaped.
 OPEN, CLOSE = "<s>", "</s>\n"
@@ -138,6 +138,7 @@ def pack(conversations: DataFrame, tokenizer_path: str, conv_col: str = "conv_id
     the loss mask), ``ancestors array<struct<start,end>>``; their order is that of ``offset``. Members: ``conv, k, node``.
     """
     spark = conversations.sparkSession
+    whole_numbers(conversations, conv_col)
     with open(tokenizer_path, encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))

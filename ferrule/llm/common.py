@@ -9,22 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ferrule.shared import new_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by Spark alone, so any store that Spark opens will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one for tests where it is unset."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if at is None:
-        at = "/tmp/checkpoints"
-        sc.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A map over Arrow batches that gives its memory back when a task ends, as an idle worker stays in its executor."""
 
@@ -44,13 +36,21 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return tidied
 
 
+def whole_numbers(df: DataFrame, *cols: str) -> None:
+    """Ids that are compared and minimised as longs have to be whole numbers; others are an error, not nulls."""
+    for c in cols:
+        if not isinstance(df.schema[c].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            raise TypeError(f"{c} is {df.schema[c].dataType.simpleString()}, but has to be a whole number")
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read again.
 
-    Cuts the lineage, outlives any executor, and lets the planner know the real size of what follows.
+    Cuts the lineage, outlives any executor, and lets the planner know the real size of what follows. ``ferrule.shared.release``
+    deletes these tables once results are written elsewhere.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ferrule-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])).parquet(path)
 
@@ -63,7 +63,7 @@ def bucketed(df: DataFrame, col: str) -> DataFrame:
     spark = df.sparkSession
     name = f"ferrule_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(n, col).format("parquet").saveAsTable(name)
+    df.write.option("compression", "zstd").option("path", new_path(spark)).bucketBy(n, col).format("parquet").saveAsTable(name)
     out = spark.table(name)
     out.schema  # noqa: B018  resolved here, with its buckets
     spark.sql(f"DROP TABLE {name}")

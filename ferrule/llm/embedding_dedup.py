@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrule.llm.common import bitmap, bits_for, components, kept, may_hold, table, tidy
+from ferrule.llm.common import bitmap, bits_for, components, kept, may_hold, table, tidy, whole_numbers
 
 THRESHOLD, LEAF, SPILL, SAMPLE, MISS, SEED, BLOCK, MOST_TREES = 0.9, 1024, 0.25, 20_000, 2e-2, 11, 1536, 127
 #: A node is not split if more than this share of it would go both ways.
@@ -178,6 +178,7 @@ def _compare(t: pa.Table, dim: int, threshold: float) -> Iterator[pa.RecordBatch
 def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """``(id, n_links long, component_id long)`` of every row of ``vectors``."""
     spark = vectors.sparkSession
+    whole_numbers(vectors, id_col)
     float_ = isinstance(vectors.schema[vector_col].dataType.elementType, (T.FloatType, T.ByteType, T.ShortType))
     kind = "float" if float_ else "double"  # no more bytes than came in; cosines are taken in doubles
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda v: v.cast(kind)).alias("vector"))

@@ -12,7 +12,8 @@ fill up, that is one pass of running sums over the sources.
 
 Defined results: a null or empty text has size 0 and is taken 0 times; a null source is a source of its own; a null id
 hashes like an empty one; repeated rows are cut in turn, in the order (key, size), so which of two equal rows comes
-first cannot be told apart; other columns are not read; an empty table gives none.
+first cannot be told apart; other columns are not read; an empty table gives none; a very long text is counted whole. One task sorts
+the sources, a name and a size for each.
 """
 
 from __future__ import annotations

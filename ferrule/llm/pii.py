@@ -137,7 +137,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     alternatives = lambda c: F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(c, "|"), F.lit(r")(?!\p{L})"))
     none = F.array().cast(SPAN)
     spans = lambda c, how: F.when(F.size(c) > 0, F.transform(placed(F.col("text"), alternatives(c), 4), lambda s: s.withField("value", F.lit(how)))).otherwise(none)
-    holders = source.where(_may(by_text, "digest")).join(by_text, "digest").dropDuplicates(["digest"])
+    holders = source.where(_may(by_text, "digest")).select("digest", "text").dropDuplicates(["digest"]).join(by_text, "digest")  # copies meet before they are shuffled
     terms = holders.select("digest", F.array_sort(F.concat(spans("whole", "removed"), spans("part", "generalised"))).alias("terms"))
     return found.select("id", "digest", "base").withColumnRenamed("id", id_col), kept(terms)
 
@@ -185,6 +185,9 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every document."""
     found, terms = find_personal_data(table(spark, sf_dir, "documents"))
-    out = found.join(terms, "digest", "left").withColumn("all", F.concat("base", F.coalesce("terms", F.array().cast(SPAN))))
+    none, may = F.array().cast(SPAN), _may(terms, "digest")
+    # Only rows whose text may hold a term are shuffled.
+    out = found.where(may).join(terms, "digest", "left").select("doc_id", "base", F.concat("base", F.coalesce("terms", none)).alias("all"))
+    out = out.unionByName(found.where(~may).select("doc_id", "base", F.col("base").alias("all")))
     counts = [F.size(F.filter("base", _of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(PATTERNS)]
     return out.select("doc_id", *counts, F.sha2(_written("base"), 256).alias("base_sha256"), _written("all").alias("spans"))

@@ -17,7 +17,8 @@ of the one partition that holds it; a text is never shuffled.
 Defined results: a null or empty text has no n-grams and weight 0; a null id draws its noise like an empty one; repeated
 rows have equal keys and are kept or rejected together, so ties with the last key all stay; repeated labels of an id
 count once, as good only if all say so; null labels are ignored; without good labels every weight is 0; columns other
-than the id and the text are handed on or ignored, never read; an empty table gives none.
+than the id and the text are handed on or ignored, never read; an empty table gives none; a very long text is weighed whole, in
+memory in proportion to it.
 """
 
 from __future__ import annotations
@@ -126,9 +127,9 @@ def selected(least: float | None, key: str = "sample_key") -> Column:
     return F.lit(True) if least is None else F.col(key) >= F.lit(least)
 
 
-def keep_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """The rows of ``docs``, all columns, that the sample keeps; weighed once more in place, so no text is shuffled."""
-    ratios, least, _ = resample(docs, labels, id_col, text_col, label_col)
+def keep_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", k: int | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, that the sample of ``k`` keeps; weighed once more in place, so no text is shuffled."""
+    ratios, least, _ = resample(docs, labels, id_col, text_col, label_col, k)
     again = weigh(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")), ratios, "row")
     return again.withColumn("sample_key", F.col("tempered") / TEMPERATURE + gumbel(F.col("row")[id_col])).where(selected(least)).select("row.*")
 

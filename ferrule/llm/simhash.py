@@ -19,7 +19,8 @@ result; no link between different fingerprints is lost and copies are never expa
 
 Defined results: a null or empty text has no words and fingerprint zero, linked like any other; fewer than three words
 make one shingle; repeated rows give repeated rows with the same component; a null id keeps its fingerprint and takes
-the component of its fingerprint, null if that has no other id; other columns are not read; an empty table gives none.
+the component of its fingerprint, null if that has no other id; other columns are not read; an empty table gives none; a very
+long text is hashed whole, its bits summed 65,280 shingles at a time.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import bitmap, bits_for, components, kept, may_hold, table, tidy
+from ferrule.llm.common import bitmap, bits_for, components, kept, may_hold, table, tidy, whole_numbers
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: Fingerprints under one root node before it is factored once more.
@@ -186,6 +187,7 @@ def link_forest(unique: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fp long, component_id)`` of every row; ``component_id`` is the smallest id reachable over links."""
+    whole_numbers(docs, id_col)
     own = kept(fingerprints(docs, id_col, text_col))
     unique = kept(own.groupBy("fp").agg(F.min("id").alias("rep")))
     roots = components(link_forest(unique))
@@ -204,14 +206,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Of rows that repeat an id one stays; rows with a null id cannot be named by a group and all stay.
     """
-    found = near_duplicates(docs, id_col, text_col).where(F.col(id_col).isNotNull())
-    special = found.groupBy(F.col(id_col).alias("__id")).agg(F.bool_and(F.col(id_col) == F.col("component_id")).alias("__stays"), F.count("*").alias("__times"))
-    special = kept(special.where("not __stays or __times > 1"))
+    found = near_duplicates(docs, id_col, text_col).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("special"), "component_id")
+    special = found.groupBy("special").agg(F.bool_and(F.col("special") == F.col("component_id")).alias("stays"), F.count("*").alias("times"))
+    special = kept(special.where("not stays or times > 1"))
     n = special.count()
     # Texts that are certain to stay pass as they are; only the others meet the list of what goes.
-    may = may_hold(bitmap(special, "__id", bits_for(n)), id_col, bits_for(n)) & F.col(id_col).isNotNull()
-    rows = docs.where(may).join(special, F.col(id_col) == F.col("__id"), "left")
-    out = docs.where(~may).unionByName(rows.where("__id is null").select(docs.columns))
-    if special.where("__stays").isEmpty():
-        return out
-    return out.unionByName(rows.where("__stays").select(docs.columns).dropDuplicates([id_col]))
+    docs_ = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"))
+    may = may_hold(bitmap(special, "special", bits_for(n)), "id", bits_for(n)) & F.col("id").isNotNull()
+    rows = docs_.where(may).join(special, F.col("id") == F.col("special"), "left")
+    out = docs_.where(~may).select("row").unionByName(rows.where("special is null").select("row"))
+    if not special.where("stays").isEmpty():
+        out = out.unionByName(rows.where("stays").select("id", "row").dropDuplicates(["id"]).select("row"))
+    return out.select("row.*")

@@ -1,22 +1,26 @@
 """Operator 1, token counts.
 
-A two-tier lookup on the map side. Tier one is a compact broadcast table from frequent pre-tokens to their number of
-tokens: the strings a byte-level BPE vocabulary keeps whole, which its training text made frequent. It needs no scan of
-the corpus and is bounded by the vocabulary. Tier two is a cache in each Python worker that outlives batches and tasks:
-a pre-token met for the first time is encoded by the library once and remembered. No pre-token is ever shuffled; the
-plan is a scan, one Arrow map and a projection.
+A two-tier lookup on the map side. Tier one is a compact broadcast table from frequent pre-tokens to their number of tokens:
+the strings a byte-level BPE vocabulary keeps whole, which its training text made frequent, and of the pre-tokens of
+``SAMPLE`` documents, whichever are read first, the ``FREQUENT`` most frequent, which tell what is frequent here. It is bounded by the
+vocabulary and that number, and its choice cannot change a count. Tier two is a cache in each Python worker that outlives
+batches and tasks: a pre-token met for the first time is encoded by the library once and remembered. No pre-token is ever
+shuffled; the plan is a scan, one Arrow map and a projection.
 
 Exactness: the library splits a text at its added tokens, then by the byte-level pattern, and encodes each pre-token on
-its own, so lengths add up. Unicode tables of the two regex engines may differ for letters added lately; a text with a
-character outside the scripts that have long been stable is encoded by the library whole.
+its own, so lengths add up. Unicode tables of the two regex engines may differ for letters added lately; a run between white space
+with a character outside the scripts that have long been stable is encoded by the library as it is, and remembered like a
+pre-token. No pre-token reaches over the place where white space begins.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; rows are independent, so repeated rows give repeated
-rows; only the id and the text are read, so other columns cannot clash; an empty table gives an empty result.
+rows; only the id and the text are read, so other columns cannot clash; an empty table gives an empty result; a very long text is
+counted whole, in memory in proportion to it.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -31,6 +35,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 #: UTF-8 lead bytes of scripts whose letters may differ between Unicode versions.
 UNSTABLE = re.compile(rb"[\xca-\xcc\xdc-\xe1\xe4\xe9\xea\xed-\xff]|\xe2[^\x80-\x8b]|\xe3[^\x80-\x83]")
 HIGH = bytes(range(0xCA, 0x100))
+#: A run from where white space begins to where it next begins.
+RUN = r"\p{White_Space}*\P{White_Space}+|\p{White_Space}+"
+SAMPLE, FREQUENT = 1_000, 50_000
 #: Pre-tokens a worker remembers beyond the broadcast table before it starts anew.
 CACHE = 500_000
 
@@ -66,18 +73,44 @@ def counter(tokenizer_json: str, frequent: dict[str, int], cache: int = CACHE) -
 
     length = Lengths(frequent).__getitem__
 
+    runs = regex.compile(RUN).findall
+
+    def by_run(part: str) -> int:
+        return sum(length(r) if UNSTABLE.search(r.encode()) else sum(map(length, findall(r))) for r in runs(part))
+
     def count(raw: bytes) -> int:
-        if len(raw.translate(None, HIGH)) != len(raw) and UNSTABLE.search(raw):
-            return len(encode(raw.decode(), add_special_tokens=False).ids)
         text = raw.decode()
+        unsure = len(raw.translate(None, HIGH)) != len(raw) and UNSTABLE.search(raw)
+        one = by_run if unsure else lambda part: sum(map(length, findall(part)))
         if special and special.search(text):
             parts = special.split(text)
-            return len(parts) - 1 + sum(sum(map(length, findall(p))) for p in parts)
-        return sum(map(length, findall(text)))
+            return len(parts) - 1 + sum(map(one, parts))
+        return one(text)
 
     return count
 
 
+def sampled_lengths(docs: DataFrame, tokenizer_json: str, text_col: str, rows: int = SAMPLE, most: int = FREQUENT) -> dict[str, int]:
+    """Pre-token -> number of tokens, for the most frequent pre-tokens of ``rows`` documents; counted in one task, which reads no more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+        from tokenizers import Tokenizer
+
+        findall, seen = regex.compile(PATTERN).findall, Counter()
+        for b in batches:
+            for raw in b.column(0).cast(pa.binary()).to_pylist():
+                if raw and not UNSTABLE.search(raw):
+                    seen.update(findall(raw.decode()))
+        words = [w for w, n in seen.most_common(most) if n > 1]
+        tok = Tokenizer.from_str(tokenizer_json)
+        sizes = [len(e.ids) for e in tok.encode_batch(words, add_special_tokens=False)]
+        yield pa.record_batch([pa.array(words, pa.string()), pa.array(sizes, pa.int64())], names=["word", "n"])
+
+    found = docs.select(F.col(text_col).alias("text")).limit(rows).mapInArrow(run, "word string, n long").toArrow()
+    return dict(zip(found.column("word").to_pylist(), found.column("n").to_pylist(), strict=True))
+
+
 _counters: dict[int, Callable[[bytes], int]] = {}
 
 
@@ -93,7 +126,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """``(id, n_bytes, n_tokens)`` of every whole text, as the tokenizer file at ``tokenizer_path`` counts it."""
     with open(tokenizer_path, encoding="utf-8") as f:
         definition = f.read()
-    shared = docs.sparkSession.sparkContext.broadcast((definition, frequent_lengths(definition)))
+    shared = docs.sparkSession.sparkContext.broadcast((definition, frequent_lengths(definition) | sampled_lengths(docs, definition, text_col)))
     key = hash(definition)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ Only the text reaches a score. Rows whose crc32(id as text) mod 5 is 0 are held
 Defined results: a null or empty text has no features and scores the base rate; rows are independent, so repeated rows
 repeat; repeated labels of an id count once, as toxic if any says so; null labels are ignored; without labels of both
 kinds every score is the base rate (a half if there are none); a null id is held out like an empty one; other columns
-are not read; an empty table gives none.
+are not read; an empty table gives none; a very long text is cut into blocks of ``CHUNK`` code points that overlap by an n-gram.
 """
 
 from __future__ import annotations

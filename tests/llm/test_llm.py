@@ -84,11 +84,16 @@ def test_token_counts_match_the_library(spark, docs, odd, none):
     alphabet = [*"ab'sS tl 1²½\n\t\r\x0b\x0c\x1c\x85\xa0éßΩж中あ한　—“😀́_-", "<|endoftext|>", "'ll", "  "]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
     count = token_counts.counter(open(BPE, encoding="utf-8").read(), token_counts.frequent_lengths(open(BPE, encoding="utf-8").read()), cache=50)
+    texts += [" ".join(rng.choice(["中文 字", "word", "\u3000 x", "한국어", "\u1c80\u1c81", "नमस्ते", "it's", "\x1c", "😀😀", "\n\n", "12", "𞤀𞤁"]) for _ in range(rng.randint(0, 20))) for _ in range(2000)]
     assert [count(t.encode()) for t in texts] == [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
     for df in (docs, odd):
         want = sorted((str(r.doc_id), len((r.text or "").encode()), len(tok.encode(r.text or "", add_special_tokens=False).ids)) for r in df.collect())
         assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(df, BPE).collect()) == want
     assert token_counts.count_tokens(none, BPE).count() == 0
+    tier = token_counts.sampled_lengths(docs, open(BPE, encoding="utf-8").read(), "text", 100)
+    assert tier and max(tier.values()) > 1 and all(n == len(tok.encode(w, add_special_tokens=False).ids) for w, n in tier.items())
+    over = {r.doc_id: r.over_limit for r in token_counts.op1_token_counts(spark, SF).collect()}
+    assert over == {r.doc_id: len(tok.encode(r.text or "", add_special_tokens=False).ids) > 512 for r in docs.collect()}
 
 
 # 2
@@ -130,6 +135,31 @@ def test_quality_weights_are_sums_of_log_ratios(spark, docs):
     assert np.allclose(ratios, np.log((target + quality.BUCKETS * p) / (target.sum() + quality.BUCKETS)) - np.log(p))
 
 
+def test_quality_weight_of_each_document(spark, docs):
+    """Each document's weight and tempered weight, n-gram by n-gram, and the sample of a size asked for."""
+    labels = table(spark, SF, "labels")
+    ratios, _, weighed = quality.resample(docs, labels, k=50)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in weighed.collect()[:60]:
+        tokens = re.findall(rb"[0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff\x00-\x20\x7f]+", text[r.doc_id].encode().lower())
+        crc = [zlib.crc32(t) for t in tokens]
+        grams = crc + [1 if a == b else (a * 0xD6E8FEB86659FD93 + b * 0x9E3779B97F4A7C15) % 2**64 for a, b in zip(crc, crc[1:], strict=False)]
+        w = [ratios[(g * 0x9E3779B97F4A7C15 % 2**64) >> 50] for g in grams]
+        assert r.log_weight == pytest.approx(sum(w), abs=1e-6)
+        assert r.tempered == pytest.approx(sum(w) / max(1, len(w)) * min(len(w), quality.EVIDENCE) ** 0.5, abs=1e-6)
+    assert quality.keep_sample(docs, labels, k=50).count() == 50
+
+
+def test_quality_held_out(spark):
+    """Learnt without a fifth of the labels, the sample still tells that fifth apart."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    _, least, weighed = quality.resample(docs, labels.where(~toxicity.held_out("doc_id")))
+    got = {r.doc_id: r.sample_key >= least for r in weighed.collect()}
+    held = [(got[r.doc_id], r.quality) for r in labels.where(toxicity.held_out("doc_id")).collect()]
+    assert np.mean([g for g, q in held if q]) > 0.95 and np.mean([g for g, q in held if not q]) < 0.15
+
+
 def test_quality_on_odd_input(spark, odd, none):
     labels = spark.createDataFrame([(3, 1), (3, 1), (2, None), (None, 1), (4, 0)], "doc_id long, quality int")
     kept = quality.keep_sample(odd, labels)
