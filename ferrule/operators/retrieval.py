@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrule.shared import new_path
+
 #: BM25 parameters, and the floor of a term's idf.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
@@ -28,16 +30,25 @@ def query_terms(queries: DataFrame, qid: str, text: str, n: int = 6) -> DataFram
     return queries.select(F.col(qid).alias("qid"), F.explode(first_terms(text, n)).alias("term"))
 
 
-def postings(docs: DataFrame, doc: str, text: str, terms: DataFrame) -> DataFrame:
-    """``(doc, term, tf, dl)`` for the terms in ``terms(term)``; ``dl`` is the document's number of tokens."""
-    words = docs.select(F.col(doc).alias("doc"), tokens(text).alias("w")).select("doc", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    return words.join(terms.select("term").distinct(), "term", "left_semi").groupBy("doc", "term", "dl").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, doc: str, text: str, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(doc, term, tf, dl)`` for the terms in ``terms(term)``, ``dl`` the document's number of tokens; and ``(n_docs, avg_dl)``.
+
+    One pass over the texts: each document also has a row for the term of no characters, which tells its length. What is
+    found is written to the shared folder, as it is little and is read several times.
+    """
+    words = docs.select(F.col(doc).alias("doc"), F.coalesce(tokens(text), F.array().cast("array<string>")).alias("w"))
+    words = words.select("doc", F.size("w").alias("dl"), F.explode(F.concat("w", F.array(F.lit("")))).alias("term"))
+    asked = terms.select("term").unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    found = words.join(asked, "term", "left_semi").groupBy("doc", "term", "dl").agg(F.count("*").alias("tf"))
+    path = new_path(docs.sparkSession, "postings-")
+    found.write.parquet(path)
+    all_ = docs.sparkSession.read.schema(found.schema).parquet(path)
+    return all_.where("term <> ''"), all_.where("term = ''").agg(F.sum("tf").alias("n_docs"), F.avg("dl").alias("avg_dl"))
 
 
 def bm25(docs: DataFrame, doc: str, text: str, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """``(qid, doc, score)`` of every document that holds a term of the query ``terms(qid, term)``; less is better."""
-    post = postings(docs, doc, text, terms)
-    size = docs.agg(F.count("*").alias("n_docs"), F.avg(F.coalesce(F.size(tokens(text)), F.lit(0))).alias("avg_dl"))
+    post, size = postings(docs, doc, text, terms)
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     odds = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(odds <= 0, F.lit(IDF_FLOOR)).otherwise(odds)
@@ -92,11 +103,6 @@ def tf_idf(passages: DataFrame, keys: list[str], words: str, terms: DataFrame) -
     return got.join(asked, "qid").select("qid", *keys, (F.col("s") * F.sqrt(F.col("found") / F.col("asked"))).alias("score"))
 
 
-def fires(blob: Column, group: Column) -> Column:
-    """Whether a term of two characters or more of the alias group occurs in the lower-cased text as a whole word."""
-    return F.exists(group, lambda t: (F.length(t) >= 2) & F.concat(F.lit(" "), blob, F.lit(" ")).contains(F.concat(F.lit(" "), t, F.lit(" "))))
-
-
 def prefer(df: DataFrame, by: list[str], condition: Column) -> DataFrame:
     """The rows of a group that meet the condition, or all of them if none does."""
     some = F.max(F.coalesce(condition, F.lit(False))).over(Window.partitionBy(*by))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions import text as X
+from ferrule.operators import search as S
 from ferrule.operators.retrieval import prefer
 from ferrule.plans import query, table
 
@@ -29,12 +30,14 @@ def fts_normalise(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.fts_normal("text").alias("norm"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[A-Z][a-z]+[0-9]+') || regexp_extract_all(text, '[0-9]{3,}')) AS x FROM documents)
+@query(r"""WITH t AS (SELECT doc_id, list_distinct(
+  list_transform(regexp_extract_all(text, '(\d(?:\.\d+)?)([A-Za-z]{1,2})(\d+(?:\.\d+)?)'), lambda m: regexp_replace(m, '(\d(?:\.\d+)?)([A-Za-z]{1,2})(\d+(?:\.\d+)?)', '\1 \2 \3'))
+  || list_transform(regexp_extract_all(text, '\b(E|Fe)\s+(\d{3})\b'), lambda m: regexp_replace(m, '(E|Fe)\s+(\d{3})', '\1\2')) || list_transform(regexp_extract_all(text, '\b[kK]\s*([1-4])\b'), lambda m: 'k' || m[-1])) AS x FROM documents)
 SELECT doc_id, array_to_string(list_sort(x), ' ') AS extra FROM t WHERE len(x) > 0""")
 def fts_extra_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Extra tokens of glued and numeric forms, each once."""
-    x = F.array_distinct(F.concat(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+[0-9]+"), F.lit(0)), F.regexp_extract_all("text", F.lit("[0-9]{3,}"), F.lit(0))))
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(x), " ").alias("extra")).where("extra <> ''")
+    """Extra tokens of glued and spaced forms, each once."""
+    x = table(spark, d, "documents").select("doc_id", S.extra_tokens(F.col("text")).alias("x")).where(F.size("x") > 0)
+    return x.select("doc_id", F.array_join(F.array_sort("x"), " ").alias("extra"))
 
 
 @query(r"""SELECT 'doc:' || doc_id AS rec_id, 'page' AS kind, coalesce(source, '') AS collection, length(text) AS n FROM documents WHERE length(text) >= 40

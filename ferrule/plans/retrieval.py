@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ferrule.functions.text import casefold, nfkc
 from ferrule.operators import retrieval as R
+from ferrule.operators import search as Q
 from ferrule.plans import query, table
 
 #: Alias groups, as data.
-ALIASES = [["the", "der", "le", "el"], ["and", "und", "et", "y"], ["trash", "scum", "moron"], ["idiot", "clown"], ["license", "licensed"]]
+ALIASES = [["the", "der", "le", "el"], ["and", "und", "et", "y"], ["trash", "scum", "moron"], ["idiot", "clown"], ["license", "licensed"], ["of the", "des"]]
 
 POSTINGS = r"""
 d AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
@@ -77,7 +79,8 @@ n AS (SELECT doc_id, CAST(len(list_filter(range(1, len(w)), lambda i: w[i] = 'of
 SELECT doc_id, n FROM n WHERE n > 0""")
 def phrase_match(spark: SparkSession, d: str) -> DataFrame:
     """A quoted phrase: adjacent positions."""
-    w = table(spark, d, "documents").select("doc_id", R.tokens("text").alias("w"))
+    may = F.lower("text").rlike(r"of[^\p{L}\p{N}]+the")  # cheaper than cutting every text into words
+    w = table(spark, d, "documents").where(may).select("doc_id", R.tokens("text").alias("w"))
     return w.select("doc_id", R.occurrences(F.col("w"), ["of", "the"]).cast("long").alias("n")).where("n > 0")
 
 
@@ -123,7 +126,7 @@ def keyword_all_terms_any_alias(spark: SparkSession, d: str) -> DataFrame:
     alts = each.join(groups, F.array_contains(groups.terms, each.term), "left").groupBy("qid", "term").agg(F.array_distinct(F.concat(F.array("term"), F.flatten(F.collect_list("terms")))).alias("alts"))
     asked = alts.groupBy("qid").agg(F.collect_list("alts").alias("all"))
     # The keyword queries are a handful of rows by construction.
-    low = table(spark, d, "documents").select("doc_id", F.lower("text").alias("low"))
+    low = table(spark, d, "documents").select("doc_id", casefold(nfkc("text")).alias("low"))
     ok = F.forall("all", lambda g: F.exists(g, lambda a: F.col("low").contains(a)))
     return low.join(F.broadcast(asked), ok).select("qid", "doc_id")
 
@@ -139,17 +142,86 @@ def query_expansion_variants(spark: SparkSession, d: str) -> DataFrame:
     return terms.join(F.broadcast(pairs), "term").select("item_id", "term", "alias")
 
 
-@query(rf"""WITH {SQL_ALIASES}, d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), ' ') || ' ' AS blob FROM documents),
-f AS (SELECT doc_id, unnest(list_filter(g.terms, lambda t: length(t) >= 2)) AS term FROM d, g
-      WHERE len(list_filter(g.terms, lambda t: length(t) >= 2 AND contains(blob, ' ' || t || ' '))) > 0)
+@query(rf"""WITH {SQL_ALIASES}, d AS (SELECT doc_id, ' ' || regexp_replace(lower(text), '\s+', ' ', 'g') || ' ' AS low, regexp_extract_all(text, '[\p{{L}}\p{{N}}_/∆.\-]+') AS w FROM documents),
+e AS (SELECT doc_id, low, list_concat(w, list_transform(w, lambda x: regexp_replace(x, '^[.\-]+|[.\-]+$', '', 'g'))) AS w FROM d),
+l AS (SELECT doc_id, low, w, list_transform(w, lambda x: lower(x)) AS lw FROM e),
+f AS (SELECT doc_id, unnest(list_filter(g.terms, lambda t: length(t) >= 2)) AS term FROM l, g
+      WHERE len(list_filter(g.terms, lambda t: length(t) >= 2 AND CASE WHEN contains(t, ' ') THEN contains(low, ' ' || t) WHEN length(t) <= 4 THEN list_contains(w, t) ELSE list_contains(lw, t) END)) > 0)
 SELECT doc_id, array_to_string(list_sort(list(DISTINCT term)), ' ') AS alias_tokens FROM f GROUP BY doc_id""")
 def alias_tokens(spark: SparkSession, d: str) -> DataFrame:
     """All terms of the alias groups that fire on a text (X11)."""
-    blob = table(spark, d, "documents").select("doc_id", F.array_join(R.tokens("text"), " ").alias("blob"))
-    groups = F.array(*[F.array(*map(F.lit, a)) for a in ALIASES])
-    fired = F.filter(groups, lambda g: R.fires(F.col("blob"), g))
-    out = F.array_sort(F.array_distinct(F.filter(F.flatten(fired), lambda t: F.length(t) >= 2)))
-    return blob.select("doc_id", F.array_join(out, " ").alias("alias_tokens")).where("alias_tokens <> ''")
+    found = table(spark, d, "documents").select("doc_id", Q.alias_tokens(F.col("text"), ALIASES).alias("t"))
+    return found.select("doc_id", F.array_join(F.array_sort("t"), " ").alias("alias_tokens")).where("alias_tokens <> ''")
+
+
+#: Questions, as data, and the clauses that they and their aliases ask for.
+QUESTIONS = [("q1", "the license"), ("q2", '"of the" idiot'), ("q3", "und trash"), ("q4", "1.50"), ("q5", "trash-scum!"), ("q6", "license")]
+LAST = 1 << 20
+ASKED = [
+    ("q1", 0, 1, ["the"]), ("q1", 0, 2, ["license"]), *[("q1", LAST, 0, [t]) for t in ALIASES[0]], ("q1", LAST, 1, ["license"]),
+    ("q2", 0, 1, ["of", "the"]), ("q2", 0, 2, ["idiot"]), ("q2", LAST, 0, ["of"]), *[("q2", LAST, 1, [t]) for t in ALIASES[0]], ("q2", LAST, 2, ["idiot"]),
+    ("q3", 0, 1, ["und"]), ("q3", 0, 2, ["trash"]), *[("q3", LAST, 0, [t]) for t in ALIASES[1]], ("q3", LAST, 1, ["trash"]),
+    ("q4", 0, 1, ["1", "50"]), ("q4", 0, 1, ["1", "5", "0"]), ("q5", 0, 1, ["trash"]), ("q5", 0, 2, ["scum"]), ("q6", 0, 1, ["license"]), ("q6", 1, 1, ["licensed"]),
+]
+SEARCH = r"""ph(qid, variant, clause, p) AS (VALUES """ + ", ".join(f"('{q}', {v}, {c}, {p})" for q, v, c, p in ASKED) + r"""),
+d AS (SELECT doc_id, coalesce(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), []) AS w FROM documents),
+tf AS (SELECT * FROM (SELECT p, doc_id, CAST(len(list_filter(range(1, len(w) - len(p) + 2), lambda i: w[i : i + len(p) - 1] = p)) AS BIGINT) AS tf, len(w) AS dl FROM (SELECT DISTINCT p FROM ph), d WHERE list_has_all(w, p)) WHERE tf > 0),
+df AS (SELECT p, count(*) AS df FROM tf GROUP BY p), size AS (SELECT count(*) AS n_docs, avg(len(w)) AS avg_dl FROM d),
+met AS (SELECT qid, variant, doc_id, count(DISTINCT clause) AS met FROM ph JOIN tf USING (p) GROUP BY ALL),
+want AS (SELECT qid, variant, count(DISTINCT clause) AS met FROM ph GROUP BY ALL),
+ok AS (SELECT qid, variant, doc_id FROM met JOIN want USING (qid, variant, met)),
+s AS (SELECT qid, variant, doc_id, round(-sum((CASE WHEN ln((n_docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - df + 0.5) / (df + 0.5)) END) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avg_dl))), 8) AS score
+  FROM ok JOIN (SELECT DISTINCT qid, variant, p FROM ph) USING (qid, variant) JOIN tf USING (p, doc_id) JOIN df USING (p), size GROUP BY ALL)
+"""
+
+
+def asked_and_found(spark: SparkSession, d: str) -> DataFrame:
+    asked = Q.variants(spark.createDataFrame(QUESTIONS, "qid string, text string"), "qid", "text", ALIASES, R.tokens)
+    postings, lengths = Q.positions(table(spark, d, "documents"), "doc_id", "text", R.tokens)
+    terms = asked.select(F.explode("phrase").alias("term")).distinct()
+    return Q.evaluate(asked, postings.join(F.broadcast(terms), "term", "left_semi"), lengths).withColumn("score", F.round("score", 8))
+
+
+@query("WITH " + SEARCH + "SELECT qid, variant, doc_id, round(score, 6) AS score FROM s")
+def match_clauses(spark: SparkSession, d: str) -> DataFrame:
+    """Questions as clauses of phrases, with their variants by alias, and the BM25 score of each document that meets one."""
+    return asked_and_found(spark, d).select("qid", F.col("variant").cast("int").alias("variant"), F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query("WITH " + SEARCH + """,
+o AS (SELECT qid, doc_id, arg_min(score, variant) AS score, min(variant) AS variant FROM (SELECT *, row_number() OVER (PARTITION BY qid, variant ORDER BY score, doc_id) AS r FROM s) WHERE r <= 60 GROUP BY ALL),
+a AS (SELECT o.qid, o.doc_id, o.variant, d.source, o.doc_id % 4 AS k, o.doc_id // 3 AS page, coalesce(l.quality, 1) = 0 AS back,
+  round(o.score + CASE WHEN l.toxic = 1 THEN 20 ELSE 0 END + CASE WHEN coalesce(l.quality, 1) = 0 THEN 40 ELSE 0 END + CASE WHEN d.n_chars <= 100 THEN 4 ELSE 0 END + CASE WHEN o.doc_id % 4 < 2 THEN -1.5 ELSE 0 END, 8) AS score
+  FROM o JOIN documents d USING (doc_id) LEFT JOIN labels l USING (doc_id)),
+g AS (SELECT qid, page, list({'score': score, 'doc': doc_id, 'k': k, 'variant': variant, 'back': back} ORDER BY score, doc_id) AS x FROM a GROUP BY ALL),
+b AS (SELECT qid, len(x) - 1 AS collapsed, list_reduce(x, lambda p, n: CASE WHEN n.k < p.k AND n.score <= p.score + 1.0 THEN n ELSE p END) AS y FROM g),
+f AS (SELECT qid, y.doc AS doc_id, y.variant AS variant, y.score AS score, collapsed, y.back AS back, row_number() OVER (PARTITION BY qid ORDER BY y.back, y.score, y.doc) AS rank FROM b)
+SELECT qid, rank, doc_id, variant, collapsed, back AS backmatter, round(score, 6) AS score FROM f WHERE rank <= 5""")
+def fts_search(spark: SparkSession, d: str) -> DataFrame:
+    """A search from question to ranked hits (L1, X7, W13, L4): over-fetch, first variant, adjustments, one hit a page, back matter last."""
+    docs, labels = table(spark, d, "documents").select("doc_id", "n_chars"), table(spark, d, "labels")
+    hits = Q.first_variant(asked_and_found(spark, d), 5).withColumnRenamed("doc", "doc_id").join(docs, "doc_id").join(labels, "doc_id", "left")
+    back = F.coalesce("quality", F.lit(1)) == 0
+    rules = [(F.col("toxic") == 1, 20), (back, 40), (F.col("n_chars") <= 100, 4), (F.col("doc_id") % 4 < 2, -1.5)]
+    rows = Q.adjusted(hits.withColumn("backmatter", back), rules).withColumn("score", F.round("score", 8))
+    rows = rows.select("qid", F.col("doc_id").alias("doc"), "variant", "backmatter", "score", F.floor(F.col("doc_id") / 3).alias("page"))
+    one = Q.one_a_page(rows, ["page"], F.col("doc") % 4)
+    best = Q.ranked(one, F.col("backmatter"), 5)
+    return best.select("qid", "rank", F.col("doc").alias("doc_id"), F.col("variant").cast("int").alias("variant"), "collapsed", "backmatter", F.round("score", 6).alias("score"))
+
+
+@query()
+def fts_search_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    """Questions asked of a stored index of stems with places (X1, K2); SQL has no stems, so tests hold it against a plain loop."""
+    from ferrule.shared import new_path
+    from ferrule.sources import sinks
+
+    path = new_path(spark, "index-")
+    sinks.write_index(table(spark, d, "documents"), path, "doc_id", "text", Q.index_terms)
+    asked = Q.clauses(spark.createDataFrame(QUESTIONS, "qid string, text string"), "qid", "text").withColumn("variant", F.lit(0))
+    terms = [r[0] for r in asked.select(F.explode("phrase")).distinct().collect()]  # of a few literal questions
+    found = Q.evaluate(asked, sinks.read_postings(spark, path, terms), spark.read.parquet(f"{path}/doc_len"))
+    return found.select("qid", F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(r"""SELECT item_id, regexp_extract(text, '\b([A-Z][a-z]+)\.', 1) AS hint,
