@@ -191,7 +191,8 @@ def test_chat_round_trip(spark):
     segments, members = chat.pack(df, BPE)
     got = {r[0]: tuple(r)[1:6] for r in chat.read_back(segments, members, BPE).collect()}
     assert got == brute_chat(CHATS)
-    assert chat.pack(df.limit(0), BPE)[0].count() == 0
+    nothing = chat.pack(df.limit(0), BPE)
+    assert nothing[0].count() == 0 and chat.read_back(*nothing, BPE).count() == 0
     for text in ("\\", "\\\\<s>", "[INST]</s>\\n", "<</s>>", "\\n\n"):
         assert chat.unescape(chat.escape(text)) == text
         assert chat.read_turn("".join(chat.parts(text, text))) == (text, text)
@@ -247,6 +248,38 @@ def test_toxicity_held_out(spark):
     assert np.mean(pairs) > 0.85
 
 
+def test_toxicity_scores_by_hand(spark):
+    """Log-count ratios, the features they pick and every score, from the n-grams of each text."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    which, weight, base = toxicity.fit(docs, labels, "doc_id", "text", "toxic")
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    y = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 5}
+    y = {i: t for i, t in y.items() if i in text}
+    n = {0: sum(not t for t in y.values()), 1: sum(map(bool, y.values()))}
+    seen = {0: defaultdict(int), 1: defaultdict(int)}
+    for i, t in y.items():
+        for b in toxicity.buckets(text[i]).tolist():
+            seen[int(t > 0)][b] += 1
+    ratio = {b: np.log((seen[1][b] + 1) / (n[1] + 2)) - np.log((seen[0][b] + 1) / (n[0] + 2)) for b in set(seen[0]) | set(seen[1]) if seen[0][b] + seen[1][b] >= toxicity.LEAST}
+    gain = {b: abs(r) * abs(seen[1][b] / n[1] - seen[0][b] / n[0]) for b, r in ratio.items()}
+    least = sorted(gain.values(), reverse=True)[min(toxicity.FEATURES, len(gain)) - 1]
+    assert len(which) == min(toxicity.FEATURES, len(gain)) and all(gain[b] >= least - 1e-12 for b in which.tolist())
+    # The regression: coefficients over the ratios are where the penalised loss has no slope.
+    at = {b: k for k, b in enumerate(which.tolist())}
+    w = weight / np.array([ratio[b] for b in which.tolist()])
+    x = np.zeros((len(y), len(which)))
+    for row, i in enumerate(y):
+        for b in toxicity.buckets(text[i]).tolist():
+            if b in at:
+                x[row, at[b]] = ratio[b]
+    e = 1 / (1 + np.exp(-(x @ w + base))) - np.array([t > 0 for t in y.values()])
+    slope = x.T @ e / len(y) + 2e-2 * w / len(which) ** 0.5
+    assert np.abs(slope).max() < 0.02 and abs(e.mean()) < 0.02
+    for r in toxicity.score(docs, (which, weight, base)).collect()[:50]:
+        z = base + sum(weight[at[b]] for b in set(toxicity.buckets(text[r.doc_id]).tolist()) if b in at)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)))
+
+
 def test_toxicity_on_odd_input(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (2, None), (3, 0), (3, 1), (4, 0), (None, 1)], "doc_id long, toxic int")
     got = toxicity.score(odd, toxicity.fit(odd, labels, "doc_id", "text", "toxic")).collect()
@@ -330,6 +363,20 @@ def test_simhash_against_brute_force(spark, docs, odd):
         assert sorted((r.doc_id, r.fp % 2**64, r.component_id) for r in got) == sorted((i, x, want[i]) for i, x in rows)
 
 
+def test_very_long_texts_are_cut_into_blocks():
+    """Beyond 65,280 shingles, and beyond 2 ** 18 code points, the blocks give what one block would."""
+    rng = random.Random(17)
+    text = " ".join(rng.choice(["ab", "cd", "é", "fgh", "ij"]) + str(rng.randrange(50)) for _ in range(70_000))
+    assert simhash.fingerprint(text.encode()) == brute_fingerprint(text)
+    assert len(text) > toxicity.CHUNK
+    whole = toxicity.buckets(text)
+    try:
+        toxicity.CHUNK, before = 1 << 30, toxicity.CHUNK
+        assert np.array_equal(whole, toxicity.buckets(text))
+    finally:
+        toxicity.CHUNK = before
+
+
 def test_simhash_index_loses_no_link(spark, monkeypatch):
     rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(30)]
@@ -653,3 +700,26 @@ def test_pipeline_stages(spark):
     mixed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r.doc_id: r.size for r in mixed} == {i: len(words(t)) for i, t in before.items()}
     assert sorted(map(str, mixed)) == sorted(map(str, corpus_pipeline.run(spark, SF).collect()))
+
+
+def test_pipeline_on_odd_and_empty_input(spark, odd, none, tmp_path):
+    """Each stage on nulls, empty and very long texts, repeated rows and clashing columns, and on no rows at all."""
+    spark.createDataFrame([(3, 1, 0), (2, None, None), (4, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "nothing of the kind"), (2, None), (None, "one two")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, none, str(tmp_path))
+        assert empty.count() == 0, name
+        got = stage(spark, odd, str(tmp_path))
+        if name == "mixing":
+            assert got.count() == len(ODD)
+            continue
+        assert got.columns == odd.columns and empty.columns == none.columns, name
+        before = [(r.doc_id, r.text) for r in odd.collect()]
+        after = [(r.doc_id, r.text) for r in got.collect()]
+        assert all(x in before for x in after), name
+        if name == "near_duplicates":  # one of the texts without words, of each repeated one, and what has no id
+            assert sorted(map(str, (i for i, _ in after))) == ["1", "3", "4", "None", "None"]
+        if name in ("decontamination", "personal_data"):
+            assert len(after) == len(before)
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
