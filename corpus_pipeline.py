@@ -1,6 +1,12 @@
 """The corpus pipeline: five stages over ``documents``, each one operator, each over all its predecessor kept.
 
 Every stage but the last returns the columns of documents; the last returns how many words the mix takes of each.
+
+Defined results, stage by stage, for input that is not as it should be: columns beyond those of documents are handed on whatever
+their names; an empty table gives none. Quality: a null or empty text weighs 0 and is sampled like any other weight; rows that
+repeat stay or go together. Near-duplicates: null and empty texts are one group; of rows that repeat an id one stays, and rows
+without an id all stay. Decontamination: a null or empty text is clean. Personal data: a null text stays null. Mixing: a null
+or empty text has size 0. Very long texts are read whole by every stage.
 """
 
 from __future__ import annotations
