@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import functools
 import re
 import unicodedata
 
@@ -111,6 +112,7 @@ def numeric(c: Column) -> Column:
 VOWELS = "aeiou"
 
 
+@functools.lru_cache(maxsize=1 << 20)
 def stem(word: str) -> str:
     """A word's stem by Porter's published algorithm."""
     if len(word) <= 2:
@@ -173,8 +175,7 @@ def stem(word: str) -> str:
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stems(words: pd.Series) -> pd.Series:
     """Stems of the words of an array."""
-    known: dict[str, str] = {}
-    return words.map(lambda ws: [known.setdefault(w, stem(w)) for w in ws], na_action="ignore")
+    return words.map(lambda ws: [stem(w) for w in ws], na_action="ignore")
 
 
 def snippet_of(text: str, terms: list[str], width: int = 40) -> str:

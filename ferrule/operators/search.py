@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ferrule.functions.text import casefold, fts_normal, nfkc, stems
 from ferrule.operators.retrieval import B, IDF_FLOOR, K1, tokens
+from ferrule.shared import new_path
 
 #: Characters that a bare word of a question keeps beside letters, digits, underscores and dots.
 KEEP = "ΩωφΦλΛαΑβγδεΔπΠσΣμΜ°"
@@ -103,11 +104,22 @@ def variants(questions: DataFrame, qid: str, text: str, groups: list[list[str]],
     return first.unionByName(named).unionByName(last).select("qid", "variant", "clause", "phrase")
 
 
-def positions(docs: DataFrame, doc: str, text: str, terms: Callable[[Column], Column] = index_terms) -> tuple[DataFrame, DataFrame]:
-    """``(doc, term, at array<int>)`` and ``(doc, dl)``: the index of a table that has none stored; see ``sources.sinks.write_index``."""
-    cut = docs.select(F.col(doc).alias("doc"), terms(F.col(text)).alias("w"))
-    posts = cut.select("doc", F.posexplode("w").alias("pos", "term")).groupBy("doc", "term").agg(F.sort_array(F.collect_list("pos")).alias("at"))
-    return posts, cut.select("doc", F.coalesce(F.size("w"), F.lit(0)).alias("dl"))
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """A small result that is read several times, written to the shared folder."""
+    path = new_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def positions(docs: DataFrame, doc: str, text: str, asked: DataFrame, terms: Callable[[Column], Column] = index_terms) -> tuple[DataFrame, DataFrame]:
+    """``(doc, term, at array<int>)`` for the terms of ``asked(phrase)``, and ``(doc, dl)``: in one pass over a table that has no stored
+    index; see ``sources.sinks.write_index``. Each document also has a row for the term of no characters, which tells its length."""
+    cut = docs.select(F.col(doc).alias("doc"), F.coalesce(terms(F.col(text)), F.array().cast("array<string>")).alias("w"))
+    every = cut.select("doc", F.size("w").alias("dl"), F.posexplode(F.concat("w", F.array(F.lit("")))).alias("pos", "term"))
+    wanted = asked.select(F.explode("phrase").alias("term")).unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    found = every.join(wanted, "term", "left_semi").groupBy("doc", "term", "dl").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    found = stored(found, "positions-")
+    return found.where("term <> ''").select("doc", "term", "at"), found.where("term = ''").select("doc", "dl")
 
 
 def phrase_hits(asked: DataFrame, postings: DataFrame) -> DataFrame:
@@ -124,7 +136,7 @@ def evaluate(asked: DataFrame, postings: DataFrame, lengths: DataFrame, k1: floa
     """``(qid, variant, doc, score)`` of every document that meets all clauses of ``asked(qid, variant, clause, phrase)``; less is better.
 
     BM25 with a phrase as the unit, over all phrases asked for (X2, X4)."""
-    hits = phrase_hits(asked, postings)
+    hits = stored(phrase_hits(asked, postings), "hits-")
     df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
     size = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
     odds = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -93,9 +93,18 @@ def events_daily(spark: SparkSession, d: str) -> DataFrame:
     return w.withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
-@query()
+@query("""SELECT * FROM events""")
 def stream_events_append(spark: SparkSession, d: str) -> DataFrame:
     """The event log fed through a file stream, appended once by number, and read again."""
     from ferrule.streaming.events import replay
 
     return replay(spark, table(spark, d, "events"))
+
+
+@query("""SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def stream_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """An extension: the windowed rollup over the file stream, which ends with what the batch gives."""
+    from ferrule.streaming.events import replay_rollup
+
+    w = replay_rollup(spark, table(spark, d, "events"))
+    return w.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("day"), "n", F.round("total", 4).alias("total"))

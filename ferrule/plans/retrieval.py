@@ -176,10 +176,9 @@ s AS (SELECT qid, variant, doc_id, round(-sum((CASE WHEN ln((n_docs - df + 0.5)
 
 
 def asked_and_found(spark: SparkSession, d: str) -> DataFrame:
-    asked = Q.variants(spark.createDataFrame(QUESTIONS, "qid string, text string"), "qid", "text", ALIASES, R.tokens)
-    postings, lengths = Q.positions(table(spark, d, "documents"), "doc_id", "text", R.tokens)
-    terms = asked.select(F.explode("phrase").alias("term")).distinct()
-    return Q.evaluate(asked, postings.join(F.broadcast(terms), "term", "left_semi"), lengths).withColumn("score", F.round("score", 8))
+    asked = Q.stored(Q.variants(spark.createDataFrame(QUESTIONS, "qid string, text string"), "qid", "text", ALIASES, R.tokens), "asked-")
+    postings, lengths = Q.positions(table(spark, d, "documents"), "doc_id", "text", asked, R.tokens)
+    return Q.evaluate(asked, postings, lengths).withColumn("score", F.round("score", 8))
 
 
 @query("WITH " + SEARCH + "SELECT qid, variant, doc_id, round(score, 6) AS score FROM s")
@@ -218,7 +217,7 @@ def fts_search_stemmed(spark: SparkSession, d: str) -> DataFrame:
 
     path = new_path(spark, "index-")
     sinks.write_index(table(spark, d, "documents"), path, "doc_id", "text", Q.index_terms)
-    asked = Q.clauses(spark.createDataFrame(QUESTIONS, "qid string, text string"), "qid", "text").withColumn("variant", F.lit(0))
+    asked = Q.stored(Q.clauses(spark.createDataFrame(QUESTIONS, "qid string, text string"), "qid", "text").withColumn("variant", F.lit(0)), "asked-")
     terms = [r[0] for r in asked.select(F.explode("phrase")).distinct().collect()]  # of a few literal questions
     found = Q.evaluate(asked, sinks.read_postings(spark, path, terms), spark.read.parquet(f"{path}/doc_len"))
     return found.select("qid", F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))

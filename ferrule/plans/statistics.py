@@ -133,7 +133,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, kind, round(CASE kind
   WHEN 'beam' THEN CASE WHEN My = 0 OR Mdy IS NOT NULL THEN greatest(b, s, w, CASE WHEN comp <> 0 AND Mdz IS NOT NULL THEN comp / Pd + coalesce(b, 0) + coalesce(w, 0) END) END
   WHEN 'brace' THEN greatest(CASE WHEN comp <> 0 THEN comp / Pd END, CASE WHEN tens <> 0 AND Td IS NOT NULL THEN tens / Td WHEN tens <> 0 AND comp = 0 THEN tens / Pd END)
   ELSE CASE WHEN Pd IS NOT NULL AND (Mz = 0 OR b IS NOT NULL) AND (My = 0 OR w IS NOT NULL) THEN
-    greatest(comp / Pd + coalesce(b, 0) + coalesce(w, 0), CASE WHEN tens <> 0 THEN tens / Td + coalesce(b, 0) + coalesce(w, 0) END, s) END END, 6) AS dc FROM t""")
+    greatest(comp / Pd + coalesce(b, 0) + coalesce(w, 0), CASE WHEN tens <> 0 THEN tens / Td + coalesce(b, 0) + coalesce(w, 0) END, s) END END, 9) AS dc FROM t""")
 def dc_exact_by_kind(spark: SparkSession, d: str) -> DataFrame:
     """Demand over capacity, exact by kind of member (M1)."""
     rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -141,7 +141,7 @@ def dc_exact_by_kind(spark: SparkSession, d: str) -> DataFrame:
     demand = {"Mz": q, "V": F.col("l_discount") * 100, "My": F.when(F.col("l_linestatus") == "F", F.col("l_tax") * 100).otherwise(1e-7), "comp": F.when(line % 2 == 0, q).otherwise(0.0), "tens": F.when(line % 3 == 0, q / 2).otherwise(0.0)}
     strength = {"Mdz": F.when(size != 7, size * 2.0), "Vd": size * 1.0, "Mdy": F.when(size > 10, size * 0.5), "Pd": F.when(size > 3, size * 3.0), "Td": F.when(size > 5, size * 4.0)}
     kind = F.when(F.col("l_returnflag") == "A", "beam").when(F.col("l_returnflag") == "N", "brace").otherwise("column")
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", kind.alias("kind"), F.round(C.capacity_ratio(kind, demand, strength), 6).alias("dc"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", kind.alias("kind"), F.round(C.capacity_ratio(kind, demand, strength), 9).alias("dc"))
 
 
 @query("""WITH b AS (SELECT l_suppkey, max(l_quantity) AS q, max(l_discount) AS v, max(l_tax) AS t FROM lineitem WHERE l_returnflag = 'A' AND l_suppkey % 11 <> 0 GROUP BY 1),

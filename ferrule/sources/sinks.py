@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.operators.retrieval import tokens
+from ferrule.shared import new_path
 
 
 #: Postings a bucket of the index holds, about.
@@ -15,16 +16,18 @@ BUCKET_ROWS = 5_000_000
 def write_index(docs: DataFrame, path: str, doc: str, text: str, words=tokens) -> None:
     """The full-text index: ``fts_docs``, ``doc_len``, and ``postings`` with the places of a term in a document, in buckets by a hash
     of the term, as many as the number of postings asks for, so a query reads few files. ``words`` cuts a text column into terms."""
-    cut = docs.select(F.col(doc).alias("doc"), words(F.col(text)).alias("w"))
+    spark, at = docs.sparkSession, new_path(docs.sparkSession, "terms-")
+    docs.select(F.col(doc).alias("doc"), words(F.col(text)).alias("w")).write.parquet(at)
+    cut = spark.read.parquet(at)  # texts are cut into terms once
     docs.select(F.col(doc).alias("doc"), F.col(text).alias("body")).write.mode("overwrite").parquet(f"{path}/fts_docs")
     cut.select("doc", F.coalesce(F.size("w"), F.lit(0)).alias("dl"), F.coalesce(F.size(F.array_distinct("w")), F.lit(0)).alias("kinds")).write.mode("overwrite").parquet(f"{path}/doc_len")
-    total = docs.sparkSession.read.parquet(f"{path}/doc_len").agg(F.sum("kinds")).first()[0] or 0
+    total = spark.read.parquet(f"{path}/doc_len").agg(F.sum("kinds")).first()[0] or 0
     buckets = max(16, -(-total // BUCKET_ROWS))
     posts = cut.select("doc", F.posexplode("w").alias("pos", "term")).groupBy("term", "doc").agg(F.sort_array(F.collect_list("pos")).alias("at"))
     posts = posts.select("term", "doc", F.size("at").alias("tf"), "at", F.pmod(F.xxhash64("term"), F.lit(buckets)).alias("part"))
     # Rebalanced, so that the files of a term that very many documents hold are shared out.
     posts.hint("rebalance", F.col("part")).sortWithinPartitions("part", "term", "doc").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
-    docs.sparkSession.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1).write.mode("overwrite").json(f"{path}/layout")
+    spark.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1).write.mode("overwrite").json(f"{path}/layout")
 
 
 def read_postings(spark, path: str, terms: list[str]) -> DataFrame:

@@ -36,3 +36,13 @@ def replay(spark: SparkSession, events: DataFrame) -> DataFrame:
     query = append_once(read_events(spark, f"{at}/in", events.schema), f"{at}/out", f"{at}/checkpoint")
     query.awaitTermination()
     return spark.read.parquet(f"{at}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def replay_rollup(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """Streams ``events`` through ``rollup`` a few files at a time, and reads the last result; it is kept whole, so no event is late."""
+    at = new_path(spark, "stream-")
+    events.write.parquet(f"{at}/in")
+    stream = rollup(read_events(spark, f"{at}/in", events.schema))
+    query = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{at}/out")).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{at}/out")
