@@ -37,7 +37,7 @@ UNSTABLE = re.compile(rb"[\xca-\xcc\xdc-\xe1\xe4\xe9\xea\xed-\xff]|\xe2[^\x80-\x
 HIGH = bytes(range(0xCA, 0x100))
 #: A run from where white space begins to where it next begins.
 RUN = r"\p{White_Space}*\P{White_Space}+|\p{White_Space}+"
-SAMPLE, FREQUENT = 1_000, 50_000
+SAMPLE, SAMPLE_BYTES, FREQUENT = 500, 1 << 15, 50_000
 #: Pre-tokens a worker remembers beyond the broadcast table before it starts anew.
 CACHE = 500_000
 
@@ -91,24 +91,20 @@ def counter(tokenizer_json: str, frequent: dict[str, int], cache: int = CACHE) -
 
 
 def sampled_lengths(docs: DataFrame, tokenizer_json: str, text_col: str, rows: int = SAMPLE, most: int = FREQUENT) -> dict[str, int]:
-    """Pre-token -> number of tokens, for the most frequent pre-tokens of ``rows`` documents; counted in one task, which reads no more."""
+    """Pre-token -> number of tokens, for the most frequent pre-tokens of ``rows`` documents.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-        from tokenizers import Tokenizer
+    ``take`` reads the first partitions alone, and texts over ``SAMPLE_BYTES`` are left out, so what comes to the driver is bounded.
+    """
+    import regex
+    from tokenizers import Tokenizer
 
-        findall, seen = regex.compile(PATTERN).findall, Counter()
-        for b in batches:
-            for raw in b.column(0).cast(pa.binary()).to_pylist():
-                if raw and not UNSTABLE.search(raw):
-                    seen.update(findall(raw.decode()))
-        words = [w for w, n in seen.most_common(most) if n > 1]
-        tok = Tokenizer.from_str(tokenizer_json)
-        sizes = [len(e.ids) for e in tok.encode_batch(words, add_special_tokens=False)]
-        yield pa.record_batch([pa.array(words, pa.string()), pa.array(sizes, pa.int64())], names=["word", "n"])
-
-    found = docs.select(F.col(text_col).alias("text")).limit(rows).mapInArrow(run, "word string, n long").toArrow()
-    return dict(zip(found.column("word").to_pylist(), found.column("n").to_pylist(), strict=True))
+    findall, seen = regex.compile(PATTERN).findall, Counter()
+    for r in docs.select(F.when(F.octet_length(text_col) <= SAMPLE_BYTES, F.col(text_col)).alias("text")).take(rows):
+        if r.text and not UNSTABLE.search(r.text.encode()):
+            seen.update(findall(r.text))
+    words = [w for w, n in seen.most_common(most) if n > 1]
+    tok = Tokenizer.from_str(tokenizer_json)
+    return {w: len(e.ids) for w, e in zip(words, tok.encode_batch(words, add_special_tokens=False), strict=True)}
 
 
 _counters: dict[int, Callable[[bytes], int]] = {}
