@@ -37,14 +37,6 @@ def not_part(part: Column, other: str) -> Column:
     return ~part.eqNullSafe(F.lit(other))
 
 
-def nearest(misses: DataFrame, qid: str, asked: str, known: DataFrame, name: str, k: int, block: Column, block_known: Column) -> DataFrame:
-    """Up to ``k`` known names by edit distance for each miss, among those of its block."""
-    pairs = misses.withColumn("__b", block).join(known.withColumn("__b", block_known), "__b")
-    gap = F.levenshtein(F.lower(asked), F.lower(name))
-    w = Window.partitionBy(qid).orderBy(gap, name)
-    return pairs.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select(qid, asked, name, "rank", gap.cast("long").alias("distance"))
-
-
 def suggest(misses: DataFrame, qid: str, asked: str, known: DataFrame, name: str, k: int = 8, cutoff: float = 0.5) -> DataFrame:
     """Up to ``k`` of all known names by similarity for each miss, of ``cutoff`` or more, and again in lower case where none is.
 

@@ -15,10 +15,10 @@ def first_line(c: str = "text"):
     return F.regexp_extract(c, r"^([^\n]*)", 1)
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(left(text, 500)), '([a-z])-\n([a-z])', '\1\2', 'g'), '([0-9]) +([.,]) *([0-9])', '\1\2\3', 'g'), '[ \t\r\n]+', ' ', 'g') AS norm FROM documents""")
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(text), '([a-z])-\n([a-z])', '\1\2', 'g'), '([0-9]) +([.,]) *([0-9])', '\1\2\3', 'g'), '[ \t\r\n]+', ' ', 'g') AS norm FROM documents""")
 def fts_text_normalise(spark: SparkSession, d: str) -> DataFrame:
-    """The first 500 characters in lower case, with words and numbers joined; a preview, for X9 see ``fts_normalise``."""
-    c = F.lower(F.substring("text", 1, 500))
+    """Whole texts in lower case, with the words and numbers joined that line breaks and spaces split; for all rules of X9 see ``fts_normalise``."""
+    c = F.lower("text")
     for pattern, put in ((r"([a-z])-\n([a-z])", "$1$2"), (r"([0-9]) +([.,]) *([0-9])", "$1$2$3"), (r"[ \t\r\n]+", " ")):
         c = F.regexp_replace(c, pattern, put)
     return table(spark, d, "documents").select("doc_id", c.alias("norm"))
@@ -164,11 +164,11 @@ def early_exit_scans(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""WITH b AS (SELECT source, doc_id, text, n_chars FROM documents WHERE n_chars BETWEEN 20 AND 200)
-SELECT source, arg_max(left(text, 60), n_chars * 100000 - doc_id) AS chosen, count(*) AS n FROM b GROUP BY source""")
+SELECT source, arg_max(text, (n_chars, -doc_id)) AS chosen, count(*) AS n FROM b GROUP BY source""")
 def candidate_choice(spark: SparkSession, d: str) -> DataFrame:
-    """The best candidate by score, then by order."""
+    """The longest candidate of 200 characters at most, then the first."""
     b = table(spark, d, "documents").where("n_chars between 20 and 200")
-    return b.groupBy("source").agg(F.max_by(F.substring("text", 1, 60), F.col("n_chars") * 100000 - F.col("doc_id")).alias("chosen"), F.count("*").alias("n"))
+    return b.groupBy("source").agg(F.max_by("text", F.struct("n_chars", -F.col("doc_id"))).alias("chosen"), F.count("*").alias("n"))
 
 
 @query(r"""SELECT doc_id, lower(regexp_replace(regexp_replace(trim(regexp_extract(text, '^([^\n]*)', 1)), '[^A-Za-z0-9]+', '-', 'g'), '^-|-$', '', 'g'))[1:40] AS safe_name FROM documents""")
@@ -189,14 +189,14 @@ def miss_notes(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""WITH t(town, ord) AS (VALUES ('est', 1), ('hand', 2), ('schein', 3)),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 h AS (SELECT town, doc_id, pos, line, row_number() OVER (PARTITION BY town ORDER BY doc_id, pos) AS rank FROM t JOIN l ON contains(' ' || regexp_replace(lower(line), '[^\p{L}]', ' ', 'g') || ' ', ' ' || town || ' '))
-SELECT town, rank, doc_id, left(line, 100) AS snippet FROM h WHERE rank <= 20""")
+SELECT town, rank, doc_id, line AS snippet FROM h WHERE rank <= 20""")
 def town_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Lines that name a town as a whole word."""
     l = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))  # noqa: E741
     towns = F.array(*[F.when(F.lower("line").rlike(rf"(?<!\p{{L}}){t}(?!\p{{L}})"), t) for t in ("est", "hand", "schein")])
     h = l.select("doc_id", "p", "line", F.explode(F.array_compact(towns)).alias("town"))
     rank = F.row_number().over(Window.partitionBy("town").orderBy("doc_id", "p")).cast("long")
-    return h.withColumn("rank", rank).where("rank <= 20").select("town", "rank", "doc_id", F.substring("line", 1, 100).alias("snippet"))
+    return h.withColumn("rank", rank).where("rank <= 20").select("town", "rank", "doc_id", F.col("line").alias("snippet"))
 
 
 @query("""WITH d AS (SELECT source, count(*) AS docs FROM documents GROUP BY 1), l AS (SELECT source, count(*) AS labelled, count(*) FILTER (quality = 0) AS bad FROM documents JOIN labels USING (doc_id) GROUP BY 1)
@@ -210,15 +210,8 @@ def manifest_counts(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "source", "left").select("source", "docs", F.coalesce("labelled", F.lit(0)).alias("labelled"), F.coalesce("bad", F.lit(0)).alias("bad"), verdict.alias("verdict"))
 
 
-@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[^\n]+')) AS BIGINT) AS n_lines, regexp_replace(regexp_replace(left(text, 300), '\n{2,}', chr(10), 'g'), '(?m)^(\S+)$', '## \1', 'g') AS body FROM documents""")
-def body_markdown(spark: SparkSession, d: str) -> DataFrame:
-    """The first 300 characters of a body with one-word lines promoted to headings; a preview, for K3 see ``body_markdown_whole``."""
-    body = F.regexp_replace(F.regexp_replace(F.substring("text", 1, 300), r"\n{2,}", "\n"), r"(?m)^(\S+)$", "## $1")
-    return table(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit(r"[^\n]+")).cast("long").alias("n_lines"), body.alias("body"))
-
-
 @query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[^\n]+')) AS BIGINT) AS n_lines, regexp_replace(regexp_replace(text, '\n{2,}', chr(10), 'g'), '(?m)^(\S+)$', '## \1', 'g') AS body FROM documents""")
-def body_markdown_whole(spark: SparkSession, d: str) -> DataFrame:
+def body_markdown(spark: SparkSession, d: str) -> DataFrame:
     """Whole body text with one-word lines promoted to headings."""
     body = F.regexp_replace(F.regexp_replace("text", r"\n{2,}", "\n"), r"(?md)^(\S+)$", "## $1")
     return table(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit(r"[^\n]+")).cast("long").alias("n_lines"), body.alias("body"))

@@ -70,25 +70,9 @@ def lookup_cascade(spark: SparkSession, d: str) -> DataFrame:
     return cascade(q, "qid", [lambda left: left.join(s, "v").select("qid", "key"), lambda left: left.join(p, "v").select("qid", "key"), third]).select("qid", "key", "stage")
 
 
-@query(r"""WITH q AS (SELECT item_id, lower(regexp_extract(text, '^(\S+)', 1)) AS asked FROM benchmark),
-k AS (SELECT DISTINCT lower(regexp_extract(text, '^(\S+)', 1)) AS name FROM documents WHERE regexp_matches(regexp_extract(text, '^(\S+)', 1), '^[!-~]+$')),
-m AS (SELECT * FROM q WHERE regexp_matches(asked, '^[!-~]+$') AND asked NOT IN (SELECT name FROM k)),
-p AS (SELECT item_id, asked, name, levenshtein(asked, name) AS distance FROM m JOIN k ON left(asked, 2) = left(name, 2)),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY distance, name) AS rank FROM p)
-SELECT item_id, asked, name, rank, distance FROM r WHERE rank <= 6""")
-def lookup_misses(spark: SparkSession, d: str) -> DataFrame:
-    """What is not known, and the nearest known names of the same two first letters (F5); plain ASCII names, whose edit distance both
-    engines count alike. For L7 see ``lookup_suggestions``."""
-    first = F.lower(F.regexp_extract("text", r"^(\S+)", 1))
-    known = table(spark, d, "documents").select(first.alias("name")).where(F.col("name").rlike("^[!-~]+$")).distinct()
-    asked = table(spark, d, "benchmark").select("item_id", first.alias("asked"))
-    misses = asked.where(F.col("asked").rlike("^[!-~]+$")).join(known, F.col("asked") == F.col("name"), "left_anti")
-    return L.nearest(misses, "item_id", "asked", known, "name", 6, F.substring("asked", 1, 2), F.substring("name", 1, 2))
-
-
 @query()
-def lookup_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    """What is not known, and the eight most similar of all known names."""
+def lookup_misses(spark: SparkSession, d: str) -> DataFrame:
+    """What is not known, and the eight most similar of all known names."""
     first = F.regexp_extract("text", r"^(\S+)", 1)
     known = table(spark, d, "documents").select(first.alias("name")).where("name <> ''").distinct()
     asked = table(spark, d, "benchmark").select("item_id", first.alias("asked")).where("asked <> ''")

@@ -104,11 +104,11 @@ def realisation_cross(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").crossJoin(F.broadcast(table(spark, d, "region"))).select("n_nationkey", "r_regionkey", (F.col("n_nationkey") * 10 + F.col("r_regionkey")).alias("code"))
 
 
-@query("""WITH t AS (SELECT DISTINCT source, lang, doc_id % 7 AS page, max(left(text, 20)) OVER (PARTITION BY source, lang, doc_id % 7) AS piece FROM documents)
+@query("""WITH t AS (SELECT DISTINCT source, lang, doc_id % 7 AS page, max(text) OVER (PARTITION BY source, lang, doc_id % 7) AS piece FROM documents)
 SELECT source, lang, string_agg(piece, ' / ' ORDER BY page) AS stitched, count(*) AS n FROM t GROUP BY ALL""")
 def table_stitching(spark: SparkSession, d: str) -> DataFrame:
     """The pieces of a table, once a page, in order."""
-    t = table(spark, d, "documents").groupBy("source", "lang", (F.col("doc_id") % 7).alias("page")).agg(F.max(F.substring("text", 1, 20)).alias("piece"))
+    t = table(spark, d, "documents").groupBy("source", "lang", (F.col("doc_id") % 7).alias("page")).agg(F.max("text").alias("piece"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "piece"))), lambda x: x["piece"]), " / ")
     return t.groupBy("source", "lang").agg(text.alias("stitched"), F.count("*").alias("n"))
 
@@ -169,21 +169,14 @@ def ids_in_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where(F.col("text").rlike(r"[0-9]+\.[0-9]+|[A-Z][0-9]+")).select("doc_id", F.array_join(x, " ").alias("ids"), context.alias("context"))
 
 
-@query(r"""SELECT doc_id, concat_ws(chr(10), CASE WHEN position('. The ' IN text) > 0 THEN substr(text, position('. The ' IN text), 120) END, CASE WHEN position('license' IN text) > 0 THEN substr(text, position('license' IN text), 60) END)[1:150] AS excerpt FROM documents""")
-def report_excerpt(spark: SparkSession, d: str) -> DataFrame:
-    """The starts of two headings' texts (C14); a preview, for C28 see ``report_sections``."""
-    part = lambda p, n: F.when(F.instr("text", p) > 0, F.expr(f"substring(text, instr(text, '{p}'), {n})"))
-    return table(spark, d, "documents").select("doc_id", F.substring(F.concat_ws("\n", part(". The ", 120), part("license", 60)), 1, 150).alias("excerpt"))
-
-
 HEADINGS = ("Design basis", "Structural system", "Lateral system", "Governing lateral load", "Plan and vertical irregularit", "Storey drift", "Wind", "NOT PERMITTED", "Table 9 Note 1", "Earthquake detailing", "Connections", "design_status")
 
 
 @query(f"""WITH h AS (SELECT unnest({list(HEADINGS)}) AS h, unnest(range({len(HEADINGS)})) AS i), d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 k AS (SELECT doc_id, string_agg(substr(text, position(h IN text), 2200), chr(10) || '---' || chr(10) ORDER BY i) AS found FROM d JOIN h ON position(h IN text) > 0 GROUP BY doc_id)
 SELECT doc_id, left(coalesce(found, text), 14000) AS excerpt FROM d LEFT JOIN k USING (doc_id)""")
-def report_sections(spark: SparkSession, d: str) -> DataFrame:
-    """2,200 characters from each of a report's headings that is found, or else its start; 14,000 in all."""
+def report_excerpt(spark: SparkSession, d: str) -> DataFrame:
+    """2,200 characters from each of a report's headings that is found, or else its start; 14,000 in all."""
     parts = [F.when(F.col("text").contains(h), F.substring("text", F.instr("text", h), F.lit(2200))) for h in HEADINGS]
     found = F.nullif(F.concat_ws("\n---\n", *parts), F.lit(""))
     docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -207,18 +200,9 @@ def json_out_of_prose(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json(body), "$.k", "bigint").alias("k"), F.expr("try_cast(event_type AS double)").alias("bad"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE n_chars < 3000),
-t AS (SELECT doc_id, '- ' || string_agg(left(line, 30), chr(10) || '- ' ORDER BY pos) AS toc, count(*) AS n FROM l WHERE length(line) BETWEEN 1 AND 80 GROUP BY 1) SELECT doc_id, toc, n FROM t""")
-def markdown_toc(spark: SparkSession, d: str) -> DataFrame:
-    """A list in markdown out of the starts of short lines of short texts; a preview, for K12 see ``markdown_toc_whole``."""
-    l = table(spark, d, "documents").where("n_chars < 3000").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).where(F.length("line").between(1, 80))  # noqa: E741
-    items = F.transform(F.array_sort(F.collect_list(F.struct("p", "line"))), lambda x: F.concat(F.lit("- "), F.substring(x["line"], 1, 30)))
-    return l.groupBy("doc_id").agg(F.array_join(items, "\n").alias("toc"), F.count("*").alias("n"))
-
-
 @query(r"""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS l FROM documents)
 SELECT doc_id, '- ' || array_to_string(l, chr(10) || '- ') AS toc, CAST(len(l) AS BIGINT) AS n FROM l WHERE len(l) > 0""")
-def markdown_toc_whole(spark: SparkSession, d: str) -> DataFrame:
+def markdown_toc(spark: SparkSession, d: str) -> DataFrame:
     """A list in markdown out of all lines of all texts."""
     l = table(spark, d, "documents").select("doc_id", F.filter(F.split("text", "\n"), lambda x: x != "").alias("l")).where(F.size("l") > 0)  # noqa: E741
     return l.select("doc_id", F.concat(F.lit("- "), F.array_join("l", "\n- ")).alias("toc"), F.size("l").cast("long").alias("n"))

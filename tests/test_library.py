@@ -111,18 +111,18 @@ def test_fts_normalise(spark):
 def test_bodies_and_lists_are_whole(spark, tmp_path):
     text = {1: "SCOPE\n\n" + "one two " * 500 + "\nEND", 2: "a\n" * 2000 + "long line " * 20, 3: None}
     spark.createDataFrame([(i, t, None) for i, t in text.items()], "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    body = {r.doc_id: r.body for r in plans.QUERIES["body_markdown_whole"](spark, str(tmp_path)).collect()}
+    body = {r.doc_id: r.body for r in plans.QUERIES["body_markdown"](spark, str(tmp_path)).collect()}
     assert body == {1: "## SCOPE\n" + "one two " * 500 + "\n## END", 2: "## a\n" * 2000 + "long line " * 20, 3: None}
-    toc = {r.doc_id: (r.toc, r.n) for r in plans.QUERIES["markdown_toc_whole"](spark, str(tmp_path)).collect()}
+    toc = {r.doc_id: (r.toc, r.n) for r in plans.QUERIES["markdown_toc"](spark, str(tmp_path)).collect()}
     assert toc == {i: ("\n".join("- " + x for x in text[i].split("\n") if x), n) for i, n in ((1, 3), (2, 2001))}
 
 
 def test_sections_and_excerpts_have_the_references_limits(spark, tmp_path):
     text = {1: "no\nThe one\n\n\n\n" + "a b " * 2000 + "\n \nThe two " + "c" * 13000, 2: "x" * 100 + "Wind" + "w" * 3000 + "Design basis" + "d" * 3000, 3: "y" * 15000, 4: None}
     spark.createDataFrame(list(text.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    body = {(r.doc_id, r.section): r.body for r in plans.QUERIES["section_body"](spark, str(tmp_path)).collect()}
+    body = {(r.doc_id, r.section): r.body for r in plans.QUERIES["section_slice"](spark, str(tmp_path)).collect()}
     assert body == {(1, 1): "The one\n\n" + "a b " * 1999 + "a b", (1, 2): ("The two " + "c" * 13000)[:12000]}
-    got = {r.doc_id: r.excerpt for r in plans.QUERIES["report_sections"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.excerpt for r in plans.QUERIES["report_excerpt"](spark, str(tmp_path)).collect()}
     assert got == {1: text[1][:14000], 2: ("Design basis" + "d" * 3000)[:2200] + "\n---\n" + ("Wind" + "w" * 3000)[:2200], 3: "y" * 14000, 4: ""}
 
 
@@ -144,7 +144,7 @@ def test_suggestions_against_difflib(spark, tmp_path):
             if a and a.lower() not in lower:
                 near = difflib.get_close_matches(a, known, 8, 0.5) or difflib.get_close_matches(unicodedata.normalize("NFKC", a).casefold(), [n.lower() for n in known], 8, 0.5)
                 want += [(r.item_id, a, n, i + 1) for i, n in enumerate(near)]
-        assert want and sorted(tuple(r)[:4] for r in plans.QUERIES["lookup_suggestions"](spark, d).collect()) == sorted(want)
+        assert want and sorted(tuple(r)[:4] for r in plans.QUERIES["lookup_misses"](spark, d).collect()) == sorted(want)
 
 
 def test_phrases_and_chunks(spark):
