@@ -55,10 +55,38 @@ def attempts(df: DataFrame, by: list[str], order: list[str], failed: Column) ->
     return df.withColumn("attempt", F.coalesce(F.sum(failed.cast("long")).over(w), F.lit(0)) + 1)
 
 
-def plan_outcome(steps: DataFrame, plan: str, project: str, n: str, failed: Column, on_fail: str) -> DataFrame:
-    """What would run: after a failed step that says ``stop`` nothing does, after one that says ``skip_project`` nothing of
-    its project; else steps run. A step that did not run cannot fail, so the first failure that counts decides."""
+def retried(log: DataFrame, by: list[str], attempt: str, crashed: Column, line: str, most: int) -> DataFrame:
+    """The attempts that a retry policy makes, with ``verdict`` and ``overridden``.
+
+    A crash is tried again, up to ``most`` attempts of at most ten, unless its last line is that of the crash before (``unmoved``);
+    from the third attempt on the fields to change are set. ``log`` has a row an attempt, numbered from 1; a null line is empty.
+    """
+    most = max(1, min(most, 10))
+    w = Window.partitionBy(*by).orderBy(attempt)
+    last = F.coalesce(F.col(line), F.lit(""))
+    unmoved = F.coalesce(F.lag(last).over(w) == last, F.lit(False))
+    verdict = F.when(~F.coalesce(crashed, F.lit(False)), "ended").when(F.col(attempt) >= most, "limit").when(unmoved, "unmoved").otherwise("retry")
+    rows = log.where(F.col(attempt) <= most).withColumn("verdict", verdict)
+    made = F.coalesce(F.min(F.col("verdict") == "retry").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    return rows.withColumn("__made", made).where("__made").drop("__made").withColumn("overridden", F.col(attempt) >= 3)
+
+
+def recovered(status: Column, to: str) -> Column:
+    """What was running when the process ended, as ``to``; any other status stays."""
+    return F.when(status == "running", to).otherwise(status)
+
+
+def plan_outcome(steps: DataFrame, plan: str, project: str, n: str, failed: Column, on_fail: str, status: str | None = None) -> DataFrame:
+    """What would run, as ``status``: after a failed step that says ``stop`` nothing does, after one that says ``skip_project`` nothing
+    of its project; else steps run. A step that did not run cannot fail, so that of a skipped project stops nothing. With
+    ``status`` a plan is resumed: only steps that are ``pending`` run, the others stay what they are."""
     before = lambda *by: Window.partitionBy(*by).orderBy(n).rowsBetween(Window.unboundedPreceding, -1)
-    stop = F.coalesce(F.max(failed & (F.col(on_fail) == "stop")).over(before(plan)), F.lit(False))
-    skip = F.coalesce(F.max(failed & (F.col(on_fail) == "skip_project")).over(before(plan, project)), F.lit(False))
-    return steps.withColumn("status", F.when(stop, "not_run").when(skip, "skipped").when(failed, "failed").otherwise("done"))
+    due = F.lit(True) if status is None else F.col(status) == "pending"
+    rows = steps.withColumn("__failed", due & failed)
+    skip = F.coalesce(F.max(F.col("__failed") & (F.col(on_fail) == "skip_project")).over(before(plan, project)), F.lit(False))
+    rows = rows.withColumn("__skip", skip)
+    stop = F.coalesce(F.max(F.col("__failed") & ~F.col("__skip") & (F.col(on_fail) == "stop")).over(before(plan)), F.lit(False))
+    rows = rows.withColumn("__stop", stop)
+    out = F.when(F.col("__stop"), "not_run").when(F.col("__skip"), "skipped").when(F.col("__failed"), "failed").otherwise("done")
+    out = out if status is None else F.when(due, out).otherwise(F.col(status))
+    return rows.withColumn("status", out).drop("__failed", "__skip", "__stop")

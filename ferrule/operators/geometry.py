@@ -35,3 +35,23 @@ def properties(points: Column, thickness: Column) -> Column:
 
     bound = F.transform(F.array(segments(points)), of)[0]
     return F.when(F.size(points) >= 2, bound)
+
+
+def plate_area(kind: Column, d: Column, b: Column, tw: Column, tf: Column, r1: Column) -> Column:
+    """The area of an I or channel section out of its plates and root fillets; null for angles and without a dimension."""
+    fillets = F.when(F.lower(kind).contains("channel"), 2).otherwise(4) * (1 - F.pi() / 4) * F.pow(F.coalesce(r1, F.lit(0.0)), 2)
+    return F.when(~F.lower(F.coalesce(kind, F.lit(""))).contains("angle"), 2 * b * tf + (d - 2 * tf) * tw + fillets)
+
+
+def plate_verdict(printed: Column, area: Column, check: Column, tolerance: float = 0.05) -> Column:
+    """``check``, or a quarantine where the printed area is off that of the plates by more than ``tolerance``."""
+    ratio = printed / F.nullif(area, F.lit(0.0))
+    off = (printed != 0) & (F.abs(ratio - 1) > tolerance) & ~F.coalesce(check, F.lit("")).startswith("QUARANTINED")
+    note = F.concat(F.lit("QUARANTINED: area is "), F.format_number(ratio, 2), F.lit(" of the plates' (was: "), F.coalesce(check, F.lit("")), F.lit(")"))
+    return F.when(off, note).otherwise(check)
+
+
+def thickened(a: Column, ix: Column, iy: Column, j: Column, factor: Column) -> Column:
+    """Stiffness under a factor of plate thickness: areas and second moments go with it, torsion with its cube."""
+    f = F.coalesce(factor, F.lit(1.0))
+    return F.struct((a * f).alias("a"), (ix * f).alias("ix"), (iy * f).alias("iy"), (j * f * f * f).alias("j"))

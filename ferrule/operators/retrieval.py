@@ -103,6 +103,41 @@ def tf_idf(passages: DataFrame, keys: list[str], words: str, terms: DataFrame) -
     return got.join(asked, "qid").select("qid", *keys, (F.col("s") * F.sqrt(F.col("found") / F.col("asked"))).alias("score"))
 
 
+def passage_search(passages: DataFrame, keys: list[str], text: str, label: str, terms: DataFrame, prose: tuple[str, ...] = (".md", ".txt", ".rst")) -> DataFrame:
+    """``(qid, *keys, score)`` of passages by literal occurrences of a question's terms, parts of words included.
+
+    The sum is that of ``tf_idf`` and 2 for each term in the label; times the root of the share of terms in the text, times 1.25 for
+    prose. A passage named by its label alone scores zero and comes last. The terms are those of a stated set of questions
+    (in lower case); they travel with each passage as one array, so ask large sets in blocks.
+    """
+    asked = terms.groupBy("qid").agg(F.count("*").alias("asked"))
+    words = terms.agg(F.collect_set("term").alias("__t"))
+    n = passages.agg(F.count("*").alias("n"))
+    low = passages.select(*keys, F.lower(text).alias("__low"), F.lower(label).alias("__label"), F.coalesce(F.greatest(*[F.col(label).endswith(x) for x in prose]), F.lit(False)).alias("__prose"))
+    count = lambda t: F.coalesce((F.length("__low") - F.length(F.replace("__low", t, F.lit("")))) / F.length(t), F.lit(0.0))
+    each = F.transform("__t", lambda t: F.struct(t.alias("term"), count(t).alias("tf"), F.coalesce(F.contains("__label", t), F.lit(False)).alias("named")))
+    hits = low.crossJoin(F.broadcast(words)).select(*keys, "__prose", F.inline(F.filter(each, lambda x: (x["tf"] > 0) | x["named"])))
+    df = hits.where("tf > 0").groupBy("term").agg(F.count("*").alias("df"))
+    weight = F.when(F.col("tf") > 0, (1 + F.log("tf")) * F.log(1 + F.col("n") / (1 + F.col("df")))).otherwise(0.0) + F.when(F.col("named"), 2.0).otherwise(0.0)
+    rows = terms.join(hits, "term").join(df, "term", "left").crossJoin(F.broadcast(n))
+    got = rows.groupBy("qid", *keys, "__prose").agg(F.sum(weight).alias("s"), F.count_if(F.col("tf") > 0).alias("found"))
+    score = F.col("s") * F.sqrt(F.col("found") / F.col("asked")) * F.when(F.col("__prose"), 1.25).otherwise(1.0)
+    return got.join(asked, "qid").select("qid", *keys, score.alias("score"))
+
+
+def govern(hits: DataFrame, by: list[str], rank: str, preferred: Column, superseded: Column, source: DataFrame) -> DataFrame:
+    """Hits with the preferred first and the superseded ``flagged``; where no hit is preferred, that of ``source`` is fetched.
+
+    ``source`` holds one preferred row at most for each question ``by``, with the columns of ``hits``.
+    """
+    kept = hits.withColumn("__p", F.coalesce(preferred, F.lit(False)))
+    has = kept.where("__p").select(*by).distinct()
+    fetched = source.join(hits.select(*by).distinct(), by, "left_semi").join(has, by, "left_anti").withColumn("__p", F.lit(True))
+    rows = kept.unionByName(fetched).withColumn("flagged", ~F.col("__p") & F.coalesce(superseded, F.lit(False)))
+    w = Window.partitionBy(*by).orderBy(F.desc("__p"), rank)
+    return rows.withColumn(rank, F.row_number().over(w).cast("long")).drop("__p")
+
+
 def prefer(df: DataFrame, by: list[str], condition: Column) -> DataFrame:
     """The rows of a group that meet the condition, or all of them if none does."""
     some = F.max(F.coalesce(condition, F.lit(False))).over(Window.partitionBy(*by))

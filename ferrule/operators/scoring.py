@@ -126,3 +126,44 @@ def compare_printed(printed: Column, expected: Column, slack: Column | float = 0
     fits = lambda f: relative_error(v * f, expected) <= tol
     value = F.when(fits(1.0), v).when(fits(10.0), v * 10).when(fits(0.1), v * 0.1)
     return value, F.when(fits(1.0), "PASS").when(fits(10.0) | fits(0.1), "REPAIRED").otherwise("FAIL")
+
+
+#: What a unit costs or earns unless a study says otherwise.
+RATES = {"steel_per_t": 110000.0, "per_moment_conn": 60000.0, "per_brace": 25000.0, "revenue_per_m2": 45000.0}
+
+
+def cost_metrics(steel_t: Column, n_moment_conn: Column, n_braces: Column, floor_area_m2: Column, rates: dict[str, float] | None = None) -> dict[str, Column]:
+    """Cost, revenue and what is left: a missing tonnage or area gives null, a missing count nothing."""
+    r = RATES | (rates or {})
+    count = lambda c: F.coalesce(c, F.lit(0))
+    cost = steel_t * r["steel_per_t"] + count(n_moment_conn) * r["per_moment_conn"] + count(n_braces) * r["per_brace"]
+    revenue = floor_area_m2 * r["revenue_per_m2"]
+    return {"modelled_cost": cost, "revenue_proxy": revenue, "net_value": revenue - cost}
+
+
+def section_issues(schema: Column, designation: Column, printed: dict[str, Column]) -> Column:
+    """Labels of printed values of an I or C section that its other values contradict; those off by a decimal point are no issue.
+
+    The tolerance is that of ``compare_printed`` and the rounding of the inputs, half of it under a root. A missing value contradicts nothing.
+    """
+    v = {k: c.cast("double") for k, c in printed.items()}
+    mass = 0.785 * v["A_cm2"]
+    half = F.when(schema == "I", v["B"] / 2).otherwise(v["B"] - F.coalesce(v["Cy"], F.lit(0.0)))
+    radius = lambda i: F.sqrt(v[i] * 1e4 / (v["A_cm2"] * 100))
+    checks = [
+        ("mass", "mass_kg_m", mass, ["A_cm2"], 1.0),
+        ("rxx", "rxx", radius("Ixx_cm4"), ["Ixx_cm4", "A_cm2"], 0.5),
+        ("Zex", "Zex_cm3", v["Ixx_cm4"] * 10 / (v["D"] / 2), ["Ixx_cm4", "D"], 1.0),
+        ("ryy", "ryy", radius("Iyy_cm4"), ["Iyy_cm4", "A_cm2"], 0.5),
+        ("Zey", "Zey_cm3", v["Iyy_cm4"] * 10 / half, ["Iyy_cm4", "B"], 1.0),
+    ]
+    found = []
+    for label, key, expected, inputs, power in checks:
+        slack = sum((power * F.coalesce(half_ulp(printed[i]), F.lit(0.0)) for i in inputs), F.lit(0.0))
+        if label == "Zey":
+            slack = slack + F.when(schema == "C", F.coalesce(half_ulp(printed["Cy"]), F.lit(0.0))).otherwise(0.0)
+        _, verdict = compare_printed(printed[key], expected, slack)
+        found.append(F.when(v[key].isNotNull() & (expected != 0) & (verdict == "FAIL"), label))
+    size = F.nullif(F.regexp_extract(designation, r"(\d{2,4})", 1), F.lit("")).cast("double")
+    found.append(F.when(~(v["D"] / size).between(0.85, 1.25), "designation"))
+    return F.array_compact(F.array(*found))

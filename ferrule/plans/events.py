@@ -54,19 +54,72 @@ def event_attempts_outcome(spark: SparkSession, d: str) -> DataFrame:
     return g.select("user_id", "attempt", "n", "seconds", E.classify(F.col("m.event_type")).alias("outcome"))
 
 
-@query("""WITH s AS (SELECT o_custkey, o_orderpriority AS project, o_orderkey, o_orderstatus = 'F' AS failed, CASE WHEN o_orderkey % 11 = 0 THEN 'stop' WHEN o_orderkey % 3 = 0 THEN 'skip_project' ELSE 'continue' END AS on_fail FROM orders),
-w AS (SELECT *, coalesce(bool_or(failed AND on_fail = 'stop') OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stop,
-  coalesce(bool_or(failed AND on_fail = 'skip_project') OVER (PARTITION BY o_custkey, project ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS skip FROM s),
-r AS (SELECT o_custkey, CASE WHEN stop THEN 'not_run' WHEN skip THEN 'skipped' WHEN failed THEN 'failed' ELSE 'done' END AS status FROM w)
+#: Steps of plans, in SQL: what fails, and what that means for the steps after it. A step of a skipped project cannot fail.
+STEPS = """s AS (SELECT *, {due} AND o_orderstatus = 'F' AS failed FROM (SELECT o_custkey, o_orderpriority AS project, o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 11 = 0 THEN 'stop' WHEN o_orderkey % 3 = 0 THEN 'skip_project' ELSE 'continue' END AS on_fail,
+  CASE WHEN o_orderkey % 4 = 1 THEN 'done' ELSE 'pending' END AS was FROM orders)),
+k AS (SELECT *, coalesce(bool_or(failed AND on_fail = 'skip_project') OVER (PARTITION BY o_custkey, project ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS skip FROM s),
+w AS (SELECT *, coalesce(bool_or(failed AND NOT skip AND on_fail = 'stop') OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stop FROM k)
+"""
+
+
+def steps(spark: SparkSession, d: str) -> DataFrame:
+    on_fail = F.when(F.col("o_orderkey") % 11 == 0, "stop").when(F.col("o_orderkey") % 3 == 0, "skip_project").otherwise("continue")
+    was = F.when(F.col("o_orderkey") % 4 == 1, "done").otherwise("pending")
+    return table(spark, d, "orders").withColumns({"on_fail": on_fail, "was": was})
+
+
+@query("WITH " + STEPS.format(due="true") + """, r AS (SELECT o_custkey, CASE WHEN stop THEN 'not_run' WHEN skip THEN 'skipped' WHEN failed THEN 'failed' ELSE 'done' END AS status FROM w)
 SELECT o_custkey, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'not_run') AS not_run FROM r GROUP BY 1""")
 def plan_fail_policy(spark: SparkSession, d: str) -> DataFrame:
-    """A plan's steps under their fail policies, summed by status."""
-    on_fail = F.when(F.col("o_orderkey") % 11 == 0, "stop").when(F.col("o_orderkey") % 3 == 0, "skip_project").otherwise("continue")
-    s = table(spark, d, "orders").withColumn("on_fail", on_fail)
-    r = E.plan_outcome(s, "o_custkey", "o_orderpriority", "o_orderkey", F.col("o_orderstatus") == "F", "on_fail")
+    """A plan's steps under their fail policies, summed by status."""
+    r = E.plan_outcome(steps(spark, d), "o_custkey", "o_orderpriority", "o_orderkey", F.col("o_orderstatus") == "F", "on_fail")
     return r.groupBy("o_custkey").agg(*[F.count_if(F.col("status") == x).alias(x) for x in ("done", "failed", "skipped", "not_run")])
 
 
+@query("WITH " + STEPS.format(due="was = 'pending'") + """SELECT o_custkey, o_orderkey, CASE WHEN was <> 'pending' THEN was WHEN stop THEN 'not_run' WHEN skip THEN 'skipped' WHEN failed THEN 'failed' ELSE 'done' END AS status FROM w""")
+def plan_resume(spark: SparkSession, d: str) -> DataFrame:
+    """A resumed plan: only its pending steps run, and only they can fail."""
+    r = E.plan_outcome(steps(spark, d), "o_custkey", "o_orderpriority", "o_orderkey", F.col("o_orderstatus") == "F", "on_fail", "was")
+    return r.select("o_custkey", "o_orderkey", "status")
+
+
+@query("""WITH s AS (SELECT o_custkey, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'P' THEN 'pending' ELSE 'done' END AS step FROM orders)
+SELECT o_custkey, CASE WHEN bool_or(step = 'running') THEN 'interrupted' WHEN bool_or(step = 'pending') THEN 'pending' ELSE 'done' END AS status, count(*) FILTER (step = 'running') AS stopped, count(*) FILTER (step = 'pending') AS pending FROM s GROUP BY 1""")
+def plan_recovery(spark: SparkSession, d: str) -> DataFrame:
+    """Plans that ran when the process ended are interrupted, their running steps stopped."""
+    step = F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "P", "pending").otherwise("done")
+    s = table(spark, d, "orders").select("o_custkey", step.alias("was"), E.recovered(step, "stopped").alias("step"))
+    plan = F.when(F.bool_or(F.col("was") == "running"), "running").when(F.bool_or(F.col("was") == "pending"), "pending").otherwise("done")
+    g = s.groupBy("o_custkey").agg(plan.alias("plan"), F.count_if(F.col("step") == "stopped").alias("stopped"), F.count_if(F.col("step") == "pending").alias("pending"))
+    return g.select("o_custkey", E.recovered(F.col("plan"), "interrupted").alias("status"), "stopped", "pending")
+
+
+@query("""WITH l AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt, event_type, event_type || CASE WHEN value > 100 THEN ' late' ELSE '' END AS line FROM events),
+v AS (SELECT *, CASE WHEN event_type NOT IN ('error', 'click', 'view') THEN 'ended' WHEN attempt >= 6 THEN 'limit' WHEN lag(line) OVER (PARTITION BY user_id ORDER BY attempt) = line THEN 'unmoved' ELSE 'retry' END AS verdict FROM l WHERE attempt <= 6),
+m AS (SELECT *, coalesce(bool_and(verdict = 'retry') OVER (PARTITION BY user_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS made FROM v)
+SELECT user_id, attempt, line, verdict, attempt >= 3 AS overridden FROM m WHERE made""")
+def run_retries(spark: SparkSession, d: str) -> DataFrame:
+    """The attempts of a run that a policy of six makes: a crash at the same line ends it, the third attempt changes fields."""
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    line = F.concat("event_type", F.when(F.col("value") > 100, " late").otherwise(""))
+    log = table(spark, d, "events").select("user_id", "event_type", n.alias("attempt"), line.alias("line"))
+    return E.retried(log, ["user_id"], "attempt", F.col("event_type").isin("error", "click", "view"), "line", 6).select("user_id", "attempt", "line", "verdict", "overridden")
+
+
+@query(r"""WITH q AS (SELECT item_id, text, item_id % 3 AS k FROM benchmark UNION ALL SELECT item_id, replace(text, ' ', '  ') || ' ', item_id % 3 FROM benchmark),
+n AS (SELECT item_id, ['auto', 'exact_table', 'fts'][k + 1] AS kind, trim(regexp_replace(lower(coalesce(text, '')), '\s+', CASE WHEN k = 1 THEN '' ELSE ' ' END, 'g')) AS t, CASE WHEN k = 2 THEN 'second' ELSE '' END AS doc, k FROM q)
+SELECT sha256('{"collection":"","doc":"' || doc || '","neighbors":' || k || ',"query":' || to_json(t) || ',"type":"' || kind || '","want_commentary":' || CASE WHEN k = 0 THEN 'true' ELSE 'false' END || '}') AS key, min(item_id) AS first, count(*) AS asked FROM n GROUP BY 1""")
+def canonical_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Questions that differ in spaces, case and the names of their kind have one key."""
+    from ferrule.functions.keys import canonical_key
+
+    b = table(spark, d, "benchmark").select("item_id", "text")
+    q = b.unionByName(b.withColumn("text", F.concat(F.replace("text", F.lit(" "), F.lit("  ")), F.lit(" ")))).withColumn("k", (F.col("item_id") % 3).cast("int"))
+    kind = F.get(F.array(F.lit(None).cast("string"), F.lit("Table "), F.lit("fts")), F.col("k"))
+    key = canonical_key({"second edition": "second"})(kind, F.col("text"), F.when(F.col("k") == 2, "Second Edition "), F.lit(None).cast("string"), F.when(F.col("k") > 0, F.col("k")), F.col("k") == 0)
+    return q.select("item_id", key.alias("key")).groupBy("key").agg(F.min("item_id").alias("first"), F.count("*").alias("asked"))
+
+
 @query(r"""WITH f AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE role = 'user')
 SELECT conv_id, turn, regexp_extract(text, '^([^.]*)', 1) AS brief FROM f WHERE r = 1""")
 def brief_first_turn(spark: SparkSession, d: str) -> DataFrame:

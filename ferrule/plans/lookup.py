@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferrule.operators import lookup as L
+from ferrule.operators import retrieval as R
 from ferrule.operators.retrieval import cascade
 from ferrule.plans import query, table
 
@@ -124,3 +125,19 @@ def plan_left_results(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.when(F.bool_or(F.col("o_orderstatus") == "F"), "done").otherwise("running").alias("status"))
     rows = table(spark, d, "customer").join(o, "c_custkey", "left")
     return rows.select("c_custkey", "n", F.coalesce("status", F.lit("pending")).alias("status"), F.sha1(F.concat_ws("\n", "c_name", "c_mktsegment").cast("binary")).alias("stamp"))
+
+
+@query("""WITH h AS (SELECT p_type, p_partkey, p_brand, row_number() OVER (PARTITION BY p_type, p_size ORDER BY p_retailprice DESC, p_partkey) AS rank, p_size FROM part QUALIFY rank <= 3),
+f AS (SELECT p_type, min(p_partkey) AS p_partkey FROM part WHERE p_brand = 'Brand#1' GROUP BY 1),
+u AS (SELECT p_type, p_size, p_partkey, p_brand, rank, p_brand = 'Brand#1' AS pref FROM h UNION ALL
+  SELECT p_type, p_size, f.p_partkey, 'Brand#1', 1, true FROM (SELECT p_type, p_size FROM h GROUP BY ALL HAVING NOT bool_or(p_brand = 'Brand#1')) JOIN f USING (p_type))
+SELECT p_type, p_size, p_partkey, NOT pref AND p_brand = 'Brand#2' AS flagged, row_number() OVER (PARTITION BY p_type, p_size ORDER BY pref DESC, rank) AS rank FROM u""")
+def conflict_fetch(spark: SparkSession, d: str) -> DataFrame:
+    """The preferred record first, fetched where no hit is one, and the superseded flagged."""
+    part = table(spark, d, "part")
+    rank = F.row_number().over(Window.partitionBy("p_type", "p_size").orderBy(F.desc("p_retailprice"), "p_partkey")).cast("long")
+    hits = part.withColumn("rank", rank).where("rank <= 3").select("p_type", "p_size", "p_partkey", "p_brand", "rank")
+    first = part.where("p_brand = 'Brand#1'").groupBy("p_type").agg(F.min("p_partkey").alias("p_partkey"))
+    source = hits.select("p_type", "p_size").distinct().join(first, "p_type").select("p_type", "p_size", "p_partkey", F.lit("Brand#1").alias("p_brand"), F.lit(1).cast("long").alias("rank"))
+    got = R.govern(hits, ["p_type", "p_size"], "rank", F.col("p_brand") == "Brand#1", F.col("p_brand") == "Brand#2", source)
+    return got.select("p_type", "p_size", "p_partkey", "flagged", "rank")

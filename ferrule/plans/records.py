@@ -217,3 +217,32 @@ def index_entries(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), see.alias("see"))
     entry = F.concat_ws(" · ", "source", "lang", F.concat(F.col("n").cast("string"), F.lit(" documents")), F.when(F.col("see") != "", F.concat(F.lit("see "), "see")))
     return g.select(entry.alias("entry"), "chars")
+
+
+@query(r"""SELECT doc_id, CASE WHEN lang = 'de' THEN text ELSE concat_ws(chr(10), source, lang, text) END AS shown FROM documents""")
+def json_text(spark: SparkSession, d: str) -> DataFrame:
+    """Every string of a JSON text but ids and links, at any depth; what is not JSON stays as it is."""
+    from ferrule.functions.keys import json_strings
+
+    inner = F.struct(F.col("lang").alias("title"), F.concat(F.lit("/r/"), "source").alias("viewer"), F.array(F.struct(F.col("text").alias("body"))).alias("parts"))
+    nested = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.array("source").alias("names"), F.array(F.lit("a"), F.lit("b")).alias("bom"), F.col("doc_id").alias("n"), inner.alias("x")))
+    return table(spark, d, "documents").select("doc_id", json_strings(F.when(F.col("lang") == "de", F.col("text")).otherwise(nested)).alias("shown"))
+
+
+@query(r"""WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+l AS (SELECT doc_id, pos, CASE WHEN starts_with(line, 'The ') THEN '## ANNEX ' || chr(CAST(65 + pos % 3 AS INTEGER)) || ' ' || line WHEN regexp_matches(line, '^[A-M]') THEN chr(CAST(65 + pos % 3 AS INTEGER)) || '-' || (pos % 2 + 1) || CASE WHEN pos % 4 = 0 THEN '.1' ELSE '' END || ' ' || line ELSE line END AS line FROM x),
+k AS (SELECT *, regexp_extract(line, '^## ANNEX ([A-H])', 1) AS ann, regexp_extract(line, '^([A-H]-\d+(?:\.\d+)*) ', 1) AS id FROM l),
+t(sid) AS (VALUES ('Annex B'), ('B-1')),
+s AS (SELECT doc_id, sid, min(pos) AS a FROM k, t WHERE CASE WHEN sid = 'Annex B' THEN ann = 'B' ELSE id = sid END GROUP BY ALL),
+e AS (SELECT doc_id, sid, a, min(pos) AS b FROM s JOIN k USING (doc_id) WHERE pos > a AND (ann <> '' OR (sid <> 'Annex B' AND id <> '' AND id <> sid AND NOT starts_with(id, sid || '.'))) GROUP BY ALL)
+SELECT doc_id, sid, left(string_agg(CASE WHEN pos = a THEN trim(line) ELSE line END, chr(10) ORDER BY pos), 12000) AS body FROM s LEFT JOIN e USING (doc_id, sid, a) JOIN k USING (doc_id) WHERE pos >= a AND (b IS NULL OR pos < b) GROUP BY ALL""")
+def annex_slices(spark: SparkSession, d: str) -> DataFrame:
+    """An annex, and a clause of one, up to the next that does not belong to it."""
+    from ferrule.operators.sections import annex_slice
+
+    lines = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), F.posexplode(F.split("text", "\n")).alias("p", "line")).withColumn("pos", F.col("p") + 1)
+    letter = F.chr(65 + F.col("pos") % 3)
+    clause = F.concat(letter, F.lit("-"), (F.col("pos") % 2 + 1).cast("string"), F.when(F.col("pos") % 4 == 0, ".1").otherwise(""), F.lit(" "), "line")
+    line = F.when(F.col("line").startswith("The "), F.concat(F.lit("## ANNEX "), letter, F.lit(" "), "line")).when(F.col("line").rlike("^[A-M]"), clause).otherwise(F.col("line"))
+    targets = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.explode(F.array(F.lit("Annex B"), F.lit("B-1"))).alias("sid"), F.lit(1).alias("start"))
+    return annex_slice(lines.select("doc", "page", "pos", line.alias("line")), targets).select(F.col("doc").alias("doc_id"), "sid", "body")

@@ -303,3 +303,30 @@ def edition_max_year(spark: SparkSession, d: str) -> DataFrame:
     """The latest year on the first pages."""
     years = F.transform(F.regexp_extract_all(F.substring("text", 1, 3000), F.lit("[0-9]{4}"), F.lit(0)), lambda x: x.cast("int"))
     return table(spark, d, "documents").select("doc_id", F.array_max(F.filter(years, lambda y: y.between(1900, 2099))).alias("edition")).where("edition is not null")
+
+
+#: Questions of passages, as data.
+ASKED_PASSAGES = {"p1": ["license", "web"], "p2": ["ing", "thed", "code"], "p3": ["trash", "forum"], "p4": ["xyzzy", "news"]}
+
+
+@query(f"""WITH terms(qid, term) AS (VALUES {", ".join(f"('{q}', '{t}')" for q, ts in ASKED_PASSAGES.items() for t in ts)}),
+d AS (SELECT doc_id, source || '/' || doc_id || CASE WHEN lang = 'en' THEN '.md' ELSE '.py' END AS label, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, label, l, unnest(range(0, greatest(0, CAST(ceil((len(l) - 40) / 32.0) AS BIGINT)) + 1)) AS i FROM d),
+p AS (SELECT doc_id, label, i, lower(array_to_string(l[i * 32 + 1 : i * 32 + 40], chr(10))) AS low FROM c WHERE trim(array_to_string(l[i * 32 + 1 : i * 32 + 40], '')) <> ''),
+h AS (SELECT doc_id, label, i, term, (length(low) - length(replace(low, term, ''))) / length(term) AS tf, contains(lower(label), term) AS named FROM p, (SELECT DISTINCT term FROM terms)),
+f AS (SELECT term, count(*) AS df FROM h WHERE tf > 0 GROUP BY 1), asked AS (SELECT qid, count(*) AS asked FROM terms GROUP BY 1),
+s AS (SELECT qid, doc_id, label, i, sum(CASE WHEN tf > 0 THEN (1 + ln(tf)) * ln(1 + (SELECT count(*) FROM p) / (1 + df)) ELSE 0 END + CASE WHEN named THEN 2 ELSE 0 END) AS s, count(*) FILTER (tf > 0) AS found FROM terms JOIN h USING (term) LEFT JOIN f USING (term) WHERE tf > 0 OR named GROUP BY ALL),
+o AS (SELECT qid, doc_id, i, round(s * sqrt(found / asked) * CASE WHEN label LIKE '%.md' THEN 1.25 ELSE 1 END, 8) AS score FROM s JOIN asked USING (qid)),
+k AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY score DESC, i) AS r FROM o),
+b AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, i) AS rank FROM k WHERE r <= 3)
+SELECT qid, rank, doc_id, i AS chunk, round(score, 6) AS score FROM b WHERE rank <= 10""")
+def passage_search(spark: SparkSession, d: str) -> DataFrame:
+    """Passages of forty lines by literal terms, their label and coverage; prose first, three of a file, top ten."""
+    label = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.when(F.col("lang") == "en", ".md").otherwise(".py"))
+    lines = table(spark, d, "documents").where("text is not null").select("doc_id", label.alias("label"), F.split("text", "\n").alias("l"))
+    chunks = lines.select("doc_id", "label", F.posexplode(R.chunks(F.col("l"), 40, 32)).alias("i", "c"))
+    passages = chunks.select("doc_id", "label", "i", F.array_join("c", "\n").alias("text")).where(F.trim(F.array_join("c", "")) != "")
+    terms = spark.createDataFrame([(q, t) for q, ts in ASKED_PASSAGES.items() for t in ts], "qid string, term string")
+    s = R.passage_search(passages, ["doc_id", "i"], "text", "label", terms).withColumn("score", F.round("score", 8))
+    best = R.top(R.top(s, ["qid", "doc_id"], [F.desc("score"), F.col("i")], 3, "of_file"), ["qid"], [F.desc("score"), F.col("doc_id"), F.col("i")], 10)
+    return best.select("qid", "rank", "doc_id", F.col("i").cast("long").alias("chunk"), F.round("score", 6).alias("score"))

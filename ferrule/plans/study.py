@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ferrule.operators import geometry
+from ferrule.operators import scoring as S
 from ferrule.operators.capacity import connection_ratio
 from ferrule.plans import query, table
 
@@ -81,23 +83,66 @@ def connection_scaling(spark: SparkSession, d: str) -> DataFrame:
     return got.select("p_partkey", F.col("c.factor").alias("gamma"), F.round("c.dc_base", 6).alias("dc_base"), F.round("c.dc", 6).alias("dc"), mapped.alias("mapped"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 6 = 0 THEN NULL ELSE round(p_size * 1.25 + coalesce(n, 0) * 0.5, 4) END AS cost, coalesce(n, 0) AS n_conn FROM part
-LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_quantity > 45 GROUP BY 1) ON l_partkey = p_partkey""")
+@query("""WITH n AS (SELECT l_partkey, count(*) FILTER (l_quantity > 45) AS conn, count(*) FILTER (l_quantity < 5) AS braces FROM lineitem GROUP BY 1),
+m AS (SELECT p_partkey, CASE WHEN p_size % 6 <> 0 THEN p_size / 4.0 END AS t, nullif(conn, 0) AS conn, nullif(braces, 0) AS braces, CASE WHEN p_size % 5 <> 0 THEN p_retailprice END AS area FROM part LEFT JOIN n ON l_partkey = p_partkey),
+c AS (SELECT p_partkey, t * 110000 + coalesce(conn, 0) * 50000 + coalesce(braces, 0) * 25000 AS cost, area * 45000 AS revenue FROM m)
+SELECT p_partkey, round(cost, 3) AS modelled_cost, round(revenue, 3) AS revenue_proxy, round(revenue - cost, 3) AS net_value FROM c""")
 def cost_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Cost from rates: a missing tonnage gives null, a missing count nothing."""
-    n = table(spark, d, "lineitem").where("l_quantity > 45").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"))
-    r = table(spark, d, "part").join(n, "p_partkey", "left").withColumn("n_conn", F.coalesce("n", F.lit(0)))
-    return r.select("p_partkey", F.when(F.col("p_size") % 6 != 0, F.round(F.col("p_size") * 1.25 + F.col("n_conn") * 0.5, 4)).alias("cost"), "n_conn")
-
-
-@query("""SELECT p_partkey, CASE WHEN abs(pi() * p_size * p_size / 4 - p_retailprice / 2) <= 0.05 * p_retailprice / 2 THEN 'PASS' WHEN p_size < 5 THEN 'QUARANTINED: too small' ELSE 'FAIL: area' END AS verdict,
-  round(pi() * p_size * p_size / 4, 6) AS area FROM part""")
+    """Cost and revenue from rates, one of them not the default: a missing tonnage gives null, a missing count nothing (M4)."""
+    q = F.col("l_quantity")
+    n = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.nullif(F.count_if(q > 45), F.lit(0)).alias("conn"), F.nullif(F.count_if(q < 5), F.lit(0)).alias("braces"))
+    r = table(spark, d, "part").join(n, "p_partkey", "left")
+    t, area = F.when(F.col("p_size") % 6 != 0, F.col("p_size") / 4.0), F.when(F.col("p_size") % 5 != 0, F.col("p_retailprice"))
+    out = S.cost_metrics(t, F.col("conn"), F.col("braces"), area, {"per_moment_conn": 50000.0})
+    return r.select("p_partkey", *[F.round(c, 3).alias(k) for k, c in out.items()])
+
+
+@query("""WITH r AS (SELECT p_partkey, ['beam I', 'Channel', 'equal angle'][p_partkey % 3 + 1] AS kind, 200.0 + p_size AS d, 100.0 AS b, 6.5 AS tw, 8.0 + p_size % 5 AS tf, CASE WHEN p_size % 4 > 0 THEN p_size % 4 * 3.0 END AS r1,
+  CASE WHEN p_partkey % 11 = 0 THEN 'QUARANTINED: by hand' ELSE 'PASS' END AS was FROM part),
+a AS (SELECT *, CASE WHEN kind NOT LIKE '%angle%' THEN 2 * b * tf + (d - 2 * tf) * tw + CASE WHEN kind = 'Channel' THEN 2 ELSE 4 END * (1 - pi() / 4) * coalesce(r1, 0) ** 2 END AS area FROM r),
+p AS (SELECT *, CASE WHEN p_partkey % 13 = 0 THEN 0.0 ELSE 3000.0 END AS printed FROM a)
+SELECT p_partkey, round(area, 6) AS area, CASE WHEN printed <> 0 AND abs(printed / area - 1) > 0.05 AND NOT starts_with(was, 'QUARANTINED') THEN 'QUARANTINED: area is ' || printf('%.2f', printed / area) || ' of the plates'' (was: ' || was || ')' ELSE was END AS verdict FROM p""")
 def plate_area_check(spark: SparkSession, d: str) -> DataFrame:
-    """Area against the printed one, with quarantine."""
-    area = F.pi() * F.col("p_size") * F.col("p_size") / 4
-    half = F.col("p_retailprice") / 2
-    verdict = F.when(F.abs(area - half) <= 0.05 * half, "PASS").when(F.col("p_size") < 5, "QUARANTINED: too small").otherwise("FAIL: area")
-    return table(spark, d, "part").select("p_partkey", verdict.alias("verdict"), F.round(area, 6).alias("area"))
+    """A printed area against that of plates and fillets, with quarantine."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    kind = F.get(F.array(*map(F.lit, ("beam I", "Channel", "equal angle"))), (k % 3).cast("int"))
+    area = geometry.plate_area(kind, 200.0 + size, F.lit(100.0), F.lit(6.5), 8.0 + size % 5, F.when(size % 4 > 0, size % 4 * 3.0))
+    was = F.when(k % 11 == 0, "QUARANTINED: by hand").otherwise("PASS")
+    verdict = geometry.plate_verdict(F.when(k % 13 == 0, 0.0).otherwise(3000.0), F.col("area"), was)
+    return table(spark, d, "part").withColumn("area", area).select("p_partkey", F.round("area", 6).alias("area"), verdict.alias("verdict"))
+
+
+@query("""SELECT p_partkey, round(p_size * f, 6) AS a, round(p_retailprice * f, 6) AS ix, round(p_retailprice / 3 * f, 6) AS iy, round(p_size * 0.5 * f * f * f, 6) AS j FROM (SELECT *, CASE WHEN p_size % 3 = 0 THEN 1.0 ELSE 0.9 + p_size / 250.0 END AS f FROM part)""")
+def stiffness_factors(spark: SparkSession, d: str) -> DataFrame:
+    """Section stiffness under a factor of plate thickness, one where there is none."""
+    size, i = F.col("p_size"), F.col("p_retailprice")
+    s = geometry.thickened(size.cast("double"), i, i / 3, size * 0.5, F.when(size % 3 != 0, 0.9 + size / 250.0))
+    return table(spark, d, "part").select("p_partkey", s.alias("s")).select("p_partkey", *[F.round(F.col("s")[k], 6).alias(k) for k in ("a", "ix", "iy", "j")])
+
+
+@query("""WITH r AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'I' ELSE 'C' END AS k, 100 + p_size AS d, 80 AS b, CASE WHEN p_partkey % 4 = 1 THEN 22.5 WHEN p_partkey % 4 = 3 THEN 0 END AS cy, 20.0 + p_size AS a, 900.0 + p_retailprice AS ix, 100.0 + p_size AS iy, CASE WHEN p_size % 10 = 0 THEN 250 ELSE 100 END AS size FROM part),
+e AS (SELECT *, 0.785 * a AS mass, sqrt(ix * 1e4 / (a * 100)) AS rx, ix * 10 / (d / 2.0) AS zx, sqrt(iy * 1e4 / (a * 100)) AS ry, iy * 10 / (CASE WHEN k = 'I' THEN b / 2.0 ELSE b - cy END) AS zy FROM r),
+w AS (SELECT *, CAST(round(mass * CASE p_partkey % 5 WHEN 1 THEN 1.5 WHEN 2 THEN 10 ELSE 1 END, 1) AS DECIMAL(12, 1))::DOUBLE AS pm, CAST(round(rx * CASE p_partkey % 7 WHEN 1 THEN 1.2 ELSE 1 END, 1) AS DECIMAL(12, 1))::DOUBLE AS px,
+  CAST(round(zx * CASE p_partkey % 3 WHEN 1 THEN 0.1 WHEN 2 THEN 0.8 ELSE 1 END, 1) AS DECIMAL(12, 1))::DOUBLE AS pzx, CASE WHEN p_partkey % 6 > 0 THEN CAST(round(ry, 1) AS DECIMAL(12, 1))::DOUBLE END AS py, CAST(round(zy * CASE p_partkey % 8 WHEN 3 THEN 2 ELSE 1 END, 1) AS DECIMAL(12, 1))::DOUBLE AS pzy FROM e),
+t AS (SELECT *, 0.01 + 0.05 / pm + 0.05 / a AS tm, 0.01 + 0.05 / px + 0.5 * (0.005 / ix + 0.05 / a) AS tx, 0.01 + 0.05 / pzx + 0.005 / ix + 0.5 / d AS tzx, 0.01 + 0.05 / py + 0.5 * (0.05 / iy + 0.05 / a) AS ty,
+  0.01 + 0.05 / pzy + 0.05 / iy + 0.5 / b + CASE WHEN k = 'C' THEN 0.05 / greatest(cy, 1e-12) ELSE 0 END AS tzy FROM w)
+SELECT p_partkey, concat_ws(',', CASE WHEN least(abs(pm / mass - 1), abs(pm * 10 / mass - 1), abs(pm / 10 / mass - 1)) > tm THEN 'mass' END, CASE WHEN least(abs(px / rx - 1), abs(px * 10 / rx - 1), abs(px / 10 / rx - 1)) > tx THEN 'rxx' END,
+  CASE WHEN least(abs(pzx / zx - 1), abs(pzx * 10 / zx - 1), abs(pzx / 10 / zx - 1)) > tzx THEN 'Zex' END, CASE WHEN least(abs(py / ry - 1), abs(py * 10 / ry - 1), abs(py / 10 / ry - 1)) > ty THEN 'ryy' END,
+  CASE WHEN least(abs(pzy / zy - 1), abs(pzy * 10 / zy - 1), abs(pzy / 10 / zy - 1)) > tzy THEN 'Zey' END, CASE WHEN d / size::DOUBLE NOT BETWEEN 0.85 AND 1.25 THEN 'designation' END) AS issues FROM t""")
+def section_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Printed values of a section that its other values contradict (M7)."""
+    k, size, price = F.col("p_partkey"), F.col("p_size"), F.col("p_retailprice")
+    put = lambda c, n=1: F.round(c, n).cast(f"decimal(12,{n})").cast("string")
+    schema = F.when(k % 2 == 0, "I").otherwise("C")
+    r = table(spark, d, "part").select("p_partkey", schema.alias("schema"), (100 + size).alias("d"), F.when(k % 4 == 1, 22.5).when(k % 4 == 3, 0.0).alias("cy"), (20.0 + size).alias("a"), (900.0 + price).alias("ix"), (100.0 + size).alias("iy"), F.when(size % 10 == 0, "XB 250").otherwise("XB 100").alias("designation"))
+    wrong = lambda m, f: F.coalesce(*[F.when(k % m == i, x) for i, x in f.items()], F.lit(1.0))
+    half = F.when(F.col("schema") == "I", 40.0).otherwise(80 - F.col("cy"))
+    printed = {
+        "A_cm2": put(F.col("a")), "D": F.col("d").cast("string"), "B": F.lit("80"), "Cy": put(F.col("cy")), "Ixx_cm4": put(F.col("ix"), 2), "Iyy_cm4": put(F.col("iy")),
+        "mass_kg_m": put(0.785 * F.col("a") * wrong(5, {1: 1.5, 2: 10.0})), "rxx": put(F.sqrt(F.col("ix") * 1e4 / (F.col("a") * 100)) * wrong(7, {1: 1.2})),
+        "Zex_cm3": put(F.col("ix") * 10 / (F.col("d") / 2) * wrong(3, {1: 0.1, 2: 0.8})), "ryy": F.when(k % 6 > 0, put(F.sqrt(F.col("iy") * 1e4 / (F.col("a") * 100)))), "Zey_cm3": put(F.col("iy") * 10 / half * wrong(8, {3: 2.0})),
+    }
+    return r.select("p_partkey", F.array_join(S.section_issues(F.col("schema"), F.col("designation"), printed), ",").alias("issues"))
 
 
 @query("""WITH k(pattern, ord) AS (VALUES ('bolt', 1), ('ring', 2), ('widget', 3))
