@@ -179,3 +179,25 @@ def ranked(rows: DataFrame, last: Column, limit: int) -> DataFrame:
     """The best ``limit`` rows of each question, numbered from 1; those of ``last`` come after all others (L4)."""
     w = Window.partitionBy("qid").orderBy(F.coalesce(last, F.lit(False)), "score", "doc")
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= limit)
+
+
+def answer(questions: DataFrame, guard: DataFrame, by_id: Callable[[DataFrame], DataFrame], full_text: Callable[[DataFrame], DataFrame], keyword: Callable[[DataFrame], DataFrame], aliases: DataFrame, most: int = 6) -> DataFrame:
+    """``(qid, doc, rank, stage, alias)`` of ``questions(qid, text)`` by the first way that finds something.
+
+    Questions in ``guard(qid)`` are not searched at all. Then come an id, the full text, keywords, and the full text of a question's
+    first ``most`` ``aliases(qid, ord, text)`` in order, of which the first that finds anything answers. Every way takes
+    ``(qid, text)`` and gives ``(qid, doc, rank)``; each sees only what those before left open.
+    """
+    left = stored(questions.select("qid", "text").join(guard.select("qid"), "qid", "left_anti"), "open-")
+    out = None
+    for name, way in (("id", by_id), ("fts", full_text), ("keyword", keyword)):
+        got = stored(way(left).select("qid", "doc", "rank"), f"{name}-")
+        rows = got.withColumns({"stage": F.lit(name), "alias": F.lit(None).cast("string")})
+        out = rows if out is None else out.unionByName(rows)
+        left = stored(left.join(got.select("qid").distinct(), "qid", "left_anti"), "open-")
+    asked = aliases.join(left.select("qid", F.col("text").alias("__own")), "qid").where((F.col("ord") < most) & (F.col("text") != F.col("__own")))
+    asked = asked.select(F.concat_ws("\x1f", "qid", F.col("ord").cast("string")).alias("__q"), F.col("qid").alias("__of"), "ord", "text")
+    got = full_text(asked.select(F.col("__q").alias("qid"), "text")).select(F.col("qid").alias("__q"), "doc", "rank").join(asked, "__q")
+    got = stored(got.select(F.col("__of").alias("qid"), "ord", "doc", "rank", F.col("text").alias("alias")), "alias-")
+    first = got.groupBy("qid").agg(F.min("ord").alias("ord"))
+    return out.unionByName(got.join(first, ["qid", "ord"]).select("qid", "doc", "rank", F.lit("alias").alias("stage"), "alias"))

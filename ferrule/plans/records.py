@@ -129,11 +129,23 @@ def heading_census(spark: SparkSession, d: str) -> DataFrame:
     return c.agg(F.max(F.when(F.col("subs") >= 5, F.col("top"))).alias("max_top"), F.count_if(F.col("subs") >= 5).alias("n"))
 
 
-@query("""SELECT source, string_agg(doc_id, ',' ORDER BY doc_id) FILTER (n_chars < 60) AS headers, string_agg(doc_id, ',' ORDER BY doc_id) FILTER (n_chars > 15000) AS footers, min(doc_id) FILTER (lang = 'de') AS label FROM documents GROUP BY 1""")
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos, len(string_split(text, chr(10))) AS n FROM documents),
+f AS (SELECT doc_id, pos, n, CASE WHEN pos = 1 THEN left(line, 40) WHEN doc_id % 3 = 0 THEN '16.1-' || doc_id WHEN doc_id % 3 = 1 THEN 'Copyright holder ' || doc_id % 1000 ELSE right(line, 30) END AS line FROM l WHERE pos IN (1, n)),
+g AS (SELECT doc_id, array_to_string(list(line ORDER BY pos) FILTER (NOT (pos > 1 OR contains(lower(line), 'copyright'))), '|') AS headers, array_to_string(list(line ORDER BY pos) FILTER (pos > 1 OR contains(lower(line), 'copyright')), '|') AS footers,
+  list(trim(regexp_replace(line, '\s+', ' ', 'g')) ORDER BY pos > 1 OR contains(lower(line), 'copyright'), pos) AS t FROM f GROUP BY doc_id),
+r AS (SELECT *, list_filter(list_transform(t, lambda x: regexp_extract(x, '(?i)^([A-Z]-\d+|\d+-\d+|\d{1,4}|[ivxlcdm]+)$', 1)), lambda x: x NOT IN ('', 'c', 'C'))[1] AS a, list_filter(list_transform(t, lambda x: regexp_extract(x, '(?i)16\s*\.\s*1\s*[-–—]\s*([ivxlcdm]+|\d+)\b', 1)), lambda x: x <> '')[1] AS b,
+  list_filter(list_transform(list_filter(t, lambda x: NOT regexp_matches(x, '(?i)S400|S100|S240|Supplement')), lambda x: regexp_extract(x, '(\d{1,4})\s*$', 1)), lambda x: x <> '')[1] AS c FROM g)
+SELECT doc_id, coalesce(headers, '') AS headers, coalesce(footers, '') AS footers, coalesce(CASE WHEN regexp_matches(a, '(?i)^[ivxlcdm]+$') THEN lower(a) ELSE a END, '16.1-' || lower(b), c) AS printed_label FROM r""")
 def furniture_lists(spark: SparkSession, d: str) -> DataFrame:
-    """Ids of very short and very long documents by source, and the first label; it reads no text, so it is neither W19 nor C12."""
-    ids = lambda c: F.when(F.count_if(c) > 0, F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.col("doc_id")))), lambda x: x.cast("string")), ","))
-    return table(spark, d, "documents").groupBy("source").agg(ids(F.col("n_chars") < 60).alias("headers"), ids(F.col("n_chars") > 15000).alias("footers"), F.min(F.when(F.col("lang") == "de", F.col("doc_id"))).alias("label"))
+    """Headers and footers of pages and the label they print (W19); a document is a page, its first line a header, its last a footer."""
+    from ferrule.operators.furniture import furniture_by_page
+
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "line"), (F.size(F.split("text", "\n")) - 1).alias("last")).where("seq = 0 or seq = last")
+    doc = F.col("doc_id")
+    end = F.when(doc % 3 == 0, F.concat(F.lit("16.1-"), doc.cast("string"))).when(doc % 3 == 1, F.concat(F.lit("Copyright holder "), (doc % 1000).cast("string"))).otherwise(F.expr("right(line, 30)"))
+    label = F.when(F.col("seq") == 0, "page_header").otherwise("page_footer")
+    texts = lines.select("doc_id", "seq", label.alias("label"), F.lit("furniture").alias("layer"), F.when(F.col("seq") == 0, F.substring("line", 1, 40)).otherwise(end).alias("text"))
+    return furniture_by_page(texts, ["doc_id"]).select("doc_id", F.array_join("headers", "|").alias("headers"), F.array_join("footers", "|").alias("footers"), "printed_label")
 
 
 @query("""SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS pos FROM orders QUALIFY pos <= 30""")
@@ -208,14 +220,14 @@ def markdown_toc(spark: SparkSession, d: str) -> DataFrame:
     return l.select("doc_id", F.concat(F.lit("- "), F.array_join("l", "\n- ")).alias("toc"), F.size("l").cast("long").alias("n"))
 
 
-@query("""WITH t AS (SELECT source, lang, count(*) AS n, sum(n_chars) AS chars, string_agg(CASE WHEN n_chars > 12000 THEN CAST(doc_id AS VARCHAR) END, '; ' ORDER BY doc_id) AS problems FROM documents GROUP BY ALL)
-SELECT source || ' · ' || lang || ' · ' || n || ' documents' || CASE WHEN problems IS NOT NULL THEN ' · see ' || problems ELSE '' END AS entry, chars FROM t""")
+@query("""WITH t AS (SELECT source, lang, count(*) AS n, sum(n_chars) AS chars, count(*) FILTER (n_chars > 12000) AS long, min(doc_id) FILTER (n_chars > 12000) AS first FROM documents GROUP BY ALL)
+SELECT source || ' · ' || lang || ' · ' || n || ' documents' || CASE WHEN long > 0 THEN ' · ' || long || ' too long, see ' || first ELSE '' END AS entry, chars FROM t""")
 def index_entries(spark: SparkSession, d: str) -> DataFrame:
-    """Entry texts of an index with notes on problems."""
-    long_ = F.when(F.col("n_chars") > 12000, F.col("doc_id"))
-    see = F.array_join(F.transform(F.array_sort(F.collect_list(long_)), lambda x: x.cast("string")), "; ")
-    g = table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), see.alias("see"))
-    entry = F.concat_ws(" · ", "source", "lang", F.concat(F.col("n").cast("string"), F.lit(" documents")), F.when(F.col("see") != "", F.concat(F.lit("see "), "see")))
+    """Entry texts of an index with a note on problems (K17, S21, K16); a count and the first, so a group of any size is one short row."""
+    long_ = F.col("n_chars") > 12000
+    g = table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.count_if(long_).alias("long"), F.min(F.when(long_, F.col("doc_id"))).alias("first"))
+    see = F.when(F.col("long") > 0, F.concat(F.col("long").cast("string"), F.lit(" too long, see "), F.col("first").cast("string")))
+    entry = F.concat(F.concat("source", F.lit(" · "), "lang", F.lit(" · "), F.col("n").cast("string"), F.lit(" documents")), F.coalesce(F.concat(F.lit(" · "), see), F.lit("")))
     return g.select(entry.alias("entry"), "chars")
 
 
@@ -246,3 +258,18 @@ def annex_slices(spark: SparkSession, d: str) -> DataFrame:
     line = F.when(F.col("line").startswith("The "), F.concat(F.lit("## ANNEX "), letter, F.lit(" "), "line")).when(F.col("line").rlike("^[A-M]"), clause).otherwise(F.col("line"))
     targets = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.explode(F.array(F.lit("Annex B"), F.lit("B-1"))).alias("sid"), F.lit(1).alias("start"))
     return annex_slice(lines.select("doc", "page", "pos", line.alias("line")), targets).select(F.col("doc").alias("doc_id"), "sid", "body")
+
+
+#: A line that each publication prints.
+TITLES = {"aisc_358": "9.2-xii", "aisc_341": "American Institute of Steel Construction", "asce": "STANDARD ASCE/SEI 7-22", "aisi_s100": "12 Chapter A, General", "aisi_s240": "ii AISI S240-20-C", "aisi_s230": "AISI S230-19"}
+
+
+@query(r"""SELECT doc_id, array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT (doc_id % 6 = 3 AND regexp_full_match(trim(x), '(?i)[A-Z]-\d+|\d+-\d+|\d{1,4}|[ivxlcdm]+') AND lower(trim(x)) <> 'c')), chr(10)) AS body FROM documents""")
+def running_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Texts between the titles that six publications print on their pages, which leave again."""
+    from ferrule.operators.furniture import strip_running_titles
+
+    k = F.col("doc_id") % len(TITLES)
+    case = lambda f: F.coalesce(*[F.when(k == i, f(p)) for i, p in enumerate(TITLES)])
+    printed = table(spark, d, "documents").withColumn("printed", F.concat_ws("\n", case(lambda p: F.lit(TITLES[p])), F.coalesce("text", F.lit("")), case(lambda p: F.lit("  " + TITLES[p] + " "))))
+    return printed.select("doc_id", case(lambda p: strip_running_titles(F.col("printed"), p)).alias("body"))

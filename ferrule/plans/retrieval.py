@@ -330,3 +330,43 @@ def passage_search(spark: SparkSession, d: str) -> DataFrame:
     s = R.passage_search(passages, ["doc_id", "i"], "text", "label", terms).withColumn("score", F.round("score", 8))
     best = R.top(R.top(s, ["qid", "doc_id"], [F.desc("score"), F.col("i")], 3, "of_file"), ["qid"], [F.desc("score"), F.col("doc_id"), F.col("i")], 10)
     return best.select("qid", "rank", "doc_id", F.col("i").cast("long").alias("chunk"), F.round("score", 6).alias("score"))
+
+
+#: Questions for the whole pipeline, what stops one, and what others may be called, as data.
+AUTO = [("a1", "7"), ("a2", "license"), ("a3", "icens"), ("a4", "permitx"), ("a5", "rafter"), ("a6", "nothingatall"), ("a7", "thed")]
+AUTO_ALIASES = [("a4", 0, "zzzz"), ("a4", 1, "license"), ("a4", 2, "the"), ("a6", 0, "yyyy"), ("a6", 7, "license"), ("a2", 0, "the")]
+
+
+@query(rf"""WITH q(qid, text) AS (VALUES {", ".join(str(x) for x in AUTO if x[0] != "a5")}), al(qid, ord, text) AS (VALUES {", ".join(str(x) for x in AUTO_ALIASES)}),
+a AS (SELECT qid, doc_id AS doc, 1 AS rank, 'id' AS stage, NULL AS alias FROM q JOIN documents ON CAST(doc_id AS VARCHAR) = q.text),
+d AS (SELECT doc_id, coalesce(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), []) AS w FROM documents),
+asked AS (SELECT qid, 0 AS ord, text, false AS alias FROM q UNION ALL SELECT qid, ord, text, true FROM al WHERE ord < 6),
+tf AS (SELECT qid, ord, alias, text, doc_id AS doc, len(list_filter(w, lambda x: x = text)) AS tf, len(w) AS dl FROM asked, d WHERE list_contains(w, text)),
+df AS (SELECT text, count(DISTINCT doc) AS df FROM tf GROUP BY 1), size AS (SELECT count(*) AS n, avg(len(w)) AS a FROM d),
+s AS (SELECT qid, ord, alias, text, doc, row_number() OVER (PARTITION BY qid, ord, alias ORDER BY round(-(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a)), 8), doc) AS rank FROM tf JOIN df USING (text), size),
+f AS (SELECT qid, doc, rank, 'fts', NULL FROM s WHERE NOT alias AND rank <= 12 AND qid NOT IN (SELECT qid FROM a)),
+k AS (SELECT qid, doc_id AS doc, row_number() OVER (PARTITION BY qid ORDER BY doc_id) AS rank FROM q JOIN documents ON contains(lower(documents.text), q.text) WHERE qid NOT IN (SELECT qid FROM a UNION SELECT qid FROM f)),
+o AS (SELECT qid FROM q WHERE qid NOT IN (SELECT qid FROM a UNION SELECT qid FROM f UNION SELECT qid FROM k)),
+x AS (SELECT qid, min(ord) AS ord FROM s WHERE alias AND qid IN (FROM o) GROUP BY 1)
+SELECT * FROM a UNION ALL SELECT * FROM f UNION ALL SELECT qid, doc, rank, 'keyword', NULL FROM k WHERE rank <= 12 UNION ALL SELECT qid, doc, rank, 'alias', text FROM s JOIN x USING (qid, ord) WHERE alias AND rank <= 12""")
+def auto_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Questions answered by the first of id, full text, keywords and aliases that finds something; one is stopped by a guard."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    questions = spark.createDataFrame(AUTO, "qid string, text string")
+    best = lambda rows, order: R.top(rows, ["qid"], order, 12)
+
+    def by_id(q: DataFrame) -> DataFrame:
+        return q.join(docs.select(F.col("doc_id").alias("doc")), F.col("doc").cast("string") == q.text).withColumn("rank", F.lit(1).cast("long"))
+
+    def full_text(q: DataFrame) -> DataFrame:
+        asked = Q.stored(Q.clauses(q, "qid", "text", R.tokens).withColumn("variant", F.lit(0)), "asked-")
+        postings, lengths = Q.positions(docs, "doc_id", "text", asked, R.tokens)
+        return best(Q.evaluate(asked, postings, lengths).withColumn("score", F.round("score", 8)), [F.col("score"), F.col("doc")])
+
+    def keyword(q: DataFrame) -> DataFrame:
+        # A handful of questions by construction.
+        low = docs.select(F.col("doc_id").alias("doc"), casefold(nfkc("text")).alias("low"))
+        return best(low.join(F.broadcast(q), F.col("low").contains(F.lower("text"))), [F.col("doc")])
+
+    aliases = spark.createDataFrame(AUTO_ALIASES, "qid string, ord int, text string")
+    return Q.answer(questions, questions.where("text = 'rafter'"), by_id, full_text, keyword, aliases)
