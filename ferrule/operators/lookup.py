@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,10 +28,16 @@ def match_rank(label: Column, asked: Column) -> Column:
 
 
 def narrow(df: DataFrame, by: list[str], conditions: list[Column]) -> DataFrame:
-    """Conditions in order, each applied only where it leaves the group any row."""
-    for c in conditions:
-        df = prefer(df, by, c)
-    return df
+    """Conditions in order, each applied only where it leaves the group any row.
+
+    What is left are the rows whose conditions, as a tuple, are the greatest of their group: one maximum that is combined
+    before the shuffle, so a group of any size is never sorted or held by one task.
+    """
+    met = F.struct(*[F.coalesce(c, F.lit(False)).alias(f"c{i}") for i, c in enumerate(conditions)])
+    rows = df.withColumn("__met", met)
+    best = rows.groupBy(*[F.col(b).alias(f"__{b}") for b in by]).agg(F.max("__met").alias("__best"))
+    same = functools.reduce(lambda a, b: a & b, [rows[b].eqNullSafe(best[f"__{b}"]) for b in by])
+    return rows.join(best, same & (rows["__met"] == best["__best"])).select(*df.columns)
 
 
 def not_part(part: Column, other: str) -> Column:

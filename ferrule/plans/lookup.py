@@ -141,3 +141,33 @@ def conflict_fetch(spark: SparkSession, d: str) -> DataFrame:
     source = hits.select("p_type", "p_size").distinct().join(first, "p_type").select("p_type", "p_size", "p_partkey", F.lit("Brand#1").alias("p_brand"), F.lit(1).cast("long").alias("rank"))
     got = R.govern(hits, ["p_type", "p_size"], "rank", F.col("p_brand") == "Brand#1", F.col("p_brand") == "Brand#2", source)
     return got.select("p_type", "p_size", "p_partkey", "flagged", "rank")
+
+
+#: Tables asked for, as data.
+ASKED_TABLES = [("t1", "Table 9", False), ("t2", "20", False), ("t3", "30(b)", False), ("t4", "Table 7", True), ("t5", "brand#1", False), ("t6", "Fig. 4", False), ("t7", "Table 77", False), ("t8", "rod", False)]
+
+
+@query(f"""WITH q(qid, asked, want) AS (VALUES {", ".join(f"('{a}', '{b}', {c})" for a, b, c in ASKED_TABLES)}),
+n AS (SELECT qid, want, lower(replace(regexp_replace(asked, '(?i)^\\s*table\\s+', ''), ' ', '')) AS q FROM q),
+t AS (SELECT p_type AS doc, CASE p_partkey % 4 WHEN 0 THEN p_size || '' WHEN 1 THEN p_size || '(' || chr(CAST(97 + p_partkey % 3 AS INTEGER)) || ')' WHEN 3 THEN p_size || 'x' END AS table_id, CASE WHEN p_partkey % 2 = 0 THEN 'Table ' || p_size || ' ' || p_name ELSE 'Fig. ' || p_size || ' ' || p_name END AS title, p_brand AS excerpt,
+  CASE WHEN p_partkey % 7 = 0 THEN 'commentary' WHEN p_partkey % 7 < 6 THEN 'standard' END AS part, CASE WHEN p_partkey % 5 = 0 THEN 'opensees' ELSE 'specification' END AS coll, p_partkey % 6 = 0 AS old, p_retailprice > 1500 AS ver, p_partkey % 9 = 0 AS cont, p_partkey % 8 = 0 AS one, p_brand = 'Brand#2' AS toc, nullif(p_partkey % 10, 0) AS n_rows, p_partkey AS page FROM part),
+m AS (SELECT *, lower(coalesce(table_id, '')) AS rid FROM t, n WHERE lower(coalesce(table_id, '')) = q OR CASE WHEN starts_with(q, 'fig.') THEN regexp_matches(lower(replace(title || ' ' || excerpt, ' ', '')) || 'z', 'fig\\.4[^0-9]') ELSE contains(lower(replace(title || ' ' || excerpt, ' ', '')), q) END),
+a AS (SELECT * FROM m WHERE NOT want OR coll <> 'specification' OR part = 'commentary'),
+b AS (SELECT * FROM a QUALIFY (want OR coll <> 'specification' OR part IS DISTINCT FROM 'commentary') OR NOT bool_or(want OR coll <> 'specification' OR part IS DISTINCT FROM 'commentary') OVER (PARTITION BY qid)),
+c AS (SELECT * FROM b QUALIFY rid <> '' OR NOT bool_or(rid <> '') OVER (PARTITION BY qid)), e AS (SELECT * FROM c QUALIFY rid = q OR NOT bool_or(rid = q) OVER (PARTITION BY qid)),
+f AS (SELECT * FROM e QUALIFY NOT old OR bool_and(old) OVER (PARTITION BY qid)), g AS (SELECT * FROM f QUALIFY ver OR cont OR NOT bool_or(ver) OVER (PARTITION BY qid)), h AS (SELECT * FROM g QUALIFY NOT one OR bool_and(one) OVER (PARTITION BY qid)),
+i AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN rid = q THEN 0 ELSE 1 END, coll = 'opensees', rid = '', toc, cont, n_rows IS NULL, -coalesce(n_rows, 0), page) AS r FROM h WHERE rid = q OR NOT regexp_full_match(q, '[0-9]+[a-z]?') OR regexp_full_match(rid, q || '\\([a-z]\\)')),
+k AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY qid, doc, coalesce(table_id, 'title:' || left(title, 40)), part ORDER BY r) = 1)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY r) AS rank, doc, table_id, part, page AS pdf_page FROM k QUALIFY rank <= 20""")
+def exact_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The tables that are asked for, narrowed in the whole order of the lookup."""
+    from ferrule.operators.tables import exact_tables as find
+
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    ids = F.when(k % 4 == 0, size).when(k % 4 == 1, F.concat(size, F.lit("("), F.chr(97 + k % 3), F.lit(")"))).when(k % 4 == 3, F.concat(size, F.lit("x")))
+    tables = table(spark, d, "part").select(
+        F.col("p_type").alias("doc"), ids.alias("table_id"), F.lit(None).cast("string").alias("label"), F.concat(F.when(k % 2 == 0, "Table ").otherwise("Fig. "), size, F.lit(" "), "p_name").alias("title"), F.col("p_brand").alias("excerpt"),
+        F.when(k % 7 == 0, "commentary").when(k % 7 < 6, "standard").alias("part"), F.when(k % 5 == 0, "opensees").otherwise("specification").alias("collection"), (k % 6 == 0).alias("superseded"), (F.col("p_retailprice") > 1500).alias("caption_verified"),
+        F.lit(None).cast("boolean").alias("structured_row"), (k % 9 == 0).alias("continued"), (k % 8 == 0).alias("row_of_table"), (F.col("p_brand") == "Brand#2").alias("toc"), F.nullif(k % 10, F.lit(0)).alias("num_rows"), k.alias("pdf_page"),
+    )
+    return find(spark.createDataFrame(ASKED_TABLES, "qid string, asked string, want_commentary boolean"), tables)
