@@ -96,6 +96,37 @@ def neighbours(df: DataFrame, by: list[str], order: list[str], value: str, n: in
     return df.withColumns({"before": F.collect_list(value).over(w.rowsBetween(-n, -1)), "after": F.collect_list(value).over(w.rowsBetween(1, n))})
 
 
+#: Rows that one task numbers or looks ahead over, of groups that are dealt to blocks.
+BLOCK_ROWS = 1 << 16
+
+
+def following(df: DataFrame, by: list[str], order: str, value: str, n: int, flagged: Column) -> DataFrame:
+    """``after``: up to ``n`` values of the next rows by ``order``, which is unique in a group; ``ends``: the ``order`` of the first
+    later row that is ``flagged``.
+
+    Small groups take one window. One over ``GROUP_ROWS`` is ranked and cut into blocks that overlap by ``n`` rows; what lies
+    beyond a block comes from one row for each block. Both ways give the same.
+    """
+
+    def look(rows: DataFrame, w, own: Column) -> DataFrame:
+        ends = F.min(F.when(own & flagged, F.col(order))).over(w.rowsBetween(1, Window.unboundedFollowing))
+        return rows.withColumns({"after": F.collect_list(value).over(w.rowsBetween(1, n)), "ends": ends})
+
+    block = max(BLOCK_ROWS, n)
+    small, large = _split(df, by)
+    got = [] if small is None else [look(small, Window.partitionBy(*by).orderBy(order), F.lit(True))]
+    if large is not None:
+        placed = _ranks_by_range(large, by, order, [], "__r").withColumns({"__b": F.floor((F.col("__r") - 1) / block), "__own": F.lit(True)})
+        ahead = placed.where((F.col("__b") > 0) & ((F.col("__r") - 1) % block < n)).withColumns({"__b": F.col("__b") - 1, "__own": F.lit(False)})
+        rows = look(placed.unionByName(ahead), Window.partitionBy(*by, "__b").orderBy("__r"), F.col("__own")).where("__own")
+        firsts = placed.groupBy(*by, "__b").agg(F.min(F.when(flagged, F.col(order))).alias("__f"))
+        beyond = F.min("__f").over(Window.partitionBy(*by).orderBy("__b").rowsBetween(1, Window.unboundedFollowing))
+        later = firsts.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.col("__b").alias("__c"), beyond.alias("__later"))
+        rows = rows.join(later, _same(by) & (F.col("__b") == F.col("__c"))).withColumn("ends", F.coalesce("ends", "__later"))
+        got.append(rows.select(*df.columns, "after", "ends"))
+    return got[0] if len(got) == 1 else got[0].unionByName(got[1])
+
+
 def asof_backward(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str], ties: list[str]) -> DataFrame:
     """``left`` with the values of the latest right row at or before it; of right rows at one place the last by ``ties``.
 

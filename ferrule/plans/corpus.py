@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions import text as X
+from ferrule.operators import ordered as O
 from ferrule.operators import search as S
 from ferrule.operators.retrieval import prefer
 from ferrule.plans import query, table
@@ -89,9 +90,9 @@ w AS (SELECT source, doc_id, lang, list(lang) OVER (PARTITION BY source ORDER BY
 SELECT doc_id, array_to_string(coalesce(nxt, []), ',') AS terminators, ends FROM w""")
 def clause_windows(spark: SparkSession, d: str) -> DataFrame:
     """The ids that may end a clause, and the first later page that does."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    ends = F.min(F.when(F.col("n_chars") > 5000, F.col("doc_id"))).over(w.rowsBetween(1, Window.unboundedFollowing))
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.collect_list("lang").over(w.rowsBetween(1, 6)), ",").alias("terminators"), ends.alias("ends"))
+    rows = table(spark, d, "documents").select("source", "doc_id", "lang", "n_chars")
+    got = O.following(rows, ["source"], "doc_id", "lang", 6, F.col("n_chars") > 5000)
+    return got.select("doc_id", F.array_join("after", ",").alias("terminators"), "ends")
 
 
 @query("""WITH t AS (SELECT l_orderkey, l_linenumber AS page, CASE WHEN l_quantity > 25 THEN l_partkey END AS id FROM lineitem GROUP BY ALL),
