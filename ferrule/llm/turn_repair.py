@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrule.llm.common import table, tidy
+from ferrule.llm.sql import CRC_TABLE, crc32
 
 BLANKS = " \t\n\x0b\x0c\r"
 NONE, BLANK, DUPLICATE, TRUNCATED = range(4)
@@ -217,3 +218,55 @@ def damaged(turns: DataFrame) -> DataFrame:
 def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256 of every conversation, after damage."""
     return audits(damaged(table(spark, sf_dir, "conversations")), copies_col="copies")
+
+
+def _more(v: str, cost: str, letter: str) -> str:
+    """SQL: a way ``v``, nine digits of cost and then the edits, with one more edit in front."""
+    return f"lpad((CAST(left({v}, 9) AS BIGINT) + {cost})::VARCHAR, 9, '0') || '{letter}' || substr({v}, 10)"
+
+
+def _ways(state: int) -> str:
+    """SQL: the least way from a state over the edits of the turn itself; a way is comparable as text, by cost and then by edits."""
+    leads, spoken = NEXT[state], NEXT[state][SPOKEN[state]]
+    keep = " ".join(f"WHEN initial = '{' sua'[kind]}' THEN {_more(f'v{to}', 'kept', 'K')}" for kind, to in leads.items())
+    return f"least({_more(f'v{state}', str(DELETE), 'D')}, CASE WHEN fault IN ({NONE}, {TRUNCATED}) THEN {_more(f'v{spoken}', f'kept + {REROLE}', 'R')} END, CASE WHEN fault IN ({NONE}, {TRUNCATED}) THEN CASE {keep} END END)"
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE base AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS damage FROM conversations, {CRC_TABLE}),
+rows AS (
+  SELECT conv_id, turn, CASE damage WHEN 4 THEN 'user' ELSE role END AS role, CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE damage WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM base),
+placed AS (SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM rows),
+said AS (
+  SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS stem, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS illegal FROM placed),
+turns AS (SELECT *, CASE WHEN stem = '' THEN {BLANK} WHEN seen THEN {DUPLICATE} WHEN right(stem, 1) NOT IN ('.', '!', '?') THEN {TRUNCATED} ELSE {NONE} END AS fault FROM said),
+counts AS (
+  SELECT c.conv_id, count(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = {BLANK}) AS blank,
+         count(*) FILTER (fault = {DUPLICATE}) AS duplicate, count(*) FILTER (fault = {TRUNCATED}) AS truncated, count(*) FILTER (illegal) AS illegal
+  FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN turns t ON c.conv_id IS NOT DISTINCT FROM t.conv_id GROUP BY c.conv_id),
+dp(conv_id, i, v0, v1, v2, v3) AS (
+  SELECT conv_id, n + 1, {', '.join(f"'{c:09d}{'I' * (c // INSERT)}'" for c in END)} FROM counts
+  UNION ALL
+  SELECT conv_id, i, least(r0, {_more('w2', str(INSERT), 'I')}), least(r1, {_more('w2', str(INSERT), 'I')}), w2, w3 FROM (
+    SELECT *, least(r2, {_more('r3', str(INSERT), 'I')}) AS w2, least(r3, {_more('r2', str(INSERT), 'I')}) AS w3 FROM (
+      SELECT conv_id, i, {', '.join(f'{_ways(s)} AS r{s}' for s in range(4))} FROM (
+        SELECT t.*, v0, v1, v2, v3, CASE fault WHEN {TRUNCATED} THEN {LEFT_TRUNCATED} ELSE 0 END AS kept
+        FROM dp JOIN turns t ON t.conv_id IS NOT DISTINCT FROM dp.conv_id AND t.i = dp.i - 1)))),
+best AS (SELECT conv_id, CAST(left(v0, 9) AS BIGINT) AS cost, substr(v0, 10) AS audit FROM dp WHERE i = 1),
+letters AS (SELECT conv_id, unnest(range(1, length(audit) + 1)) AS j, unnest(string_split(audit, '')) AS letter FROM best WHERE audit <> ''),
+steps AS (
+  SELECT *, count(*) FILTER (letter <> 'I') OVER w AS i, count(*) FILTER (letter <> 'D') OVER w AS o FROM letters
+  WINDOW w AS (PARTITION BY conv_id ORDER BY j ROWS UNBOUNDED PRECEDING)),
+edits AS (
+  SELECT s.*, role, text, max(s.o = 1 AND s.letter = 'K' AND initial = 's') OVER (PARTITION BY s.conv_id) AS led
+  FROM steps s LEFT JOIN turns t ON s.conv_id IS NOT DISTINCT FROM t.conv_id AND s.i = t.i WHERE s.letter <> 'D'),
+rebuilt AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (o - led::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE letter WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS repaired
+  FROM edits GROUP BY conv_id)
+SELECT c.conv_id, CAST(gaps AS BIGINT) AS gaps, blank, duplicate, truncated, illegal, cost, audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM counts c JOIN best b ON c.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN rebuilt r ON c.conv_id IS NOT DISTINCT FROM r.conv_id
+"""
