@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrule.shared import stored
+
 
 def best_occurrence(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group in the order given; the order should end in a position so that ties are settled."""
@@ -145,6 +147,22 @@ def forward_fill(df: DataFrame, by: list[str], order: list[str], value: str, out
     return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
 
 
+def running_sums(df: DataFrame, by: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """``<value>_before`` for each of ``values``: its sum over the rows of the group before each row by ``order``, rows of equal order in any order.
+
+    Rows are dealt to ranges of group and order; each range is summed by group, the sums are added up over the ranges of a group, and a window
+    inside a range does the rest, so no task sorts or sums a whole group.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(df.repartitionByRange(n, *by, *order).withColumn("__part", F.spark_partition_id()), "ranges-")
+    sums = ranged.groupBy(*by, "__part").agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in values])
+    earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.col("__part").alias("__p"), *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"__o{i}") for i, v in enumerate(values)])
+    inside = Window.partitionBy("__part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.join(offsets, _same(by) & (F.col("__part") == F.col("__p")))
+    return placed.select(*df.columns, *[(F.col(f"__o{i}") + F.coalesce(F.sum(v).over(inside), F.lit(0))).alias(f"{v}_before") for i, v in enumerate(values)])
+
+
 def islands(df: DataFrame, by: list[str], order: list[str], new: Column, out: str) -> DataFrame:
     """Numbers runs of rows from 1; a run begins where ``new`` is true or null."""
     w = Window.partitionBy(*by).orderBy(*order)

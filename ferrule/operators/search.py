@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ferrule.functions.text import casefold, fts_normal, nfkc, stems
 from ferrule.operators.retrieval import B, IDF_FLOOR, K1, tokens
-from ferrule.shared import new_path
+from ferrule.shared import stored
 
 #: Characters that a bare word of a question keeps beside letters, digits, underscores and dots.
 KEEP = "ΩωφΦλΛαΑβγδεΔπΠσΣμΜ°"
@@ -104,13 +104,6 @@ def variants(questions: DataFrame, qid: str, text: str, groups: list[list[str]],
     return first.unionByName(named).unionByName(last).select("qid", "variant", "clause", "phrase")
 
 
-def stored(df: DataFrame, kind: str) -> DataFrame:
-    """A small result that is read several times, written to the shared folder."""
-    path = new_path(df.sparkSession, kind)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def positions(docs: DataFrame, doc: str, text: str, asked: DataFrame, terms: Callable[[Column], Column] = index_terms) -> tuple[DataFrame, DataFrame]:
     """``(doc, term, at array<int>)`` for the terms of ``asked(phrase)``, and ``(doc, dl)``: in one pass over a table that has no stored
     index; see ``sources.sinks.write_index``. Each document also has a row for the term of no characters, which tells its length."""

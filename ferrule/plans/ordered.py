@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ferrule.operators import intervals as I
 from ferrule.operators import ordered as O
 from ferrule.plans import query, table
 
@@ -169,3 +170,60 @@ def page_split_overlay(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "documents").groupBy((F.col("doc_id") % 250).alias("page_id")).agg(F.max("text").alias("other")).withColumn("page", F.lit(2))
     body = F.when(F.coalesce(F.length("other"), F.lit(-1)) > F.coalesce(F.length("body"), F.lit(-1)), F.col("other")).otherwise(F.col("body"))
     return p.join(o, ["page_id", "page"], "full").select("page_id", F.col("page").cast("long").alias("page"), F.length(body).cast("long").alias("n_chars"), F.sha2(body, 256).alias("digest"))
+
+
+@query("""WITH s AS (SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders),
+b AS (SELECT o_custkey, (k - 1) * 3.0 AS lo, k * 3.0 AS hi, o_totalprice / 1e6 AS slope FROM s), z AS (SELECT o_custkey, o_orderkey, (o_orderkey * 7 % 50 + 0.5)::DOUBLE AS z FROM orders)
+SELECT z.o_custkey, o_orderkey, z, round(coalesce(sum((least(z, hi) - lo) * slope) FILTER (z > lo), 0), 9) AS lean FROM z JOIN b ON z.o_custkey = b.o_custkey GROUP BY ALL""")
+def lean_at_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The integral of a customer's pieces up to each of many levels, by running sums."""
+    orders = table(spark, d, "orders")
+    k = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    pieces = orders.select("o_custkey", ((k - 1) * 3.0).alias("lo"), (k * 3.0).alias("hi"), (F.col("o_totalprice") / 1e6).alias("slope"))
+    levels = orders.select("o_custkey", "o_orderkey", (F.pmod(F.col("o_orderkey") * 7, F.lit(50)) + 0.5).cast("double").alias("z"))
+    return I.integral_up_to(levels, pieces, ["o_custkey"], "z", "lo", "hi", "slope", "lean").withColumn("lean", F.round("lean", 9))
+
+
+SPANS_SQL = """WITH t AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_shipdate::DATE - DATE '1990-01-01' AS lo, l_shipdate::DATE - DATE '1990-01-01' + CASE WHEN l_orderkey % 50 = 0 THEN 400 ELSE l_quantity::INT % 7 END AS hi FROM lineitem),
+a AS (SELECT * FROM t WHERE l_orderkey % 2 = 0), b AS (SELECT * FROM t WHERE l_orderkey % 2 = 1)"""
+
+
+@query(f"""{SPANS_SQL} SELECT a.l_suppkey, a.l_orderkey, a.l_linenumber, count(*) AS n, CAST(sum(least(a.hi, b.hi) - greatest(a.lo, b.lo)) AS BIGINT) AS days
+FROM a JOIN b ON a.l_suppkey = b.l_suppkey AND a.lo <= b.hi AND b.lo <= a.hi GROUP BY ALL""")
+def overlapping_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of days of a supplier that overlap others, long ones among short ones, with the days in common."""
+    lo = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1990-01-01").cast("date"))
+    hi = lo + F.when(F.col("l_orderkey") % 50 == 0, 400).otherwise(F.col("l_quantity").cast("int") % 7)
+    t = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", lo.alias("lo"), hi.alias("hi"))
+    met = I.overlaps(t.where("l_orderkey % 2 = 0"), t.where("l_orderkey % 2 = 1"), ["l_suppkey"], [("lo", "hi")])
+    return met.groupBy("l_suppkey", F.col("left.l_orderkey").alias("l_orderkey"), F.col("left.l_linenumber").alias("l_linenumber")).agg(F.count("*").alias("n"), F.sum("overlap").cast("long").alias("days"))
+
+
+BOX_SQL = """WITH t AS (SELECT l_partkey AS page, l_orderkey * 10 + l_linenumber AS key, (l_extendedprice * 100)::BIGINT % 700 AS low, (l_extendedprice * 100)::BIGINT % 700 + 8 + l_quantity::BIGINT % 30 AS high,
+  l_suppkey * 37 % 500 AS x0, l_suppkey * 37 % 500 + 20 + l_orderkey % 90 AS x1 FROM lineitem)"""
+
+
+def _boxes(spark: SparkSession, d: str) -> DataFrame:
+    low, x0 = F.pmod(F.round(F.col("l_extendedprice") * 100).cast("long"), F.lit(700)), F.pmod(F.col("l_suppkey") * 37, F.lit(500))
+    return table(spark, d, "lineitem").select(
+        F.col("l_partkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), low.alias("low"), (low + 8 + F.col("l_quantity").cast("long") % 30).alias("high"),
+        x0.alias("x0"), (x0 + 20 + F.col("l_orderkey") % 90).alias("x1"),
+    )
+
+
+@query(f"""{BOX_SQL}, p AS (SELECT a.page, a.key, b.key AS other, abs((a.low + a.high) / 2.0 - (b.low + b.high) / 2.0) AS gap FROM t a JOIN t b ON a.page = b.page AND a.key <> b.key
+  AND (abs((a.low + a.high) / 2.0 - (b.low + b.high) / 2.0) < 14 OR (b.high >= a.low - 2 AND b.low <= a.high + 2)))
+SELECT page, key, other, CAST(gap AS DOUBLE) AS gap FROM p""")
+def same_line_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of a page on one line: middles near, or heights that overlap."""
+    t = _boxes(spark, d)
+    return I.same_line(t, t, ["page"])
+
+
+@query(f"""{BOX_SQL} SELECT a.page, a.key, b.key AS other, CAST((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.high, b.high) - greatest(a.low, b.low)) AS DOUBLE) AS area FROM t a JOIN t b ON a.page = b.page AND a.key < b.key
+  AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.low < b.high AND b.low < a.high""")
+def overlapping_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of a page that overlap in both dimensions, and the area in common."""
+    t = _boxes(spark, d)
+    met = I.overlaps(t, t, ["page"], [("x0", "x1"), ("low", "high")], touching=False)
+    return met.where("left.key < right.key").select("page", F.col("left.key").alias("key"), F.col("right.key").alias("other"), F.col("overlap").alias("area"))

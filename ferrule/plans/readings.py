@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule.operators import profiles, readings
-from ferrule.operators.search import stored
 from ferrule.plans import query, table
+from ferrule.shared import stored
 
 #: What a misreading writes for a digit.
 MISREAD = str.maketrans("015", "OlS")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
 
@@ -29,6 +29,13 @@ def new_path(spark: SparkSession, kind: str = "") -> str:
     return path
 
 
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """A result that is read several times, written to the shared folder; outlives any executor."""
+    path = new_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def release(spark: SparkSession) -> int:
     """Deletes what the library has written to the shared folder so far, and says how many paths that were.
 
