@@ -161,3 +161,18 @@ def stream_rollup(spark: SparkSession, d: str) -> DataFrame:
 
     w = replay_rollup(spark, table(spark, d, "events"))
     return w.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("day"), "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH l AS (SELECT CAST(user_id % 40 AS VARCHAR) AS run, CAST(event_id % 11 AS VARCHAR) AS id, event_id AS seq, event_type, value FROM events WHERE event_type <> 'view'),
+b AS (SELECT *, row_number() OVER (PARTITION BY run, id ORDER BY seq DESC) AS r FROM l)
+SELECT run, id, CASE event_type WHEN 'click' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'done' END AS state, seq, round(CASE WHEN event_type IN ('purchase', 'signup') THEN value END, 6) AS seconds FROM b WHERE r = 1""")
+def stream_status(spark: SparkSession, d: str) -> DataFrame:
+    """Worker lines streamed from files in no order, some twice; the state of each id as it ends."""
+    from ferrule.streaming.status import line_of, replay_status
+
+    kind = F.col("event_type")
+    event = F.when(kind == "click", "start").when(kind == "signup", "skip").when(kind.isin("purchase", "error"), "done")
+    id_ = (F.col("event_id") % 11).cast("string")
+    said = F.coalesce(F.when(event.isNotNull(), line_of(event, id_, kind == "purchase", F.col("value"))), F.concat(F.lit("[w1] "), kind))
+    lines = table(spark, d, "events").select((F.col("user_id") % 40).alias("run"), F.col("event_id").alias("seq"), "ts", said.alias("line"))
+    return replay_status(spark, lines).withColumn("seconds", F.round("seconds", 6))

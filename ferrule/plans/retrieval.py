@@ -337,6 +337,20 @@ AUTO = [("a1", "7"), ("a2", "license"), ("a3", "icens"), ("a4", "permitx"), ("a5
 AUTO_ALIASES = [("a4", 0, "zzzz"), ("a4", 1, "license"), ("a4", 2, "the"), ("a6", 0, "yyyy"), ("a6", 7, "license"), ("a2", 0, "the")]
 
 
+def _ways(docs: DataFrame) -> tuple:
+    """Answers by the id of a document, and by full text, 12 at most."""
+
+    def by_id(q: DataFrame) -> DataFrame:
+        return q.join(docs.select(F.col("doc_id").alias("doc")), F.col("doc").cast("string") == q.text).withColumn("rank", F.lit(1).cast("long"))
+
+    def full_text(q: DataFrame) -> DataFrame:
+        asked = Q.stored(Q.clauses(q, "qid", "text", R.tokens).withColumn("variant", F.lit(0)), "asked-")
+        postings, lengths = Q.positions(docs, "doc_id", "text", asked, R.tokens)
+        return R.top(Q.evaluate(asked, postings, lengths).withColumn("score", F.round("score", 8)), ["qid"], [F.col("score"), F.col("doc")], 12)
+
+    return by_id, full_text
+
+
 @query(rf"""WITH q(qid, text) AS (VALUES {", ".join(str(x) for x in AUTO if x[0] != "a5")}), al(qid, ord, text) AS (VALUES {", ".join(str(x) for x in AUTO_ALIASES)}),
 a AS (SELECT qid, doc_id AS doc, 1 AS rank, 'id' AS stage, NULL AS alias FROM q JOIN documents ON CAST(doc_id AS VARCHAR) = q.text),
 d AS (SELECT doc_id, coalesce(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), []) AS w FROM documents),
@@ -353,20 +367,43 @@ def auto_answers(spark: SparkSession, d: str) -> DataFrame:
     """Questions answered by the first of id, full text, keywords and aliases that finds something; one is stopped by a guard."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     questions = spark.createDataFrame(AUTO, "qid string, text string")
-    best = lambda rows, order: R.top(rows, ["qid"], order, 12)
-
-    def by_id(q: DataFrame) -> DataFrame:
-        return q.join(docs.select(F.col("doc_id").alias("doc")), F.col("doc").cast("string") == q.text).withColumn("rank", F.lit(1).cast("long"))
-
-    def full_text(q: DataFrame) -> DataFrame:
-        asked = Q.stored(Q.clauses(q, "qid", "text", R.tokens).withColumn("variant", F.lit(0)), "asked-")
-        postings, lengths = Q.positions(docs, "doc_id", "text", asked, R.tokens)
-        return best(Q.evaluate(asked, postings, lengths).withColumn("score", F.round("score", 8)), [F.col("score"), F.col("doc")])
+    by_id, full_text = _ways(docs)
 
     def keyword(q: DataFrame) -> DataFrame:
         # A handful of questions by construction.
         low = docs.select(F.col("doc_id").alias("doc"), casefold(nfkc("text")).alias("low"))
-        return best(low.join(F.broadcast(q), F.col("low").contains(F.lower("text"))), [F.col("doc")])
+        return R.top(low.join(F.broadcast(q), F.col("low").contains(F.lower("text"))), ["qid"], [F.col("doc")], 12)
 
     aliases = spark.createDataFrame(AUTO_ALIASES, "qid string, ord int, text string")
     return Q.answer(questions, questions.where("text = 'rafter'"), by_id, full_text, keyword, aliases)
+
+
+@query(r"""WITH q AS (SELECT 'plan' || item_id AS plan, unnest([1, 2]) AS n, unnest([coalesce(regexp_extract(lower(text), '[a-z]+', 0), ''), CAST(item_id * 3 AS VARCHAR)]) AS text FROM benchmark),
+a AS (SELECT DISTINCT q.text, doc_id AS doc, 1 AS rank, 'id' AS stage FROM q JOIN documents ON CAST(doc_id AS VARCHAR) = q.text),
+d AS (SELECT doc_id, coalesce(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), []) AS w FROM documents),
+asked AS (SELECT DISTINCT text FROM q WHERE text NOT IN (SELECT text FROM a)),
+tf AS (SELECT text, doc_id AS doc, len(list_filter(w, lambda x: x = text)) AS tf, len(w) AS dl FROM asked, d WHERE list_contains(w, text)),
+df AS (SELECT text, count(*) AS df FROM tf GROUP BY 1), size AS (SELECT count(*) AS n, avg(len(w)) AS a FROM d),
+f AS (SELECT text, doc, row_number() OVER (PARTITION BY text ORDER BY round(-(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a)), 8), doc) AS rank FROM tf JOIN df USING (text), size),
+h AS (SELECT * FROM a UNION ALL SELECT text, doc, rank, 'fts' FROM f WHERE rank <= 5)
+SELECT plan, CAST(n AS BIGINT) AS n, q.text AS query, stage, CAST(doc AS VARCHAR) AS doc, rank FROM q LEFT JOIN h USING (text)""")
+def queue_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Plans of questions, a file each, drained from a queue and answered by id or full text."""
+    from ferrule.shared import new_path
+    from ferrule.streaming import queue
+
+    at = new_path(spark, "queue-")
+    word = F.coalesce(F.regexp_extract(F.lower("text"), "[a-z]+", 0), F.lit(""))
+    asked = F.array(*[F.struct(F.lit("auto").alias("type"), t.alias("query"), F.lit(5).alias("limit")) for t in (word, (F.col("item_id") * 3).cast("string"))])
+    plans = table(spark, d, "benchmark").select(F.concat(F.lit("plan"), F.col("item_id").cast("string")).alias("plan_id"), asked.alias("queries"))
+    plans.select(F.to_json(F.struct("plan_id", "queries")).alias("value"), F.col("plan_id").alias("file")).write.partitionBy("file").text(f"{at}/in")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    by_id, full_text = _ways(docs)
+    none = spark.createDataFrame([], "qid string, ord int, text string")
+
+    def answer(q: DataFrame) -> DataFrame:
+        return Q.answer(q, none, by_id, full_text, lambda left: left.select("qid", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("long").alias("rank")).limit(0), none)
+
+    queue.drain(spark, f"{at}/in", f"{at}/out", f"{at}/done", f"{at}/checkpoint", answer, "corpus", "*.txt").awaitTermination()
+    rows = queue.answered(spark, f"{at}/out").where("n IS NOT NULL").select("plan", "n", "query", "stage", F.explode_outer("hits").alias("h"))
+    return rows.select("plan", "n", "query", "stage", "h.doc", "h.rank")
