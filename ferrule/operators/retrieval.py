@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.shared import new_path
+from ferrule.shared import stored
 
 #: BM25 parameters, and the floor of a term's idf.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -20,14 +20,9 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def first_terms(text: Column | str, n: int) -> Column:
-    """The first ``n`` different tokens, in order."""
-    return F.slice(F.array_distinct(tokens(text)), 1, n)
-
-
-def query_terms(queries: DataFrame, qid: str, text: str, n: int = 6) -> DataFrame:
-    """``(qid, term)`` for the first ``n`` different tokens of each query."""
-    return queries.select(F.col(qid).alias("qid"), F.explode(first_terms(text, n)).alias("term"))
+def query_terms(queries: DataFrame, qid: str, text: str) -> DataFrame:
+    """``(qid, term)`` for every different token of each query."""
+    return queries.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(tokens(text))).alias("term"))
 
 
 def postings(docs: DataFrame, doc: str, text: str, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -40,9 +35,7 @@ def postings(docs: DataFrame, doc: str, text: str, terms: DataFrame) -> tuple[Da
     words = words.select("doc", F.size("w").alias("dl"), F.explode(F.concat("w", F.array(F.lit("")))).alias("term"))
     asked = terms.select("term").unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
     found = words.join(asked, "term", "left_semi").groupBy("doc", "term", "dl").agg(F.count("*").alias("tf"))
-    path = new_path(docs.sparkSession, "postings-")
-    found.write.parquet(path)
-    all_ = docs.sparkSession.read.schema(found.schema).parquet(path)
+    all_ = stored(found, "postings-")
     return all_.where("term <> ''"), all_.where("term = ''").agg(F.sum("tf").alias("n_docs"), F.avg("dl").alias("avg_dl"))
 
 
@@ -62,10 +55,11 @@ def top(scored: DataFrame, by: list[str], order: list[Column], k: int, rank: str
     return scored.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col(rank) <= k)
 
 
-def collapse(scored: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    """The best row of each group, and how many it stands for."""
-    w = Window.partitionBy(*by)
-    return scored.withColumn("collapsed", F.count("*").over(w).cast("long")).withColumn("__r", F.row_number().over(w.orderBy(*order))).where("__r = 1").drop("__r")
+def collapse(scored: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The row of each group that is least by ``order``, and how many it stands for; one aggregation, combined before the shuffle."""
+    rest = [c for c in scored.columns if c not in by and c not in order]
+    got = scored.groupBy(*by).agg(F.min(F.struct(*order, *rest)).alias("__m"), F.count("*").alias("collapsed"))
+    return got.select(*by, "__m.*", "collapsed")
 
 
 def bound(c: Column, f) -> Column:
@@ -94,8 +88,11 @@ def chunks(words: Column, size: int, stride: int) -> Column:
 def tf_idf(passages: DataFrame, keys: list[str], words: str, terms: DataFrame) -> DataFrame:
     """``(qid, *keys, score)`` of passages with a term of ``terms(qid, term)``: (1 + ln tf) ln(1 + N / (1 + df)), times
     the root of the share of the query's terms that the passage holds."""
-    n = passages.agg(F.count("*").alias("n"))
-    hits = passages.select(*keys, F.explode(words).alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    # One pass over the texts: each passage also has a row for the term of no characters, which counts it.
+    asked_terms = terms.select("term").unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    each = passages.select(*keys, F.explode(F.concat(words, F.array(F.lit("")))).alias("term"))
+    all_ = stored(each.join(asked_terms, "term", "left_semi").groupBy(*keys, "term").agg(F.count("*").alias("tf")), "passages-")
+    n, hits = all_.where("term = ''").agg(F.count("*").alias("n")), all_.where("term <> ''")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     asked = terms.groupBy("qid").agg(F.count("*").alias("asked"))
     weight = (1 + F.log("tf")) * F.log(1 + F.col("n") / (1 + F.col("df")))

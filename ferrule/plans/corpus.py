@@ -74,14 +74,14 @@ def issue_tags(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-c AS (SELECT doc_id, pos, line, lead(line, 1) OVER w AS l1, lead(line, 2) OVER w AS l2 FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
-SELECT doc_id, pos, left(concat_ws(' ', line, l1, l2), 120) AS caption FROM c WHERE regexp_matches(line, '^(The|Die|Le|La) ') AND length(line) < 60""")
+c AS (SELECT doc_id, pos, line, list(line) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING) AS nxt FROM l)
+SELECT doc_id, pos, sha256(array_to_string([line] || coalesce(nxt, []), ' ')) AS caption FROM c WHERE regexp_matches(line, '^(The|Die|Le|La) ')""")
 def caption_lookahead(spark: SparkSession, d: str) -> DataFrame:
-    """A caption with the lines that follow it."""
+    """A line with the six that follow it, whole (C8); ``table_captions`` has the rule."""
     l = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))  # noqa: E741
-    w = Window.partitionBy("doc_id").orderBy("p")
-    c = l.withColumns({"l1": F.lead("line", 1).over(w), "l2": F.lead("line", 2).over(w)}).where(F.col("line").rlike("^(The|Die|Le|La) ") & (F.length("line") < 60))
-    return c.select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), F.substring(F.concat_ws(" ", "line", "l1", "l2"), 1, 120).alias("caption"))
+    ahead = F.collect_list("line").over(Window.partitionBy("doc_id").orderBy("p").rowsBetween(1, 6))
+    c = l.withColumn("next", ahead).where(F.col("line").rlike("^(The|Die|Le|La) "))
+    return c.select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), F.sha2(F.array_join(F.concat(F.array("line"), "next"), " "), 256).alias("caption"))
 
 
 @query("""WITH s AS (SELECT source, doc_id, lang, n_chars FROM documents),
@@ -172,11 +172,11 @@ def candidate_choice(spark: SparkSession, d: str) -> DataFrame:
     return b.groupBy("source").agg(F.max_by("text", F.struct("n_chars", -F.col("doc_id"))).alias("chosen"), F.count("*").alias("n"))
 
 
-@query(r"""SELECT doc_id, lower(regexp_replace(regexp_replace(trim(regexp_extract(text, '^([^\n]*)', 1)), '[^A-Za-z0-9]+', '-', 'g'), '^-|-$', '', 'g'))[1:40] AS safe_name FROM documents""")
+@query(r"""SELECT doc_id, coalesce(nullif(trim(left(regexp_replace(trim(regexp_extract(text, '^([^\n]*)', 1)), '[^A-Za-z0-9_-]+', '_', 'g'), 80), '_-'), ''), 'Project') AS safe_name FROM documents""")
 def safe_names(spark: SparkSession, d: str) -> DataFrame:
-    """File names out of titles (C20)."""
-    c = F.regexp_replace(F.regexp_replace(F.trim(first_line()), "[^A-Za-z0-9]+", "-"), "^-|-$", "")
-    return table(spark, d, "documents").select("doc_id", F.substring(F.lower(c), 1, 40).alias("safe_name"))
+    """Names of jobs out of titles, 80 characters at most, which is the feature; one without a letter has the default (C20)."""
+    c = F.trim(F.substring(F.regexp_replace(F.trim(first_line()), "[^A-Za-z0-9_-]+", "_"), 1, 80), F.lit("_-"))
+    return table(spark, d, "documents").select("doc_id", F.coalesce(F.nullif(c, F.lit("")), F.lit("Project")).alias("safe_name"))
 
 
 @query(r"""SELECT item_id, left(concat_ws('; ', CASE WHEN regexp_matches(text, '[0-9]') THEN 'numbers' END, CASE WHEN length(text) > 300 THEN 'long question' END,

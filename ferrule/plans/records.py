@@ -130,7 +130,7 @@ def heading_census(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos, len(string_split(text, chr(10))) AS n FROM documents),
-f AS (SELECT doc_id, pos, n, CASE WHEN pos = 1 THEN left(line, 40) WHEN doc_id % 3 = 0 THEN '16.1-' || doc_id WHEN doc_id % 3 = 1 THEN 'Copyright holder ' || doc_id % 1000 ELSE right(line, 30) END AS line FROM l WHERE pos IN (1, n)),
+f AS (SELECT doc_id, pos, n, line FROM l WHERE pos IN (1, n)),
 g AS (SELECT doc_id, array_to_string(list(line ORDER BY pos) FILTER (NOT (pos > 1 OR contains(lower(line), 'copyright'))), '|') AS headers, array_to_string(list(line ORDER BY pos) FILTER (pos > 1 OR contains(lower(line), 'copyright')), '|') AS footers,
   list(trim(regexp_replace(line, '\s+', ' ', 'g')) ORDER BY pos > 1 OR contains(lower(line), 'copyright'), pos) AS t FROM f GROUP BY doc_id),
 r AS (SELECT *, list_filter(list_transform(t, lambda x: regexp_extract(x, '(?i)^([A-Z]-\d+|\d+-\d+|\d{1,4}|[ivxlcdm]+)$', 1)), lambda x: x NOT IN ('', 'c', 'C'))[1] AS a, list_filter(list_transform(t, lambda x: regexp_extract(x, '(?i)16\s*\.\s*1\s*[-–—]\s*([ivxlcdm]+|\d+)\b', 1)), lambda x: x <> '')[1] AS b,
@@ -141,10 +141,8 @@ def furniture_lists(spark: SparkSession, d: str) -> DataFrame:
     from ferrule.operators.furniture import furniture_by_page
 
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "line"), (F.size(F.split("text", "\n")) - 1).alias("last")).where("seq = 0 or seq = last")
-    doc = F.col("doc_id")
-    end = F.when(doc % 3 == 0, F.concat(F.lit("16.1-"), doc.cast("string"))).when(doc % 3 == 1, F.concat(F.lit("Copyright holder "), (doc % 1000).cast("string"))).otherwise(F.expr("right(line, 30)"))
     label = F.when(F.col("seq") == 0, "page_header").otherwise("page_footer")
-    texts = lines.select("doc_id", "seq", label.alias("label"), F.lit("furniture").alias("layer"), F.when(F.col("seq") == 0, F.substring("line", 1, 40)).otherwise(end).alias("text"))
+    texts = lines.select("doc_id", "seq", label.alias("label"), F.lit("furniture").alias("layer"), F.col("line").alias("text"))
     return furniture_by_page(texts, ["doc_id"]).select("doc_id", F.array_join("headers", "|").alias("headers"), F.array_join("footers", "|").alias("footers"), "printed_label")
 
 
@@ -172,12 +170,12 @@ def dependency_closure(spark: SparkSession, d: str) -> DataFrame:
       SELECT id, count(DISTINCT needs) AS n_needed, CASE WHEN bool_or(id = needs) THEN 'cycle' ELSE 'ok' END AS verdict FROM c GROUP BY id""")
 
 
-@query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[0-9]+\.[0-9]+') || regexp_extract_all(text, '[A-Z][0-9]+'))), ' ') AS ids, CASE WHEN regexp_matches(text, '[0-9]+\.[0-9]+') THEN regexp_extract(text, '(.{0,20})[0-9]+\.[0-9]+', 1) END AS context
+@query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[0-9]+\.[0-9]+') || regexp_extract_all(text, '[A-Z][0-9]+'))), ' ') AS ids, CASE WHEN regexp_matches(text, '[0-9]+\.[0-9]+') THEN regexp_extract(text, '([^\n]*?)[0-9]+\.[0-9]+', 1) END AS context
 FROM documents WHERE regexp_matches(text, '[0-9]+\.[0-9]+|[A-Z][0-9]+')""")
 def ids_in_text(spark: SparkSession, d: str) -> DataFrame:
-    """All ids a text names, each once, and what stands before the first."""
+    """All ids a text names, each once, and what stands before the first in its line."""
     x = F.array_sort(F.array_distinct(F.concat(F.regexp_extract_all("text", F.lit(r"[0-9]+\.[0-9]+"), F.lit(0)), F.regexp_extract_all("text", F.lit("[A-Z][0-9]+"), F.lit(0)))))
-    context = F.when(F.col("text").rlike(r"[0-9]+\.[0-9]+"), F.regexp_extract("text", r"(.{0,20})[0-9]+\.[0-9]+", 1))
+    context = F.when(F.col("text").rlike(r"[0-9]+\.[0-9]+"), F.regexp_extract("text", r"([^\n]*?)[0-9]+\.[0-9]+", 1))
     return table(spark, d, "documents").where(F.col("text").rlike(r"[0-9]+\.[0-9]+|[A-Z][0-9]+")).select("doc_id", F.array_join(x, " ").alias("ids"), context.alias("context"))
 
 

@@ -16,9 +16,7 @@ ALIASES = [["the", "der", "le", "el"], ["and", "und", "et", "y"], ["trash", "scu
 POSTINGS = r"""
 d AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
 q AS (SELECT item_id AS qid, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
-qw AS (SELECT qid, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM q),
-qd AS (SELECT qid, term, row_number() OVER (PARTITION BY qid ORDER BY min(pos)) AS k FROM qw GROUP BY qid, term),
-terms AS (SELECT qid, term FROM qd WHERE k <= 6),
+terms AS (SELECT DISTINCT qid, unnest(w) AS term FROM q),
 post AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM d) GROUP BY ALL),
 """
 BM25 = POSTINGS + r"""
@@ -57,7 +55,7 @@ def bm25_adjusted_collapse(spark: SparkSession, d: str) -> DataFrame:
     back = F.coalesce("quality", F.lit(1)) == 0
     adjusted = F.round(F.col("score") + F.when(F.col("toxic") == 1, 20).otherwise(0) + F.when(back, 40).otherwise(0) + F.when(F.col("n_chars") <= 100, 4).otherwise(0), 8)
     rows = scored(spark, d).withColumnRenamed("doc", "doc_id").join(docs, "doc_id").join(labels, "doc_id", "left").select("qid", "doc_id", "source", back.alias("backmatter"), adjusted.alias("adjusted"))
-    one = R.collapse(rows, ["qid", "source"], [F.col("adjusted"), F.col("doc_id")])
+    one = R.collapse(rows, ["qid", "source"], ["adjusted", "doc_id"])
     best = R.top(one, ["qid"], [F.col("backmatter"), F.col("adjusted"), F.col("doc_id")], 5)
     return best.select(F.col("qid").alias("item_id"), "rank", "doc_id", "source", "collapsed", "backmatter", F.round("adjusted", 6).alias("adjusted"))
 
@@ -297,11 +295,11 @@ def email_watermark_clean(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where(F.col("text").contains("@") & F.col("text").rlike(p)).select("doc_id", F.sha2("text", 256).alias("digest"), F.regexp_replace("text", p, "").alias("clean"))
 
 
-@query(r"""WITH y AS (SELECT doc_id, list_transform(list_filter(regexp_extract_all(left(text, 3000), '[0-9]{4}'), lambda x: true), lambda x: CAST(x AS INTEGER)) AS y FROM documents)
+@query(r"""WITH y AS (SELECT doc_id, list_transform(list_filter(regexp_extract_all(text, '[0-9]{4}'), lambda x: true), lambda x: CAST(x AS INTEGER)) AS y FROM documents)
 SELECT doc_id, list_max(list_filter(y, lambda x: x BETWEEN 1900 AND 2099)) AS edition FROM y WHERE list_max(list_filter(y, lambda x: x BETWEEN 1900 AND 2099)) IS NOT NULL""")
 def edition_max_year(spark: SparkSession, d: str) -> DataFrame:
-    """The latest year on the first pages."""
-    years = F.transform(F.regexp_extract_all(F.substring("text", 1, 3000), F.lit("[0-9]{4}"), F.lit(0)), lambda x: x.cast("int"))
+    """The latest year on the first pages (N8); a document is a page."""
+    years = F.transform(F.regexp_extract_all("text", F.lit("[0-9]{4}"), F.lit(0)), lambda x: x.cast("int"))
     return table(spark, d, "documents").select("doc_id", F.array_max(F.filter(years, lambda y: y.between(1900, 2099))).alias("edition")).where("edition is not null")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferrule.operators import scoring as S
+from ferrule.operators.ordered import ranks
 from ferrule.plans import query, table
 
 
@@ -34,14 +35,12 @@ def score_expression(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH " + VARIATIONS + """, u AS (SELECT p_type, p_partkey, unnest(['steel', 'n_conn', 'drift']) AS metric, unnest([-steel, n_conn, drift]) AS k FROM v),
 r AS (SELECT *, row_number() OVER (PARTITION BY p_type, metric ORDER BY k DESC, p_partkey) AS r FROM u WHERE k IS NOT NULL)
-SELECT p_type, metric, string_agg(p_partkey, ',' ORDER BY r) AS ids FROM r WHERE r <= 20 GROUP BY ALL""")
+SELECT p_type, metric, r AS place, p_partkey FROM r""")
 def metric_rankings(spark: SparkSession, d: str) -> DataFrame:
-    """Independent rankings, up or down, as lists of ids."""
+    """Independent rankings of all ids that have the metric, up or down (W12): a row for each place, so that no list grows with a group."""
     v = variations(spark, d).select("p_type", "p_partkey", (-F.col("steel")).alias("steel"), "n_conn", "drift")
-    u = v.unpivot(["p_type", "p_partkey"], ["steel", "n_conn", "drift"], "metric", "k").where("k is not null")
-    r = u.withColumn("r", F.row_number().over(Window.partitionBy("p_type", "metric").orderBy(F.desc("k"), "p_partkey"))).where("r <= 20")
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "p_partkey"))), lambda x: x["p_partkey"].cast("string")), ",")
-    return r.groupBy("p_type", "metric").agg(ids.alias("ids"))
+    u = v.unpivot(["p_type", "p_partkey"], ["steel", "n_conn", "drift"], "metric", "k").where("k is not null").withColumn("down", -F.col("k"))
+    return ranks(u, ["p_type", "metric"], "down", ["p_partkey"], "place").select("p_type", "metric", "place", "p_partkey")
 
 
 @query("""WITH j AS (SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority, c_acctbal, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey)
