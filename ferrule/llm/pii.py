@@ -99,6 +99,14 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[F.when(may[k], placed(text, p, i, VALID[k])).otherwise(none) for i, (k, p) in enumerate(PATTERNS.items())])
 
 
+def folded(text: Column) -> Column:
+    """The text in lower case, code point by code point, so that a place in it is that place in the text; terms are counted and placed in it alone.
+
+    Only a capital I with a dot would become two code points, and a last sigma is written like any other.
+    """
+    return F.translate(F.lower(F.translate(text, "İ", "i")), "ς", "σ")
+
+
 def _may(values: DataFrame, col: str) -> Column:
     """Whether ``values`` may hold the value of ``col``, by a bitmap in proportion to their number."""
     bits = bits_for(values.count())
@@ -121,23 +129,23 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n_c = values.groupBy("c").agg(F.sum("copies").alias("n_c"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts")
     shared = kept(values.join(n_c, "c"))
     # Only addresses hold letters, so that the words beside the values are those beside addresses.
-    apart = F.lower(F.regexp_replace(F.translate("text", MARK, "\n"), F.lit(ENDS), F.lit(f"$1{MARK}$2")))
+    apart = folded(F.regexp_replace(F.translate("text", MARK, "\n"), F.lit(ENDS), F.lit(f"$1{MARK}$2")))
     beside = F.array_distinct(F.regexp_extract_all(apart, F.lit(rf"(?<![\p{{L}}{MARK}]){WORD}(?!{MARK})"), F.lit(0)))
     beside = source.where(_may(shared, "digest")).select("digest", beside.alias("beside")).dropDuplicates(["digest"])
     pairs = shared.join(beside, "digest").select("c", "n_c", "copies", F.explode("beside").alias("t"))
     pairs = kept(pairs.groupBy("c", "n_c", "t").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_ct")).where(F.col("texts") >= support))
     candidates = kept(pairs.select("t").distinct())
-    words = source.select("digest", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("t"))
+    words = source.select("digest", F.explode(F.array_distinct(F.regexp_extract_all(folded(F.col("text")), F.lit(WORD), F.lit(0)))).alias("t"))
     n_t = words.where(_may(candidates, "t")).groupBy("t").agg(F.count("*").alias("n_t"))
     ic, pmi = F.log2(F.lit(total) / F.col("n_c")), F.log2(F.col("n_ct") * F.lit(total) / (F.col("n_c") * F.col("n_t")))
     tells = (pmi > 0) & (pmi >= disclosure * ic) & (ic - pmi <= hidden)
     revealing = kept(pairs.join(n_t, "t").where(tells).groupBy("t").agg(F.bool_or(F.col("n_ct") == F.col("n_t")).alias("wholly")))
     holds = words.where(_may(revealing, "t")).join(revealing, "t").distinct()
     by_text = kept(holds.groupBy("digest").agg(F.sort_array(F.collect_list(F.when(F.col("wholly"), F.col("t")))).alias("whole"), F.sort_array(F.collect_list(F.when(~F.col("wholly"), F.col("t")))).alias("part")))
-    alternatives = lambda c: F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(c, "|"), F.lit(r")(?!\p{L})"))
+    alternatives = lambda c: F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(c, "|"), F.lit(r")(?!\p{L})"))
     none = F.array().cast(SPAN)
-    spans = lambda c, how: F.when(F.size(c) > 0, F.transform(placed(F.col("text"), alternatives(c), 4), lambda s: s.withField("value", F.lit(how)))).otherwise(none)
-    holders = source.where(_may(by_text, "digest")).select("digest", "text").dropDuplicates(["digest"]).join(by_text, "digest")  # copies meet before they are shuffled
+    spans = lambda c, how: F.when(F.size(c) > 0, F.transform(placed(F.col("folded"), alternatives(c), 4), lambda s: s.withField("value", F.lit(how)))).otherwise(none)
+    holders = source.where(_may(by_text, "digest")).select("digest", folded(F.col("text")).alias("folded")).dropDuplicates(["digest"]).join(by_text, "digest")  # copies meet before they are shuffled
     terms = holders.select("digest", F.array_sort(F.concat(spans("whole", "removed"), spans("part", "generalised"))).alias("terms"))
     return found.select("id", "digest", "base").withColumnRenamed("id", id_col), kept(terms)
 

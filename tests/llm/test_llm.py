@@ -516,6 +516,26 @@ def test_terms_count_wherever_they_stand(spark):
     assert sum("éééé" in t for t in clean) == 3 and all("lorem" in t for t in clean if "ipsum dolor" in t)
 
 
+def test_terms_are_counted_and_placed_by_one_rule_of_case(spark):
+    """Letters whose lower case is longer, differs at the end of a word, or has two capitals; a text with the term alone is cleaned too."""
+    rows = [f"İstanbullu yazar {i} ann@x.org" for i in range(3)] + ["İSTANBULLU", "bir istanbullu"]
+    rows += [f"GROẞMEIER schrieb {i} bob@y.org" for i in range(2)] + ["großmeier allein"] + [f"ΣΟΦΟΣ έγραψε {i} cy@z.org" for i in range(2)] + ["ο σοφος μόνος", "ο Σοφοσ"]
+    rows += [f"yazar schrieb έγραψε {i}" for i in range(200)]
+    found = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    clean = [r.text for r in pii.sanitise(found).orderBy("doc_id").collect()]
+    assert not [t for t in clean if re.search("stanbullu|gro(ß|ẞ)meier|σοφο[σς]", t, re.I)]
+    assert all(w in " ".join(clean) for w in ("yazar", "schrieb", "έγραψε")) and clean[3] == "[TERM]" and clean[4] == "bir [TERM]"
+
+
+def test_folding_keeps_every_place(spark):
+    import unicodedata
+
+    letters = [(c,) for c in map(chr, range(0x20000)) if unicodedata.category(c)[0] == "L"]
+    df = spark.createDataFrame(letters, "c string").withColumn("f", pii.folded(F.concat(F.lit("a"), "c", F.lit("b"))))
+    df = df.where(F.col("c").rlike(r"^\p{L}$"))  # of the letters that Java knows
+    assert df.count() > 100_000 and df.where((F.length("f") != 3) | ~F.col("f").rlike(r"^a\p{L}b$")).count() == 0
+
+
 def test_personal_data_on_odd_input(spark, odd, none):
     clean = pii.sanitise(odd)
     assert clean.columns == odd.columns
