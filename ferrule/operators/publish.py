@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrule.shared import shared_dir
 
 #: Lint patterns by name.
 LINT = [("mail", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[a-z]+"), ("todo", r"\bTODO\b"), ("symbols", r"[*$%#]{3}"), ("bangs", r"!!"), ("long_number", r"[0-9]{12,}")]
@@ -64,24 +63,6 @@ def verify(manifest: DataFrame, live: DataFrame, key: str) -> DataFrame:
     return manifest.join(seen, key, "left").select(key, state.alias("state"))
 
 
-def closure(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
-    """``(node, depth)`` reachable from ``start(node)`` over ``edges(src, dst)``: breadth first, one anti-joined step a round.
-
-    The lineage is cut in the shared folder every round, so a long chain neither grows the plan nor is lost. Goes on until nothing new is
-    reached; ``most`` rounds that do not end are an error, never a shorter answer.
-    """
-    shared_dir(edges.sparkSession)
-    seen = start.select("node").distinct().withColumn("depth", F.lit(0).cast("long")).checkpoint()
-    front, depth = seen, 0
-    while most is None or depth < most:
-        depth += 1
-        front = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth).cast("long")).checkpoint()
-        if front.isEmpty():
-            return seen
-        seen = seen.unionByName(front).checkpoint()
-    raise RuntimeError(f"the closure goes on after {most} rounds")
-
-
 def patch(text: Column, find: Column, put: Column) -> Column:
     """``text`` with ``find`` replaced, which must occur exactly once; else an error is raised."""
     n = (F.length(text) - F.length(F.replace(text, find, F.lit("")))) / F.length(find)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferrule.operators import graphs as G
 from ferrule.operators import publish as P
 from ferrule.plans import query, table
 
@@ -34,7 +35,7 @@ def link_closure(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
     one = part.agg(F.count("*").alias("n"))
     e = part.where("p_size > 5").crossJoin(F.broadcast(one)).select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 7 + F.col("p_size")) % F.col("n")).alias("dst"))
-    return P.closure(e, spark.range(1).select(F.col("id").alias("node")))
+    return G.closure(e, spark.range(1).select(F.col("id").alias("node")))
 
 
 @query("WITH " + r"""t AS (SELECT page_id, """ + VISIBLE + r""" AS t FROM pages),
@@ -73,3 +74,36 @@ def verify_manifest(spark: SparkSession, d: str) -> DataFrame:
     other = F.when(F.col("page_id") % 9 == 1, F.concat("html", F.lit(" "))).when(F.col("page_id") % 9 == 2, F.concat(F.upper(F.substring("html", 1, 1)), F.lit("x"), F.expr("substr(html, 3)"))).otherwise(F.col("html"))
     live = pages.where("page_id % 9 <> 0").select("page_id", other.alias("html"))
     return P.verify(entry(pages, "html"), entry(live, "html"), "page_id")
+
+
+NEEDS_SQL = """n AS (SELECT count(*) AS n FROM part),
+e AS (SELECT p_partkey AS node, (p_partkey * 7 + p_size) % n AS needs FROM part, n WHERE p_size > 12 AND (p_partkey * 7 + p_size) % n < p_partkey
+  UNION SELECT p_partkey, p_partkey // 2 FROM part WHERE p_size % 3 = 0 AND p_partkey > 0 UNION SELECT p_partkey, p_partkey + 1 FROM part, n WHERE p_partkey % 97 = 5 AND p_partkey + 1 < n
+  UNION SELECT p_partkey + 1, p_partkey FROM part, n WHERE p_partkey % 97 = 5 AND p_partkey + 1 < n)"""
+
+
+def needs(part: DataFrame) -> DataFrame:
+    """What parts need: earlier ones, and some pairs each other."""
+    one = part.agg(F.count("*").alias("n"))
+    k, rows = F.col("p_partkey"), part.crossJoin(F.broadcast(one))
+    to = F.pmod(k * 7 + F.col("p_size"), F.col("n"))
+    pairs = rows.where((k % 97 == 5) & (k + 1 < F.col("n")))
+    each = [rows.where((F.col("p_size") > 12) & (to < k)).select(k.alias("node"), to.alias("needs")), rows.where((F.col("p_size") % 3 == 0) & (k > 0)).select(k.alias("node"), F.floor(k / 2).alias("needs"))]
+    each += [pairs.select(k.alias("node"), (k + 1).alias("needs")), pairs.select((k + 1).alias("node"), k.alias("needs"))]
+    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3]).distinct()
+
+
+@query(f"""WITH RECURSIVE {NEEDS_SQL}, c(node) AS (SELECT node FROM e a WHERE EXISTS (FROM e b WHERE b.node = a.needs AND b.needs = a.node AND abs(a.node - a.needs) = 1) UNION SELECT e.node FROM e JOIN c ON e.needs = c.node),
+l(node, layer) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey NOT IN (SELECT node FROM e) UNION SELECT e.node, layer + 1 FROM l JOIN e ON e.needs = l.node WHERE e.node NOT IN (FROM c))
+SELECT node, CAST(max(layer) AS BIGINT) AS layer FROM l WHERE node NOT IN (FROM c) GROUP BY node""")
+def dependency_layers(spark: SparkSession, d: str) -> DataFrame:
+    """The order of parts after what they need, in layers; those in or behind a cycle have none."""
+    part = table(spark, d, "part")
+    return G.layers(part.select(F.col("p_partkey").alias("node")), needs(part))[0]
+
+
+@query()
+def dependency_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """Parts that cannot come: in a cycle, named by its least part, or waiting for one (E10); tests hold it against a plain search."""
+    part = table(spark, d, "part")
+    return G.layers(part.select(F.col("p_partkey").alias("node")), needs(part))[1]

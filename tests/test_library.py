@@ -219,6 +219,7 @@ def test_sampling_and_outcomes(spark):
 
 def test_shared_folder(spark, tmp_path):
     from ferrule import shared
+    from ferrule.operators import graphs
 
     path = shared.new_path(spark)
     spark.range(3).write.parquet(path)
@@ -226,7 +227,7 @@ def test_shared_folder(spark, tmp_path):
     assert shared.release(spark) >= 1 and not os.path.exists(path.removeprefix("file:")) and shared.release(spark) == 0
     edges = spark.createDataFrame([(i, i + 1) for i in range(4)], "src long, dst long")
     with pytest.raises(RuntimeError, match="goes on"):
-        publish.closure(edges, spark.createDataFrame([(0,)], "node long"), most=2)
+        graphs.closure(edges, spark.createDataFrame([(0,)], "node long"), most=2)
 
 
 def test_everything_is_registered():
