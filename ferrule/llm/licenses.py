@@ -10,7 +10,8 @@ them where words were put in or left out. Only chains beside which the text has
 passed over. Matches that cover ``COVER`` of a template or more are reported; of overlapping ones the one that matches most
 words stays, each word between them that it does not match counting half against it, or the one that covers more of its
 template if they are equal. What the reported matches leave of a text is searched again
-until nothing more is found. Templates named ``-head`` are the first part of a notice, for texts that stop there.
+until nothing more is found. Of licenses that differ by a word or a number (``PHRASES``) a match has to hold the words that tell
+them apart together and as they are. Templates named ``-head`` are the first part of a notice, for texts that stop there.
 
 Texts are scanned whole, in one Arrow map without a shuffle; only texts with seeds are aligned, and an alignment's cost is
 bounded by the template's length times the band, however long the text.
@@ -74,9 +75,6 @@ TEMPLATES = {
         conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
         disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
         in the documentation and/or other materials provided with the distribution.""",
-    "CC-BY-4.0-line": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0-line": "Licensed under CC BY-SA 4.0.",
     "BSL-1.0": """Boost Software License - Version 1.0 - August 17th, 2003. Permission is hereby granted, free of charge, to any person or organization
         obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute,
         execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished
@@ -85,7 +83,6 @@ TEMPLATES = {
         the public domain worldwide. This software is distributed without any warranty.""",
     "EPL-2.0-notice": """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available
         at https://www.eclipse.org/legal/epl-2.0/""",
-    "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "ISC-head": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that
         the above copyright notice and this permission notice appear in all copies.""",
     "MIT-head": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the
@@ -125,6 +122,14 @@ TEMPLATES |= {
 }
 
 
+#: Licenses that differ by a word or a number have lines for each, and the words of one that have to stand together, as they are, in a match.
+PHRASES = {f"CC-{kind}-{v}-line": f"CC {kind} {v}" for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND") for v in ("3.0", "4.0")}
+TEMPLATES |= {name: f"Licensed under {said}." for name, said in PHRASES.items()}
+GNU = {f"{short}-{v if '.' in v else v + '.0'}-line": f"{name}, version {v}" for short, name, versions in (("GPL", "GNU General Public License", "2 3"), ("LGPL", "GNU Lesser General Public License", "2.1 3"), ("AGPL", "GNU Affero General Public License", "3")) for v in versions.split()}
+TEMPLATES |= {name: f"This work is licensed under the {said}." for name, said in GNU.items()}
+PHRASES |= GNU
+
+
 def winnow(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Places and values of the kept hashes of ``words``: of ``W`` hashes in a row the least, the rightmost if several."""
     n = len(words) - K + 1
@@ -152,6 +157,7 @@ class Index:
         self.names = sorted(templates)
         self.words = [words_of(templates[n].encode()) for n in self.names]
         self.known = [frozenset(w) for w in self.words]
+        self.phrases = [words_of(PHRASES[n].encode()) if n in PHRASES else [] for n in self.names]
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, words in enumerate(self.words):
             at, h = winnow(words)
@@ -199,7 +205,7 @@ class Index:
                     n, first, last = size, p - q, p - q + size - 1  # word for word
                 else:
                     n, first, last = self._align(t, chain, words, start, end)
-                if n >= least:
+                if n >= least and holds(words[first : last + 1], self.phrases[t]):
                     found.add(((last - first + 1 - n) / 2 - n, size, self.names[t], last - first, first, n))
         starts: list[tuple[int, int]] = []
         out: list[tuple[str, float, int, int]] = []
@@ -242,6 +248,12 @@ class Index:
         return m, first, -last
 
 
+def holds(words: list[bytes], phrase: list[bytes]) -> bool:
+    """Whether the words of ``phrase`` stand together in ``words``."""
+    n = len(phrase)
+    return not n or any(words[k : k + n] == phrase for k in range(len(words) - n + 1))
+
+
 def chains(seeds: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     """Chains of ``seeds``, sorted pairs of a place in the text and in a template: each seed is in one.
 

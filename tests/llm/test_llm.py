@@ -692,6 +692,19 @@ def test_licenses_against_all_subsequences():
     assert index.find(line + line[1:] + line[:4]) == [("MIT-line", 1.0, 0, 5), ("MIT-line", 0.8, 5, 9), ("MIT-line", 0.8, 9, 13)]
 
 
+def test_licenses_that_differ_by_a_word_are_told_apart():
+    index = licenses.Index(licenses.TEMPLATES)
+    name = lambda text: [n for n, *_ in index.find(licenses.words_of(text.encode()))]
+    for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+        for v in ("3.0", "4.0"):
+            assert name(f"The text is licensed under CC {kind} {v} since then.") == [f"CC-{kind}-{v}-line"]
+    assert name("Licensed under CC BY-XX 4.0.") == name("Licensed under CC BY 5.0.") == []
+    for said, want in (("General", "GPL-2.0"), ("General", "GPL-3.0"), ("Lesser General", "LGPL-2.1"), ("Lesser General", "LGPL-3.0"), ("Affero General", "AGPL-3.0")):
+        v = want.rpartition("-")[2].removesuffix(".0")
+        assert name(f"This work is licensed under the GNU {said} Public License, version {v}.") == [f"{want}-line"]
+    assert name("This work is licensed under the GNU General Public License, version 4.") == name("This work is licensed under the GNU Free General Public License, version 3.") == []
+
+
 # the pipeline
 
 
