@@ -237,3 +237,36 @@ def section_bodies(lines: DataFrame, sections: DataFrame, by: list[str], pages:
     rows = F.array_sort(F.collect_list(F.struct("at", "line")))
     body = F.substring(F.array_join(F.transform(rows, lambda r: r["line"]), "\n"), 1, chars)
     return near.groupBy(*by, "section", "sid").agg(body.alias("body"), F.count("*").alias("n_lines"))
+
+
+# Fixed patterns: captions of tables, and what follows them.
+CAPTION = r"^\s*(?:TABLE|Table)\s+(\d{1,2}[A-Z]?(?:\s?\([a-z]\))?)(?![\w.])\s*(.*)$"
+CONTINUED = r"(?i)^[\(\[]?\s*(Continued|Concluded|Contd)|[-—–]\s*Cont(d|inued)\.?\s*$"
+CLAUSE_NAMED, CLAUSE_OF = r"(?i)\(\s*(Clauses?|Clause|Foreword|Section|see)\b", r"(?i)\(\s*Clauses?\s+([^)]*)\)"
+TITLE_LIKE, MENTION = r"^[—–-]?\s*[A-Z][A-Za-z]", r"^(of|and|as|to|for|shall|may|is|are|in|gives?|with)\b"
+HEADER_ROW, TITLE_ENDS = r"(^|\n)\s*(Sl|SI|S1|s\}|Sl\.)\s*(No|$)|\(1\)\s+\(2\)", r"(?i)^\(\s*(Clauses?|Foreword)"
+
+
+def captions(pages: DataFrame, doc: str = "doc", page: str = "page", text: str = "text") -> DataFrame:
+    """``(doc, page, line, table_id, title, continued, clause_ref)`` of the captions of tables; sentences that mention a table are none.
+
+    A caption says that it continues, or it has a title and within six lines a clause in brackets, within nine a header row, or two capitalised words. The title
+    goes on over three lines at most, up to a blank or long one, a clause or a header row; ``clause_ref`` is the clause of the caption or of those six lines.
+    """
+    lines = pages.select(F.col(doc).alias("doc"), F.col(page).alias("page"), F.split(X.linearised(F.col(text)), "\n").alias("l"))
+    after = F.transform("l", lambda x, i: F.when(x.rlike(CAPTION), F.struct(x.alias("line"), F.slice("l", i + 2, F.lit(9)).alias("next"))))
+    found = lines.select("doc", "page", F.posexplode(after).alias("line", "c")).where("c IS NOT NULL").select("doc", "page", F.col("line").cast("long").alias("line"), F.col("c.line").alias("raw"), "c.next")
+    rest = F.trim(F.regexp_extract("raw", CAPTION, 2))
+    rows = found.select("doc", "page", "line", F.replace(F.regexp_extract("raw", CAPTION, 1), F.lit(" "), F.lit("")).alias("table_id"), rest.alias("rest"), F.transform("next", F.trim).alias("near"), "next")
+    window = F.concat_ws(" ", "rest", F.array_join(F.slice("near", 1, 6), " "))
+    continued = F.col("rest").rlike(CONTINUED)
+    header = F.array_join("next", "\n").rlike(HEADER_ROW)
+    capitals = (F.regexp_count("rest", F.lit(r"\b[A-Z][a-z]{2,}")) >= 2) | ((F.col("rest") == F.upper("rest")) & F.col("rest").rlike(r"\p{L}"))
+    title_like = F.col("rest").rlike(TITLE_LIKE) & ~F.col("rest").rlike(MENTION)
+    kept = rows.withColumns({"continued": continued, "window": window}).where(continued | (title_like & (F.col("window").rlike(CLAUSE_NAMED) | header | capitals)))
+    three = F.slice("near", 1, 3)
+    stop = F.array_position(F.transform(three, lambda x: (x == "") | x.rlike(TITLE_ENDS) | (F.length(x) > 90) | x.rlike(r"^(Sl|SI)\b")), True)
+    more = F.when(stop > 0, F.slice(three, 1, F.greatest(stop - 1, F.lit(0)).cast("int"))).otherwise(three)
+    title = F.trim(F.regexp_replace(F.array_join(F.concat(F.array("rest"), more), " "), r"\s{2,}", " "))
+    clause = F.nullif(F.trim(F.regexp_extract("window", CLAUSE_OF, 1)), F.lit(""))
+    return kept.select("doc", "page", "line", "table_id", F.substring(F.trim(F.concat(F.lit("Table "), "table_id", F.lit(" "), title)), 1, 200).alias("title"), "continued", clause.alias("clause_ref"))

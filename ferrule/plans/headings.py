@@ -62,3 +62,19 @@ def section_texts(spark: SparkSession, d: str) -> DataFrame:
     lines = numbered(spark, d)
     got = H.section_bodies(lines.select("doc_id", "at", "page", "line"), lines.where("sid IS NOT NULL").select("doc_id", "at", "page", "sid"), ["doc_id"])
     return got.select("doc_id", "section", "sid", "n_lines", F.sha2("body", 256).alias("digest"))
+
+
+@query()
+def table_captions(spark: SparkSession, d: str) -> DataFrame:
+    """Captions of tables with what follows them; mentions are none (C7, C8, F15); tests hold it against a plain loop."""
+    return H.captions(captioned(spark, d))
+
+
+def captioned(spark: SparkSession, d: str) -> DataFrame:
+    """``(doc, page, text)``: each page has a line that begins with a table's number, on some a clause below it."""
+    rows, at = numbered(spark, d), F.pmod("at", F.lit(PAGE_LINES))
+    k = F.pmod(F.col("doc_id") + F.col("page"), F.lit(40)).cast("string")
+    mark = F.when(F.pmod("doc_id", F.lit(5)) == 0, F.lit(" (Continued)")).when(F.pmod("doc_id", F.lit(5)) == 1, F.lit(" of")).otherwise(F.lit(""))
+    said = F.when(at == 3, F.concat(F.lit("Table "), k, mark, F.lit(" "), "line")).when((at == 5) & (F.pmod("doc_id", F.lit(3)) == 0), F.concat(F.lit("(Clause 7."), k, F.lit(")"))).otherwise(F.col("line"))
+    lines = F.array_sort(F.collect_list(F.struct("at", said.alias("line"))))  # a page is a dozen lines
+    return rows.groupBy(F.col("doc_id").alias("doc"), "page").agg(F.array_join(F.transform(lines, lambda r: r["line"]), "\n").alias("text"))

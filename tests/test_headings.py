@@ -131,3 +131,45 @@ def test_open_sections_by_brute_force(spark):
                 want.add((d, m, n))
     got = H.open_sections(spark.createDataFrame(rows, "doc long, n long, sid string"), ["doc"], "n").collect()
     assert {(r.doc, r.section, r.at) for r in got} == want and len(got) == len(want)
+
+
+def captions_by_loop(page, text):
+    out, lines = [], X.linear_of(text).split("\n")
+    for i, line in enumerate(lines):
+        m = re.match(H.CAPTION, line)
+        if not m:
+            continue
+        rest, near = m[2].strip(" "), [x.strip(" ") for x in lines[i + 1 : i + 10]]
+        window = " ".join([rest, " ".join(near[:6])])
+        continued = bool(re.search(H.CONTINUED, rest))
+        header = re.search(H.HEADER_ROW, "\n".join(lines[i + 1 : i + 10]))
+        capitals = len(re.findall(r"\b[A-Z][a-z]{2,}", rest)) >= 2 or rest.isupper()
+        if not (continued or (re.match(H.TITLE_LIKE, rest) and not re.match(H.MENTION, rest) and (re.search(H.CLAUSE_NAMED, window) or header or capitals))):
+            continue
+        title = [rest]
+        for x in near[:3]:
+            if not x or re.match(H.TITLE_ENDS, x) or len(x) > 90 or re.match(r"(Sl|SI)\b", x):
+                break
+            title.append(x)
+        number, clause = m[1].replace(" ", ""), re.search(H.CLAUSE_OF, window)
+        out.append((page, i, number, f"Table {number} {re.sub(r'\s{2,}', ' ', ' '.join(title)).strip(' ')}".strip(" ")[:200], continued, clause[1].strip(" ") or None if clause else None))
+    return out
+
+
+def test_captions_by_loop(spark):
+    hard = [
+        "Table 1 Values of Loads\nfor roofs\n(Clause 3.2)\nSl No", "Table 7 as the minimum value\nof", "TABLE 2A WIND SPEED", "Table 3 (a) Factors\n\n\n(1) (2)", "Table 4 (Continued)", "Table 5 of this code\n(Clause 1)",
+        "Table 6 Title only", "Table 8 Title\nmore\nand more\nand a fourth\nx\n(Clauses 4.1 and 5)", "Table 9.1 No\n", "Table 10 Long  title\n" + "x" * 91, "see Table 1 Values of Loads", "Table 11 Values — Contd.", "Table 12 - Grades\nSI No", "Table 13 of\n(see 3)",
+    ]
+    df = spark.createDataFrame([("h", n, t) for n, t in enumerate(hard)] + [("n", 0, None)], "doc string, page long, text string")
+    got = [tuple(r)[1:] for r in H.captions(df).orderBy("page", "line").collect()]
+    assert got == [c for n, t in enumerate(hard) for c in captions_by_loop(n, t)]
+    assert {"1", "2A", "3(a)", "4", "11", "12"} <= {g[2] for g in got} and not {"7", "5", "13"} & {g[2] for g in got}
+    want = {}
+    for r in plan.captioned(spark, SF).collect():
+        for c in captions_by_loop(r.page, r.text):
+            want.setdefault(r.doc, []).append(c)
+    found = {}
+    for r in plan.table_captions(spark, SF).collect():
+        found.setdefault(r.doc, []).append(tuple(r)[1:])
+    assert {d: sorted(c, key=str) for d, c in found.items()} == {d: sorted(c, key=str) for d, c in want.items()} and len(want) > 20
