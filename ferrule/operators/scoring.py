@@ -167,3 +167,38 @@ def section_issues(schema: Column, designation: Column, printed: dict[str, Colum
     size = F.nullif(F.regexp_extract(designation, r"(\d{2,4})", 1), F.lit("")).cast("double")
     found.append(F.when(~(v["D"] / size).between(0.85, 1.25), "designation"))
     return F.array_compact(F.array(*found))
+
+
+#: Rolled sections whose name ends with their mass, after two sizes or after one, and kilograms a metre of a square millimetre of steel.
+ROLLED, ROLLED_SHORT = ("WPB", "NPB", "HB", "MB", "LB", "SC", "MC", "WB", "JB", "JC", "LC", "PBP", "SB"), ("WPB", "NPB", "HB", "MB", "LB", "SC", "MC", "WB")
+STEEL = 0.00785
+
+
+def section_mass(designation: Column) -> Column:
+    """Kilograms a metre of a section by its designation; null for one without its mass and for unknown shapes.
+
+    Rolled sections carry the mass in the name (``WPB300X300X88.34``, ``HB300X88.34``). Welded I (``WI``) and tapered ones of mean depth (``TI``), boxes, round and
+    rectangular tubes and angles, single or twin, follow from their plates.
+    """
+    s = F.translate(F.replace(F.upper(F.trim(designation)), F.lit(" "), F.lit("")), "×", "X")
+    twin, body = s.rlike("^(2|TWIN)"), F.regexp_replace(s, "^(2|TWIN)", "")
+    number = r"\d+(?:\.\d+)?"
+    head, tail = F.regexp_extract(body, "^([A-Z]+)", 1), F.regexp_replace(body, "^[A-Z]+", "")
+    sizes = F.when(tail.rlike(rf"^{number}(?:[X-]{number})*\z"), F.split(tail, "[X-]"))
+    dashes, n = F.length(tail) - F.length(F.replace(tail, F.lit("-"), F.lit(""))), F.size(sizes)
+    d = lambda k: F.get(sizes, F.lit(k)).cast("double")
+    rolled = F.regexp_replace(head, "^IS", "")
+    plain = ~twin & (dashes == 0)
+    web = lambda depth, bf, tf, tw: STEEL * (2 * bf * tf + F.greatest(depth - 2 * tf, F.lit(0.0)) * tw)
+    inner = lambda t: F.greatest(d(0) - 2 * t, F.lit(0.0)) * F.greatest(d(1) - 2 * t, F.lit(0.0))
+    angle = STEEL * d(2) * (d(0) + d(1) - d(2))
+    return (
+        F.when(plain & rolled.isin(*ROLLED) & (n == 3), d(2))
+        .when(plain & rolled.isin(*ROLLED_SHORT) & (n == 2) & F.get(sizes, F.lit(1)).contains("."), d(1))
+        .when(plain & (head == "WI") & (n == 4), web(d(0), d(1), d(2), d(3)))
+        .when(~twin & (head == "TI") & (n == 5) & (dashes == 1) & tail.rlike(rf"^{number}-"), web((d(0) + d(1)) / 2, d(2), d(3), d(4)))
+        .when(plain & (head == "BOX") & (n == 3), STEEL * (d(0) * d(1) - inner(d(2))))
+        .when(plain & head.isin("CHS", "PIPE", "TUBE") & (n == 2), STEEL * F.pi() * (d(0) - d(1)) * d(1))
+        .when(plain & head.isin("RHS", "SHS") & (n == 3), STEEL * (d(0) * d(1) - (d(0) - 2 * d(2)) * (d(1) - 2 * d(2))))
+        .when((dashes == 0) & head.isin("ISA", "L") & (n == 3), F.when(twin, 2.0).otherwise(1.0) * angle)
+    )

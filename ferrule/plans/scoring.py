@@ -97,3 +97,21 @@ def json_path_metrics(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "events").select("event_type", F.try_parse_json("props").alias("v"))
     k = F.try_variant_get("v", "$.k", "bigint")
     return v.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("k_sum"), F.max(k).alias("k_max"), F.count_if(F.try_variant_get("v", "$.missing.path", "double").isNull()).alias("n_missing"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_partkey % 12 AS k, 60 + p_size * 5 AS a, 40 + p_size * 3 AS b, 4 + p_size % 9 AS t, round(20 + p_size * 1.25, 2) AS m FROM part)
+SELECT p_partkey, round(CASE k WHEN 0 THEN m WHEN 1 THEN m WHEN 2 THEN 0.00785 * (2 * b * (t + 2) + (a - 2 * (t + 2)) * t) WHEN 3 THEN 0.00785 * (2 * b * (t + 2) + (a + 50 - 2 * (t + 2)) * t) WHEN 4 THEN 0.00785 * (a * b - (a - 2 * t) * (b - 2 * t))
+  WHEN 5 THEN 0.00785 * pi() * (a - t) * t WHEN 6 THEN 0.00785 * (a * b - (a - 2 * t) * (b - 2 * t)) WHEN 7 THEN 0.00785 * t * (a + b - t) WHEN 8 THEN 2 * 0.00785 * t * (a + b - t) WHEN 9 THEN 2 * 0.00785 * t * (a + b - t) END, 6) AS kg_m FROM p""")
+def section_masses(spark: SparkSession, d: str) -> DataFrame:
+    """Unit mass out of designations of ten shapes; without one for a bare name and for unknown shapes."""
+    text = lambda c: c.cast("string")
+    size = F.col("p_size")
+    a, b, t, m = text(60 + size * 5), text(40 + size * 3), text(4 + size % 9), F.format_string("%.2f", 20 + size * 1.25)
+    thick = text(6 + size % 9)
+    of = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    names = [
+        of("ISWPB", a, " x ", b, "×", m), of("hb", a, "X", m), of("WI", a, "X", b, "X", thick, "X", t), of("TI", a, "-", text(160 + size * 5), "X", b, "X", thick, "X", t),
+        of("BOX ", a, "X", b, "X", t), of("PIPE", a, "X", t), of("RHS", a, "X", b, "X", t), of("ISA", a, "X", b, "X", t), of("2L", a, "X", b, "X", t), of("Twin ISA ", a, "x", b, "x", t), of("MB", a), of("ZZ", a, "X", b),
+    ]
+    name = F.element_at(F.array(*names), (F.pmod("p_partkey", F.lit(12)) + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", F.round(S.section_mass(name), 6).alias("kg_m"))
