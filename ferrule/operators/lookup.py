@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.functions.text import casefold, nfkc, ratio
+from ferrule.functions.text import casefold, nfkc, ratio, section_id
 from ferrule.operators.retrieval import prefer
 
 
@@ -64,3 +64,23 @@ def suggest(misses: DataFrame, qid: str, asked: str, known: DataFrame, name: str
     left = asked_for.join(first.select("__a").distinct(), "__a", "left_anti").withColumn("__a", casefold(nfkc("__a")))
     again = left.join(best(left.select("__a").distinct(), names.select(F.lower(name).alias(name))), "__a")
     return first.unionByName(again).select(qid, asked, name, "rank", "similarity")
+
+
+def exact_sections(questions: DataFrame, sections: DataFrame, limit: int = 20) -> DataFrame:
+    """``(qid, rank, doc, part, section_id, id, page)`` of ``questions(qid, text, doc, commentary)`` in ``sections(ord, id, doc, part, collection, section_id, children, synthetic, page, title)``.
+
+    A section answers by its id, without the word before it and a last dot, or by its own key, within the document if one is named. Of the specification
+    the part asked for counts, commentary or not; where nothing answers, its commentary does. Of entries of one section (contents, body) that with
+    children counts, then a synthetic one, the later page, the longer title, the later row. The specification comes before other collections.
+    """
+    asked = questions.select("qid", "text", F.col("doc").alias("scope"), F.coalesce("commentary", F.lit(False)).alias("commentary"), section_id(F.col("text")).alias("sid"))
+    found = asked.join(sections, F.col("sid") == F.col("section_id")).unionByName(asked.join(sections, F.col("text") == F.col("id"))).where("scope IS NULL OR scope = doc")
+    spec, notes = F.coalesce(F.col("collection") == "specification", F.lit(False)), F.coalesce(F.col("part") == "commentary", F.lit(False))
+    level = F.when(~spec | (notes == F.col("commentary")), 0).when(~F.col("commentary"), 1)
+    met = found.withColumns({"spec": spec, "level": level}).where("level IS NOT NULL")
+    first = met.groupBy("qid").agg(F.min("level").alias("level"))
+    own = F.when(F.col("spec"), F.concat_ws("\x1f", "doc", "part", "section_id")).otherwise(F.col("ord").cast("string"))
+    better = F.struct(F.coalesce("children", F.lit(False)).alias("a"), F.coalesce("synthetic", F.lit(False)).alias("b"), F.coalesce("page", F.lit(0)).alias("c"), F.coalesce(F.length("title"), F.lit(0)).alias("d"), "ord", "doc", "part", "section_id", "id", "page")
+    best = met.join(first, ["qid", "level"]).groupBy("qid", "spec", own.alias("own")).agg(F.max(better).alias("m"), F.min("ord").alias("at"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("spec"), "at")).cast("long")
+    return best.withColumn("rank", rank).where(F.col("rank") <= limit).select("qid", "rank", "m.doc", "m.part", "m.section_id", "m.id", "m.page")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule.operators import headings as H
+from ferrule.operators import lookup as L
 from ferrule.plans import query, table
 
 PAGE_LINES = 12
@@ -78,3 +79,29 @@ def captioned(spark: SparkSession, d: str) -> DataFrame:
     said = F.when(at == 3, F.concat(F.lit("Table "), k, mark, F.lit(" "), "line")).when((at == 5) & (F.pmod("doc_id", F.lit(3)) == 0), F.concat(F.lit("(Clause 7."), k, F.lit(")"))).otherwise(F.col("line"))
     lines = F.array_sort(F.collect_list(F.struct("at", said.alias("line"))))  # a page is a dozen lines
     return rows.groupBy(F.col("doc_id").alias("doc"), "page").agg(F.array_join(F.transform(lines, lambda r: r["line"]), "\n").alias("text"))
+
+
+EXACT_SQL = NUMBERED_SQL + """,
+s AS (SELECT n.doc_id * 1000 + n.pos AS ord, 'k' || n.doc_id || '-' || n.pos AS id, source AS doc, CASE WHEN n.doc_id % 3 = 0 THEN 'commentary' ELSE 'standard' END AS part, CASE WHEN n.doc_id % 4 <> 1 THEN 'specification' ELSE 'notes' END AS collection,
+  sid AS section_id, n.doc_id % 7 = 0 AS children, n.doc_id % 5 = 0 AS synthetic, n.page, line AS title FROM n JOIN documents USING (doc_id) WHERE sid IS NOT NULL),
+q AS (SELECT item_id AS qid, CASE WHEN item_id % 4 = 3 THEN 'k' || item_id || '-2' ELSE (item_id % 9 + 1) || '.' || (item_id % 5 + 1) END AS sid, CASE WHEN item_id % 2 = 1 THEN 'src' || item_id % 20 END AS scope, item_id % 6 = 0 AS commentary FROM benchmark),
+hits AS (SELECT q.qid, s.*, collection = 'specification' AS spec, CASE WHEN collection <> 'specification' OR (part = 'commentary') = commentary THEN 0 WHEN NOT commentary THEN 1 END AS level FROM q JOIN s ON (q.sid = section_id OR q.sid = id) AND (scope IS NULL OR scope = doc)),
+kept AS (SELECT * FROM hits WHERE level IS NOT NULL QUALIFY level = min(level) OVER (PARTITION BY qid)),
+owned AS (SELECT *, CASE WHEN spec THEN doc || part || section_id ELSE ord::VARCHAR END AS own FROM kept),
+best AS (SELECT *, row_number() OVER (PARTITION BY qid, spec, own ORDER BY children DESC, synthetic DESC, page DESC, length(title) DESC, ord DESC) AS r, min(ord) OVER (PARTITION BY qid, spec, own) AS first FROM owned),
+placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY spec DESC, first) AS rank FROM best WHERE r = 1)
+SELECT qid, rank, doc, part, section_id, id, page FROM placed WHERE rank <= 20"""
+
+
+@query(EXACT_SQL)
+def exact_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Sections by id: contents and body as one, the commentary where nothing else answers, the specification first."""
+    doc, item = F.col("doc_id"), F.col("item_id")
+    text = lambda c: c.cast("string")
+    sections = numbered(spark, d).where("sid IS NOT NULL").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").select(
+        (doc * 1000 + F.col("at")).alias("ord"), F.concat(F.lit("k"), text(doc), F.lit("-"), text(F.col("at"))).alias("id"), F.col("source").alias("doc"), F.when(doc % 3 == 0, "commentary").otherwise("standard").alias("part"),
+        F.when(doc % 4 != 1, "specification").otherwise("notes").alias("collection"), F.col("sid").alias("section_id"), (doc % 7 == 0).alias("children"), (doc % 5 == 0).alias("synthetic"), "page", F.col("line").alias("title"),
+    )
+    said = F.when(item % 4 == 3, F.concat(F.lit("k"), text(item), F.lit("-2"))).otherwise(F.concat(F.lit("Clause "), text(item % 9 + 1), F.lit("."), text(item % 5 + 1), F.lit(".")))
+    questions = table(spark, d, "benchmark").select(item.alias("qid"), said.alias("text"), F.when(item % 2 == 1, F.concat(F.lit("src"), text(item % 20))).alias("doc"), (item % 6 == 0).alias("commentary"))
+    return L.exact_sections(questions, sections)
