@@ -28,4 +28,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from ferrule.plans import corpus, edits, events, headings, lookup, names, ordered, publish, readings, records, retrieval, scoring, statistics, study  # noqa: F401
+    from ferrule.plans import corpus, edits, events, headings, lookup, names, ordered, publish, readings, records, retrieval, scoring, statistics, study, synthesis  # noqa: F401
