@@ -36,7 +36,7 @@ def _small_batches(spark: SparkSession) -> None:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     _small_batches(spark)
-    return keep_sample(docs, table(spark, sf_dir, "labels"))
+    return keep_sample(docs, table(spark, sf_dir, "labels"), tempered=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

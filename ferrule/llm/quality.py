@@ -2,12 +2,14 @@
 
 Two generative models over hashed unigrams and bigrams, one of the target text (documents labelled good) and one of the
 raw text (every document), give each document a log importance weight: the sum of log ratios over its n-grams. A pair
-of equal words is one feature, whatever the word. N-grams of a text are not independent, so the
-sum is tempered: it counts as the mean times the root of the number of n-grams, of which ``EVIDENCE`` at most count;
-else the chance share of a language among few labels decides over long texts. It is divided by ``TEMPERATURE``, Gumbel
-noise, fixed by id and seed, is added, and the ``k`` largest keys are the sample; at this temperature noise decides
-between documents near the cut and leaves the others alone. Unless given, ``k`` is the number of documents whose
-tempered weight does not speak against the target: it is at least ``CUT``. What falls out of the sample is rejected.
+of equal words is one feature, whatever the word. Gumbel noise, fixed by id and seed, is added to the weight, and the ``k``
+largest keys are the sample: a draw without replacement in proportion to target over raw probability. Unless given, ``k``
+is the share of good documents among the labels times the number of documents. What falls out of the sample is rejected.
+
+``tempered`` is an option for filters that have to reject little. N-grams of a text are not independent, so the weight is
+then the mean times the root of the number of n-grams, of which ``EVIDENCE`` at most count, divided by ``TEMPERATURE``;
+noise decides between documents near the cut and leaves the others alone. Unless given, ``k`` is then the number of
+documents whose tempered weight does not speak against the target: it is at least ``CUT``.
 
 Raw counts cover all documents: a task sums its documents into one vector of ``BUCKETS`` counts, and the vectors are
 added by bucket. The target model uses at most ``TARGET_ROWS`` labelled documents, the first by a hash of the id, a
@@ -16,7 +18,8 @@ of the one partition that holds it; a text is never shuffled.
 
 Defined results: a null or empty text has no n-grams and weight 0; a null id draws its noise like an empty one; repeated
 rows have equal keys and are kept or rejected together, so ties with the last key all stay; repeated labels of an id
-count once, as good only if all say so; null labels are ignored; without good labels every weight is 0; columns other
+count once, as good only if all say so; null labels are ignored; without labels every document is in the sample, without
+good ones every weight is 0 and, untempered, none is drawn; columns other
 than the id and the text are handed on or ignored, never read; an empty table gives none; a very long text is weighed whole, in
 memory in proportion to it.
 """
@@ -49,9 +52,13 @@ def ngrams(raw: bytes | None) -> np.ndarray:
     return ((np.concatenate([h, two]) * MIX) >> np.uint64(50)).astype(np.int64)
 
 
+def _labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    return labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("g")).agg(F.min(label_col).alias("q"))
+
+
 def log_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", target_rows: int = TARGET_ROWS) -> np.ndarray:
     """log(target / raw) by bucket; the target model is smoothed towards the raw one."""
-    good = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("g")).agg(F.min(label_col).alias("q")).where("q > 0").orderBy(F.xxhash64("g"), "g").limit(target_rows).select("g")
+    good = _labelled(labels, id_col, label_col).where("q > 0").orderBy(F.xxhash64("g"), "g").limit(target_rows).select("g")
     marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(good), F.col("id") == F.col("g"), "left").select(F.col("g").isNotNull().alias("good"), "text")
 
     @tidy
@@ -114,12 +121,26 @@ def kth_key(keys: DataFrame, k: int) -> float | None:
         k -= sizes[part]
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", k: int | None = None, seed: int = SEED) -> tuple[np.ndarray, float | None, DataFrame]:
+def sample_key(tempered: bool, id_col: str | Column, seed: int = SEED) -> Column:
+    """The key whose largest values are the sample."""
+    return (F.col("tempered") / TEMPERATURE if tempered else F.col("log_weight")) + gumbel(id_col, seed)
+
+
+def sample_size(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> int:
+    """The share of good documents among all labels times the number of documents, rounded; all of them if there are no labels."""
+    n = _labelled(labels, id_col, label_col).agg(F.count("*").alias("all"), F.count_if(F.col("q") > 0).alias("good")).first()
+    rows = docs.count()
+    return rows if not n["all"] else (2 * rows * n.good + n["all"]) // (2 * n["all"])
+
+
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", k: int | None = None, seed: int = SEED, tempered: bool = False) -> tuple[np.ndarray, float | None, DataFrame]:
     """The log ratios, the least key of the sample (None: all rows), and ``(id, log_weight, tempered, sample_key)`` of every row."""
     ratios = log_ratios(docs, labels, id_col, text_col, label_col)
-    weighed = kept(weigh(docs, ratios, id_col, text_col).withColumn("sample_key", F.col("tempered") / TEMPERATURE + gumbel(id_col, seed)))
-    if k is None:
+    weighed = kept(weigh(docs, ratios, id_col, text_col).withColumn("sample_key", sample_key(tempered, id_col, seed)))
+    if k is None and tempered:
         k = weighed.where(F.col("tempered") >= CUT).count()
+    elif k is None:
+        k = sample_size(weighed, labels, id_col, label_col)
     return ratios, kth_key(weighed.select(F.col("sample_key").alias("key")), k), weighed
 
 
@@ -127,14 +148,17 @@ def selected(least: float | None, key: str = "sample_key") -> Column:
     return F.lit(True) if least is None else F.col(key) >= F.lit(least)
 
 
-def keep_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", k: int | None = None) -> DataFrame:
+def keep_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", k: int | None = None, tempered: bool = False) -> DataFrame:
     """The rows of ``docs``, all columns, that the sample of ``k`` keeps; weighed once more in place, so no text is shuffled."""
-    ratios, least, _ = resample(docs, labels, id_col, text_col, label_col, k)
+    ratios, least, _ = resample(docs, labels, id_col, text_col, label_col, k, tempered=tempered)
     again = weigh(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")), ratios, "row")
-    return again.withColumn("sample_key", F.col("tempered") / TEMPERATURE + gumbel(F.col("row")[id_col])).where(selected(least)).select("row.*")
+    return again.withColumn("sample_key", sample_key(tempered, F.col("row")[id_col])).where(selected(least)).select("row.*")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, log_weight, tempered, sample_key, selected of every document."""
-    _, least, weighed = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return weighed.select("doc_id", "log_weight", "tempered", "sample_key", selected(least).alias("selected"))
+    """doc_id, log_weight, tempered, sample_key, selected, draw_key, drawn of every document: the pipeline's tempered filter, and the untempered draw."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    _, least, weighed = resample(documents, labels, tempered=True)
+    both = weighed.withColumn("draw_key", sample_key(False, "doc_id"))
+    last = kth_key(both.select(F.col("draw_key").alias("key")), sample_size(weighed, labels))
+    return both.select("doc_id", "log_weight", "tempered", "sample_key", selected(least).alias("selected"), "draw_key", selected(last, "draw_key").alias("drawn"))

@@ -107,14 +107,46 @@ def test_quality_keeps_good_and_rejects_bad(spark, docs):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.2
 
 
+def test_quality_draw_beside_the_filter(spark, docs):
+    labels = table(spark, SF, "labels")
+    rows = quality.op2_quality(spark, SF).collect()
+    _, least, weighed = quality.resample(docs, labels)
+    assert {(r.doc_id, r.draw_key, r.drawn) for r in rows} == {(r.doc_id, r.sample_key, r.sample_key >= least) for r in weighed.collect()}
+    assert sum(r.drawn for r in rows) == quality.sample_size(docs, labels) < len(rows)
+
+
 def test_quality_sample_is_the_k_largest_keys(spark, docs):
-    _, least, weighed = quality.resample(docs, table(spark, SF, "labels"), k=37)
-    rows = weighed.collect()
-    assert least == sorted((r.sample_key for r in rows), reverse=True)[36]
-    assert weighed.where(quality.selected(least)).count() == 37
-    for r in rows[:20]:
-        u = (int(xxhash64_signed(str(r.doc_id)) % 2**64 >> 11) + 0.5) / 2**53
-        assert r.sample_key == pytest.approx(r.tempered / quality.TEMPERATURE - np.log(-np.log(u)))
+    for tempered in (False, True):
+        _, least, weighed = quality.resample(docs, table(spark, SF, "labels"), k=37, tempered=tempered)
+        rows = weighed.collect()
+        assert least == sorted((r.sample_key for r in rows), reverse=True)[36]
+        assert weighed.where(quality.selected(least)).count() == 37
+        for r in rows[:20]:
+            u = (int(xxhash64_signed(str(r.doc_id)) % 2**64 >> 11) + 0.5) / 2**53
+            assert r.sample_key == pytest.approx((r.tempered / quality.TEMPERATURE if tempered else r.log_weight) - np.log(-np.log(u)))
+
+
+def test_quality_inclusion_follows_the_weights(spark):
+    """Over many draws a document is the first of the sample as often as its share of all target over raw probabilities says, and the first two likewise."""
+    weights, draws = [0.0, -1.0, 0.7, 0.3, -2.0], 6000
+    n = len(weights)
+    df = spark.range(n * draws).select(F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, weights)), (F.col("id") % n + 1).cast("int")).alias("log_weight"), F.lit(9.0).alias("tempered"))
+    p = np.exp(weights) / np.exp(weights).sum()
+    for seed in (quality.SEED, 77):
+        keys = np.array([r.key for r in df.select("doc_id", quality.sample_key(False, "doc_id", seed).alias("key")).orderBy("doc_id").collect()]).reshape(draws, n).T
+        first = np.bincount(keys.argmax(0), minlength=n) / draws
+        assert np.abs(first - p).max() < 0.02
+        two = [p[i] + sum(p[j] * p[i] / (1 - p[j]) for j in range(n) if j != i) for i in range(n)]
+        among = np.bincount(np.argsort(keys, 0)[-2:].ravel(), minlength=n) / draws
+        assert np.abs(among - two).max() < 0.02
+
+
+def test_quality_size_of_the_sample_is_the_share_of_good_labels(spark):
+    docs = spark.createDataFrame([(i, f"word{i} and more") for i in range(10)] + [(3, "word3 and more")], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (2, 1), (2, 0), (3, 1), (None, 1), (5, None)], "doc_id long, quality int")
+    _, least, weighed = quality.resample(docs, labels)
+    assert weighed.where(quality.selected(least)).count() in (6, 7)  # half of eleven; the repeated row may tie with the last
+    assert least == sorted((r.sample_key for r in weighed.collect()), reverse=True)[5]
 
 
 def xxhash64_signed(text, seed=42):
@@ -154,7 +186,7 @@ def test_quality_held_out(spark):
     """Learnt without a fifth of the labels, the sample still tells that fifth apart."""
     sf = "/root/testdata/sf0.01"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    _, least, weighed = quality.resample(docs, labels.where(~toxicity.held_out("doc_id")))
+    _, least, weighed = quality.resample(docs, labels.where(~toxicity.held_out("doc_id")), tempered=True)
     got = {r.doc_id: r.sample_key >= least for r in weighed.collect()}
     held = [(got[r.doc_id], r.quality) for r in labels.where(toxicity.held_out("doc_id")).collect()]
     assert np.mean([g for g, q in held if q]) > 0.95 and np.mean([g for g, q in held if not q]) < 0.15
@@ -167,6 +199,9 @@ def test_quality_on_odd_input(spark, odd, none):
     assert kept.count() <= len(ODD)
     assert quality.keep_sample(odd, labels.limit(0)).count() == len(ODD)
     assert quality.keep_sample(none, labels).count() == 0
+    assert quality.keep_sample(odd, labels.where("quality = 0")).count() == 0
+    assert quality.keep_sample(odd, labels, tempered=True).columns == odd.columns
+    assert quality.keep_sample(odd, labels.limit(0), tempered=True).count() == len(ODD)
 
 
 # 3
