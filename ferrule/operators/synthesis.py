@@ -3,7 +3,7 @@
 ``blocks(doc, family, page, pos, y, part, label, layer, text, orig)`` are the pieces of a converted document; ``family`` says how it numbers
 its clauses: ``implied`` (``2a. Title`` below ``D1`` is ``D1.2a``), ``implied decimal`` (also below ``5.3``), ``dotted`` (``12.4.3``, ``C1.1``), ``lettered``
 (``D5.1.2``) or ``numeric`` (``7``, ``7.1``, ``SECTION 5``). All rules are Columns; keys are (doc, part, id), so a long document is spread over tasks, but for the
-implied parents, which one sorted window carries forward over the few blocks that have or need one.
+implied parents, which one sorted window carries forward over the few blocks that have or need one. What is read several times is written to the shared folder once.
 
 Defined results: a null text or original is no heading; a null part is the standard; a null page sorts last, is never a preview and is in no amendment;
 an unknown or null family raises nothing; of repeated ids the first block counts; columns beyond those named are not read; empty tables give none.
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ferrule.functions.text import squeeze
 from ferrule.operators.retrieval import bound
+from ferrule.shared import stored
 
 # Fixed patterns: headings in the order they are tried, and what begins like one and is none.
 HEADINGS = (
@@ -138,8 +139,8 @@ def synthesised(blocks: DataFrame) -> DataFrame:
 
     A numeric document is read beyond its headings only if they give fewer than five sections.
     """
-    heads = printed(blocks)
-    new = _first_new(implied(blocks).unionByName(inline(blocks)), heads)
+    heads = stored(printed(blocks), "sections-")
+    new = stored(_first_new(implied(blocks).unionByName(inline(blocks)), heads), "sections-")
     early = new.where("place.phase = 1").select("doc").unionByName(heads.select("doc")).groupBy("doc").agg(F.count("*").alias("n"))
     kept = new.where("place.phase = 1").unionByName(new.where("place.phase = 2").join(early.where(F.col("n") >= ENOUGH), "doc", "left_anti").select(*new.columns))
     return heads.unionByName(kept)
@@ -169,7 +170,7 @@ def linked(sections: DataFrame) -> DataFrame:
 
 def sections(blocks: DataFrame) -> DataFrame:
     """The sections of documents: printed and raised, without previews, with their children."""
-    return linked(without_previews(synthesised(blocks)))
+    return linked(stored(without_previews(synthesised(blocks)), "sections-"))
 
 
 def from_pages(known: DataFrame, pages: DataFrame) -> DataFrame:
@@ -185,8 +186,8 @@ def from_pages(known: DataFrame, pages: DataFrame) -> DataFrame:
     place = _place(True, F.lit(3), F.col("page"), F.lit(0))
     new = found.select("doc", "edition", "part", "h.sid", "title", F.col("page").cast("long").alias("page"), parent_of(F.col("h.sid")).alias("parent"), place.alias("place")).join(known.select("doc", "part", "sid").distinct(), ["doc", "part", "sid"], "left_anti")
     least = F.min_by(F.struct("edition", "title", "page", "parent", "place"), F.struct("edition", "place"))
-    first = new.groupBy("doc", "part", "sid", "edition").agg(least.alias("m"))
-    chosen = new.groupBy("doc").agg(F.min("edition").alias("edition"))
+    first = stored(new.groupBy("doc", "part", "sid", "edition").agg(least.alias("m")), "sections-")
+    chosen = first.groupBy("doc").agg(F.min("edition").alias("edition"))
     return first.join(chosen, ["doc", "edition"]).select("doc", "part", "sid", "m.title", "m.page", "m.parent", F.lit(True).alias("synthetic"), "m.place")
 
 
