@@ -28,16 +28,15 @@ scored AS (SELECT qid, doc_id, -sum((CASE WHEN ln((n_docs - df + 0.5) / (df + 0.
 """
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    return R.bm25(table(spark, d, "documents"), "doc_id", "text", R.query_terms(table(spark, d, "benchmark"), "item_id", "text")).withColumn("score", F.round("score", 8))
-
-
 @query("WITH " + BM25 + """, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 8), doc_id) AS rank FROM scored)
 SELECT qid AS item_id, rank, doc_id, round(round(score, 8), 6) AS score FROM r WHERE rank <= 5""")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """Inverted index, BM25, top k."""
-    best = R.top(scored(spark, d), ["qid"], [F.col("score"), F.col("doc")], 5)
-    return best.select(F.col("qid").alias("item_id"), "rank", F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+    words = table(spark, d, "documents").select("doc_id", R.tokens("text").alias("w"))
+    terms = R.query_terms(table(spark, d, "benchmark"), "item_id", "text")
+    scored = R.bm25(words, "w", terms, 5, None, ["doc_id"]).withColumn("score", F.round("score", 8))
+    best = R.top(scored, ["qid"], [F.col("score"), F.col("doc_id")], 5)
+    return best.select(F.col("qid").alias("item_id"), "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query("WITH " + BM25 + """,
@@ -50,11 +49,12 @@ f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY back, adjusted, doc
 SELECT qid AS item_id, rank, doc_id, source, collapsed, back AS backmatter, round(adjusted, 6) AS adjusted FROM f WHERE rank <= 5""")
 def bm25_adjusted_collapse(spark: SparkSession, d: str) -> DataFrame:
     """Score adjustments, collapse to one hit a page, back matter last."""
-    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
-    labels = table(spark, d, "labels")
     back = F.coalesce("quality", F.lit(1)) == 0
-    adjusted = F.round(F.col("score") + F.when(F.col("toxic") == 1, 20).otherwise(0) + F.when(back, 40).otherwise(0) + F.when(F.col("n_chars") <= 100, 4).otherwise(0), 8)
-    rows = scored(spark, d).withColumnRenamed("doc", "doc_id").join(docs, "doc_id").join(labels, "doc_id", "left").select("qid", "doc_id", "source", back.alias("backmatter"), adjusted.alias("adjusted"))
+    plus = F.when(F.col("toxic") == 1, 20.0).otherwise(0.0) + F.when(back, 40.0).otherwise(0.0) + F.when(F.col("n_chars") <= 100, 4.0).otherwise(0.0)
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", "source", back.alias("backmatter"), plus.alias("plus"), R.tokens("text").alias("w"))
+    terms = R.query_terms(table(spark, d, "benchmark"), "item_id", "text")
+    scored = R.bm25(docs, "w", terms, 1, "source", ["doc_id"], "plus")
+    rows = scored.select("qid", "doc_id", "source", "backmatter", F.round(F.round("score", 8) + F.col("plus"), 8).alias("adjusted"), "matched")
     one = R.collapse(rows, ["qid", "source"], ["adjusted", "doc_id"])
     best = R.top(one, ["qid"], [F.col("backmatter"), F.col("adjusted"), F.col("doc_id")], 5)
     return best.select(F.col("qid").alias("item_id"), "rank", "doc_id", "source", "collapsed", "backmatter", F.round("adjusted", 6).alias("adjusted"))
@@ -99,7 +99,7 @@ def tfidf_passages_cap3(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "documents").select("doc_id", "source", R.tokens("text").alias("w"))
     passages = words.select("doc_id", "source", F.posexplode(R.chunks(F.col("w"), 60, 50)).alias("i", "w"))
     terms = R.query_terms(table(spark, d, "benchmark"), "item_id", "text")
-    s = R.tf_idf(passages, ["doc_id", "source", "i"], "w", terms).withColumn("score", F.round("score", 8))
+    s = R.tf_idf(passages, "w", terms, 3, "source", ["doc_id", "i"]).withColumn("score", F.round("score", 8))
     order = [F.desc("score"), F.col("doc_id"), F.col("i")]
     best = R.top(R.top(s, ["qid", "source"], order, 3, "of_source"), ["qid"], order, 10)
     return best.select(F.col("qid").alias("item_id"), "rank", "doc_id", F.col("i").cast("long").alias("chunk"), F.round("score", 6).alias("score"))
