@@ -6,17 +6,34 @@ import difflib
 import functools
 import re
 import unicodedata
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
+#: Texts that a Python worker holds as objects at once, whatever a batch holds.
+HELD = 256
+
+
+def _few_at_once(values: pa.Array, f: Callable[[pa.Array], pa.Array], kind: pa.DataType) -> pa.Array:
+    """``f`` of a batch, a few rows after the other, so memory does not go with the texts of a batch."""
+    return pa.concat_arrays([f(values.slice(i, HELD)) for i in range(0, len(values), HELD)] or [pa.array([], kind)])
+
+
+def _mapped(texts: pa.Array, f: Callable[[str | None], str | None]) -> pa.Array:
+    return _few_at_once(texts, lambda few: pa.array([f(x) for x in few.to_pylist()], pa.string()), pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def nfkc(s: pa.Array) -> pa.Array:
     """Compatibility-composed text."""
-    return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+    return _mapped(s, lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
 #: Joins and splits of formula symbols before full-text indexing, in order.
@@ -49,15 +66,15 @@ def fts_normal_of(text: str | None) -> str:
     return s
 
 
-@F.pandas_udf(T.StringType())
-def fts_normal(s: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def fts_normal(s: pa.Array) -> pa.Array:
     """Text as it is indexed: NFKC and ``FTS_RULES``; a null is empty. In Python, whose word limits are not Java's."""
-    return s.map(fts_normal_of)
+    return _mapped(s, fts_normal_of)
 
 
-@F.pandas_udf(T.StringType())
-def casefold(s: pd.Series) -> pd.Series:
-    return s.map(str.casefold, na_action="ignore")
+@F.arrow_udf(T.StringType())
+def casefold(s: pa.Array) -> pa.Array:
+    return _mapped(s, lambda x: None if x is None else x.casefold())
 
 
 @F.pandas_udf(T.DoubleType())
@@ -112,7 +129,7 @@ def numeric(c: Column) -> Column:
 VOWELS = "aeiou"
 
 
-@functools.lru_cache(maxsize=1 << 20)
+@functools.lru_cache(maxsize=1 << 16)
 def stem(word: str) -> str:
     """A word's stem by Porter's published algorithm."""
     if len(word) <= 2:
@@ -172,10 +189,18 @@ def stem(word: str) -> str:
     return w
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stems(words: pd.Series) -> pd.Series:
+def stems_of(lists: pa.Array) -> pa.Array:
+    """Stems of the words of arrays; each different word of them is an object once."""
+    flat = lists.flatten().dictionary_encode()
+    known = pa.array([None if w is None else stem(w) for w in flat.dictionary.to_pylist()], pa.string())
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.r_[np.int32(0), ends], pa.int32()), known.take(flat.indices), mask=pc.is_null(lists))
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stems(words: pa.Array) -> pa.Array:
     """Stems of the words of an array."""
-    return words.map(lambda ws: [stem(w) for w in ws], na_action="ignore")
+    return _few_at_once(words, stems_of, pa.list_(pa.string()))
 
 
 def snippet_of(text: str, terms: list[str], width: int = 40) -> str:
