@@ -28,10 +28,14 @@ def state_of(event: str, ok: bool) -> str:
     return {"start": "running", "skip": "done"}.get(event) or ("done" if ok else "failed")
 
 
+#: Ids of a run whose state a task holds before it is written back.
+HELD = 10_000
+
+
 class Statuses(StatefulProcessor):
     """The state of each id of a run, by the line of the highest number; late and repeated lines change nothing.
 
-    The ids of a run are a map in the state store, on disk, read and written by id; a batch is gone through line by line. When a run says it has finished, or
+    The ids of a run are a map in the state store, on disk; a batch is gone through line by line, and each id is read and written once for ``HELD`` ids. When a run says it has finished, or
     when by the time of all lines it has said nothing for ``stall_s`` seconds, ids that still run are interrupted and the state is dropped; a mark of the last
     number stays for ``forget_s`` seconds more, so that what comes late does not bring the run back.
     """
@@ -50,6 +54,12 @@ class Statuses(StatefulProcessor):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(ms)
 
+    def _put(self, held: dict[str, tuple | None], changed: set[str]) -> None:
+        for id_ in changed:
+            self.ids.updateValue((id_,), held[id_])
+        held.clear()
+        changed.clear()
+
     def _close(self, run: str, seq: int, ms: int) -> Iterator[Row]:
         for (id_,), (state, at, seconds) in list(self.ids.iterator()):
             if state == "running":
@@ -61,6 +71,8 @@ class Statuses(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         run, last = key[0], self.ended.get()[0] if self.ended.exists() else None
         end, newest, ms = None, -1, 0
+        held: dict[str, tuple | None] = {}  # each call of the state store is a message to the JVM
+        changed: set[str] = set()
         for r in rows:
             if last is not None and r.seq <= last:
                 continue
@@ -68,12 +80,17 @@ class Statuses(StatefulProcessor):
             if r.event == "finished":
                 end = r.seq if end is None else max(end, r.seq)
                 continue
-            own = (r.id,)
-            if self.ids.containsKey(own) and self.ids.getValue(own)[1] >= r.seq:
+            if r.id not in held:
+                if len(held) >= HELD:
+                    self._put(held, changed)
+                held[r.id] = tuple(self.ids.getValue((r.id,))) if self.ids.containsKey((r.id,)) else None
+            if held[r.id] is not None and held[r.id][1] >= r.seq:
                 continue
             state = state_of(r.event, r.ok)
-            self.ids.updateValue(own, (state, r.seq, r.seconds if state == "done" else None))
+            held[r.id] = (state, r.seq, r.seconds if state == "done" else None)
+            changed.add(r.id)
             yield Row(run=run, id=r.id, state=state, seq=r.seq, seconds=r.seconds if state == "done" else None)
+        self._put(held, changed)
         if end is not None:
             yield from self._close(run, end, ms)
         elif newest >= 0:
