@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 
 from ferrule.operators import profiles
 from ferrule.operators.ordered import greedy_match
+from ferrule.shared import dealt, stored
 
 # Letters read for digits, the form of a designation, standard thicknesses, tolerances by column.
 CONFUSED = {"I": "1", "l": "1", "|": "1", "O": "0", "o": "0", "S": "5", "s": "5", "B": "8", ",": ".", "·": ".", "Q": "0", "D": "0", "L": "1", "i": "1", "Z": "2", "z": "2", "J": "1", "a": "0", "G": "6", "b": "6", "q": "9", "g": "9", "T": "7", "U": "0"}
 EDGES = ".:;'\"`‘’()[]{}_-—=~*"
 DESIGNATION = r"^[^0-9A-Za-z]{0,4}([0-9OoIlSsz]{2,3})\s*[xX*&K]\s*([0-9OoIlSsz]{2,3})\s*(?:[xX*&K]?\s*([0-9OoIlSs]{1,2})\s*)?[xX*&K]\s*([0-9OoIlSs][.,·][0-9OoIlSsQ]{2})[-.]?\s+(.*)$"
+NUMBER = r"^\d+(\.\d+)?\z"
 STANDARD_T = (1.25, 1.60, 2.00, 2.30, 2.50, 2.55, 3.15, 4.00, 5.00, 6.00, 8.00)
 TOLERANCE = {"A": 0.04, "M": 0.04, "Ixx": 0.05, "Iyy": 0.06, "Iuu": 0.05, "Ivv": 0.08, "Ixy": 0.08, "J": 0.12, "Cw": 0.15, "Cx": 0.06, "Cy": 0.06, "X0": 0.10, "tan_alpha": 0.06, "tan_theta": 0.06}
 RADII = {"Rxx": "Ixx", "Ryy": "Iyy", "Ruu": "Iuu", "Rvv": "Ivv", "Rvv_min": "Ivv"}
@@ -33,17 +35,23 @@ JOIN_COST, JOINS, LEFT_OUT = 0.3, 2, ((0, 0), (1, 1), (1, 0), (2, 0), (0, 1), (0
 
 def token(raw: Column) -> Column:
     """A token as a number's text, letters read for digits; null if it is none."""
-    plain = F.replace(F.translate(F.trim(F.trim(raw), F.lit(EDGES)), "".join(CONFUSED), "".join(CONFUSED.values())), F.lit(".."), F.lit("."))
-    return F.when(plain.rlike(r"^\d+(\.\d+)?\z"), plain)
+    return F.when(read(raw).rlike(NUMBER), read(raw))
+
+
+def read(raw: Column) -> Column:
+    return F.replace(F.translate(F.trim(F.trim(raw), F.lit(EDGES)), "".join(CONFUSED), "".join(CONFUSED.values())), F.lit(".."), F.lit("."))
 
 
 def parse(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Readings of ``lines(table, page, source, line, ...)``: ``h, b, c, t`` and ``tokens``; lines without a whole designation go."""
+    """Readings of ``lines(table, page, source, line, ...)``: ``h, b, c, t`` and ``tokens``; lines without a whole designation go.
+
+    What a line gives is one generated row, through which no filter is pushed: each group of the designation is looked for once a line.
+    """
     four = F.col("table").isin([k for k, (_, d, _) in profiles.LAYOUTS.items() if len(d) == 4])
     flat = F.translate(F.regexp_replace(F.trim(F.col(line)), r"\s+", " "), "X×", "xx")
-    part = lambda n: F.regexp_extract(flat, DESIGNATION, n)
-    dims = {d: token(part(n)).cast("double") for n, d in enumerate("hbct", 1)}
-    found = lines.withColumns({**dims, "tokens": F.array_compact(F.transform(F.split(part(5), " "), token))})
+    parts = F.array(*[F.regexp_extract("__flat", DESIGNATION, n) for n in range(1, 6)])
+    of = lambda p: F.struct(*[token(p[n]).cast("double").alias(d) for n, d in enumerate("hbct")], F.filter(F.transform(F.split(p[4], " "), read), lambda x: x.rlike(NUMBER)).alias("tokens"))
+    found = lines.withColumn("__flat", flat).drop(*"hbct", "tokens").select("*", F.inline(F.transform(F.array(parts), of))).drop("__flat")
     whole = F.col("h").isNotNull() & F.col("b").isNotNull() & F.col("t").isNotNull() & (F.col("c").isNotNull() == four)
     return found.where(whole).withColumn("c", F.coalesce("c", F.lit(0.0)))
 
@@ -53,10 +61,11 @@ def paired(readings: DataFrame, first: str, second: str, slip: float = 1.0) -> D
 
     Two meet if all but the thickness is equal and the thickness is too, or it is off by less than ``slip`` with the same last digit, as when
     its first digit is misread; equal ones before others, then the nearest, each once. The thicknesses of a page meet in cells of ``slip``.
-    Of the readings of a source with equal keys the first line counts.
+    Of the readings of a source with equal keys the first line counts. The readings are written once, as each side is read to match and to join.
     """
     key = ["table", "page", "h", "b", "c"]
     once = readings.groupBy("source", *key, "t").agg(F.min(F.struct("row", "tokens")).alias("m")).select("source", *key, "t", F.col("m.row").alias("row"), F.col("m.tokens").alias("tokens"))
+    once = stored(once, "readings-")
     side = lambda s, n: once.where(F.col("source") == s).select(*key, F.col("t").alias(f"t{n}"), F.col("row").alias(f"row{n}"), F.col("tokens").alias(f"tokens{n}"))
     a, b = side(first, 1), side(second, 2)
     cell = F.floor(F.col("t1") / slip)
@@ -81,7 +90,7 @@ def align(cells: np.ndarray, joined: np.ndarray, lengths: np.ndarray) -> tuple[n
     rows, width, n = cells.shape
     most = max(max(p) for p in LEFT_OUT)
     states = [(m, junk, gap) for m in range(JOINS + 1) for junk in range(most + 1) for gap in range(most + 1) if any(junk <= a and gap <= b for a, b in LEFT_OUT)]
-    value, came = {}, {}
+    value, came = {}, np.zeros((n + 1, JOINS + 1, most + 1, most + 1, rows), np.int8)
     low = np.full(rows, -np.inf)
     idle = np.where(joined.max(2, keepdims=True) > -np.inf, 0.0, -np.inf)  # two tokens joined, and then left out
 
@@ -105,7 +114,7 @@ def align(cells: np.ndarray, joined: np.ndarray, lengths: np.ndarray) -> tuple[n
                 if m:
                     ways.append((value.get((j, m - 1, junk - 1, gap), low) + gain(idle, i - 2, 0) - JOIN_COST, 5))
             if not ways or i < 0:
-                value[j, m, junk, gap], came[j, m, junk, gap] = low, np.zeros(rows, np.int8)
+                value[j, m, junk, gap] = low
                 continue
             stack = np.stack([w for w, _ in ways])
             best = stack.argmax(0)
@@ -117,20 +126,14 @@ def align(cells: np.ndarray, joined: np.ndarray, lengths: np.ndarray) -> tuple[n
         v = np.where(n + junk + m - gap == lengths, value[n, m, junk, gap], -np.inf)
         better = v > total + 1e-9
         total, last = np.where(better, v, total), np.where(better, k, last)
-    put = np.full((rows, n), -1)
-    for r in np.flatnonzero(last >= 0):
-        j, (m, junk, gap) = n, ends[last[r]]
-        while (how := came[j, m, junk, gap][r]) != 0:
-            i = j + junk + m - gap
-            if how >= 4:
-                junk, m = junk - 1, m - (how == 5)
-                continue
-            j -= 1
-            if how == 3:
-                gap -= 1
-            else:
-                put[r, j] = 2 * (i - how) + (how == 2)
-                m -= how == 2
+    put, own = np.full((rows, n), -1), np.flatnonzero(last >= 0)
+    j, (m, junk, gap) = np.full(len(own), n), np.array(ends)[last[own]].T
+    while len(own):
+        how = came[j, m, junk, gap, own]
+        i, placed = j + junk + m - gap - how, (how == 1) | (how == 2)
+        j, m, junk, gap = j - ((how > 0) & (how < 4)), m - ((how == 2) | (how == 5)), junk - (how >= 4), gap - (how == 3)
+        put[own[placed], j[placed]] = 2 * i[placed] + (how[placed] == 2)
+        own, j, m, junk, gap = (x[how > 0] for x in (own, j, m, junk, gap))
     return put, np.where(last >= 0, total, 0.0)
 
 
@@ -199,14 +202,16 @@ class Sheet:
     def gains(self, tokens: Tokens, other: np.ndarray | None) -> np.ndarray:
         """What every token gains in every column: 1 if the other reading has it there or a target is met, 0.6 with a point put in."""
         rows, width = tokens.value.shape
-        out = np.zeros((rows, width, len(self.cols)))
+        out = np.zeros((rows * width, len(self.cols)))
+        half, variants = tokens.half.ravel(), [(0.6 if k else 1.0, np.flatnonzero(~np.isnan(v)), v.ravel()) for k, v in tokens.variants()]
         for j, c in enumerate(self.cols):
             targets, tolerance = (self.expected[c], 0.02) if c in profiles.DIMENSIONS else self.targets(c)
-            if targets.shape[1]:
-                for k, v in tokens.variants():
-                    met = (off(v[:, :, None], targets[:, None, :]) <= tolerance + tokens.half[:, :, None]).any(2)
-                    out[:, :, j] = np.maximum(out[:, :, j], np.where(met, 0.6 if k else 1.0, 0.0))
-            if other is not None:
+            for gain, at, v in variants if targets.shape[1] else []:
+                met = at[(off(v[at, None], targets[at // width]) <= tolerance + half[at, None]).any(1)]
+                out[met, j] = np.maximum(out[met, j], gain)
+        out = out.reshape(rows, width, len(self.cols))
+        if other is not None:
+            for j in range(len(self.cols)):
                 out[:, :, j] = np.where((tokens.text == other[:, j][:, None]) & (tokens.text != ""), 1.0, out[:, :, j])
         return np.where((tokens.text == "")[:, :, None], -np.inf, out)
 
@@ -221,7 +226,8 @@ class Reading:
         self.sheet, self.lengths = sheet, np.array([len(x or []) for x in lists])
         width = max(2, self.lengths.max(initial=0))
         texts = np.array([[*(x or []), *[""] * (width - len(x or []))] for x in lists])
-        pairs = [[f"{a}.{b}" if SHORT.fullmatch(a) and SHORT.fullmatch(b) else "" for a, b in zip(row[:-1], row[1:], strict=True)] for row in texts.tolist()]
+        short = [[SHORT.fullmatch(x) is not None for x in row] for row in texts.tolist()]
+        pairs = [[f"{row[i]}.{row[i + 1]}" if own[i] and own[i + 1] else "" for i in range(width - 1)] for row, own in zip(texts.tolist(), short, strict=True)]
         self.tokens, self.pairs = Tokens(texts), Tokens(np.array(pairs))
         self.put, self.gain = self.align(None)
 
@@ -250,7 +256,9 @@ def voted_thickness(cols: list[str], t: np.ndarray, lists: list[list[list[str] |
             for c, x in zip(cols, row or [], strict=False):
                 if c in ("t", "Ri") and re.fullmatch(r"\d\.\d\d", x):
                     own.append(float(x) if c == "t" else round(float(x) / profiles.BEND, 2))
-    n = np.array([[sum(abs(v - s) < 0.03 for v in own) for s in STANDARD_T] for own in votes])
+    most = max(map(len, votes), default=1)
+    cast = np.array([[*own, *[np.nan] * (most - len(own))] for own in votes]).reshape(-1, most)
+    n = (abs(cast[:, :, None] - np.array(STANDARD_T)) < 0.03).sum(1)
     best = np.array(STANDARD_T)[n.argmax(1)]
     changed = (n.max(1) >= 2) & (abs(best - t) > 1e-6)
     return np.where(changed, best, t), changed
@@ -377,7 +385,8 @@ def _tables(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch, dict[s
 
 def calibrate(pairs: DataFrame) -> dict[str, dict[str, tuple[int, float, float]]]:
     """By table and column, from cells that both readings agree on: the convention with the least median deviation, its scale and its
-    tolerance. At least three such cells are asked for; a row for each column of the layouts reaches the driver."""
+    tolerance. At least three such cells are asked for; a row for each column of the layouts reaches the driver. Equal ratios are counted
+    before medians are taken, and written once for both."""
 
     def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -408,8 +417,9 @@ def calibrate(pairs: DataFrame) -> dict[str, dict[str, tuple[int, float, float]]
 
     each = pairs.select("table", "h", "b", "c", "t", "first", "second").mapInArrow(ratios, "table string, col string, convention int, ratio double")
     key = ["table", "col", "convention"]
-    middle = each.groupBy(*key).agg(F.percentile("ratio", F.lit(0.5)).alias("scale"), F.count("*").alias("n")).where("n >= 3")
-    spread = each.join(middle, key).groupBy(*key, "scale").agg(F.percentile(F.abs(F.col("ratio") / F.col("scale") - 1), F.lit(0.5)).alias("spread"))
+    each = stored(each.groupBy(*key, "ratio").agg(F.count("*").alias("n")), "ratios-")
+    middle = each.groupBy(*key).agg(F.percentile("ratio", F.lit(0.5), F.col("n")).alias("scale"), F.sum("n").alias("all")).where("all >= 3").drop("all")
+    spread = each.join(middle, key).groupBy(*key, "scale").agg(F.percentile(F.abs(F.col("ratio") / F.col("scale") - 1), F.lit(0.5), F.col("n")).alias("spread"))
     best = spread.groupBy("table", "col").agg(F.min(F.struct("spread", "convention", "scale")).alias("m")).select("table", "col", "m.*").collect()
     out: dict[str, dict[str, tuple[int, float, float]]] = {}
     for r in best:
@@ -447,17 +457,18 @@ def resolve(pairs: DataFrame, fits: dict[str, dict[str, tuple[int, float, float]
                     names=["table", "page", "row", "h", "b", "c", "t", "designation", "values", "used", "sources", "notes", "repairs"],
                 )
 
-    return pairs.select("table", "page", "row", "h", "b", "c", "t", "first", "second").mapInArrow(run, RESOLVED)
+    return dealt(pairs.select("table", "page", "row", "h", "b", "c", "t", "first", "second"), "table", "page", "row").mapInArrow(run, RESOLVED)
 
 
 def settled(rows: DataFrame) -> DataFrame:
-    """One row a designation: without notes before others, then the earlier one; and without phantoms.
+    """One row a designation: without notes before others, then the earlier one, then one that both sources read, then by all columns; and without phantoms.
 
     A phantom is a designation that one source alone misread: it has notes, and a row that both sources read on its page has its mass and area.
     """
-    best = Window.partitionBy("table", "designation").orderBy(F.size("notes") > 0, "page", "row")
+    best = Window.partitionBy("table", "designation").orderBy(F.size("notes") > 0, "page", "row", -F.size("sources"), *rows.columns)
     mass = lambda name: F.coalesce(*[F.when(F.col("table") == t, F.get("values", F.lit(profiles.columns(t).index(name)))) for t in profiles.LAYOUTS])
     once = rows.withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__r").withColumns({"__mass": mass("M"), "__area": mass("A")})
+    once = stored(once, "settled-")  # read as rows and as twins
     key = ["table", "page", "__mass", "__area"]
     twins = once.where(F.size("sources") == 2).select(*[F.col(k).alias(f"t_{k}") for k in key]).distinct()
     same = (F.size("sources") == 1) & (F.size("notes") > 0)

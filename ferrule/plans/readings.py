@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ferrule.operators import profiles, readings
 from ferrule.plans import query, table
-from ferrule.shared import stored
+from ferrule.shared import dealt, stored
 
 #: What a misreading writes for a digit.
 MISREAD = str.maketrans("015", "OlS")
@@ -81,7 +81,7 @@ def printed(profile: DataFrame) -> DataFrame:
                 own = np.repeat(np.arange(len(rows)), 2)
                 yield pa.record_batch([pa.array([x[0] for x in lines], pa.int64()), pa.array([kind] * len(lines), pa.string()), rows.column("page").take(pa.array(own)).cast(pa.int64()), *(pa.array([x[k] for x in lines], pa.string()) for k in (1, 2))], names=["row", "table", "page", "source", "line"])
 
-    return profile.mapInArrow(run, "row long, table string, page long, source string, line string")
+    return dealt(profile, "row").mapInArrow(run, "row long, table string, page long, source string, line string")
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:

@@ -36,6 +36,15 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tasks for each core of the session.
+TASKS = 4
+
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt to all cores by ``by``, before work that is dear for each row: a file of millions of short rows is one split, thus one task."""
+    return df.repartition(TASKS * df.sparkSession.sparkContext.defaultParallelism, *by)
+
+
 def release(spark: SparkSession) -> int:
     """Deletes what the library has written to the shared folder so far, and says how many paths that were.
 
