@@ -48,3 +48,11 @@ def test_calibration_counts_equal_ratios(spark):
     fits = readings.calibrate(df)["5"]
     one = readings.calibrate(df.where("first[4] = '3.00'"))["5"]
     assert fits["M"] == pytest.approx(one["M"]) and fits["M"][1] > 0
+
+
+def test_calibration_writes_equal_ratios_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(readings, "stored", lambda df, kind: seen.append(df) or df)
+    row = ("5", 100.0, 100.0, 15.0, 2.0, *[["100", "15", "2.00", "3.00", *["1.00"] * 12]] * 2)
+    readings.calibrate(spark.createDataFrame([row] * 50, "table string, h double, b double, c double, t double, first array<string>, second array<string>"))
+    assert {r.n for r in seen[0].collect()} == {50}
