@@ -56,3 +56,8 @@ def test_calibration_writes_equal_ratios_once(spark, monkeypatch):
     row = ("5", 100.0, 100.0, 15.0, 2.0, *[["100", "15", "2.00", "3.00", *["1.00"] * 12]] * 2)
     readings.calibrate(spark.createDataFrame([row] * 50, "table string, h double, b double, c double, t double, first array<string>, second array<string>"))
     assert {r.n for r in seen[0].collect()} == {50}
+
+
+def test_the_query_prints_and_reads_its_lines_once(spark):
+    plan_of = plan.two_source_rows(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan_of.count("MapInArrow") == 1 and "regexp_extract" not in plan_of
