@@ -9,6 +9,8 @@ from ferrule.operators.ordered import running_sums
 
 #: Ratio of the widths of two levels of bins.
 BASE = 4
+#: Rows of a group that every row of the other side may be held against; larger groups meet in bins.
+FEW = 128
 
 
 def _level(lo: Column, hi: Column) -> Column:
@@ -26,14 +28,48 @@ def _levels(df: DataFrame, names: list[str]) -> list[list[int]]:
     return [list(row[n]) for n in names]
 
 
+def _overlap(met: DataFrame, dims: list[tuple[str, str]], touching: bool) -> tuple[DataFrame, Column, list[Column]]:
+    """Pairs that overlap in all of ``dims``, the length or area in common, and where it begins in each."""
+    common, begins = F.lit(1.0), []
+    for low, high in dims:
+        llo, lhi, rlo, rhi = (F.col(f"{side}.{c}").cast("double") for side in ("left", "right") for c in (low, high))
+        lo, hi = F.greatest(llo, rlo), F.least(lhi, rhi)
+        inside = (hi > lo) | ((llo == lhi) | (rlo == rhi)) & (F.least(llo, rlo) < lo) & (hi < F.greatest(lhi, rhi))
+        met = met.where((hi >= lo) if touching else inside & (hi >= lo))
+        common = common * (hi - lo)
+        begins.append(lo)
+    return met, common, begins
+
+
+def _sound(df: DataFrame, dims: list[tuple[str, str]], by: list[str], side: str) -> DataFrame:
+    return df.where(" AND ".join(f"{lo} <= {hi}" for lo, hi in dims)).select(*by, F.struct(*[c for c in df.columns if c not in by]).alias(side))
+
+
 def overlaps(left: DataFrame, right: DataFrame, by: list[str], dims: list[tuple[str, str]], touching: bool = True) -> DataFrame:
     """Pairs of rows of equal ``by`` whose intervals overlap in every one of ``dims``, each once: ``by, left, right, overlap``.
 
     ``dims`` names the low and high column of each dimension, one for intervals and two for boxes; ``left`` and ``right`` are structs of the other columns,
     ``overlap`` is the length or area in common. Intervals that touch overlap unless ``touching`` is off; then one without length overlaps what holds it inside.
+    Groups with ``FEW`` rows or fewer on the right meet as they are, a row a row; larger ones meet in bins (``_binned``). Rows with a null bound or a high
+    bound below the low one overlap nothing.
+    """
+    sizes = right.groupBy(*by).agg(F.count("*").alias("__n"))
+    groups, above = sizes.agg(F.count("*"), F.count_if(F.col("__n") > FEW)).first() if by else (1, 1)
+    if above and above == groups:
+        return _binned(left, right, by, dims, touching)
+    large = sizes.where(F.col("__n") > FEW).select(*by)
+    few = [df.join(large, by, "left_anti") if above else df for df in (left, right)]
+    met, common, _ = _overlap(_sound(few[0], dims, by, "left").join(_sound(few[1], dims, by, "right"), by), dims, touching)
+    met = met.select(*by, "left", "right", common.alias("overlap"))
+    return met.unionByName(_binned(*[df.join(large, by, "left_semi") for df in (left, right)], by, dims, touching)) if above else met
+
+
+def _binned(left: DataFrame, right: DataFrame, by: list[str], dims: list[tuple[str, str]], touching: bool) -> DataFrame:
+    """``overlaps`` by bins.
+
     An interval is put into the two bins at most that it meets on the level of its own length, and, to meet longer ones, on the levels above
     that occur on the other side. Pairs meet on the level of the longer one, in the bin in which what they have in common begins, so short ones never meet in wide bins and a
-    long one among many short ones costs each of them a row. Rows with a null bound or a high bound below the low one overlap nothing.
+    long one among many short ones costs each of them a row.
     """
     names = [f"__k{i}" for i in range(len(dims))]
 
@@ -65,12 +101,9 @@ def overlaps(left: DataFrame, right: DataFrame, by: list[str], dims: list[tuple[
 
     at = [f"__at{i}" for i in range(len(dims))]
     met = dealt(a, "left").join(dealt(b, "right"), [*by, *at])
-    common = F.lit(1.0)
-    for i in range(len(dims)):
-        lo, hi = F.greatest(f"__leftlo{i}", f"__rightlo{i}"), F.least(f"__lefthi{i}", f"__righthi{i}")
-        inside = (hi > lo) | ((F.col(f"__leftlo{i}") == F.col(f"__lefthi{i}")) | (F.col(f"__rightlo{i}") == F.col(f"__righthi{i}"))) & (F.least(f"__leftlo{i}", f"__rightlo{i}") < lo) & (hi < F.greatest(f"__lefthi{i}", f"__righthi{i}"))
-        met = met.where((hi >= lo) if touching else inside & (hi >= lo)).where(_bin(lo, F.col(f"__at{i}.level")) == F.col(f"__at{i}.bin"))
-        common = common * (hi - lo)
+    met, common, begins = _overlap(met, dims, touching)
+    for i, lo in enumerate(begins):
+        met = met.where(_bin(lo, F.col(f"__at{i}.level")) == F.col(f"__at{i}.bin"))
     return met.select(*by, "left", "right", common.alias("overlap"))
 
 

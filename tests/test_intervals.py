@@ -106,3 +106,14 @@ def test_same_line(spark):
     df = spark.createDataFrame(boxes, "page long, key long, low double, high double")
     got = intervals.same_line(df, df, ["page"]).collect()
     assert {(r.key, r.other) for r in got} == want and len(got) == len(want)
+
+
+def test_rows_of_small_groups_are_not_copied_into_bins(spark):
+    """A row of a group of a few is shuffled once for each side; of one group above the limit, by bins; both ways give the same."""
+    draw = random.Random(5)
+    rows = [(k % 40, k, float(lo := draw.randrange(60)), float(lo + draw.randrange(1, 30))) for k in range(800)]
+    df = spark.createDataFrame(rows, "g long, k long, lo double, hi double")
+    met = intervals.overlaps(df, df, ["g"], [("lo", "hi")])
+    assert "Generate" not in met._jdf.queryExecution().optimizedPlan().toString()
+    pairs = lambda m: sorted((r.g, r.left.k, r.right.k, r.overlap) for r in m.collect())
+    assert pairs(met) == pairs(intervals._binned(df, df, ["g"], [("lo", "hi")], True))
