@@ -46,8 +46,8 @@ def alias_tokens(text: Column, groups: list[list[str]]) -> Column:
     def of(x: Column) -> Column:
         low = F.concat(F.lit(" "), F.regexp_replace(x["low"], r"(?U)\s+", " "), F.lit(" "))
         words = lambda c: F.regexp_extract_all(c, F.lit(ALIAS_WORD), F.lit(0))
-        bare = lambda c: F.transform(words(c), lambda w: F.regexp_replace(w, r"^[.\-]+|[.\-]+$", ""))
-        both = lambda c: F.concat(words(c), bare(c))
+        bare = lambda w: F.transform(w, lambda x: F.btrim(x, F.lit(".-")))
+        both = lambda c: F.transform(F.array(F.array_distinct(words(c))), lambda w: F.concat(w, bare(w)))[0]  # noqa: E731  each different word once
         return F.struct(low.alias("low"), both(x["blob"]).alias("words"), both(x["low"]).alias("folded"))
 
     def fired(x: Column, group: list[str]) -> Column:

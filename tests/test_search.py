@@ -97,3 +97,9 @@ def test_one_hit_a_page_and_first_variant(spark):
     assert got[2] == (-3.0, 1) and got[1] == (-9.0, 1) and len(got) == 62  # 1 is beyond the first sixty of variant 0
     last = search.ranked(spark.createDataFrame([("q", -9.0, 1, True), ("q", -1.0, 2, False), ("q", 3.0, 3, None)], "qid string, score double, doc long, b boolean"), F.col("b"), 2)
     assert sorted((r.rank, r.doc) for r in last.collect()) == [(1, 2), (2, 3)]
+
+
+def test_alias_words_are_looked_for_once_a_text(spark):
+    df = spark.createDataFrame([("..License-- of the. the -y- .Clown",), ("...",), (None,)], "t string").select(search.alias_tokens(F.col("t"), [["the"], ["license"], ["of the"], ["clown"], ["y", "et"]]).alias("a"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2
+    assert [r.a for r in df.collect()] == [["the", "license", "of the", "clown"], [], []]
