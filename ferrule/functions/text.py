@@ -229,17 +229,18 @@ def snippet(text: pd.Series, terms: pd.Series) -> pd.Series:
 def gutter_of(lines: list[str], least: int = 4) -> int | None:
     """The column of the widest blank strip inside a page of text that nearly all lines leave free; none if there is none."""
     wide = max(map(len, lines), default=0)
-    rows = [x.ljust(wide) for x in lines if x.strip()]
-    free = [sum(r[c] == " " for r in rows) >= 0.9 * len(rows) for c in range(wide)] if rows else []
-    best, at, start = 0, None, None
-    for c, f in enumerate([*free, False]):
-        if f and start is None:
-            start = c
-        if not f and start is not None:
-            if start > 0.2 * wide and c < 0.8 * wide and c - start >= least and c - start > best:
-                best, at = c - start, (start + c) // 2
-            start = None
-    return at
+    rows = [x for x in lines if x.strip()]
+    if not rows:
+        return None
+    taken = np.zeros(wide, dtype=np.int64)  # beyond its end a line is blank
+    for x in rows:
+        taken[: len(x)] += np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype="<u4") != ord(" ")
+    free = len(rows) - taken >= 0.9 * len(rows)
+    edges = np.flatnonzero(np.diff(np.r_[False, free, False].astype(np.int8)))
+    start, end = edges[::2], edges[1::2]
+    size = np.where((start > 0.2 * wide) & (end < 0.8 * wide) & (end - start >= least), end - start, 0)
+    at = int(size.argmax()) if len(size) else 0
+    return int(start[at] + end[at]) // 2 if len(size) and size[at] else None
 
 
 def linear_of(page: str) -> str:

@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ferrule.functions import text as X
 from ferrule.operators.ordered import folded
+from ferrule.shared import stored
 
 # Fixed patterns and words: heading lines, lines of contents, words that begin a value and not a title.
 NUMBERED = r"^\s{0,6}(?:#{1,4}\s*)?(?:\*\*)?[‘']?(\d{1,2}(?:\.\d{1,3}){0,5})(?:\*\*)?\.?\s+(\S.*)$"
@@ -115,7 +116,7 @@ def headings(pages: DataFrame, doc: str = "doc", page: str = "page", text: str =
 
     A title that runs on into its clause ends at a dash. A title of more than three numbers is a row of values.
     """
-    found = candidates(pages, doc, page, text)
+    found = stored(candidates(pages, doc, page, text), "headings-")  # read for the highest chapters and for the fold
     numbers = F.regexp_count(F.substring(F.regexp_replace("title", AMENDED, ""), 1, 60), F.lit(r"\d+(?:\.\d+)?"))
     ready = found.join(top_numbers(found), "doc").withColumn("numbers", numbers)
     kept = folded(ready, ["doc"], ["page", "line", "part"], ["doc", "page", "line", "part", "sid", "title", "chapter", "top", "numbers"], lambda: {"seen": set(), "last": {}, "now": 0}, carries_on)
