@@ -200,7 +200,8 @@ def merged(heads: DataFrame, amended: DataFrame) -> DataFrame:
     most. As ids have six levels at most, old ones are admitted level by level, each by one join on the parent.
     """
     sheets = amended.where("page IS NOT NULL").select("doc", "page", F.lit(True).alias("sheet")).distinct()
-    rows = heads.where("sid IS NOT NULL").select("doc", "origin", "pos", "sid", "title", "page").join(sheets, ["doc", "page"], "left").withColumn("sheet", F.coalesce("sheet", F.lit(False)))
+    placed = heads.where("sid IS NOT NULL").select("doc", "origin", "pos", "sid", "title", "page").join(sheets, ["doc", "page"], "left")
+    rows = stored(placed.withColumn("sheet", F.coalesce("sheet", F.lit(False))), "headings-")
     first = rows.where("origin IN ('layout', 'served')").groupBy("doc", "sid", "origin", (F.col("sheet") & (F.col("origin") == "served")).alias("own")).agg(F.min_by(F.struct("title", "page", "sheet", "pos"), "pos").alias("m"))
     rank = F.when(F.col("m.sheet"), 2).otherwise(0) + F.when(F.col("origin") == "served", 1).otherwise(0)
     by_text = first.groupBy("doc", "sid").agg(F.min_by(F.struct("origin", "m", "own"), rank).alias("w"), F.min_by(F.when(F.col("m.sheet"), F.struct("m.page", "m.pos")), F.when(F.col("m.sheet"), F.struct("origin", "m.pos"))).alias("s"), F.min(F.when(F.col("origin") == "layout", True)).alias("laid"))
@@ -209,7 +210,7 @@ def merged(heads: DataFrame, amended: DataFrame) -> DataFrame:
     source = F.when(over, "served, amendment consolidated").otherwise(F.col("w.origin"))
     texts = by_text.select("doc", "sid", "w.m.title", "w.m.page", source.alias("source"), F.when(over, F.col("s.page")).alias("sheet_page"))
     manual = rows.where("origin = 'manual'").groupBy("doc", "sid").agg(F.max_by(F.struct("title", "page"), "pos").alias("m")).select("doc", "sid", "m.title", "m.page", F.lit("manual").alias("source"), F.lit(None).cast(heads.schema["page"].dataType).alias("sheet_page"))
-    base = texts.join(manual, ["doc", "sid"], "left_anti").unionByName(manual)
+    base = stored(texts.join(manual, ["doc", "sid"], "left_anti").unionByName(manual), "headings-")
     return base.unionByName(_old(rows.where("origin = 'old'"), base).select(*base.columns))
 
 
@@ -218,11 +219,11 @@ def _old(old: DataFrame, base: DataFrame) -> DataFrame:
     tops = base.select("doc", top.alias("top")).where("top > 0").distinct()
     shaped = old.where(F.col("sid").rlike(OLD_ID)).withColumn("top", top).join(tops, ["doc", "top"], "left_semi").join(base.select("doc", "sid"), ["doc", "sid"], "left_anti")
     ready = shaped.select("doc", "sid", "title", "page", "pos", levels.alias("level"), parent_of(F.col("sid")).alias("parent"))
-    near = ready.where((F.col("level") == 1) | (F.substring_index("sid", ".", -1).cast("int") <= HIGHEST_OLD))
+    near = stored(ready.where((F.col("level") == 1) | (F.substring_index("sid", ".", -1).cast("int") <= HIGHEST_OLD)), "headings-")
     known = base.select("doc", F.col("sid").alias("parent"), F.lit(None).cast("long").alias("after"), levels.alias("level"))
     earliest = lambda df: df.groupBy("doc", "sid", "level").agg(F.min_by(F.struct("title", "page", "pos"), "pos").alias("m"))
-    got = [earliest(near.where("level = 1"))]
+    got = [stored(earliest(near.where("level = 1")), "headings-")]  # each level is read by the next one and at the end
     for level in range(2, LEVELS + 1):
         before = known.where(F.col("level") == level - 1).drop("level").unionByName(got[-1].select("doc", F.col("sid").alias("parent"), F.col("m.pos").cast("long").alias("after")))
-        got.append(earliest(near.where(F.col("level") == level).join(before, ["doc", "parent"]).where("after IS NULL OR after < pos")))
+        got.append(stored(earliest(near.where(F.col("level") == level).join(before, ["doc", "parent"]).where("after IS NULL OR after < pos")), "headings-"))
     return reduce(DataFrame.unionByName, got).select("doc", "sid", "m.title", "m.page", F.lit("old").alias("source"), F.lit(None).cast(old.schema["page"].dataType).alias("sheet_page"))
