@@ -55,9 +55,14 @@ def normal_cdf(z: pd.Series) -> pd.Series:
     return z.map(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)), na_action="ignore")
 
 
-def ks(df: DataFrame, by: list[str], x: str, cdf: Column) -> DataFrame:
-    """Kolmogorov-Smirnov distance of ``x`` from ``cdf`` and its asymptotic p by group; null under three values."""
-    rows = ranks(df, by, x, [], "__i").withColumn("__f", cdf).join(df.groupBy(*by).agg(F.count("*").alias("__n")), by)
+def ks(df: DataFrame, by: list[str], x: str, cdf: Column, fits: DataFrame | None = None) -> DataFrame:
+    """Kolmogorov-Smirnov distance of ``x`` from ``cdf`` and its asymptotic p by group; null under three values.
+
+    ``fits`` has one row a group with what else ``cdf`` reads; groups without one are left out. It meets the rows after they are
+    ranked, in the order that this has given them, so they are sorted once.
+    """
+    sizes = df.groupBy(*by).agg(F.count("*").alias("__n"))
+    rows = ranks(df, by, x, [], "__i").join(sizes if fits is None else fits.join(sizes, by), by).withColumn("__f", cdf)
     d = F.max(F.greatest(F.col("__i") / F.col("__n") - F.col("__f"), F.col("__f") - (F.col("__i") - 1) / F.col("__n")))
     got = rows.groupBy(*by).agg(F.count("*").alias("n"), d.alias("d"))
     lam = (F.sqrt("n") + 0.12 + 0.11 / F.sqrt("n")) * F.col("d")
