@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrule.operators.ordered import quantiles, ranks
+from ferrule.operators.ordered import quantiles, ranks, with_group
+from ferrule.shared import stored
 
 #: Fixed value: below this share of the mean a spread counts as none.
 INVARIANT = 1e-7
@@ -83,10 +84,10 @@ def histogram(df: DataFrame, by: list[str], x: str, marks: list[Column] | None =
     own = [F.col(f"__m{i}") for i in range(len(marks or []))]
     a = a.withColumns({"lo": F.least("least", "least", *own), "hi": F.greatest("most", "most", *own)})
     pad = 0.04 * F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(0.1)
-    a = a.select(*by, F.least(F.greatest(k, F.lit(6)), F.lit(24)).cast("long").alias("k"), (F.col("lo") - pad).alias("lo"), (F.col("hi") + pad).alias("hi"))
+    a = stored(a.select(*by, F.least(F.greatest(k, F.lit(6)), F.lit(24)).cast("long").alias("k"), (F.col("lo") - pad).alias("lo"), (F.col("hi") + pad).alias("hi")), "bins-")
     width = (F.col("hi") - F.col("lo")) / F.col("k")
     at = F.least(F.floor((F.col(x) - F.col("lo")) / width), F.col("k") - 1)
-    counts = df.join(a, by).groupBy(*by, at.alias("bin")).agg(F.count("*").alias("n"))
+    counts = with_group(df, a, by).groupBy(*by, at.alias("bin")).agg(F.count("*").alias("n"))
     bins = a.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("bin"))
     return bins.join(counts, [*by, "bin"], "left").select(*by, "bin", (F.col("lo") + F.col("bin") * width).alias("low"), (F.col("lo") + (F.col("bin") + 1) * width).alias("high"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 

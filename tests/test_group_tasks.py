@@ -24,3 +24,14 @@ def test_a_fit_meets_rows_after_they_are_ranked(spark):
     before = S.ks(df.join(fits, "g").withColumn("z", z), ["g"], "z", S.normal_cdf("z"))
     rows = lambda q: [(r.g, r.n, round(r.d, 12), round(r.p, 12)) for r in q.orderBy("g").collect()]
     assert rows(got) == rows(before) and [r[:2] for r in rows(got)] == [("a", 60), ("b", 5)]
+
+
+def test_a_histogram_of_few_groups_brings_no_group_to_one_task(spark, monkeypatch):
+    df = spark.createDataFrame([(g, float((i * 37) % 101)) for g, n in (("a", 60), ("b", 12)) for i in range(n)], "g string, x double")
+    few = S.histogram(df, ["g"], "x", [F.lit(-5.0)])
+    assert "strategy=broadcast" in few._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(ordered, "FEW_GROUPS", 1)
+    many = S.histogram(df, ["g"], "x", [F.lit(-5.0)])
+    assert "strategy=broadcast" not in many._jdf.queryExecution().analyzed().toString()
+    rows = few.orderBy("g", "bin").collect()
+    assert rows == many.orderBy("g", "bin").collect() and sum(r.n for r in rows) == 72
