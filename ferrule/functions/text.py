@@ -30,12 +30,40 @@ def _mapped(texts: pa.Array, f: Callable[[str | None], str | None]) -> pa.Array:
     return _few_at_once(texts, lambda few: pa.array([f(x) for x in few.to_pylist()], pa.string()), pa.string())
 
 
+def _class(keeps: Callable[[str], bool]) -> str:
+    """What is neither ASCII nor one of the characters of ``SCRIPTS`` that ``keeps`` holds for, as a pattern; ASCII is passed over at once."""
+    out = ""
+    for low, high in SCRIPTS:
+        at = [k for k in range(low, high + 1) if keeps(chr(k))]
+        firsts = [k for k in at if k - 1 not in at]
+        lasts = [k for k in at if k + 1 not in at]
+        out += "".join(rf"\x{{{a:X}}}-\x{{{z:X}}}" for a, z in zip(firsts, lasts, strict=True))
+    return rf"[\x{{80}}-\x{{10FFFF}}&&[^{out}]]"
+
+
+#: Latin, Greek, Cyrillic, dashes and quotes, currency: without letters that compose with the one before but for marks, and with ASCII digits alone.
+SCRIPTS = ((0x00, 0x24F), (0x370, 0x52F), (0x2010, 0x2027), (0x20A0, 0x20BF))
+_stable = lambda c: unicodedata.is_normalized("NFKC", c) and not unicodedata.combining(c) and unicodedata.category(c) not in ("Cn", "Mn")
+#: What Python has to normalise, and what it has to fold: any other text is its own normal form, and folds as Spark's lower case but for the sharp s.
+UNSTABLE, UNFOLDED = _class(_stable), _class(lambda c: _stable(c) and c not in "Σς" and c.casefold() == c.lower().replace("ß", "ss") and len(c.lower()) == 1)
+
+
+def _but_for(text: Column | str, hard: Callable[[Column], Column], python: Callable[[Column], Column], else_: Callable[[Column], Column]) -> Column:
+    """``python`` of the texts that are ``hard``, ``else_`` of the others: these do not pass through a worker, so its memory does not go with them."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(python(F.when(hard(c), c)), else_(c))
+
+
 @F.arrow_udf(T.StringType())
-def nfkc(s: pa.Array) -> pa.Array:
-    """Compatibility-composed text."""
+def _nfkc(s: pa.Array) -> pa.Array:
     return _mapped(s, lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+def nfkc(text: Column | str) -> Column:
+    """Compatibility-composed text."""
+    return _but_for(text, lambda c: c.rlike(UNSTABLE), _nfkc, lambda c: c)
+
+
 #: Joins and splits of formula symbols before full-text indexing, in order.
 FTS_RULES = [
     (re.compile(p), put)
@@ -66,17 +94,47 @@ def fts_normal_of(text: str | None) -> str:
     return s
 
 
+_SPACE = r"[\x09-\x0D\x1C-\x20\x{85}]"
+#: Where a rule of ``FTS_RULES`` may do something to a text without ``UNSTABLE``: wider than the rules, as it knows the words of ASCII alone.
+FTS_MAY = (
+    r"(?=[kKVpCATSEFfM])(?<![A-Za-z0-9_])(?:[kK]_+[1-4]|K_+[dacDAC]|V_+[zbBZ]|p_+[dz]|C_+(?:pe|pi|f|p|t)|A_+h|T_+a|S_*a_*/_*g|(?:E|Fe)_+[1-6][0-9]{2}|f_+[ycu]|M_+[dp])(?![A-Za-z0-9_])"
+    r"|γ(?:_*m_*[01]|_+f)|[a-z][0-9]+\.[0-9]"
+).replace("_+", f"{_SPACE}+").replace("_*", f"{_SPACE}*")
+
+
 @F.arrow_udf(T.StringType())
-def fts_normal(s: pa.Array) -> pa.Array:
-    """Text as it is indexed: NFKC and ``FTS_RULES``; a null is empty. In Python, whose word limits are not Java's."""
-    return _mapped(s, fts_normal_of)
+def _fts_normal(s: pa.Array) -> pa.Array:
+    return _mapped(s, lambda x: None if x is None else fts_normal_of(x))
+
+
+def fts_normal(text: Column | str) -> Column:
+    """Text as it is indexed: NFKC and ``FTS_RULES``; a null is empty. In Python, whose word limits are not Java's, where a rule may apply."""
+    return _but_for(text, lambda c: c.rlike(UNSTABLE) | c.rlike(FTS_MAY), _fts_normal, lambda c: F.coalesce(c, F.lit("")))
 
 
 @F.arrow_udf(T.StringType())
-def casefold(s: pa.Array) -> pa.Array:
+def _casefold(s: pa.Array) -> pa.Array:
     return _mapped(s, lambda x: None if x is None else x.casefold())
 
 
+@F.arrow_udf(T.StringType())
+def _nfkc_folded(s: pa.Array) -> pa.Array:
+    return _mapped(s, lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
+
+
+def _lower(c: Column) -> Column:
+    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+
+
+def casefold(text: Column | str) -> Column:
+    return _but_for(text, lambda c: c.rlike(UNFOLDED), _casefold, _lower)
+
+
+def nfkc_folded(text: Column | str) -> Column:
+    """Compatibility-composed text, then folded."""
+    return _but_for(text, lambda c: c.rlike(UNFOLDED), _nfkc_folded, _lower)
+
+
 @F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two strings: twice the matched characters over both lengths."""
