@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ferrule.functions.text import casefold, nfkc
+from ferrule.functions.text import nfkc_folded
 from ferrule.operators import retrieval as R
 from ferrule.operators import search as Q
 from ferrule.plans import query, table
@@ -124,7 +124,7 @@ def keyword_all_terms_any_alias(spark: SparkSession, d: str) -> DataFrame:
     alts = each.join(groups, F.array_contains(groups.terms, each.term), "left").groupBy("qid", "term").agg(F.array_distinct(F.concat(F.array("term"), F.flatten(F.collect_list("terms")))).alias("alts"))
     asked = alts.groupBy("qid").agg(F.collect_list("alts").alias("all"))
     # The keyword queries are a handful of rows by construction.
-    low = table(spark, d, "documents").select("doc_id", casefold(nfkc("text")).alias("low"))
+    low = table(spark, d, "documents").select("doc_id", nfkc_folded("text").alias("low"))
     ok = F.forall("all", lambda g: F.exists(g, lambda a: F.col("low").contains(a)))
     return low.join(F.broadcast(asked), ok).select("qid", "doc_id")
 
@@ -369,7 +369,7 @@ def auto_answers(spark: SparkSession, d: str) -> DataFrame:
 
     def keyword(q: DataFrame) -> DataFrame:
         # A handful of questions by construction.
-        low = docs.select(F.col("doc_id").alias("doc"), casefold(nfkc("text")).alias("low"))
+        low = docs.select(F.col("doc_id").alias("doc"), nfkc_folded("text").alias("low"))
         return R.top(low.join(F.broadcast(q), F.col("low").contains(F.lower("text"))), ["qid"], [F.col("doc")], 12)
 
     aliases = spark.createDataFrame(AUTO_ALIASES, "qid string, ord int, text string")
