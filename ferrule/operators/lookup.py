@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.functions.text import casefold, nfkc, ratio, section_id
+from ferrule.functions.text import nfkc_folded, ratio, section_id
 from ferrule.operators.retrieval import prefer
 
 
@@ -61,7 +61,7 @@ def suggest(misses: DataFrame, qid: str, asked: str, known: DataFrame, name: str
     names = known.select(name).where(F.col(name).isNotNull()).distinct()
     asked_for = misses.select(qid, F.col(asked), F.col(asked).alias("__a")).where(F.col(asked).isNotNull())
     first = asked_for.join(best(asked_for.select("__a").distinct(), names), "__a")
-    left = asked_for.join(first.select("__a").distinct(), "__a", "left_anti").withColumn("__a", casefold(nfkc("__a")))
+    left = asked_for.join(first.select("__a").distinct(), "__a", "left_anti").withColumn("__a", nfkc_folded("__a"))
     again = left.join(best(left.select("__a").distinct(), names.select(F.lower(name).alias(name))), "__a")
     return first.unionByName(again).select(qid, asked, name, "rank", "similarity")
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.functions.text import casefold, fts_normal, nfkc, stems
+from ferrule.functions.text import fts_normal, nfkc, nfkc_folded, stems
 from ferrule.operators.retrieval import B, IDF_FLOOR, K1, tokens
 from ferrule.shared import stored
 
@@ -41,7 +41,7 @@ def alias_tokens(text: Column, groups: list[list[str]]) -> Column:
     A term of one character never fires and is never given. A phrase fires where it begins a word, the end of its last word may go on;
     a term of up to four characters as a whole word in its own case; a longer one as a whole word in any case.
     """
-    whole = F.struct(nfkc(text).alias("blob"), casefold(nfkc(text)).alias("low"))
+    whole = F.struct(nfkc(text).alias("blob"), nfkc_folded(text).alias("low"))
 
     def of(x: Column) -> Column:
         low = F.concat(F.lit(" "), F.regexp_replace(x["low"], r"(?U)\s+", " "), F.lit(" "))
@@ -87,7 +87,7 @@ def variants(questions: DataFrame, qid: str, text: str, groups: list[list[str]],
     """``(qid, variant, clause, phrase)`` (X5): 0 the question; then each alias of the whole of it; then its words with their aliases
     beside them, where a word is an abbreviation: four characters or fewer, up to six capitals, or letters with digits."""
     spark = questions.sparkSession
-    key = lambda c: F.trim(F.regexp_replace(casefold(nfkc(c)), r"\s+", " "))
+    key = lambda c: F.trim(F.regexp_replace(nfkc_folded(c), r"\s+", " "))
     pairs = spark.createDataFrame([(t.casefold(), a, i) for g in groups for t in g for i, a in enumerate(g) if a != t], "key string, alias string, i int").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("i", "alias"))).alias("a"))
     pairs = F.broadcast(pairs.select("key", F.array_distinct(F.col("a.alias")).alias("aliases")))  # the groups are a literal
     q = questions.select(F.col(qid).alias("qid"), F.col(text).alias("text"))
