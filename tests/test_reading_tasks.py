@@ -1,6 +1,10 @@
 """Work that is dear for each row of a small file is dealt to all tasks, and done once."""
 
+from zlib import crc32
+
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ferrule.operators import readings
 from ferrule.plans import readings as plan
@@ -61,3 +65,36 @@ def test_calibration_writes_equal_ratios_once(spark, monkeypatch):
 def test_the_query_prints_and_reads_its_lines_once(spark):
     plan_of = plan.two_source_rows(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan_of.count("MapInArrow") == 1 and "regexp_extract" not in plan_of
+
+
+def test_fates_are_checksums_of_row_and_cell():
+    rows = [0, 7, 123456, 7200000]
+    want = [[crc32(f"scan:{r}:{j}".encode()) % 240 for j in range(19)] for r in rows]
+    assert plan.fates(rows, "scan", 19).tolist() == want
+
+
+def test_cells_of_equal_profiles_are_made_once_a_task(spark, monkeypatch):
+    """As many rows as a batch holds have two profiles, so two are computed; what is kept is bounded and does not change a line."""
+    made, of = [], plan.true_cells
+    monkeypatch.setattr(plan, "true_cells", lambda kind, dims: made.append(len(dims["h"])) or of(kind, dims))
+    df = spark.range(200).select(F.col("id").alias("row"), F.lit("6").alias("table"), F.lit(1).alias("page"), *[F.lit(x).alias(k) for k, x in (("h", 100.0), ("b", 50.0), ("c", 15.0))], F.when(F.col("id") % 2 == 0, 2.0).otherwise(2.5).alias("t"))
+    batch = pa.RecordBatch.from_pandas(df.toPandas(), preserve_index=False)
+
+    def lines():
+        frame = type("Frame", (), {"mapInArrow": lambda self, run, schema: [x for b in run(iter([batch, batch])) for x in b.to_pylist()]})()
+        monkeypatch.setattr(plan, "dealt", lambda *a: frame)
+        return plan.printed(df)
+
+    kept = lines()
+    assert made == [2]
+    monkeypatch.setattr(plan, "KNOWN", 0)
+    assert lines() == kept and len(kept) == 800
+
+
+def test_ratios_are_counted_in_a_batch(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(readings, "stored", lambda df, kind: seen.append(df) or df)
+    row = ("5", 100.0, 100.0, 15.0, 2.0, *[["100", "15", "2.00", "3.00", *["1.00"] * 12]] * 2)
+    readings.calibrate(spark.createDataFrame([row] * 50, "table string, h double, b double, c double, t double, first array<string>, second array<string>"))
+    plan_of = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(n" in plan_of and "count(1)" not in plan_of
