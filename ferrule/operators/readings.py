@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -386,38 +387,45 @@ def _tables(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch, dict[s
 def calibrate(pairs: DataFrame) -> dict[str, dict[str, tuple[int, float, float]]]:
     """By table and column, from cells that both readings agree on: the convention with the least median deviation, its scale and its
     tolerance. At least three such cells are asked for; a row for each column of the layouts reaches the driver. Equal ratios are counted
-    before medians are taken, and written once for both."""
+    in each batch and before medians are taken, and written once for both."""
 
     def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for table, rows, dims in _tables(b):
                 cols = profiles.columns(table)
-                first, second = (rows.column(k).to_pylist() for k in ("first", "second"))
-                n = len(cols)
-                own = np.array([x is not None and y is not None and len(x) in (n, n + 1) and len(y) in (n, n + 1) for x, y in zip(first, second, strict=True)])
-                if not own.any():
+                n, lists = len(cols), [rows.column(k) for k in ("first", "second")]
+                lengths = [pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in lists]
+                own = np.flatnonzero(np.isin(lengths[0], (n, n + 1)) & np.isin(lengths[1], (n, n + 1)))
+                if not len(own):
                     continue
-                a, c = (np.array([x[:n] for x, k in zip(lists, own, strict=True) if k]) for lists in (first, second))
+                a, c = (x.flatten().take(pa.array(((np.cumsum(k) - k)[own][:, None] + np.arange(n)).ravel())) for x, k in zip(lists, lengths, strict=True))
+                same = pc.fill_null(pc.equal(a, c), False)
+                value = pc.if_else(same, a, pa.scalar(None, pa.string())).cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, n)
+                same = same.to_numpy(zero_copy_only=False).reshape(-1, n)
                 dims = {k: v[own] for k, v in dims.items()}
                 if "t" in cols:
                     j = cols.index("t")
-                    said = np.array([re.fullmatch(r"\d\.\d\d", x) is not None for x in a[:, j]]) & (a[:, j] == c[:, j])
-                    dims["t"] = np.where(said, np.where(said, a[:, j], "0").astype(float), dims["t"])
-                expected = profiles.expected(profiles.LAYOUTS[table][0], *(dims[k] for k in "hbct"))
+                    said = pc.match_substring_regex(a.take(pa.array(np.arange(len(own)) * n + j)), r"^\d\.\d\d$").to_numpy(zero_copy_only=False) & same[:, j]
+                    dims["t"] = np.where(said, value[:, j], dims["t"])
+                # Many rows are of equal dimensions.
+                once, at = np.unique(np.stack([dims[k] for k in "hbct"], 1), axis=0, return_inverse=True)
+                expected, found = profiles.expected(profiles.LAYOUTS[table][0], *once.T), []
                 for j, col in enumerate(cols):
-                    e = expected.get(col)
-                    same = a[:, j] == c[:, j]
-                    if e is None or col in profiles.DIMENSIONS or not same.any():
+                    e, met = expected.get(col), same[:, j]
+                    if e is None or col in profiles.DIMENSIONS or not met.any():
                         continue
+                    e = e[at.ravel()[met]]
                     with np.errstate(divide="ignore", invalid="ignore"):
-                        ratio = np.where(e[same] > 0, a[same, j].astype(float)[:, None] / e[same], np.nan)
-                    for k in range(e.shape[1]):
-                        good = ratio[:, k][ratio[:, k] > 0]
-                        yield pa.record_batch([pa.array([table] * len(good), pa.string()), pa.array([col] * len(good), pa.string()), pa.array([k] * len(good), pa.int32()), pa.array(good, pa.float64())], names=["table", "col", "convention", "ratio"])
-
-    each = pairs.select("table", "h", "b", "c", "t", "first", "second").mapInArrow(ratios, "table string, col string, convention int, ratio double")
+                        ratio = np.where(e > 0, value[met, j][:, None] / e, np.nan)
+                    found += [(col, k, *np.unique(ratio[:, k][ratio[:, k] > 0], return_counts=True)) for k in range(e.shape[1])]
+                many = [len(r) for *_, r, _ in found]
+                if sum(many):
+                    names, conventions = np.repeat([x[0] for x in found], many), np.repeat([x[1] for x in found], many)
+                    yield pa.record_batch([pa.array([table] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(conventions, pa.int32()), *(pa.array(np.concatenate([x[i] for x in found]), t) for i, t in ((2, pa.float64()), (3, pa.int64())))], names=["table", "col", "convention", "ratio", "n"])
+
+    each = pairs.select("table", "h", "b", "c", "t", "first", "second").mapInArrow(ratios, "table string, col string, convention int, ratio double, n long")
     key = ["table", "col", "convention"]
-    each = stored(each.groupBy(*key, "ratio").agg(F.count("*").alias("n")), "ratios-")
+    each = stored(each.groupBy(*key, "ratio").agg(F.sum("n").alias("n")), "ratios-")
     middle = each.groupBy(*key).agg(F.percentile("ratio", F.lit(0.5), F.col("n")).alias("scale"), F.sum("n").alias("all")).where("all >= 3").drop("all")
     spread = each.join(middle, key).groupBy(*key, "scale").agg(F.percentile(F.abs(F.col("ratio") / F.col("scale") - 1), F.lit(0.5), F.col("n")).alias("spread"))
     best = spread.groupBy("table", "col").agg(F.min(F.struct("spread", "convention", "scale")).alias("m")).select("table", "col", "m.*").collect()
